@@ -24,7 +24,7 @@ from moorline.llm import word_bpe
 from moorline.llm.common import shared_folder, stored, width
 
 MAGIC = b"MLTOK001"
-FILE_IDS = 4 << 20  # a file is closed once it has so many ids
+FILE_IDS = 2 << 20  # a file is closed once it has so many ids
 SAMPLE = 64
 
 
@@ -124,8 +124,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
-    ordered = docs.select("doc_id", "text").repartitionByRange(4 * width(spark), "doc_id").sortWithinPartitions("doc_id")
-    encoded = word_bpe.encode(ordered, tokenizer, end_id)
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    ordered = rows.repartitionByRange(4 * width(spark), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -138,8 +138,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
                 f.write(file_bytes(doc_ids, documents))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([number], pa.int32()), "path": [path], "n_docs": [len(doc_ids)], "n_ids": [held]})
 
-        for batch in batches:
-            for d, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+        for names, encoded in word_bpe.encoded(batches, tokenizer, end_id):
+            for d, ids in zip(names.to_pylist(), encoded):
                 doc_ids.append(d)
                 documents.append(ids)
                 held += len(ids) // 4
@@ -149,7 +149,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None =
         if doc_ids:
             yield close()
 
-    return folder, stored(encoded.mapInArrow(run, "part int, file int, path string, n_docs long, n_ids long"), folder, "manifest")
+    return folder, stored(ordered.mapInArrow(run, "part int, file int, path string, n_docs long, n_ids long"), folder, "manifest")
 
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:

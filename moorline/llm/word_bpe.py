@@ -81,12 +81,16 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id",
     """
     frame = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer_at(tokenizer)
-        for batch in sized(batches, "text"):
-            ids = [x + end for x in own.encode_batch(batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        for doc_ids, ids in encoded(batches, tokenizer, end_id):
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return frame.mapInArrow(run, f"doc_id {kind}, ids binary")
+
+
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """For batches (doc_id, text): their doc_ids, and each text's ids with the end id."""
+    own, end = tokenizer_at(tokenizer), np.array([end_id], "<u4").tobytes()
+    for batch in sized(batches, "text", 1 << 20):
+        yield batch.column("doc_id"), [x + end for x in own.encode_batch(batch.column("text").to_pylist())]
