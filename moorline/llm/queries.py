@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorline.llm import embedding_dedup, fingerprints, language_id, packing, sentencepiece_bpe, sharding, token_files, url_filter
+from moorline.llm import embedding_dedup, fingerprints, language_id, packing, sentencepiece_bpe, sharding, suffix_dedup, token_files, url_filter
 
 SHARDS = 24
 SEED = 20240607
@@ -46,6 +46,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
