@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorline.llm import embedding_dedup, fingerprints, language_id, packing, sentencepiece_bpe, sharding, suffix_dedup, token_files, url_filter
+from moorline.llm import embedding_dedup, fingerprints, language_id, ngram_join, packing, sentencepiece_bpe, sharding, suffix_dedup, token_files, url_filter
 
 SHARDS = 24
 SEED = 20240607
@@ -37,6 +37,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_fingerprints": op3_fingerprints,
+    "op4_ngram_join": op4_ngram_join,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_suffix_dedup": op7_suffix_dedup,
