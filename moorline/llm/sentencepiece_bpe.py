@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.common import sized
+from moorline.llm.merge_rounds import MergeTable
 
 SPACE = "▁"
-NONE = np.int64(1) << 40
 LONG = 200
 CACHED = 400_000  # segments that a worker remembers
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -65,10 +65,7 @@ class PieceModel:
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if a is not None and b is not None:
                     table[a << 24 | b] = (levels[model.pieces[i].score], i)
-        self.keys = np.array(sorted(table), np.int64)
-        self.ranks = np.array([table[k][0] for k in self.keys.tolist()], np.int64)
-        self.merged = np.array([table[k][1] for k in self.keys.tolist()], np.int32)
-        self.pairs = table
+        self.table = MergeTable(table)
         # Characters that share a piece with a letter: texts that hold one are cut at spaces only.
         bound = set()
         for piece in self.ids:
@@ -88,13 +85,6 @@ class PieceModel:
         text = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
         return (self.coarse if self.binding.search(text) else self.fine).findall(text)
 
-    def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = left.astype(np.int64) << 24 | right
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == key
-        return np.where(hit, self.ranks[at], NONE), at
-
     def merge_rounds(self, words: list[str]) -> list[bytes]:
         """Ids of each word as little-endian int32."""
         flat = "".join(words)
@@ -104,47 +94,7 @@ class PieceModel:
         uniq, inverse = np.unique(points, return_inverse=True)
         # A character outside the vocabulary is a symbol of its own that merges with nothing.
         symbols = np.array([table[chr(c)] if table[chr(c)] >= 0 else (1 << 23) | int(c) for c in uniq.tolist()], np.int32)[inverse]
-        word = np.repeat(np.arange(len(words)), lengths)
-        rank = np.full(len(symbols), NONE, np.int64)
-        if len(symbols) > 1:
-            inside = word[:-1] == word[1:]
-            rank[:-1] = np.where(inside, self.look_up(symbols[:-1], symbols[1:])[0], NONE)
-        done_symbols, done_words = [], []
-        while len(symbols):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            n = len(symbols)
-            best = np.minimum.reduceat(rank * n + np.arange(n), starts)
-            ends = np.r_[starts[1:], n]
-            idle = best >= NONE * n
-            if idle.any():  # finished words leave the array
-                out = np.repeat(idle, ends - starts)
-                done_symbols.append(symbols[out])
-                done_words.append(word[out])
-                symbols, word, rank = symbols[~out], word[~out], rank[~out]
-                if not len(symbols):
-                    break
-                shift = np.cumsum(out)
-                at = best[~idle] % n
-                at = at - shift[at]
-            else:
-                at = best % n
-            _, slot = self.look_up(symbols[at], symbols[at + 1])
-            symbols[at] = self.merged[slot]
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            at = at - np.arange(len(at))  # each removal lies behind its own place and before the next
-            symbols, word, rank = symbols[keep], word[keep], rank[keep]
-            n = len(symbols)
-            right = at + 1 < n
-            right[right] &= word[at[right]] == word[at[right] + 1]
-            rank[at] = NONE
-            rank[at[right]] = self.look_up(symbols[at[right]], symbols[at[right] + 1])[0]
-            left = at > 0
-            left[left] &= word[at[left]] == word[at[left] - 1]
-            rank[at[left] - 1] = self.look_up(symbols[at[left] - 1], symbols[at[left]])[0]
-        symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
-        order = np.argsort(word, kind="stable")
-        symbols, word = symbols[order], word[order]
+        symbols, word = self.table.merge(symbols, np.repeat(np.arange(len(words)), lengths))
         symbols, word = self.spell(symbols, word)
         cuts = (np.searchsorted(word, np.arange(len(words) + 1)) * 4).tolist()
         data = symbols.astype("<i4").tobytes()
@@ -176,7 +126,7 @@ class PieceModel:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (found := self.pairs.get(symbols[i] << 24 | symbols[j])):
+            if j < n and (found := self.table.pairs.get(symbols[i] << 24 | symbols[j])):
                 heapq.heappush(heap, (found[0], i, symbols[i], j, symbols[j], found[1]))
 
         for i in range(n - 1):

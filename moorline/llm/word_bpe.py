@@ -2,13 +2,14 @@
 
 The tokenizer cuts a text into runs of letters, single digits and runs of other characters, none
 of which can reach across another, so the ids of a text are those of its words one after the
-other. Words are encoded by the tokenizers library once and remembered; a text with anything that
-normalisation or special tokens could change is given to the library whole.
+other. Words are encoded by the vocabulary's merges, many at once, and remembered; a text with anything that
+normalisation or special tokens could change is given to the tokenizers library whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -20,24 +21,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.common import sized
+from moorline.llm.merge_rounds import MergeTable
 
-CACHED = 700_000  # words that a worker remembers
+CACHED = 200_000  # words that a worker remembers
+LONG = 200  # bytes; longer words go to the library
 #: Texts of these characters are in NFC and lower-case one by one into letters of WORDS.
 PURE = re.compile("[\t\n\r -&(-^`-~À-ÖØ-öø-įı-ſ]*")
 #: The tokenizer's own alternatives over such a text, lower-cased, without white space.
 WORDS = re.compile("[a-zß-öø-ſ]+|[0-9]|[^\\sa-z0-9ß-öø-ſ]+")
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: printable Latin-1 for itself, others from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class WordBpe:
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        pairs = {}
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair.split(" ") if isinstance(pair, str) else pair
+            pairs[vocab[left] << 24 | vocab[right]] = (rank, vocab[left + right])
+        self.table = MergeTable(pairs)
+        letters = byte_letters()
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.final = np.array([vocab[c + suffix] for c in letters], np.int32)
         self.cache: dict[str, bytes] = {}
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.loaded = None
+
+    @property
+    def library(self):
+        """The library's own tokenizer, loaded when a text first needs it."""
+        if self.loaded is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words by vectorised merge rounds; very long ones by the library."""
+        raw = [w.encode() for w in words]
+        short = [i for i, x in enumerate(raw) if len(x) <= LONG]
+        data = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
+        ends = np.cumsum([len(raw[i]) for i in short])
+        symbols = self.inner[data]
+        if len(short):
+            symbols[ends - 1] = self.final[data[ends - 1]]
+        symbols, word = self.table.merge(symbols, np.repeat(np.arange(len(short)), np.diff(ends, prepend=0)))
+        cuts = (np.searchsorted(word, np.arange(len(short) + 1)) * 4).tolist()
+        flat = symbols.astype("<u4").tobytes()
+        out = {i: flat[a:b] for i, a, b in zip(short, cuts, cuts[1:])}
+        return [out[i] if i in out else self.whole(words[i]) for i in range(len(words))]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -48,8 +92,8 @@ class WordBpe:
         out: list[bytes] = [b""] * len(texts)
         get, rows, missing = self.cache.get, [], set()
         for i, words in enumerate(cut):
-            if words is None:  # one by one: these may be long
-                out[i] = self.packed([texts[i]])[0]
+            if words is None:
+                out[i] = self.whole(texts[i])
                 continue
             ids = list(map(get, words))
             gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
@@ -59,12 +103,12 @@ class WordBpe:
         new = list(missing)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            fresh.update(zip(part, self.packed(part)))
+            fresh.update(zip(part, self.merged(part)))
         for i, words, ids, gaps in rows:
             for k in gaps:
                 ids[k] = fresh[words[k]]
             out[i] = b"".join(ids)
-        if len(self.cache) + len(fresh) <= CACHED:
+        if len(self.cache) < CACHED:
             self.cache.update((w, x) for w, x in fresh.items() if len(w) <= 40)
         return out
 
