@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from moorline.llm.common import width
 
-BLOCK_ROWS = 2000  # most documents of a block
-SLICE = 1 << 20  # bytes of text that a pass works on at once
+BLOCK_ROWS = 1000  # most documents of a block
+SLICE = 3 << 17  # bytes of text that a pass works on at once
 
 
 def write_blocks(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
