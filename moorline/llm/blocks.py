@@ -16,7 +16,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.common import width
+from moorline.llm.common import Trimmer, width
 
 BLOCK_ROWS = 1000  # most documents of a block
 SLICE = 3 << 17  # bytes of text that a pass works on at once
@@ -59,11 +59,13 @@ def per_block(blocks: DataFrame, work: Callable[[str], Iterator[pa.RecordBatch]]
     """Run work(blk) on every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = Trimmer()
         for batch in batches:
             for blk in batch.column("blk").to_pylist():
                 yield from work(blk)
+                trim()
 
-    return blocks.repartition(4 * width(blocks.sparkSession), "blk").mapInArrow(run, schema)
+    return blocks.repartition(width(blocks.sparkSession), "blk").mapInArrow(run, schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -85,10 +87,13 @@ def per_key(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[dict]]
     """Run work(key, rows) for every key; the rows of one key are in memory, keys one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = Trimmer()
         for key, held in runs(batches, keys):
             yield from work(key, held)
+            del held
+            trim()
 
-    dealt = rows.repartition(4 * width(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    dealt = rows.repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, schema)
 
 
@@ -114,6 +119,18 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """Bytes of a rising array's steps, most significant bytes together: these compress."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(len(steps), values.itemsize).T).ravel()
+
+
+def from_planes(data: np.ndarray, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    steps = np.ascontiguousarray(data.reshape(size, len(data) // size).T).view(dtype).ravel()
+    return np.cumsum(steps, dtype=dtype)
+
+
 def by_bucket(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the ids of each bucket (id mod buckets), in rising order of place."""
     bucket = (ids % np.uint64(buckets)).astype(np.int64)

@@ -7,9 +7,11 @@ names in ``spark.checkpoint.dir``; a folder of our own is used only where that i
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -70,6 +72,25 @@ def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -
                 yield batch.slice(a, b - a)
 
 
+class Trimmer:
+    """Gives freed memory back to the system now and then: the C library keeps it otherwise, and an
+    executor has several Python workers side by side."""
+
+    def __init__(self, every: float = 0.3):
+        self.every, self.last = every, time.monotonic()
+        try:
+            self.libc = ctypes.CDLL("libc.so.6")
+            self.libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays of over 256 KB are returned when freed
+        except (OSError, AttributeError):  # another C library has its own ways
+            self.libc = None
+
+    def __call__(self) -> None:
+        if self.libc is not None and time.monotonic() - self.last > self.every:
+            pa.default_memory_pool().release_unused()
+            self.libc.malloc_trim(0)
+            self.last = time.monotonic()
+
+
 def letters_lower(column):
     """Lower-case A-Z only, as the contracts say."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.blocks import by_bucket, flat, load_block, pack, per_block, per_key, slices, unpack, write_blocks
+from moorline.llm.blocks import by_bucket, flat, from_planes, load_block, pack, per_block, per_key, planes, slices, unpack, write_blocks
 from moorline.llm.common import release, shared_folder, stored, width
 from moorline.llm.graph import components
 from moorline.llm.shingles import mix, shingle_hashes
@@ -44,15 +44,31 @@ def most_differences(n, m, num: int, den: int):
     return (den - num) * (n + m) // (den + num)
 
 
-def block_sets(blk: str, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Ids (null as the least integer), set sizes, the sets (sorted hashes) of documents that are the
-    first of their set, and for each document the place of that first one."""
-    table = load_block(blk, [id_col, text_col])
-    data, limits = flat(table.column(text_col))
+def shingle_sets(texts: pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, rising."""
+    data, limits = flat(texts)
     sets: list[np.ndarray] = []
     for a, b in slices(limits):
         hashes, offsets = shingle_hashes([data[limits[i] : limits[i + 1]].tobytes() for i in range(a, b)], words)
         sets += [np.unique(hashes[x:y]) for x, y in zip(offsets[:-1], offsets[1:])]
+    return sets
+
+
+def sent_set(tokens: np.ndarray) -> bytes:
+    """A set as the first 48 bits of its hashes: two sets of a thousand tokens agree by chance in one
+    of them with a probability of 4e-9."""
+    return pack(planes(np.unique(tokens >> np.uint64(16))))
+
+
+def received_set(blob: bytes) -> np.ndarray:
+    return from_planes(unpack(blob)[0], np.uint64)
+
+
+def block_sets(blk: str, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Ids (null as the least integer), set sizes, the sets (sorted hashes) of documents that are the
+    first of their set, and for each document the place of that first one."""
+    table = load_block(blk, [id_col, text_col])
+    sets = shingle_sets(table.column(text_col), words)
     ids = table.column(id_col).to_pylist()
     first: dict[tuple, int] = {}
     of = np.empty(len(sets), np.int64)
@@ -80,7 +96,13 @@ class Cell:
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int):
         order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-        self.order, self.ids, self.sets, self.num, self.den = order, [ids[i] for i in order], [sets[i] for i in order], num, den
+        self.order, self.ids, self.num, self.den = order, [ids[i] for i in order], num, den
+        # The cell's own order of tokens, the rarest first.
+        ends = np.cumsum([0, *(len(sets[i]) for i in order)])
+        names, at, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+        rank = np.empty(len(names), np.int64)
+        rank[np.lexsort((names, times))] = np.arange(len(names))
+        self.sets = [np.sort(rank[at[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
         self.parent = list(range(len(ids)))
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         tokens, owners, places = [], [], []
@@ -163,7 +185,7 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     folder = shared_folder(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = stored(write_blocks(frame, folder), folder, "names")
-    buckets = max(width(spark), blocks.count())
+    buckets = max(width(spark), blocks.count() // 4)
 
     def named(blk: str):
         ids, sizes, sets, of = block_sets(blk, words, "doc_id", "text")
@@ -176,46 +198,54 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
         names, times = (x for i, x in enumerate(named(blk)) if i in (6, 8))
         cuts = np.searchsorted(names, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
         some = np.flatnonzero(np.diff(cuts)).tolist()
-        blobs = [pack(np.diff(names[cuts[k] : cuts[k + 1]].astype(np.uint32), prepend=np.uint32(0)), np.minimum(times[cuts[k] : cuts[k + 1]], 255).astype(np.uint8)) for k in some]
+        blobs = [pack(planes(names[cuts[k] : cuts[k + 1]].astype(np.uint32)), np.minimum(times[cuts[k] : cuts[k + 1]], 255).astype(np.uint8)) for k in some]
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(some, pa.int32()), "blk": pa.array([blk] * len(some), pa.string()), "blob": pa.array(blobs, pa.binary())})
 
     def classify(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         got = [unpack(r["blob"]) for r in rows]
-        names = np.concatenate([np.cumsum(g[0], dtype=np.uint32) for g in got])
+        names = np.concatenate([from_planes(g[0], np.uint32) for g in got])
         uniq, at = np.unique(names, return_inverse=True)
         total = np.bincount(at, weights=np.concatenate([g[1] for g in got]).astype(np.float64), minlength=len(uniq))
         kind = np.where(total <= 1, 0, 1 + np.log2(np.maximum(total, 1)).astype(np.int64)).astype(np.uint8)[at]
-        parts = np.split(kind, np.cumsum([len(g[0]) for g in got])[:-1])
+        parts = np.split(kind, np.cumsum([len(g[1]) for g in got])[:-1])
         yield pa.RecordBatch.from_pydict({"blk": [r["blk"] for r in rows], "bucket": pa.array([key[0]] * len(rows), pa.int32()), "blob": pa.array([pack(p) for p in parts], pa.binary())})
 
     def survivors(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        """Rows by kind: doc (doc_id, size), copy (doc_id, first of its set), set (doc_id, size, keys)
-        and post (bucket of a token, prefix entries)."""
+        """Rows by kind: doc (doc_id, size), copy (doc_id, first of its set), own (doc_id, row in the
+        block) of sets that may link, and post (bucket of a token, prefix entries)."""
         blk = key[0]
         ids, sizes, sets, of, own, tokens, names, at, _ = named(blk)
         kinds = np.concatenate([np.zeros(0, np.uint8), *(unpack(r["blob"])[0] for r in sorted(rows, key=lambda r: r["bucket"]) if r["blob"] is not None)])
         keys = kinds[at].astype(np.uint64) << np.uint64(64 - CLASS_BITS) | tokens >> np.uint64(CLASS_BITS)
         shared_from = np.uint64(1 << (64 - CLASS_BITS))
         ends = np.cumsum([0, *(len(sets[i]) for i in own)])
-        set_rows, entries = [], []
+        rows_left, entries = [], []
         for i, a, b in zip(own, ends[:-1], ends[1:]):
             n = int(b - a)
             row = np.sort(keys[a:b])
             prefix = n - -(-num * n // den) + 1
             alone = int(np.searchsorted(row, shared_from))
             if alone < prefix:
-                set_rows.append((int(ids[i]), n, row.astype("<u8").tobytes()))
+                rows_left.append(i)
                 entries.append((row[alone:prefix], np.full(prefix - alone, ids[i]), np.full(prefix - alone, n), np.arange(alone, prefix)))
         out = [("doc", int(d) if d != np.iinfo(np.int64).min else None, int(n), None) for d, n in zip(ids, sizes)]
         out += [("copy", int(ids[i]), int(ids[of[i]]), None) for i in range(len(of)) if of[i] != i and ids[i] != ids[of[i]]]
-        out += [("set", *r) for r in set_rows]
+        out += [("own", int(ids[i]), int(i), None) for i in rows_left]
         if entries:
             token, doc, n, place = map(np.concatenate, zip(*entries))
             for k, where in by_bucket(mix(token), buckets):
                 out.append(("post", k, 0, pack(token[where], doc[where], n[where].astype(np.int32), place[where].astype(np.int32))))
         for a in range(0, len(out), 2000):
             part = out[a : a + 2000]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([r[1] for r in part], pa.int64()), "b": pa.array([r[2] for r in part], pa.int64()), "blob": pa.array([r[3] for r in part], pa.binary()), "kind": [r[0] for r in part]})
+            yield pa.RecordBatch.from_pydict({"kind": [r[0] for r in part], "blk": [blk] * len(part), "a": pa.array([r[1] for r in part], pa.int64()), "b": pa.array([r[2] for r in part], pa.int64()), "blob": pa.array([r[3] for r in part], pa.binary())})
+
+    def fetch(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """The sets of those rows of a block that lie in a cluster."""
+        table = load_block(key[0], ["doc_id", "text"]).take([r["row"] for r in rows])
+        sets = shingle_sets(table.column("text"), words)
+        for a in range(0, len(rows), 2000):
+            part = rows[a : a + 2000]
+            yield pa.RecordBatch.from_pydict({"component": [r["component"] for r in part], "doc": [r["doc"] for r in part], "blob": pa.array([sent_set(s) for s in sets[a : a + 2000]], pa.binary())})
 
     def clusters(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Edges from the least document of each run of list entries that may link."""
@@ -248,13 +278,13 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     classes = stored(per_key(per_block(blocks, count, blob), ["bucket"], classify, answer), folder, "classes")
     release(spark)
     every = classes.unionByName(blocks.select("blk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob")))
-    found = per_key(every, ["blk"], survivors, "a long, b long, blob binary, kind string")
-    found.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/found")
-    found = spark.read.schema("a long, b long, blob binary, kind string").parquet(f"{folder}/found")
+    # Sorted by kind, so that a filter on the kind skips the pages of the others.
+    found = stored(per_key(every, ["blk"], survivors, "kind string, blk string, a long, b long, blob binary").sortWithinPartitions("kind"), folder, "found")
     near = stored(per_key(found.filter("kind = 'post'").select(F.col("a").cast("int").alias("bucket"), "blob"), ["bucket"], clusters, "u long, v long"), folder, "near")
     cluster = components(near, f"{folder}/clusters")
     release(spark)
-    sets = found.filter("kind = 'set'").select(F.col("a").alias("doc"), "blob").join(cluster, F.col("doc") == F.col("node")).select("component", "doc", "blob")
+    own = found.filter("kind = 'own'").select("blk", F.col("a").alias("doc"), F.col("b").alias("row")).join(cluster, F.col("doc") == F.col("node")).select("blk", "doc", "row", "component")
+    sets = per_key(own, ["blk"], fetch, "component long, doc long, blob binary")
     sets = stored(sets, folder, "sets")
     links = stored(joined(sets, folder, num, den), folder, "links")
     copies = found.filter("kind = 'copy'").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -272,16 +302,16 @@ def joined(sets: DataFrame, folder: str, num: int, den: int) -> DataFrame:
 
     def cell(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         # A repeated doc_id keeps all its different sets: each is a set of its own under one name.
-        held = Cell([r["doc"] for r in rows], [np.frombuffer(r["blob"], "<u8") for r in rows], num, den)
+        held = Cell([r["doc"] for r in rows], [received_set(r["blob"]) for r in rows], num, den)
         yield batch(held.links([r["probe"] for r in rows]))
 
     def lead(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Every set of a cell against the leader's."""
         leader = next(r for r in rows if r["leads"])
-        own = np.frombuffer(leader["blob"], "<u8")
+        own = received_set(leader["blob"])
         pairs = []
         for r in rows:
-            other = np.frombuffer(r["blob"], "<u8")
+            other = received_set(r["blob"])
             if not r["leads"] and int(np.isin(own, other, assume_unique=True).sum()) >= overlap_needed(len(own), len(other), num, den):
                 pairs.append((r["doc"], leader["doc"]))
         yield batch(pairs)
