@@ -73,7 +73,7 @@ class WordBpe:
         raw = [w.encode() for w in words]
         short = [i for i, x in enumerate(raw) if len(x) <= LONG]
         data = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
-        ends = np.cumsum([len(raw[i]) for i in short])
+        ends = np.cumsum([len(raw[i]) for i in short], dtype=np.int64)
         symbols = self.inner[data]
         if len(short):
             symbols[ends - 1] = self.final[data[ends - 1]]
