@@ -30,7 +30,7 @@ from moorline.llm.common import release, shared_folder, stored, width
 from moorline.llm.graph import components
 from moorline.llm.shingles import mix, shingle_hashes
 
-CELL = 1024  # sets that a cell compares with each other
+CELL = 256  # sets that a cell compares with each other
 CLASS_BITS = 6  # a token's frequency class leads its key
 
 
