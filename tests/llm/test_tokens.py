@@ -183,4 +183,4 @@ def test_token_file_is_checked():
     file = token_files.TokenFile(data)
     assert file.doc_ids == [3, None] and file.document(0).tolist() == [1] and file.document(1).tolist() == []
     with pytest.raises(ValueError):
-        token_files.TokenFile(data[:-5] + b"\0" + data[-4:])
+        token_files.TokenFile(data[:-5] + bytes([data[-5] ^ 1]) + data[-4:])
