@@ -21,6 +21,7 @@ from moorline.llm.common import sized
 
 SAMPLE_TEXTS = 500  # most labelled texts a language is learnt from
 SAMPLE_CHARS = 300  # most characters of each of them
+BIN_BITS = 14  # hash ranges that labelled texts are counted in
 BLOCK = 1024  # bytes compressed at once
 LEVEL = 5
 MARGIN = 0.001  # share of the bytes by which the best must beat the second not to be rejected
@@ -40,8 +41,13 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     and equal texts count once. Rows with a null text or lang, or an empty text, are left out.
     """
     rows = labelled.filter("text is not null and lang is not null and text != ''")
-    picks = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    first = Window.partitionBy("lang").orderBy("h")
+    picks = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("bin", F.shiftrightunsigned("h", 64 - BIN_BITS))
+    # Counts by hash range show how far each language has to look; only hashes up to there are sorted.
+    sizes = picks.groupBy("lang", "bin").agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    wanted = sizes.withColumn("before", F.coalesce(so_far, F.lit(0))).filter(F.col("before") < SAMPLE_TEXTS).select("lang", "bin")
+    first = Window.partitionBy("lang").orderBy("bin", "h")
+    picks = picks.join(wanted, ["lang", "bin"], "left_semi")
     chosen = [r["h"] for r in picks.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_TEXTS).select("h").distinct().collect()]
     sample = rows.filter(F.xxhash64("text").isin(chosen)).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).distinct()
     texts: dict[str, list] = {}
