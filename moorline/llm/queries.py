@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from moorline.llm import embedding_dedup, fingerprints, language_id, ngram_join, packing, sentencepiece_bpe, sharding, suffix_dedup, token_files, url_filter
 
-SHARDS = 24
-SEED = 20240607
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,7 +59,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = sharding.shard(rows, SHARDS, seed=SEED)
+    placed = sharding.shard(rows, sharding.SHARDS, seed=sharding.SEED)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

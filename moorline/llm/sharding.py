@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from moorline.llm.common import shared_folder, stored, width
 
+SHARDS = 24
+SEED = 20240607
 ROUNDS = 4
 PRIME = 2147483647
 
@@ -32,12 +34,6 @@ def round_keys(seed: int) -> list[tuple[int, int]]:
     return out
 
 
-def mix_sql(r: str, key: tuple[int, int], idiv: str) -> str:
-    """The round function as SQL over 64-bit integers, the same in Spark and in other engines."""
-    once = f"((({r}) * {key[0]} + {key[1]}) % {PRIME})"
-    return f"((({once} % 46337) * ({once} {idiv} 46337) + {once}) % {PRIME})"
-
-
 def side_of(n: int) -> int:
     return max(1, math.isqrt(max(n, 1) - 1) + 1)
 
@@ -82,7 +78,7 @@ def numbered(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
     return joined.withColumn("row_number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).select(*rows.columns, "row_number"), n
 
 
-def shard(rows: DataFrame, shards: int, key: str = "doc_id", seed: int = 20240607) -> DataFrame:
+def shard(rows: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     """rows and `shard` 0..shards-1, `slot` gapless from 0 in each shard; all columns stay.
 
     Equal rows are rows of their own. An empty table gives an empty table. Null keys come first.

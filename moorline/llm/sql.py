@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from moorline.llm.sharding import PRIME, SEED, SHARDS, round_keys
 from moorline.llm.url_filter import HOST_RULES, PATTERN_RULES
 
 
@@ -59,3 +60,32 @@ SELECT e.vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r.v) AS compo
 FROM embeddings e LEFT JOIN degree USING (vec_id) JOIN reach r ON r.u = e.vec_id GROUP BY e.vec_id"""
 
 ORACLE_SQL = {"op4_ngram_join": NGRAM_JOIN_SQL, "op5_url_filter": url_filter_sql(), "op8_embedding_dedup": EMBEDDING_DEDUP_SQL}
+
+
+def sharding_sql(shards: int, seed: int) -> str:
+    """Row numbers through the Feistel network, walked by recursion; CRC-32 by its table."""
+    keys = ", ".join(f"{{'l': 0, 'r': 0, 'a': {a}, 'b': {b}}}" for a, b in round_keys(seed))
+    once = f"((s.r * k.a + k.b) % {PRIME})"
+    mixed = f"((({once} % 46337) * ({once} // 46337) + {once}) % {PRIME})"
+
+    def network(x: str) -> str:
+        start = f"{{'l': ({x}) // side, 'r': ({x}) % side, 'a': 0, 'b': 0}}"
+        return f"list_reduce([{start}, {keys}]::STRUCT(l BIGINT, r BIGINT, a BIGINT, b BIGINT)[], lambda s, k: {{'l': s.r, 'r': (s.l + {mixed}) % side, 'a': 0, 'b': 0}})"
+
+    return f"""
+WITH RECURSIVE numbered AS (
+  SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size, coalesce(text, '') AS text,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST) - 1 AS x, count(*) OVER () AS n, ceil(sqrt(count(*) OVER ()))::BIGINT AS side FROM documents),
+first AS (SELECT x, n, side, {network('x')} AS p FROM numbered),
+walk AS (
+  SELECT x, n, side, p.l * side + p.r AS y FROM first
+  UNION ALL SELECT x, n, side, p.l * side + p.r FROM (SELECT x, n, side, {network('y')} AS p FROM walk WHERE y >= n)),
+digits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+sums AS (
+  SELECT x, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) AS crc FROM numbered, digits)
+SELECT d.doc_id, d.size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, (y % {shards})::INTEGER AS shard, y // {shards} AS slot, NULL::INTEGER AS grown_shard
+FROM numbered d JOIN walk w ON w.x = d.x AND w.y < w.n JOIN sums s ON s.x = d.x"""
+
+
+ORACLE_SQL["op9_sharding"] = sharding_sql(SHARDS, SEED)

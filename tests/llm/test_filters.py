@@ -103,7 +103,7 @@ def test_op9(spark, tmp_path):
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
     # Shard and slot follow from the row number alone.
     for number, d in enumerate(sorted(text)):
-        p = walked(number, len(docs), queries.SEED)
+        p = walked(number, len(docs), sharding.SEED)
         assert again[d] == (p % 24, p // 24)
 
 
