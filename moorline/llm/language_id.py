@@ -24,7 +24,10 @@ SAMPLE_CHARS = 300  # most characters of each of them
 BIN_BITS = 14  # hash ranges that labelled texts are counted in
 BLOCK = 1024  # bytes compressed at once
 LEVEL = 5
-MARGIN = 0.001  # share of the bytes by which the best must beat the second not to be rejected
+SHORT = 512  # bytes; shorter texts are compressed behind a lead, with more effort
+SHORT_LEVEL = 12
+LEAD = 256  # bytes of the dictionary's end that go before a short text: alone it may not compress at all
+MARGIN = 0.0005  # share of the bytes by which the best must beat the second not to be rejected
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -56,21 +59,35 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     return {lang: b"\n".join(t.lower().encode() for _, t in sorted(found)) for lang, found in sorted(texts.items())}
 
 
-@functools.lru_cache(maxsize=2)
-def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list:
-    import zstandard as zstd
+class Tools:
+    """The compressors of one language."""
+
+    def __init__(self, data: bytes):
+        self.whole, self.short = self.at(data, LEVEL), self.at(data, SHORT_LEVEL)
+        self.lead = data[-LEAD:]
+        self.lead_size = len(self.short.compress(self.lead))
+
+    @staticmethod
+    def at(data: bytes, level: int):
+        import zstandard as zstd
 
-    out = []
-    for _, data in dictionaries:
         table = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        table.precompute_compress(level=LEVEL)
-        out.append(zstd.ZstdCompressor(level=LEVEL, dict_data=table, write_content_size=False, write_checksum=False))
-    return out
+        table.precompute_compress(level=level)
+        return zstd.ZstdCompressor(level=level, dict_data=table, write_content_size=False, write_checksum=False)
+
+    def size(self, text: bytes) -> int:
+        if len(text) < SHORT:
+            return max(0, len(self.short.compress(self.lead + text)) - self.lead_size)
+        return sum(len(self.whole.compress(text[a : a + BLOCK])) for a in range(0, len(text), BLOCK))
+
+
+@functools.lru_cache(maxsize=2)
+def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[Tools]:
+    return [Tools(data) for _, data in dictionaries]
 
 
-def compressed_sizes(text: bytes, tools: list) -> np.ndarray:
-    blocks = [text[a : a + BLOCK] for a in range(0, len(text), BLOCK)]
-    return np.array([sum(len(tool.compress(b)) for b in blocks) for tool in tools], np.int64)
+def compressed_sizes(text: bytes, tools: list[Tools]) -> np.ndarray:
+    return np.array([t.size(text) for t in tools], np.int64)
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +118,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
                 best = int(sizes.argmin())
                 second = int(np.partition(sizes, 1)[1]) if len(names) > 1 else None
                 langs.append(names[best])
-                scores.append(1.0 if second is None else 1.0 - int(sizes[best]) / second)
+                scores.append(1.0 if second is None else 1.0 - int(sizes[best]) / second if second else 0.0)
                 rejected.append(second is not None and second - int(sizes[best]) < MARGIN * len(raw))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected)], names=[*carried, "lang_pred", "score", "rejected"])
 
