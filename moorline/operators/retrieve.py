@@ -18,6 +18,7 @@ from moorline.options import FUZZY_MOST_ENTITIES, LinkOptions
 from moorline.sources.kb import alias_index, aliases
 
 BROADCAST_ALIASES = 100_000  # a larger alias index joins by shuffle
+FUZZY_PART = 64  # query lists that one row of fuzzy work holds on average
 
 
 def queries(signatures: DataFrame) -> DataFrame:
@@ -55,29 +56,27 @@ def fuzzy(signatures: DataFrame, entities: DataFrame, options: LinkOptions) -> D
     """
     sizes = entities.groupBy("kb_id").agg(F.count("*").alias("n"))
     small = sizes.filter(F.col("n") <= FUZZY_MOST_ENTITIES).select("kb_id")
-    rows = aliases(entities.join(F.broadcast(small), "kb_id", "left_semi")).select("kb_id", "entity_ord", "alias_ord", "alias", "norm").collect()
-    by_kb: dict[str, list] = {}
-    for r in rows:
-        by_kb.setdefault(r["kb_id"], []).append((r["entity_ord"], r["alias_ord"], r["alias"], r["norm"]))
-    held = signatures.sparkSession.sparkContext.broadcast(by_kb)
+    held = aliases(entities.join(small, "kb_id", "left_semi")).groupBy("kb_id").agg(F.collect_list(F.struct("entity_ord", "alias_ord", "alias", "norm")).alias("names"))
     keep = options.fuzzy_cap
     texts = F.filter(F.transform(query_texts(F.col("text"), F.col("candidate_aliases")), normalize), lambda x: x != "")
-    asked = signatures.filter(F.col("kb_id").isin(sorted(by_kb))) if by_kb else signatures.filter("false")
-    asked = asked.withColumn("texts", texts).filter(F.size("texts") > 0)
+    asked = signatures.withColumn("texts", texts).filter(F.size("texts") > 0)
+    distinct = asked.select("kb_id", "texts").distinct()
+    # A row of work is a bounded part of one base's texts beside that base's bounded aliases.
+    parts = distinct.groupBy("kb_id").agg(F.ceil(F.count("*") / FUZZY_PART).alias("parts"))
+    part = F.pmod(F.xxhash64("texts"), F.col("parts"))
+    work = distinct.join(parts, "kb_id").withColumn("part", part).groupBy("kb_id", "part").agg(F.collect_list("texts").alias("lists")).join(held, "kb_id")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matchers: dict[str, AliasMatcher] = {}
+        last, matcher = None, None
         for batch in batches:
-            out = []
-            for kb_id, wanted in zip(batch["kb_id"], batch["texts"]):
-                if kb_id not in matchers:
-                    matchers[kb_id] = AliasMatcher(held.value[kb_id])
-                for rank, (entity, similarity, alias) in enumerate(matchers[kb_id].best(list(wanted), keep), 1):
-                    out.append((kb_id, list(wanted), entity, alias, similarity, rank))
-            yield pd.DataFrame(out, columns=["kb_id", "texts", "entity_ord", "matched_alias", "similarity", "retrieval_rank"])
-
-    distinct = asked.select("kb_id", "texts").distinct()
-    best = distinct.mapInPandas(search, "kb_id string, texts array<string>, entity_ord long, matched_alias string, similarity double, retrieval_rank int")
+            for kb_id, lists, names in zip(batch["kb_id"], batch["lists"], batch["names"]):
+                if kb_id != last:
+                    last, matcher = kb_id, AliasMatcher([(n["entity_ord"], n["alias_ord"], n["alias"], n["norm"]) for n in names])
+                out = [(kb_id, list(wanted), entity, alias, similarity, rank) for wanted in lists for rank, (entity, similarity, alias) in enumerate(matcher.best(list(wanted), keep), 1)]
+                yield pd.DataFrame(out, columns=["kb_id", "texts", "entity_ord", "matched_alias", "similarity", "retrieval_rank"])
+
+    dealt = work.repartition(int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kb_id", "part").sortWithinPartitions("kb_id")
+    best = dealt.mapInPandas(search, "kb_id string, texts array<string>, entity_ord long, matched_alias string, similarity double, retrieval_rank int")
     return asked.select("sig", "kb_id", "texts").join(best, ["kb_id", "texts"]).select("sig", "kb_id", "entity_ord", "matched_alias", "similarity", "retrieval_rank")
 
 
