@@ -19,14 +19,20 @@ from pyspark.sql import functions as F
 from moorline.llm.common import Trimmer, width
 
 BLOCK_ROWS = 1000  # most documents of a block
+BLOCK_BYTES = 8 << 20  # bytes of text that a block has about
 SLICE = 3 << 17  # bytes of text that a pass works on at once
 
 
 def write_blocks(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
-    """Write all columns of docs as block files; returns the blocks' names, (blk)."""
+    """Write all columns of docs as block files; returns the blocks' names, (blk).
+
+    A block has so many documents as make BLOCK_BYTES at the mean length, BLOCK_ROWS at most.
+    """
     spark, path = docs.sparkSession, f"{folder}/blocks"
     frame = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    frame.write.options(compression="zstd", maxRecordsPerFile=str(BLOCK_ROWS)).parquet(path)
+    mean = docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 0.0
+    rows = max(1, min(BLOCK_ROWS, int(BLOCK_BYTES / max(mean, 1.0))))
+    frame.write.options(compression="zstd", maxRecordsPerFile=str(rows)).parquet(path)
     names = spark.read.schema(frame.schema).parquet(path).select(F.col("_metadata.file_path").alias("blk")).distinct()
     return names
 
