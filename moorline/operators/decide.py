@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorline.functions.text import context_window, normalize, round_binary, strip
+from moorline.functions.text import context_window, normalize, round_binary, strip, trace_id
 from moorline.operators import rerank, retrieve
 from moorline.sources.files import explode_requests
-from moorline.options import COREFERENCE_FLOOR, COREFERENCE_LOSS, COREFERENCE_TERMS, LinkOptions
+from moorline.options import COREFERENCE_FLOOR, COREFERENCE_LOSS, COREFERENCE_TERMS, LinkOptions, Settings
 
 CANDIDATE = "struct<rank:int,entity_id:string,canonical_name:string,entity_type:string,score:double,alias_similarity:double,matched_alias:string,overlapping_keywords:array<string>,reasons:array<string>>"
 SIGNATURE = ("kb_id", "text", "candidate_aliases", "entity_type", "context")
@@ -24,11 +26,15 @@ def signatures(mentions: DataFrame) -> DataFrame:
     return mentions.select("sig", *SIGNATURE).dropDuplicates(["sig"])
 
 
-def scored(mentions: DataFrame, entities: DataFrame, options: LinkOptions, prior: DataFrame | None = None) -> DataFrame:
+#: A stage that finds candidates (signatures, entities, options), and one that scores them (built, prior).
+Retriever = Callable[[DataFrame, DataFrame, LinkOptions], DataFrame]
+Scorer = Callable[[DataFrame, DataFrame | None], DataFrame]
+
+
+def scored(mentions: DataFrame, entities: DataFrame, options: LinkOptions, prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
     """Ranked candidates of every signature of (signed) mentions."""
     asked = signatures(mentions)
-    built = retrieve.build(retrieve.candidates(asked, entities, options), asked, entities)
-    return rerank.top(rerank.rescore(built, prior), options)
+    return rerank.top(scorer(retrieve.build(retriever(asked, entities, options), asked, entities), prior), options)
 
 
 def first_decisions(mentions: DataFrame, ranked: DataFrame, options: LinkOptions) -> DataFrame:
@@ -54,11 +60,12 @@ def first_decisions(mentions: DataFrame, ranked: DataFrame, options: LinkOptions
             "rationale": F.when(low, nil_reason).otherwise(link_reason),
             "fallible": low & (F.col("text").isin(*COREFERENCE_TERMS) | F.coalesce("coreference_hint", F.lit(False))),
             "coreference_source": F.lit(None).cast("string"),
+            "retrieved": F.coalesce("retrieved", F.lit(0)).cast("long"),
         }
     )
 
 
-DECISION = ["pos", "mention_id", "text", "entity_type", "status", "linked_entity_id", "canonical_name", "confidence", "needs_review", "candidates", "matched_alias", "overlapping_keywords", "rationale", "context", "fallible", "coreference_source"]
+DECISION = ["pos", "mention_id", "text", "entity_type", "status", "linked_entity_id", "canonical_name", "confidence", "needs_review", "candidates", "matched_alias", "overlapping_keywords", "rationale", "context", "fallible", "coreference_source", "retrieved"]
 
 
 def followed(item: Column, before: Column) -> Column:
@@ -128,12 +135,12 @@ def decisions(documents: DataFrame) -> DataFrame:
     return documents.select("request_id", "route", F.inline("results"))
 
 
-def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None) -> DataFrame:
-    """The engine on valid mentions: (request_id, route, results)."""
+def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
+    """The engine on valid mentions: (request_id, route, results). Stages can be replaced."""
     if options.errors():
         raise ValueError(", ".join(options.errors()))
     ready = signed(mentions)
-    return by_document(first_decisions(ready, scored(ready, entities, options, prior), options), options)
+    return by_document(first_decisions(ready, scored(ready, entities, options, prior, retriever, scorer), options), options)
 
 
 # -- requests and responses -------------------------------------------------------------------
@@ -193,7 +200,7 @@ def events(route: Column, results: Column, entity_count: Column, errors: Column)
     detail = {
         "validate_input": F.struct((F.size(errors) == 0).alias("valid"), errors.alias("errors")),
         "load_kb": F.struct(entity_count.alias("entity_count")),
-        "generate_candidates": F.struct(F.size(results).alias("mention_count"), F.transform(F.filter(results, lambda x: F.size(x["candidates"]) == 0), lambda x: x["mention_id"]).alias("empty_mentions")),
+        "generate_candidates": F.struct(F.size(results).alias("mention_count"), F.aggregate(results, F.lit(0).cast("long"), lambda n, x: n + x["retrieved"]).alias("candidate_count"), F.transform(F.filter(results, lambda x: F.size(x["candidates"]) == 0), lambda x: x["mention_id"]).alias("empty_mentions")),
         "nil_fallback": F.struct(F.size(results).alias("nil_mentions"), F.lit("no_candidates_for_all_mentions").alias("reason")),
         "rerank_candidates": F.struct(F.size(results).alias("reranked_mentions")),
         "resolve_mentions": F.struct(named["linked"].alias("linked"), named["nil"].alias("nil"), named["ambiguous"].alias("ambiguous")),
@@ -211,6 +218,12 @@ def decision_log(responses: DataFrame) -> DataFrame:
     return rows.select("trace_id", "request_id", "r.mention_id", "r.status", "r.linked_entity_id", "r.confidence", "r.needs_review")
 
 
+def with_defaults(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Requests with the default base and a trace id where they have none. Trace ids are drawn
+    anew each time the plan runs: store the result before it is used twice."""
+    return requests.withColumns({"kb_id": F.coalesce("kb_id", F.lit(settings.default_kb)), "trace_id": F.coalesce("trace_id", trace_id(settings.trace_prefix))})
+
+
 def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None) -> DataFrame:
     """Responses to requests (request_id, trace_id, kb_id, text, mentions): one row each.
 

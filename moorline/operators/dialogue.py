@@ -26,10 +26,11 @@ def moved(state: Column, action: Column, words: Words) -> Column:
     return F.when(action["action"] == "help", state).when(action["action"] == "reset", start()).otherwise(new)
 
 
-def states(turns: DataFrame, words: Words = Words(), key: str = "conv_id", order: str = "turn", text_col: str = "text") -> DataFrame:
+def states(turns: DataFrame, words: Words = Words(), key: str = "conv_id", order: str = "turn", text_col: str = "text", parser: Callable[[Column, Words], Column] = parsed_turn) -> DataFrame:
     """(key, order, action, kb_id, text, mentions, runs, missing): every turn's action by rule and
-    the state after it. A run needs a text and mentions; `missing` names what is not there yet."""
-    parsed = turns.select(key, order, parsed_turn(F.coalesce(F.col(text_col), F.lit("")), words).alias("said"))
+    the state after it. A run needs a text and mentions; `missing` names what is not there yet.
+    `parser` reads a turn (see parsed_turn)."""
+    parsed = turns.select(key, order, parser(F.coalesce(F.col(text_col), F.lit("")), words).alias("said"))
     rows = parsed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "said"))).alias("turns"))
     kind = f"array<struct<{order}:{turns.schema[order].dataType.simpleString()},action:string,run:boolean,state:{STATE}>>"
 

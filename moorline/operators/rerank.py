@@ -48,8 +48,9 @@ def rescore(built: DataFrame, prior: DataFrame | None = None) -> DataFrame:
 def top(rescored: DataFrame, options: LinkOptions) -> DataFrame:
     """The best top_k candidates of a signature; ties keep retrieval order."""
     order = Window.partitionBy("sig").orderBy(F.desc("score"), "retrieval_rank")
-    ranked = rescored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= options.top_k)
-    return ranked.select("sig", "rank", "entity_id", "canonical_name", "entity_type", "score", "alias_similarity", "matched_alias", "overlapping_keywords", "reasons")
+    counted = rescored.withColumn("retrieved", F.count("*").over(Window.partitionBy("sig")))
+    ranked = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= options.top_k)
+    return ranked.select("sig", "retrieved", "rank", "entity_id", "canonical_name", "entity_type", "score", "alias_similarity", "matched_alias", "overlapping_keywords", "reasons")
 
 
 def margins(ranked: DataFrame) -> DataFrame:
@@ -59,6 +60,6 @@ def margins(ranked: DataFrame) -> DataFrame:
 
 
 def collected(ranked: DataFrame) -> DataFrame:
-    """(sig, candidates): at most top_k structs in rank order."""
+    """(sig, candidates, retrieved): at most top_k structs in rank order, and how many there were."""
     fields = ["rank", "entity_id", "canonical_name", "entity_type", "score", "alias_similarity", "matched_alias", "overlapping_keywords", "reasons"]
-    return ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("candidates"))
+    return ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("candidates"), F.max("retrieved").alias("retrieved"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline import schemas
@@ -76,5 +76,4 @@ def document_mentions(documents: DataFrame) -> DataFrame:
 
 def first_documents(documents: DataFrame, limit: int) -> DataFrame:
     """The first documents by id: evaluation runs on a bounded number."""
-    order = Window.orderBy("text_id")
-    return documents.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= limit).drop("_k")
+    return documents.orderBy("text_id").limit(limit)

@@ -200,3 +200,21 @@ def reference_best(queries, rows, keep):
 def test_fuzzy_search_equals_full_scan(names, queries, keep):
     rows = [(e, k, f"{e}-{k}-{a}", a) for e, of in enumerate(names) for k, a in enumerate(of)]
     assert AliasMatcher(rows).best(queries, keep) == reference_best(queries, rows, keep)
+
+
+def test_shell(spark, tmp_path, capsys):
+    from moorline import shell
+
+    base = '{"kb_id": "own", "version": "3", "entities": [{"entity_id": "a", "canonical_name": "Alpha", "entity_type": "x", "metadata": {"description": "d"}}]}'
+    (tmp_path / "kb.json").write_text(base)
+    assert shell.main(["--kb", f"{tmp_path}/kb.json", "--text", "see Alpha there", "--mentions", "Alpha、Omega"]) == 0
+    out = capsys.readouterr().out
+    assert "[m1] Alpha: linked" in out and "[m2] Omega: nil" in out
+    assert shell.main(["--kb", f"{tmp_path}/kb.json", "--text", "", "--json"]) == 0
+    assert "text_required" in capsys.readouterr().out
+
+
+def test_stages_can_be_replaced(spark, entities):
+    rows = spark.createDataFrame([mention(0, "未知研究院", "未知研究院")], MENTION)
+    docs = decide.link_mentions(rows, entities, retriever=retrieve.exact)
+    assert decide.decisions(docs).first().route == "empty_candidates"
