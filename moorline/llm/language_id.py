@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
@@ -21,7 +21,6 @@ from moorline.llm.common import sized
 
 SAMPLE_TEXTS = 500  # most labelled texts a language is learnt from
 SAMPLE_CHARS = 300  # most characters of each of them
-BIN_BITS = 14  # hash ranges that labelled texts are counted in
 BLOCK = 1024  # bytes compressed at once
 LEVEL = 5
 SHORT = 512  # bytes; shorter texts are compressed behind a lead, with more effort
@@ -44,18 +43,28 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     and equal texts count once. Rows with a null text or lang, or an empty text, are left out.
     """
     rows = labelled.filter("text is not null and lang is not null and text != ''")
-    picks = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("bin", F.shiftrightunsigned("h", 64 - BIN_BITS))
-    # Counts by hash range show how far each language has to look; only hashes up to there are sorted.
-    sizes = picks.groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    wanted = sizes.withColumn("before", F.coalesce(so_far, F.lit(0))).filter(F.col("before") < SAMPLE_TEXTS).select("lang", "bin")
-    first = Window.partitionBy("lang").orderBy("bin", "h")
-    picks = picks.join(wanted, ["lang", "bin"], "left_semi")
-    chosen = [r["h"] for r in picks.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_TEXTS).select("h").distinct().collect()]
-    sample = rows.filter(F.xxhash64("text").isin(chosen)).select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).distinct()
+    place = F.shiftrightunsigned(F.xxhash64("text"), 1)  # uniform over 0..2^63 - 1
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    chosen, share = {}, 3
+    while len(chosen) < len(sizes):
+        # Of hashes up to `share` times the wanted part of a language, all are taken and the least kept.
+        tops = {lang: min(1 << 63, share * SAMPLE_TEXTS * (1 << 63) // n) - 1 for lang, n in sizes.items() if lang not in chosen}
+        top = F.try_element_at(F.create_map(*[F.lit(x) for kv in tops.items() for x in kv]), F.col("lang"))
+        found: dict[str, list[int]] = {}
+        for r in rows.filter(place <= top).select("lang", place.alias("p")).distinct().collect():
+            found.setdefault(r["lang"], []).append(r["p"])
+        for lang, most in tops.items():
+            places = sorted(found.get(lang, ()))[:SAMPLE_TEXTS]
+            if len(places) == SAMPLE_TEXTS or most == (1 << 63) - 1:
+                chosen[lang] = places
+        share *= 8
+    kept = sorted({p for places in chosen.values() for p in places})
+    sample = rows.filter(place.isin(kept)).select("lang", place.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).distinct()
     texts: dict[str, list] = {}
+    wanted = {lang: set(places) for lang, places in chosen.items()}
     for r in sample.collect():  # at most SAMPLE_TEXTS * SAMPLE_CHARS a language
-        texts.setdefault(r["lang"], []).append((r["h"], r["t"]))
+        if r["h"] in wanted[r["lang"]]:
+            texts.setdefault(r["lang"], []).append((r["h"], r["t"]))
     return {lang: b"\n".join(t.lower().encode() for _, t in sorted(found)) for lang, found in sorted(texts.items())}
 
 
