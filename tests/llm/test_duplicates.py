@@ -49,6 +49,33 @@ def test_suffix_dedup_equals_brute_force(spark, small_blocks, tmp_path):
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == want
 
 
+@pytest.mark.parametrize("rows", [1, 5])
+def test_large_groups_go_distance_by_distance(spark, monkeypatch, rows):
+    import numpy as np
+
+    monkeypatch.setattr(suffix_dedup, "GROUP_ROWS", rows)
+    rng = random.Random(2)
+    passage = "".join(rng.choices("abcdefgh ", k=260))
+    docs = [(i, ("".join(rng.choices("pqrs", k=rng.randrange(0, 40))) + passage[rng.randrange(0, 30) : 260 - rng.randrange(0, 60)] + "".join(rng.choices("wxyz", k=rng.randrange(0, 40)))).encode()) for i in range(40)]
+    data = np.frombuffer(b"".join(t for _, t in docs), np.uint8)
+    limits = np.cumsum([0, *(len(t) for _, t in docs)])
+    h, place, lo, hi = suffix_dedup.anchors(data, limits)
+    around = suffix_dedup.contexts(data, place, lo, hi)
+    owner = np.searchsorted(limits, place, side="right") - 1
+    rank = suffix_dedup.ranked(owner, owner, place)
+    again = suffix_dedup.same_stretches(h, place - lo, place - hi, around, rank)
+    rest = np.flatnonzero(~again)
+    row, distance = suffix_dedup.repeated_windows(h[rest], (place - lo)[rest], (place - hi)[rest], around[rest], rank[rest])
+    starts = {*(place[rest[row]] - distance).tolist(), *(s for k in np.flatnonzero(again) for s in range(lo[k], hi[k] + 1))}
+    seen, want = set(), set()
+    for i, (_, text) in enumerate(docs):
+        for s in range(len(text) - 99):
+            if text[s : s + 100] in seen:
+                want.add(int(limits[i]) + s)
+            seen.add(text[s : s + 100])
+    assert starts == want
+
+
 def test_suffix_dedup_edges(spark):
     text = "".join(random.Random(1).choices("abcdefghijklmnop", k=130))
     rows = [(None, text), (4, text), (4, text), (2, "é" * 60), (1, None), (3, "")]
