@@ -76,11 +76,11 @@ class Trimmer:
     """Gives freed memory back to the system now and then: the C library keeps it otherwise, and an
     executor has several Python workers side by side."""
 
-    def __init__(self, every: float = 0.3):
+    def __init__(self, every: float = 1.0):
         self.every, self.last = every, time.monotonic()
         try:
             self.libc = ctypes.CDLL("libc.so.6")
-            self.libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays of over 256 KB are returned when freed
+            self.libc.mallopt(-3, 1 << 23)  # M_MMAP_THRESHOLD: arrays of over 8 MB are returned when freed
         except (OSError, AttributeError):  # another C library has its own ways
             self.libc = None
 
