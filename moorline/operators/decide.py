@@ -232,7 +232,7 @@ def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = Lin
     checked = requests.withColumn("validation_errors", validation_errors(options))
     valid = checked.filter(F.size("validation_errors") == 0)
     linked = by_document_of(explode_requests(valid), entities, options, prior)
-    bases = F.broadcast(entities.groupBy("kb_id").agg(F.first("version").alias("kb_version"), F.count("*").alias("entity_count")))  # a row a base
+    bases = entities.groupBy("kb_id").agg(F.first("version").alias("kb_version"), F.count("*").alias("entity_count"))
     none = F.array().cast(linked.schema["results"].dataType)
     rows = checked.join(linked, "request_id", "left").join(bases, "kb_id", "left")
     bad = F.size("validation_errors") > 0
