@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from moorline.options import WINDOW
+from moorline.options import CONTAINED, WINDOW
 
 #: The split pattern of keyword lists.
 KEYWORD_SEPARATORS = "(?U)[、,，/；;|｜\\s]+"
@@ -76,6 +76,17 @@ def description_overlap(context: Column, description: Column) -> Column:
     return F.when((F.size(characters) > 0) & (F.coalesce(there, F.lit("")) != ""), score).otherwise(F.lit(0.0))
 
 
+def contained(query: Column, alias: Column) -> Column:
+    """One normalised string holds the other; the query has two characters at least, the alias one."""
+    return (F.length(query) >= 2) & (alias != "") & (F.contains(alias, query) | F.contains(query, alias))
+
+
+def contained_similarity(query: Column, alias: Column) -> Column:
+    """Similarity of a containing pair: its ratio is known without matching, and lifted to the floor."""
+    both = F.length(query) + F.length(alias)
+    return F.greatest(2.0 * F.least(F.length(query), F.length(alias)) / both, F.lit(CONTAINED))
+
+
 def split_keywords(value: Column) -> Column:
     """Parts between separators; a value of 24 characters or less also goes whole."""
     parts = F.filter(F.split(value, KEYWORD_SEPARATORS), lambda p: p != "")

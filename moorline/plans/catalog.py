@@ -205,6 +205,18 @@ def fuzzy_candidates(spark, sf_dir):
     return best.select("text", "retrieval_rank", "entity_ord", "matched_alias", F.round("similarity", 6).alias("similarity")).distinct()
 
 
+@query(f"""
+SELECT p_partkey, q AS query, CASE WHEN length(q) >= 2 AND a != '' AND (contains(a, q) OR contains(q, a)) THEN {rounded('greatest(2e0 * least(length(q), length(a)) / (length(q) + length(a)), 0.9e0)', 3)} END AS similarity
+FROM (SELECT p_partkey, {norm("CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN 'x ' || p_name || ' ' || p_brand ELSE left(p_name, 1) END")} AS q, {norm("p_name || ' ' || p_brand")} AS a FROM part)""")
+def containment_match(spark, sf_dir):
+    """The pairs whose similarity needs no matching."""
+    k = F.col("p_partkey") % 3
+    said = F.when(k == 0, F.upper("p_name")).when(k == 1, F.concat(F.lit("x "), "p_name", F.lit(" "), "p_brand")).otherwise(F.substring("p_name", 1, 1))
+    rows = testdata.table(spark, sf_dir, "part").select("p_partkey", tx.normalize(said).alias("query"), tx.normalize(F.concat_ws(" ", "p_name", "p_brand")).alias("alias"))
+    q, a = F.col("query"), F.col("alias")
+    return rows.select("p_partkey", "query", F.when(tx.contained(q, a), tx.round_binary(tx.contained_similarity(q, a), 3)).alias("similarity"))
+
+
 @query(with_parts("""
 SELECT mention_id, count(*) AS n, max(score) AS best, min(score) AS worst, sum(CASE WHEN len(overlap) > 0 THEN 1 ELSE 0 END)::BIGINT AS supported,
   sum(CASE WHEN kind = 'llm_alias_expansion' THEN 1 ELSE 0 END)::BIGINT AS expanded, array_to_string(arg_min(reasons, retrieval_rank), '|') AS first_reasons FROM scored GROUP BY mention_id""", *RANKED))
