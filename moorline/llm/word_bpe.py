@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from moorline.llm.common import sized
 from moorline.llm.merge_rounds import MergeTable
 
-CACHED = 200_000  # words that a worker remembers
+CACHED = 350_000  # words that a worker remembers
 LONG = 200  # bytes; longer words go to the library
 #: Texts of these characters are in NFC and lower-case one by one into letters of WORDS.
 PURE = re.compile("[\t\n\r -&(-^`-~À-ÖØ-öø-įı-ſ]*")
