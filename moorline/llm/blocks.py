@@ -1,46 +1,76 @@
-"""Documents in blocks: files of the shared folder that several passes visit without moving texts.
+"""Documents in blocks: row groups in the shared folder that several passes visit without moving texts.
 
-A pass over all texts runs a Python function over whole block files. What two passes have to tell
-each other (hashes out, answers back) travels as packed arrays keyed by bucket or by block, so a
-shuffle moves a few bytes a token instead of rows, and texts are never shuffled.
+A pass over all texts runs a Python function over whole blocks. What two passes have to tell each
+other (hashes out, answers back) travels as packed arrays keyed by bucket or by block, so a shuffle
+moves a few bytes a token instead of rows, and texts are never shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.compute
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.common import Trimmer, width
+from moorline.llm.common import Trimmer, opened, sized, stored, width
 
-BLOCK_ROWS = 1000  # most documents of a block
-BLOCK_BYTES = 8 << 20  # bytes of text that a block has about
+BLOCK_ROWS = 20_000  # most documents of a block
+BLOCK_BYTES = 4 << 20  # bytes of text after which a block is closed
 SLICE = 3 << 17  # bytes of text that a pass works on at once
 
 
 def write_blocks(docs: DataFrame, folder: str, text_col: str = "text") -> DataFrame:
-    """Write all columns of docs as block files; returns the blocks' names, (blk).
+    """Write all columns of docs as blocks; returns their stored names and sizes, (blk, bytes).
 
-    A block has so many documents as make BLOCK_BYTES at the mean length, BLOCK_ROWS at most.
+    A block is a row group of BLOCK_BYTES of text and one document more at most; a task writes one
+    file. Files carry names of their own attempt and count once the table of names holds them.
     """
-    spark, path = docs.sparkSession, f"{folder}/blocks"
     frame = docs.withColumn(text_col, F.coalesce(F.col(text_col), F.lit("")))
-    mean = docs.agg(F.avg(F.octet_length(text_col))).first()[0] or 0.0
-    rows = max(1, min(BLOCK_ROWS, int(BLOCK_BYTES / max(mean, 1.0))))
-    frame.write.options(compression="zstd", maxRecordsPerFile=str(rows)).parquet(path)
-    names = spark.read.schema(frame.schema).parquet(path).select(F.col("_metadata.file_path").alias("blk")).distinct()
-    return names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = opened(folder)
+        path = f"blocks/{uuid.uuid4().hex}.parquet"
+        sizes: list[int] = []
+        held: list[pa.RecordBatch] = []
+        trim, rows, size, writer, sink = Trimmer(), 0, 0, None, None
+
+        def close() -> None:
+            table = pa.Table.from_batches(held)
+            writer.write_table(table, row_group_size=len(table))
+            sizes.append(size)
+            trim()
+
+        for batch in sized(batches, text_col, BLOCK_BYTES // 8, BLOCK_ROWS):
+            if writer is None:
+                fs.create_dir(f"{base}/blocks", recursive=True)
+                sink = fs.open_output_stream(f"{base}/{path}")
+                writer = pq.ParquetWriter(sink, batch.schema, compression="zstd")
+            held.append(batch)
+            rows += batch.num_rows
+            size += pa.compute.sum(pa.compute.binary_length(batch.column(text_col))).as_py()
+            if size >= BLOCK_BYTES or rows >= BLOCK_ROWS:
+                close()
+                held, rows, size = [], 0, 0
+        if held:
+            close()
+        if writer is not None:
+            writer.close()
+            sink.close()
+        yield pa.RecordBatch.from_pydict({"blk": pa.array([f"{folder}/{path}#{k}" for k in range(len(sizes))], pa.string()), "bytes": pa.array(sizes, pa.int64())})
+
+    return stored(frame.mapInArrow(run, "blk string, bytes long"), folder, "names")
 
 
 def load_block(blk: str, columns: list[str] | None = None) -> pa.Table:
-    fs, path = pa.fs.FileSystem.from_uri(blk)
+    uri, group = blk.rsplit("#", 1)
+    fs, path = opened(uri)
     with fs.open_input_file(path) as f:
-        return pq.read_table(f, columns=columns)
+        return pq.ParquetFile(f).read_row_group(int(group), columns=columns)
 
 
 def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +101,7 @@ def per_block(blocks: DataFrame, work: Callable[[str], Iterator[pa.RecordBatch]]
                 yield from work(blk)
                 trim()
 
-    return blocks.repartition(width(blocks.sparkSession), "blk").mapInArrow(run, schema)
+    return blocks.select("blk").repartition(width(blocks.sparkSession)).mapInArrow(run, schema)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:

@@ -1,46 +1,78 @@
 """Shared-folder tables, intermediate results and small helpers of the training-data operators.
 
-Executors come and go, so whatever cuts lineage is a table in the folder that the cluster
-names in ``spark.checkpoint.dir``; a folder of our own is used only where that is unset.
+Executors come and go, so whatever cuts lineage is a table in the folder that the cluster names in
+``spark.checkpoint.dir``. Only a session that runs in one process (tests) may leave it unset. What
+an operator wrote there goes when the driver ends, or earlier with `clear_scratch`; tables that no
+later step reads are deleted on the way.
 """
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import gc
-import os
-import shutil
+import re
+import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_FOLDER: list[str] = []
+_SCRATCH: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir (a local one in tests, where that is unset)."""
+    """A new folder under spark.checkpoint.dir, deleted when the driver ends.
+
+    Where that is unset, a session with executors of its own is refused: they would not see each
+    other's files. A session within one process gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_FOLDER:
-            _OWN_FOLDER.append(f"/tmp/checkpoints/moorline-{os.getpid()}-{uuid.uuid4().hex[:8]}")
-            os.makedirs(_OWN_FOLDER[0], exist_ok=True)
-            atexit.register(shutil.rmtree, _OWN_FOLDER[0], True)
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="moorline-"))
         base = f"file://{_OWN_FOLDER[0]}"
-    return f"{base.rstrip('/')}/moorline-{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/moorline-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what all operators of this application wrote so far; results not yet read are lost."""
+    for folder in _SCRATCH.pop(spark.sparkContext.applicationId, []):
+        discard(spark, folder)
+
+
+def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a file or folder, for tasks that read or write files of their own."""
+    return pa.fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
+    """Write df as a table in the shared folder and read it back: lineage ends there, and Spark drops
+    the shuffle files that led to it."""
     spark, path = df.sparkSession, f"{folder}/{name}"
     schema = df.schema
-    df.write.options(compression="zstd", **options).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(compression="zstd", **options).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -50,10 +82,20 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases now, not at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unused(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores behind it as no column of `taken` (in any case) has.
+
+    Operators that carry the caller's columns name their own ones this way: nothing is overwritten.
+    """
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def own(name: str) -> Column:
+    """The column of exactly this name, dots and quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def width(spark: SparkSession) -> int:
@@ -61,11 +103,11 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that the texts of one have about `most` bytes (one row at least)."""
+def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that the texts of one have about `most` bytes (one row at least, `rows` at most)."""
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(lengths, dtype=np.int64) // most
+        group = np.maximum(np.cumsum(lengths, dtype=np.int64) // most, 0) + np.arange(batch.num_rows) // rows
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
