@@ -2,17 +2,15 @@
 
 Texts are cut into segments between which no vocabulary piece can reach (before a run of spaces,
 and between letters and characters that share no piece with a letter). The distinct segments of a
-batch lie in one flat numpy symbol array. Each round takes, for every segment at once, the minimum
-pair rank (a segmented reduction; the leftmost on ties), merges there, re-ranks the two pairs that
-changed and compacts the array, until no pair remains. One merge per segment and round keeps the
-order of the library's agenda exactly; segments over ``LONG`` symbols go through a heap instead,
-as their rounds would be too many.
+batch lie in one flat numpy symbol array, cut further wherever two neighbouring characters stand
+side by side in no piece. Each round takes the minimum pair rank of every stretch at once (a
+segmented reduction), merges its places simultaneously, leftmost first, ranks the changed pairs anew
+and compacts the array, until no pair remains (`merge_rounds`). Segments of all lengths go this way.
 """
 
 from __future__ import annotations
 
 import functools
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.common import sized
-from moorline.llm.merge_rounds import MergeTable
+from moorline.llm.merge_rounds import MergeTable, grouped
 
 SPACE = "▁"
-LONG = 200
+ROUND_CHARS = 1 << 20  # characters of segments that are merged together
 CACHED = 400_000  # segments that a worker remembers
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 _LETTER = re.compile(f"[{LETTER}]")
@@ -65,7 +63,10 @@ class PieceModel:
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if a is not None and b is not None:
                     table[a << 24 | b] = (levels[model.pieces[i].score], i)
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            raise ValueError("pieces with a space behind another character are not supported")
         self.table = MergeTable(table)
+        self.beside = np.array(sorted({ord(x) << 21 | ord(y) for p in self.ids for x, y in zip(p, p[1:])}), np.int64)
         # Characters that share a piece with a letter: texts that hold one are cut at spaces only.
         bound = set()
         for piece in self.ids:
@@ -94,8 +95,13 @@ class PieceModel:
         uniq, inverse = np.unique(points, return_inverse=True)
         # A character outside the vocabulary is a symbol of its own that merges with nothing.
         symbols = np.array([table[chr(c)] if table[chr(c)] >= 0 else (1 << 23) | int(c) for c in uniq.tolist()], np.int32)[inverse]
-        symbols, word = self.table.merge(symbols, np.repeat(np.arange(len(words)), lengths))
-        symbols, word = self.spell(symbols, word)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        code = points[:-1].astype(np.int64) << 21 | points[1:]
+        place = np.minimum(np.searchsorted(self.beside, code), len(self.beside) - 1)
+        stretch = np.cumsum(np.r_[True, (word[1:] != word[:-1]) | (self.beside[place] != code)]) - 1
+        of = word[np.flatnonzero(np.r_[True, stretch[1:] != stretch[:-1]])]
+        symbols, stretch = self.table.merge(symbols, stretch)
+        symbols, word = self.spell(symbols, of[stretch])
         cuts = (np.searchsorted(word, np.arange(len(words) + 1)) * 4).tolist()
         data = symbols.astype("<i4").tobytes()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
@@ -118,33 +124,6 @@ class PieceModel:
                 out[at + k] = i
         return out, np.repeat(word, times)
 
-    def by_heap(self, word: str) -> bytes:
-        symbols = [self.ids.get(c, (1 << 23) | ord(c)) for c in word]
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (found := self.table.pairs.get(symbols[i] << 24 | symbols[j])):
-                heapq.heappush(heap, (found[0], i, symbols[i], j, symbols[j], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        gone = [False] * n
-        while heap:
-            _, i, a, j, b, made = heapq.heappop(heap)
-            if gone[i] or gone[j] or symbols[i] != a or symbols[j] != b or after[i] != j:
-                continue
-            symbols[i], gone[j], after[i] = made, True, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        left = np.array([s for s, x in zip(symbols, gone) if not x], np.int32)
-        return self.spell(left, np.zeros(len(left), np.int64))[0].astype("<i4").tobytes()
-
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without begin or end ids."""
         get, rows, missing = self.cache.get, [], set()
@@ -154,11 +133,7 @@ class PieceModel:
             gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else []
             missing.update([segments[k] for k in gaps])
             rows.append((segments, ids, gaps))
-        short = [s for s in missing if len(s) <= LONG]
-        fresh = {s: self.by_heap(s) for s in missing if len(s) > LONG}
-        for a in range(0, len(short), 50_000):
-            part = short[a : a + 50_000]
-            fresh.update(zip(part, self.merge_rounds(part)))
+        fresh = dict(part for group in grouped(list(missing), ROUND_CHARS) for part in zip(group, self.merge_rounds(group)))
         out = []
         for segments, ids, gaps in rows:
             for k in gaps:
