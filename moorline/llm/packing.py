@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from moorline.llm import word_bpe
-from moorline.llm.common import shared_folder, stored
+from moorline.llm.common import own, shared_folder, stored, unused
 
 CAPACITY = 4096
 
@@ -100,24 +100,27 @@ def cut(encoded: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Give each row with a `length` (1..capacity) a sequence_id and an offset there; all columns stay.
+    """Give each row with a `length` (1..capacity) a sequence_id and an offset there.
 
-    Offsets in a sequence are gapless from 0. Equal rows are packed each for itself. An empty
-    table gives an empty table. Lengths outside 1..capacity are an error of the caller and fail.
+    Offsets in a sequence are gapless from 0. All columns of pieces keep their names and values;
+    where one is called `sequence_id` or `offset`, the new column gets underscores behind its name
+    (see `common.unused`). Equal rows are packed each for itself. An empty table gives an empty
+    table. Lengths that are null or outside 1..capacity are an error of the caller and fail.
     """
-    spark = pieces.sparkSession
-    table = stored(pieces, shared_folder(spark), "pieces").withColumn("_file", F.col("_metadata.file_path"))
-    counts = table.groupBy("length", "_file").agg(F.count("*").alias("_n"))
+    spark, columns = pieces.sparkSession, pieces.columns
+    file, n, before, rank, at = (unused(c, columns) for c in ("file", "n", "before", "rank", "at"))
+    table = stored(pieces, shared_folder(spark), "pieces").transform(lambda t: t.withColumn(file, t.metadataColumn("_metadata")["file_path"]))
+    counts = table.groupBy("length", file).agg(F.count("*").alias(n))
     # At most `capacity` rows: one for each length that occurs.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    if any(not 1 <= k <= capacity for k in histogram):
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum(n)).collect()}
+    if any(k is None or not 1 <= k <= capacity for k in histogram):
         raise ValueError(f"lengths must lie in 1..{capacity}")
     steps = plan(histogram, capacity)
-    before = Window.partitionBy("length").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    earlier = Window.partitionBy("length").orderBy(file).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("length", file, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
     # The rank within a file needs no order but its own: any numbers of equal lengths will do.
-    local = Window.partitionBy("_file", "length").orderBy(F.monotonically_increasing_id())
-    ranked = table.withColumn("_rank", F.row_number().over(local) - 1).join(offsets, ["_file", "length"])
+    local = Window.partitionBy(file, "length").orderBy(F.monotonically_increasing_id())
+    ranked = table.withColumn(rank, F.row_number().over(local) - 1).join(offsets, [file, "length"])
     key = steps[:, 0] << 40 | steps[:, 1]  # ranks of one length stay under 2^40
 
     @F.pandas_udf("struct<sequence_id: bigint, offset: bigint>")
@@ -127,8 +130,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         nth = r - step[:, 1]
         return pd.DataFrame({"sequence_id": step[:, 2] + nth // step[:, 3], "offset": step[:, 4] + nth % step[:, 3] * size})
 
-    placed = ranked.withColumn("_at", place("length", F.col("_rank") + F.col("_before")))
-    return placed.select(*pieces.columns, "_at.sequence_id", "_at.offset")
+    placed = ranked.withColumn(at, place("length", own(rank) + own(before)))
+    return placed.select(*map(own, columns), *[own(at)[c].alias(unused(c, columns)) for c in ("sequence_id", "offset")])
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
