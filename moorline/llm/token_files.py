@@ -2,8 +2,8 @@
 
 A file holds a run of documents in ascending doc_id order. Its boundaries (n + 1 ids before each
 document) are coded in about 2 + log2(ids / documents) bits each: the low bits packed, the high
-bits in unary, with a sample of every 64th one, so that select(i) reads one short stretch and no
-64-bit table is kept. Writers put each file under a name of its own attempt and hand its name to a
+bits in unary, with a sample of every 64th one, so that select reads one short stretch for one
+boundary or a run of them, and no 64-bit table is kept. Writers put each file under a name of its own attempt and hand its name to a
 manifest table; only files in the manifest count, so lost or repeated tasks leave no trace.
 """
 
@@ -15,13 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorline.llm import word_bpe
-from moorline.llm.common import shared_folder, stored, width
+from moorline.llm.common import opened, shared_folder, stored, width
 
 MAGIC = b"MLTOK001"
 FILE_IDS = 2 << 20  # a file is closed once it has so many ids
@@ -50,31 +49,23 @@ class EliasFano:
         return cls(n, universe, np.packbits(bits.ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ones[::SAMPLE].astype("<u4"))
 
     def select(self, i: int) -> int:
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at >> 3
-        word = int(self.high[byte]) >> (at & 7) << (at & 7)
-        while (ones := word.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            word = int(self.high[byte])
-        for _ in range(left):
-            word &= word - 1
-        place = 8 * byte + (word & -word).bit_length() - 1
-        low = 0
-        for b in range(self.width):
-            k = i * self.width + b
-            low |= (int(self.low[k >> 3]) >> (k & 7) & 1) << b
-        return (place - i) << self.width | low
-
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)) << self.width
-        if self.width:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width)
-            out |= bits.astype(np.int64) @ (1 << np.arange(self.width))
-        return out
+        return int(self.select_run(i, i + 1)[0])
+
+    def select_run(self, a: int, b: int) -> np.ndarray:
+        """Numbers a..b-1: the ones between two samples are counted, the low bits cut out beside them."""
+        if not 0 <= a < b <= self.n:
+            raise IndexError(a, b)
+        from_one, last = a // SAMPLE, -(-b // SAMPLE)
+        byte = int(self.samples[from_one]) >> 3
+        end = int(self.samples[last]) // 8 + 1 if last < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:end], bitorder="little")) + 8 * byte
+        skipped = int(np.searchsorted(ones, int(self.samples[from_one]))) - from_one * SAMPLE
+        high = ones[a + skipped : b + skipped] - np.arange(a, b)
+        if not self.width:
+            return high
+        first = a * self.width
+        bits = np.unpackbits(self.low[first >> 3 : (b * self.width + 7) >> 3], bitorder="little")[first & 7 :][: (b - a) * self.width]
+        return high << self.width | bits.reshape(b - a, self.width).astype(np.int64) @ (1 << np.arange(self.width))
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.universe, len(self.low), len(self.high), len(self.samples)], "<u8").tobytes()
@@ -104,31 +95,40 @@ class TokenFile:
             raise ValueError("not a whole token file")
         self.bounds, at = EliasFano.from_bytes(data, 9)
         n = self.bounds.n - 1
-        nulls = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at))[:n]
+        self.nulls = np.frombuffer(data, np.uint8, -(-n // 8), at)
         at += -(-n // 8)
-        self.doc_ids = [None if x else d for x, d in zip(nulls, np.frombuffer(data, "<i8", n, at).tolist())]
+        self.numbers = np.frombuffer(data, "<i8", n, at)
         self.ids = np.frombuffer(data, f"<u{data[8]}", self.bounds.universe, at + 8 * n)
 
     def __len__(self) -> int:
         return self.bounds.n - 1
 
+    def names(self, a: int, b: int) -> list[int | None]:
+        """The doc_ids of documents a..b-1."""
+        null = np.unpackbits(self.nulls[a >> 3 : (b + 7) >> 3])[a & 7 :]
+        return [None if x else d for x, d in zip(null.tolist(), self.numbers[a:b].tolist())]
+
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
+        start, end = self.bounds.select_run(i, i + 2).tolist()
+        return self.ids[start:end]
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
     """Write all documents in ascending doc_id order (null ids first, a null text as an empty one).
 
     Returns the folder and its manifest (part, file, path, n_docs, n_ids). Documents of one doc_id
-    stay side by side, in no set order. An empty table gives no files and an empty manifest.
+    stay side by side, in order of the texts' hashes. Only these two columns are written, whatever
+    others docs has. Without `folder` the files are deleted when the driver ends. An empty table gives no files and an empty manifest.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(4 * width(spark), "doc_id").sortWithinPartitions("doc_id")
+    # The hash spreads the rows of one doc_id, or of none, over ranges of their own.
+    tie = F.xxhash64("text")
+    ordered = rows.repartitionByRange(4 * width(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs, base = opened(folder)
         fs.create_dir(f"{base}/ids", recursive=True)
         part, number, doc_ids, documents, held = TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -161,15 +161,15 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     files = manifest.withColumn("within", within).join(earlier, "part").select("path", (F.col("base") + F.col("within")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs, base = opened(folder)
         for batch in batches:
             for path, first in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
                 with fs.open_input_stream(f"{base}/{path}") as f:
                     file = TokenFile(f.read())
-                bounds = file.bounds.values()
                 for a in range(0, len(file), 512):
                     b = min(a + 512, len(file))
-                    ids = [file.ids[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() for i in range(a, b)]
-                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[a:b], pa.int64()), pa.array(first + bounds[a:b]), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
+                    bounds = file.bounds.select_run(a, b + 1)
+                    ids = [file.ids[x:y].astype("<u4").tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(file.names(a, b), pa.int64()), pa.array(first + bounds[:-1]), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
     return files.repartition(4 * width(spark), "path").mapInArrow(run, "doc_id long, start long, ids binary")

@@ -174,13 +174,15 @@ def test_token_files_bear_null_and_repeated_ids_and_empty_tables(spark):
 def test_elias_fano_round_trip(steps):
     values = np.cumsum([0, *steps])
     coded, _ = token_files.EliasFano.from_bytes(token_files.EliasFano.encode(values).to_bytes())
-    assert coded.values().tolist() == values.tolist()
+    for a in range(0, len(values), 7):
+        for b in {min(a + 1, len(values)), min(a + 70, len(values)), len(values)}:
+            assert coded.select_run(a, b).tolist() == values[a:b].tolist()
     assert [coded.select(i) for i in range(len(values))] == values.tolist()
 
 
 def test_token_file_is_checked():
     data = token_files.file_bytes([3, None], [b"\1\0\0\0", b""])
     file = token_files.TokenFile(data)
-    assert file.doc_ids == [3, None] and file.document(0).tolist() == [1] and file.document(1).tolist() == []
+    assert file.names(0, 2) == [3, None] and file.names(1, 2) == [None] and file.document(0).tolist() == [1] and file.document(1).tolist() == []
     with pytest.raises(ValueError):
         token_files.TokenFile(data[:-5] + bytes([data[-5] ^ 1]) + data[-4:])
