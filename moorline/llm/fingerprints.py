@@ -6,8 +6,9 @@ bins of its own, the same for all documents, and takes the value of the first of
 empty. The low BITS bits of each bin are packed. Two documents' share of equal bins, corrected for
 values that agree by chance, estimates the likeness of their sets.
 
-Neighbours in doc_id order come from ranges of doc_id: the greatest document of a range goes to the
-next range as well, so that no range has to wait for another and no row passes through one task.
+Neighbours in doc_id order come from ranges of (doc_id, hash of the text), so that rows of one doc_id
+spread as well: the greatest document of a range goes to the next range too, no range has to wait for
+another and no row passes through one task.
 """
 
 from __future__ import annotations
@@ -63,42 +64,55 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
     return np.where(some_a & some_b, out, np.where(some_a | some_b, 0.0, 1.0))
 
 
-def decision(value: Column, bounds: list[int], lo: int = 0) -> Column:
-    """Number of bounds <= value, as a balanced tree of comparisons."""
+def decision(bounds: list[tuple[int, int]], lo: int = 0) -> Column:
+    """Number of bounds <= (_key, _tie), as a balanced tree of comparisons."""
     if not bounds:
         return F.lit(lo)
     mid = len(bounds) // 2
-    return F.when(value < bounds[mid], decision(value, bounds[:mid], lo)).otherwise(decision(value, bounds[mid + 1 :], lo + mid + 1))
+    key, tie = bounds[mid]
+    below = (F.col("_key") < key) | ((F.col("_key") == key) & (F.col("_tie") < tie))
+    return F.when(below, decision(bounds[:mid], lo)).otherwise(decision(bounds[mid + 1 :], lo + mid + 1))
+
+
+def bounds_of(quantiles: list[int]) -> list[tuple[int, int]]:
+    """Bounds (key, tie) from quantiles of the key; one that fills several ranges is cut by its ties,
+    which are hashes and so even."""
+    out = []
+    for key in sorted(set(quantiles)):
+        times = quantiles.count(key)
+        out += [(key, LEAST + k * ((1 << 64) // times)) for k in range(times)]
+    return out
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
-    The next document is the next in descending doc_id (null ids last, equal ids by text), after the
-    last the first; a lone document is its own next. Null texts count as empty. Fingerprints are hex;
-    a text without words has the empty string. An empty table gives an empty table.
+    The next document is the next in descending doc_id (null ids last, equal ids by the hashes of
+    their texts), after the last the first; a lone document is its own next. Null texts count as
+    empty. Fingerprints are hex; a text without words has the empty string. Other columns of docs
+    are not carried. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id"), F.lit(LEAST))
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), key.alias("_key"))
-    ids = docs.select(key.alias("_key"))
+    key, text = F.coalesce(F.col("doc_id"), F.lit(LEAST)), F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), key.alias("_key"), F.xxhash64(text).alias("_tie"))
     ranges = 4 * width(spark)
     shares = [i / ranges for i in range(1, ranges)]
-    found = ids.agg(F.percentile_approx("_key", F.array(*map(F.lit, shares)), 100 * ranges).alias("b")).first()["b"]
-    group = decision(F.col("_key"), sorted(set(found or [])))
+    found = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 100 * ranges).alias("b")).first()["b"]
+    group = decision(bounds_of(found or []))
     # A row for each range: bounded by the number of ranges.
-    greatest = dict(ids.groupBy(group.alias("g")).agg(F.max("_key").alias("m")).collect())
+    greatest = {r["g"]: tuple(r["m"]) for r in rows.groupBy(group.alias("g")).agg(F.max(F.struct("_key", "_tie")).alias("m")).collect()}
     order = sorted(greatest)
     follower = {g: order[(k + 1) % len(order)] for k, g in enumerate(order)}
     own = F.struct(group.alias("g"), F.lit(0).alias("copy"))
     if order:
-        lead = F.create_map(*[F.lit(x) for g in order for x in (greatest[g], follower[g])])
-        also = F.struct(F.try_element_at(lead, F.col("_key")).alias("g"), F.lit(1).alias("copy"))
-        places = F.when(F.col("_key").isin([greatest[g] for g in order]), F.array(own, also)).otherwise(F.array(own))
+        lead = F.create_map(*[F.lit(x) for g in order for x in (f"{greatest[g][0]}:{greatest[g][1]}", follower[g])])
+        name = F.concat_ws(":", "_key", "_tie")
+        also = F.struct(F.try_element_at(lead, name).alias("g"), F.lit(1).alias("copy"))
+        places = F.when(F.col("_key").isin(sorted({greatest[g][0] for g in order})) & F.try_element_at(lead, name).isNotNull(), F.array(own, also)).otherwise(F.array(own))
     else:
         places = F.array(own)
-    dealt = rows.withColumn("_place", F.explode(places)).select("doc_id", "text", "_key", "_place.g", "_place.copy")
-    dealt = dealt.repartition(2 * width(spark), "g").sortWithinPartitions("g", "copy", F.desc("_key"), "text")
+    dealt = rows.withColumn("_place", F.explode(places)).select("doc_id", "text", "_key", "_tie", "_place.g", "_place.copy")
+    dealt = dealt.repartition(2 * width(spark), "g").sortWithinPartitions("g", "copy", F.desc("_key"), F.desc("_tie"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
