@@ -8,12 +8,16 @@ that no partner can reach: sizes too far apart, or positions that already stand
 differences. What remains only says which sets may hang together; each such cluster is then joined
 exactly, in cells of bounded size.
 
-Inside a cell, answers are derived from answers: once a set is linked to another, the partners of
-the two are one component and need no look, and for a set z that the other is known to miss, the
-overlap with x is at most its overlap with the other plus what x has besides; if that is too small,
-z is skipped unverified. Sets equal within a block are one set from the start. In a cluster larger
-than a cell every set is first compared with the cluster's leader; sets linked to it are one
-component, so only the rest is compared, with cells of all.
+Inside a cell, answers are derived from answers. The row of a set holds its overlap with every set
+of the cell. The first set of a group counts its row through the lists of all its tokens; for a set
+x that an earlier row shows to be much like z, x's row is z's row plus what the tokens that only x
+has find, less what the tokens that only z has find: two short walks instead of a long one, and
+exact. Sets equal within a block are one set from the start. In a cluster larger than a cell every
+set is first compared with the cluster's leader; sets linked to it are one component, so only the
+rest is compared, with cells of all.
+
+Sets are sets of 64-bit hashes of shingles. Two different shingles have equal hashes with a
+probability of 2^-64; the join is exact on the hashes.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.blocks import by_bucket, flat, from_planes, load_block, pack, per_block, per_key, planes, slices, unpack, write_blocks
-from moorline.llm.common import release, shared_folder, stored, width
+from moorline.llm.common import discard, shared_folder, stored, width
 from moorline.llm.graph import components
 from moorline.llm.shingles import mix, shingle_hashes
 
-CELL = 256  # sets that a cell compares with each other
+CELL = 128  # sets that a cell compares with each other
+CELL_TOKENS = 4 << 20  # tokens that the sets of a cell have about
+BUCKET_BYTES = 32 << 20  # bytes of text whose tokens are counted in one bucket
 CLASS_BITS = 6  # a token's frequency class leads its key
 
 
@@ -55,9 +61,7 @@ def shingle_sets(texts: pa.ChunkedArray, words: int) -> list[np.ndarray]:
 
 
 def sent_set(tokens: np.ndarray) -> bytes:
-    """A set as the first 48 bits of its hashes: two sets of a thousand tokens agree by chance in one
-    of them with a probability of 4e-9."""
-    return pack(planes(np.unique(tokens >> np.uint64(16))))
+    return pack(planes(tokens))
 
 
 def received_set(blob: bytes) -> np.ndarray:
@@ -95,82 +99,58 @@ class Cell:
     """Finds links within one list of sets, or between sets that are `probe` and all others."""
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int):
-        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-        self.order, self.ids, self.num, self.den = order, [ids[i] for i in order], num, den
-        # The cell's own order of tokens, the rarest first.
-        ends = np.cumsum([0, *(len(sets[i]) for i in order)])
-        names, at, times = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-        rank = np.empty(len(names), np.int64)
-        rank[np.lexsort((names, times))] = np.arange(len(names))
-        self.sets = [np.sort(rank[at[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
-        self.parent = list(range(len(ids)))
-        self.sizes = np.array([len(s) for s in self.sets], np.int64)
-        tokens, owners, places = [], [], []
-        for i, s in enumerate(self.sets):
-            p = len(s) + 1 - -(-num * len(s) // den)
-            tokens.append(s[:p])
-            owners.append(np.full(p, i, np.int64))
-            places.append(np.arange(p))
-        token, owner, place = np.concatenate(tokens), np.concatenate(owners), np.concatenate(places)
-        by = np.lexsort((place, token))  # each list in order of position
-        self.token, self.owner, self.place = token[by], owner[by], place[by]
-        starts = np.flatnonzero(np.r_[True, self.token[1:] != self.token[:-1]])
-        self.at = dict(zip(self.token[starts].tolist(), zip(starts.tolist(), np.r_[starts[1:], len(self.token)].tolist())))
-        self.answers: list[dict[int, int]] = [{} for _ in ids]
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def candidates(self, x: int) -> np.ndarray:
-        """Sets that a list of x's prefix tokens holds within reach, the most often found first."""
-        n, found = len(self.sets[x]), []
-        most = int(self.sizes[min(len(self.sizes) - 1, int(np.searchsorted(self.sizes, n * self.den // self.num, side="right")) - 1)]) if n else 0
-        differ = most_differences(n, most, self.num, self.den)
-        for i, t in enumerate(self.sets[x][: n + 1 - -(-self.num * n // self.den)].tolist()):
-            a, b = self.at[t]
-            if b - a > 1:
-                if i > differ:
-                    break
-                b = a + int(np.searchsorted(self.place[a:b], differ - i, side="right"))
-                found.append(self.owner[a:b])
-        if not found:
-            return np.zeros(0, np.int64)
-        other, times = np.unique(np.concatenate(found), return_counts=True)
-        fits = (other != x) & (self.sizes[other] * self.den >= self.num * n) & (n * self.den >= self.num * self.sizes[other])
-        other, times = other[fits], times[fits]
-        return other[np.argsort(-times, kind="stable")]
+        self.order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
+        self.ids, self.num, self.den = [ids[i] for i in self.order], num, den
+        self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
+        ends = np.cumsum(np.r_[0, self.sizes])
+        _, token, times = np.unique(np.concatenate([sets[i] for i in self.order]), return_inverse=True, return_counts=True)
+        self.sets = [token[a:b] for a, b in zip(ends[:-1], ends[1:])]  # rising, as the hashes are
+        # Lists of the sets that hold each token; a token of one set alone finds nothing but itself.
+        self.owner = np.repeat(np.arange(len(ids)), self.sizes)[np.argsort(token, kind="stable")]
+        self.start = np.cumsum(np.r_[0, times])
+        self.rows: dict[int, np.ndarray] = {}
+
+    def found(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set holds."""
+        times = self.start[tokens + 1] - self.start[tokens]
+        at = np.repeat(self.start[tokens] - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+        return np.bincount(self.owner[at], minlength=len(self.ids))
+
+    def row(self, x: int) -> np.ndarray:
+        """Overlaps of set x with all sets, derived from the most similar earlier row where that is shorter."""
+        best, least = None, int(self.sizes[x])
+        for z, known in self.rows.items():
+            differ = int(self.sizes[z] + self.sizes[x] - 2 * known[x])
+            if differ < least:
+                best, least = z, differ
+        if best is None:
+            return self.found(self.sets[x])
+        mine, other = self.sets[x], self.sets[best]
+        return self.rows[best] + self.found(mine[~np.isin(mine, other, assume_unique=True)]) - self.found(other[~np.isin(other, mine, assume_unique=True)])
 
     def links(self, probe: list[bool] | None = None) -> list[tuple[int, int]]:
         """Spanning links of the components. With probe, pairs of two that are not probes are not
         looked at (they are one component already, or compared elsewhere)."""
-        probing = [True] * len(self.ids) if probe is None else [probe[i] for i in self.order]
+        probing = np.ones(len(self.ids), bool) if probe is None else np.array([probe[i] for i in self.order])
+        parent = list(range(len(self.ids)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
         out = []
-        for x in range(len(self.ids)):
-            if not probing[x]:
-                continue
-            sx = self.sets[x]
-            for y in self.candidates(x).tolist():
-                if (probing[y] and y > x) or self.root(x) == self.root(y):
-                    continue  # later probes look back at x
-                need = overlap_needed(len(sx), len(self.sets[y]), self.num, self.den)
-                if any(known + len(sx) - shared < need for known, shared in self.derived(x, y)):
-                    continue
-                overlap = int(np.isin(sx, self.sets[y], assume_unique=True).sum())
-                self.answers[x][y] = self.answers[y][x] = overlap
-                if overlap >= need:
+        for x in np.flatnonzero(probing).tolist():
+            row = self.rows[x] = self.row(x)
+            linked = row >= overlap_needed(int(self.sizes[x]), self.sizes, self.num, self.den)
+            linked[x:] &= ~probing[x:]  # later probes look back at x
+            for y in np.flatnonzero(linked).tolist():
+                if root(x) != root(y):
                     out.append((self.ids[x], self.ids[y]))
-                    self.parent[self.root(x)] = self.root(y)
+                    parent[root(x)] = root(y)
         return out
 
-    def derived(self, x: int, y: int) -> Iterator[tuple[int, int]]:
-        """(overlap of z and y, overlap of z and x) for sets z whose overlap with both is known."""
-        ax, ay = self.answers[x], self.answers[y]
-        for z in ax.keys() & ay.keys() if len(ax) < 32 else ():
-            yield ay[z], ax[z]
-
 
 def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs.
@@ -184,8 +164,8 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     spark = docs.sparkSession
     folder = shared_folder(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = stored(write_blocks(frame, folder), folder, "names")
-    buckets = max(width(spark), blocks.count() // 4)
+    blocks = write_blocks(frame, folder)
+    buckets = max(width(spark), (blocks.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES)
 
     def named(blk: str):
         ids, sizes, sets, of = block_sets(blk, words, "doc_id", "text")
@@ -245,7 +225,7 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
         sets = shingle_sets(table.column("text"), words)
         for a in range(0, len(rows), 2000):
             part = rows[a : a + 2000]
-            yield pa.RecordBatch.from_pydict({"component": [r["component"] for r in part], "doc": [r["doc"] for r in part], "blob": pa.array([sent_set(s) for s in sets[a : a + 2000]], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"component": [r["component"] for r in part], "doc": [r["doc"] for r in part], "size": [len(s) for s in sets[a : a + 2000]], "blob": pa.array([sent_set(s) for s in sets[a : a + 2000]], pa.binary())})
 
     def clusters(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Edges from the least document of each run of list entries that may link."""
@@ -276,17 +256,19 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     blob = "bucket int, blk string, blob binary"
     answer = "blk string, bucket int, blob binary"
     classes = stored(per_key(per_block(blocks, count, blob), ["bucket"], classify, answer), folder, "classes")
-    release(spark)
     every = classes.unionByName(blocks.select("blk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob")))
     # Sorted by kind, so that a filter on the kind skips the pages of the others.
     found = stored(per_key(every, ["blk"], survivors, "kind string, blk string, a long, b long, blob binary").sortWithinPartitions("kind"), folder, "found")
+    discard(spark, f"{folder}/classes")
     near = stored(per_key(found.filter("kind = 'post'").select(F.col("a").cast("int").alias("bucket"), "blob"), ["bucket"], clusters, "u long, v long"), folder, "near")
     cluster = components(near, f"{folder}/clusters")
-    release(spark)
-    own = found.filter("kind = 'own'").select("blk", F.col("a").alias("doc"), F.col("b").alias("row")).join(cluster, F.col("doc") == F.col("node")).select("blk", "doc", "row", "component")
-    sets = per_key(own, ["blk"], fetch, "component long, doc long, blob binary")
-    sets = stored(sets, folder, "sets")
+    rows = found.filter("kind = 'own'").select("blk", F.col("a").alias("doc"), F.col("b").alias("row")).join(cluster, F.col("doc") == F.col("node")).select("blk", "doc", "row", "component")
+    sets = stored(per_key(rows, ["blk"], fetch, "component long, doc long, size long, blob binary"), folder, "sets")
+    for name in ("blocks", "near", "clusters"):
+        discard(spark, f"{folder}/{name}")
     links = stored(joined(sets, folder, num, den), folder, "links")
+    for name in ("sets", "large", "led", "rest"):
+        discard(spark, f"{folder}/{name}")
     copies = found.filter("kind = 'copy'").select(F.col("a").alias("u"), F.col("b").alias("v"))
     comps = components(links.unionByName(copies), f"{folder}/components")
     docs_out = found.filter("kind = 'doc'").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
@@ -294,7 +276,7 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
 
 
 def joined(sets: DataFrame, folder: str, num: int, den: int) -> DataFrame:
-    """Spanning links (u, v) of the sets (component, doc, blob) of each cluster, compared in cells."""
+    """Spanning links (u, v) of the sets (component, doc, size, blob) of each cluster, compared in cells."""
     schema = "u long, v long"
 
     def batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -316,19 +298,18 @@ def joined(sets: DataFrame, folder: str, num: int, den: int) -> DataFrame:
                 pairs.append((r["doc"], leader["doc"]))
         yield batch(pairs)
 
-    sizes = sets.groupBy("component").agg(F.count("*").alias("n"))
-    large = stored(sizes.filter(F.col("n") > CELL), folder, "large")
+    wanted = F.ceil(F.greatest(F.count("*") / CELL, F.sum("size") / CELL_TOKENS)).cast("int")
+    large = stored(sets.groupBy("component").agg(wanted.alias("cells")).filter("cells > 1"), folder, "large")
     one = per_key(sets.join(large, "component", "left_anti").select("component", "doc", "blob", F.lit(True).alias("probe")), ["component"], cell, schema)
     if large.isEmpty():
         return one
-    cells = F.ceil(F.col("n") / CELL).cast("int")
-    of = sets.join(F.broadcast(large) if large.count() < 10_000 else large, "component").withColumn("cells", cells)
+    of = sets.join(F.broadcast(large) if large.count() < 10_000 else large, "component")
     leads = F.col("doc") == F.col("component")
     dealt = of.withColumn("cell", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int")))))
     led = stored(per_key(dealt.select("component", "cell", "doc", "blob", leads.alias("leads")), ["component", "cell"], lead, schema), folder, "led")
     tied = led.select(F.col("u").alias("doc")).distinct()
-    rest = of.filter(~leads).join(tied, "doc", "left_anti").select("component", "doc", "blob")
-    number = rest.groupBy("component").agg(F.ceil(F.count("*") / CELL).cast("int").alias("rests"))
+    rest = of.filter(~leads).join(tied, "doc", "left_anti").select("component", "doc", "size", "blob")
+    number = rest.groupBy("component").agg(wanted.alias("rests"))
     rest = stored(rest.join(number, "component"), folder, "rest")
     own_cell = F.pmod(F.xxhash64("doc"), F.col("rests")).cast("int")
     # Cells (i, -1 - j) compare rest i with rest j >= i; cells (i, k) compare rest i with cell k of the tied.
@@ -338,6 +319,6 @@ def joined(sets: DataFrame, folder: str, num: int, den: int) -> DataFrame:
     tied = tied.unionByName(large.select(F.col("component").alias("doc")))  # a repeated leader has more sets
     settled = of.join(tied, "doc", "left_semi").join(counted, "component").withColumn("k", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
     across = settled.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("component", "left", F.col("k").alias("right"), "doc", "blob", F.lit(False).alias("probe"))
-    probes = rest.join(large.select("component", cells.alias("cells")), "component").withColumn("right", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("component", F.col("i").alias("left"), "right", "doc", "blob", F.lit(True).alias("probe"))
+    probes = rest.join(large, "component").withColumn("right", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("component", F.col("i").alias("left"), "right", "doc", "blob", F.lit(True).alias("probe"))
     two = per_key(with_rest.unionByName(across).unionByName(probes), ["component", "left", "right"], cell, schema)
     return one.unionByName(led).unionByName(two)
