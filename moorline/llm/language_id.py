@@ -1,8 +1,10 @@
 """Language ID by compression: zstandard with one raw-content dictionary for each language.
 
-Learning keeps a bounded sample of labelled texts for each language as that language's dictionary.
-A text is lower-cased and cut into blocks, each block is compressed with every dictionary, and the
-language with the smallest total wins; narrow margins are rejected. Whole texts are used, whatever their length.
+Learning cuts every labelled text into pieces and keeps a bounded sample of the pieces of each
+language as that language's dictionary. A text is lower-cased and cut into blocks, each block is
+compressed with every dictionary, and the language with the smallest total wins; narrow margins are
+rejected. One rule holds for texts of every length: a block goes behind the last LEAD bytes of the
+dictionary, whose own size is taken off again, as zstandard may not compress a few words alone.
 """
 
 from __future__ import annotations
@@ -17,17 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from moorline.llm.common import sized
+from moorline.llm.common import own, sized, unused
 
-SAMPLE_TEXTS = 500  # most labelled texts a language is learnt from
-SAMPLE_CHARS = 300  # most characters of each of them
-BLOCK = 1024  # bytes compressed at once
-LEVEL = 5
-SHORT = 512  # bytes; shorter texts are compressed behind a lead, with more effort
-SHORT_LEVEL = 12
-LEAD = 256  # bytes of the dictionary's end that go before a short text: alone it may not compress at all
+SAMPLE_PIECES = 500  # most pieces of labelled texts that a language is learnt from
+PIECE_CHARS = 512  # characters of a piece; the last one of a text is shorter
+BLOCK = 4096  # bytes compressed at once
+LEVEL = 12
+LEAD = 256
 MARGIN = 0.0005  # share of the bytes by which the best must beat the second not to be rejected
 UNKNOWN = "und"
+OUTPUTS = ("lang_pred", "score", "rejected")
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -36,109 +37,99 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from rows (text, lang): for each lang, SAMPLE_TEXTS texts, SAMPLE_CHARS of each.
+def learn(labelled: DataFrame, pieces: int = SAMPLE_PIECES, chars: int = PIECE_CHARS) -> dict[str, bytes]:
+    """Dictionaries from rows (text, lang): for each lang, `pieces` pieces of `chars` characters at most.
 
-    The texts are those of the least hashes, so the sample does not depend on order or partitions,
-    and equal texts count once. Rows with a null text or lang, or an empty text, are left out.
+    All labelled texts are cut whole into pieces, and those of the least hashes are kept: the sample
+    depends neither on order nor on partitions, no part of a text is favoured, and equal pieces
+    count once. These two bounds are the only ones. Rows with a null text or lang, or an empty text,
+    are left out. The driver holds the sample: pieces * chars characters a language.
     """
-    rows = labelled.filter("text is not null and lang is not null and text != ''")
-    place = F.shiftrightunsigned(F.xxhash64("text"), 1)  # uniform over 0..2^63 - 1
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    chosen, share = {}, 3
+    rows = labelled.filter("text is not null and lang is not null and text != ''").select("lang", "text")
+    counts = rows.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / chars)).alias("n")).collect()  # a row a language
+    cut = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chars}}}"), F.lit(0))).alias("piece"))
+    cut = cut.withColumn("place", F.shiftrightunsigned(F.xxhash64("piece"), 1))  # uniform over 0..2^63 - 1
+    sizes = {r["lang"]: int(r["n"]) for r in counts}
+    chosen: dict[str, list[tuple[int, str]]] = {}
+    share = 3
     while len(chosen) < len(sizes):
         # Of hashes up to `share` times the wanted part of a language, all are taken and the least kept.
-        tops = {lang: min(1 << 63, share * SAMPLE_TEXTS * (1 << 63) // n) - 1 for lang, n in sizes.items() if lang not in chosen}
-        top = F.try_element_at(F.create_map(*[F.lit(x) for kv in tops.items() for x in kv]), F.col("lang"))
-        found: dict[str, list[int]] = {}
-        for r in rows.filter(place <= top).select("lang", place.alias("p")).distinct().collect():
-            found.setdefault(r["lang"], []).append(r["p"])
+        tops = {lang: min(1 << 63, share * pieces * (1 << 63) // n) - 1 for lang, n in sizes.items() if lang not in chosen}
+        limits = labelled.sparkSession.createDataFrame(list(tops.items()), "lang string, top long")
+        found: dict[str, list[tuple[int, str]]] = {}
+        for r in cut.join(F.broadcast(limits), "lang").filter("place <= top").select("lang", "place", "piece").distinct().collect():
+            found.setdefault(r["lang"], []).append((r["place"], r["piece"]))
         for lang, most in tops.items():
-            places = sorted(found.get(lang, ()))[:SAMPLE_TEXTS]
-            if len(places) == SAMPLE_TEXTS or most == (1 << 63) - 1:
-                chosen[lang] = places
+            least = sorted(found.get(lang, ()))[:pieces]
+            if len(least) == pieces or most == (1 << 63) - 1:
+                chosen[lang] = least
         share *= 8
-    kept = sorted({p for places in chosen.values() for p in places})
-    sample = rows.filter(place.isin(kept)).select("lang", place.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).distinct()
-    texts: dict[str, list] = {}
-    wanted = {lang: set(places) for lang, places in chosen.items()}
-    for r in sample.collect():  # at most SAMPLE_TEXTS * SAMPLE_CHARS a language
-        if r["h"] in wanted[r["lang"]]:
-            texts.setdefault(r["lang"], []).append((r["h"], r["t"]))
-    return {lang: b"\n".join(t.lower().encode() for _, t in sorted(found)) for lang, found in sorted(texts.items())}
+    return {lang: b"\n".join(p.lower().encode() for _, p in least) for lang, least in sorted(chosen.items())}
 
 
-class Tools:
-    """The compressors of one language."""
+class Sizer:
+    """Compressed sizes of texts behind one language's dictionary."""
 
     def __init__(self, data: bytes):
-        self.whole, self.short = self.at(data, LEVEL), self.at(data, SHORT_LEVEL)
-        self.lead = data[-LEAD:]
-        self.lead_size = len(self.short.compress(self.lead))
-
-    @staticmethod
-    def at(data: bytes, level: int):
         import zstandard as zstd
 
         table = zstd.ZstdCompressionDict(data, dict_type=zstd.DICT_TYPE_RAWCONTENT)
-        table.precompute_compress(level=level)
-        return zstd.ZstdCompressor(level=level, dict_data=table, write_content_size=False, write_checksum=False)
+        table.precompute_compress(level=LEVEL)
+        self.tool = zstd.ZstdCompressor(level=LEVEL, dict_data=table, write_content_size=False, write_checksum=False)
+        self.lead = data[-LEAD:]
+        self.lead_size = len(self.tool.compress(self.lead))
 
     def size(self, text: bytes) -> int:
-        if len(text) < SHORT:
-            return max(0, len(self.short.compress(self.lead + text)) - self.lead_size)
-        return sum(len(self.whole.compress(text[a : a + BLOCK])) for a in range(0, len(text), BLOCK))
+        return sum(len(self.tool.compress(self.lead + text[a : a + BLOCK])) - self.lead_size for a in range(0, len(text), BLOCK))
 
 
 @functools.lru_cache(maxsize=2)
-def compressors(dictionaries: tuple[tuple[str, bytes], ...]) -> list[Tools]:
-    return [Tools(data) for _, data in dictionaries]
+def sizers(dictionaries: tuple[tuple[str, bytes], ...]) -> list[Sizer]:
+    return [Sizer(data) for _, data in dictionaries]
 
 
-def compressed_sizes(text: bytes, tools: list[Tools]) -> np.ndarray:
-    return np.array([t.size(text) for t in tools], np.int64)
+def judged(text: str | None, names: list[str], tools: list[Sizer]) -> tuple[str, float, bool]:
+    """(language, score, rejected) of one text; see `predict`."""
+    if not names or text is None or not _LETTER.search(text):
+        return UNKNOWN, 0.0, True
+    raw = text.lower().encode()
+    sizes = np.array([t.size(raw) for t in tools], np.int64)
+    best = int(sizes.argmin())
+    if len(names) == 1:
+        return names[best], 1.0, False
+    least, second = (int(x) for x in np.partition(sizes, 1)[:2])
+    return names[best], min(1.0, max(0.0, 1.0 - least / second)) if second > 0 else 0.0, second - least < MARGIN * len(raw)
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected; all columns stay.
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and rejected.
 
     A null text, or one without letters, or any text when nothing was learnt, is `und` with score 0
     and rejected. Else the score is 1 - best/second compressed size (1 with a single language), and
-    the text is rejected where the best beats the second by less than MARGIN of its bytes. Equal sizes go to
-    the language that sorts first.
+    the text is rejected where the best beats the second by less than MARGIN of its bytes. Equal
+    sizes go to the language that sorts first. All columns of docs keep their names and values;
+    where one has the name of a new column, that gets underscores behind it (see `common.unused`).
     """
     items = tuple(sorted(dictionaries.items()))
     names = [lang for lang, _ in items]
-    schema = docs.schema
-    carried = [f.name for f in schema]
+    carried = docs.columns
+    outputs = [unused(c, carried) for c in OUTPUTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = compressors(items)
+        tools = sizers(items)
         for batch in sized(batches, text_col):
-            langs, scores, rejected = [], [], []
-            for text in batch.column(text_col).to_pylist():
-                if not names or text is None or not _LETTER.search(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    rejected.append(True)
-                    continue
-                raw = text.lower().encode()
-                sizes = compressed_sizes(raw, tools)
-                best = int(sizes.argmin())
-                second = int(np.partition(sizes, 1)[1]) if len(names) > 1 else None
-                langs.append(names[best])
-                scores.append(1.0 if second is None else 1.0 - int(sizes[best]) / second if second else 0.0)
-                rejected.append(second is not None and second - int(sizes[best]) < MARGIN * len(raw))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected)], names=[*carried, "lang_pred", "score", "rejected"])
-
-    clash = {"lang_pred", "score", "rejected"} & set(carried)
-    if clash:
-        return predict(docs.drop(*clash), dictionaries, id_col, text_col)
-
-    out = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInArrow(run, out)
-
-
-def identify(docs: DataFrame) -> DataFrame:
+            langs, scores, rejected = zip(*(judged(text, names, tools) for text in batch.column(text_col).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*carried, *outputs])
+
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, kind) for c, kind in zip(outputs, kinds)]]))
+
+
+def identify(docs: DataFrame, pieces: int = SAMPLE_PIECES, chars: int = PIECE_CHARS) -> DataFrame:
     """Learn from the labelled documents that are not held out, predict for all: docs and the prediction."""
-    return predict(docs, learn(docs.filter(~held_out(F.col("doc_id")))))
+    return predict(docs, learn(docs.filter(~held_out(F.col("doc_id"))), pieces, chars))
+
+
+def known(docs: DataFrame) -> DataFrame:
+    """The rows of docs, its columns only, whose language is not rejected."""
+    return identify(docs).filter(~own(unused("rejected", docs.columns))).select(*map(own, docs.columns))

@@ -77,12 +77,13 @@ def test_language_id_edges(spark):
     rows = [(None, "the and of " * 9, "en", 1), (2, None, None, 2), (3, "", "de", 3), (4, "12 34 !", "en", 4), (5, "der die und " * 9, "de", 5), (5, "der die und " * 9, "de", 5), (6, "the of and " * 40000, None, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
     got = language_id.identify(docs)
-    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+    assert got.columns == ["doc_id", "text", "lang", "score", "lang_pred", "score_", "rejected"]
+    assert sorted(r.score for r in got.collect()) == [1, 2, 3, 4, 5, 5, 6]
     by = {r.doc_id: (r.lang_pred, r.rejected) for r in got.collect()}
     assert by[2] == by[3] == by[4] == ("und", True)
     assert language_id.identify(docs.filter("false")).collect() == []
     assert {r.lang_pred for r in language_id.predict(docs, {}).collect()} == {"und"}
-    only = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, {"en": b"the of and"}).collect()}
+    only = {r.doc_id: (r.lang_pred, r.score_) for r in language_id.predict(docs, {"en": b"the of and"}).collect()}
     assert only[6] == ("en", 1.0)
 
 
