@@ -11,6 +11,7 @@ from tests.llm.helpers import SCHEMA, jaccard_components, odd_documents, removed
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20_000)
 
 
 @pytest.mark.parametrize(("words", "num", "cell"), [(3, 90, 1024), (5, 80, 1024), (3, 90, 4), (2, 60, 4)])
@@ -59,14 +60,14 @@ def test_large_groups_go_distance_by_distance(spark, monkeypatch, rows):
     docs = [(i, ("".join(rng.choices("pqrs", k=rng.randrange(0, 40))) + passage[rng.randrange(0, 30) : 260 - rng.randrange(0, 60)] + "".join(rng.choices("wxyz", k=rng.randrange(0, 40)))).encode()) for i in range(40)]
     data = np.frombuffer(b"".join(t for _, t in docs), np.uint8)
     limits = np.cumsum([0, *(len(t) for _, t in docs)])
-    h, place, lo, hi = suffix_dedup.anchors(data, limits)
+    (h, place, lo, hi), gone = suffix_dedup.anchors(data, limits)
     around = suffix_dedup.contexts(data, place, lo, hi)
     owner = np.searchsorted(limits, place, side="right") - 1
     rank = suffix_dedup.ranked(owner, owner, place)
     again = suffix_dedup.same_stretches(h, place - lo, place - hi, around, rank)
     rest = np.flatnonzero(~again)
     row, distance = suffix_dedup.repeated_windows(h[rest], (place - lo)[rest], (place - hi)[rest], around[rest], rank[rest])
-    starts = {*(place[rest[row]] - distance).tolist(), *(s for k in np.flatnonzero(again) for s in range(lo[k], hi[k] + 1))}
+    starts = {*(place[rest[row]] - distance).tolist(), *(s for k in np.flatnonzero(again) for s in range(lo[k], hi[k] + 1)), *(s for x, y in zip(*gone) for s in range(x, y + 1))}
     seen, want = set(), set()
     for i, (_, text) in enumerate(docs):
         for s in range(len(text) - 99):
@@ -80,7 +81,9 @@ def test_suffix_dedup_edges(spark):
     text = "".join(random.Random(1).choices("abcdefghijklmnop", k=130))
     rows = [(None, text), (4, text), (4, text), (2, "é" * 60), (1, None), (3, "")]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_removed long")
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect()), key=str)
+    out = suffix_dedup.remove_repeats(frame).collect()
+    assert all(r.n_removed == 1 for r in out)  # the caller's column
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed_) for r in out), key=str)
     # Among "é" * 60, a 100-byte string starts every second byte anew.
     assert got == sorted([(None, 130, 0), (4, 130, 130), (4, 130, 130), (2, 120, 118), (1, 0, 0), (3, 0, 0)], key=str)
     assert suffix_dedup.remove_repeats(frame.filter("false")).collect() == []
