@@ -6,7 +6,9 @@ int8 and its error length |e| known, so for unit vectors
 
     x.y <= s_x s_y (q_x.q_y) + |s_x q_x| |e_y| + |e_x| |s_y q_y| + |e_x| |e_y|
 
-bounds every cosine from above by one small integer product. Only pairs whose bound reaches the
+bounds every cosine from above by one product of codes. Codes are whole numbers that single
+precision holds exactly, and a tile is multiplied in single precision, one side scaled; what that
+may round is part of the bound. Only pairs whose bound reaches the
 threshold are recomputed from the original components in double precision, and that value decides.
 Tiles give weighted link counts and spanning edges, never lists of pairs.
 """
@@ -19,16 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.common import shared_folder, stored, width
+from moorline.llm.common import discard, opened, shared_folder, stored, width
 from moorline.llm.graph import components
 
 THRESHOLD = 0.9
 BLOCK = 4096  # points a block holds on average
-STRIP = 4  # blocks that one row of work multiplies with
+STRIP = 4  # neighbouring blocks that one task multiplies a block with
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +49,7 @@ class Block:
         part = vectors / top
         self.unit = part / np.linalg.norm(part, axis=1, keepdims=True)
         self.codes, self.scale, self.length, self.error = quantise(self.unit)
-        # Products of up to 1040 int8 pairs are whole numbers that float32 holds exactly.
-        self.wide = self.codes.astype(np.float32 if vectors.shape[1] <= 1040 else np.float64)
+        self.wide = self.codes.astype(np.float32)
 
     def to_bytes(self) -> bytes:
         head = np.array([len(self.ids), self.vectors.shape[1]], "<i8").tobytes()
@@ -65,12 +65,12 @@ def linked(a: Block, b: Block, threshold: float, same: bool) -> Iterator[tuple[n
     """Places (in a, in b) of pairs with cosine >= threshold, a strip of rows at a time."""
     most_length, most_error = b.length.max(), b.error.max()
     scaled = (b.wide * b.scale[:, None]).astype(np.float32).T.copy()
-    slack = 1e-6 + 2.0**-22 * a.unit.shape[1]  # more than single precision can lose in a product
+    slack = 1e-6 + 2.0**-22 * a.unit.shape[1]  # more than single precision can lose in a scaled product
     for lo in range(0, len(a.ids), 512):
         rows = slice(lo, lo + 512)
         bound = a.length[rows] * most_error + a.error[rows] * (most_length + most_error)
         need = (threshold - bound - slack) / a.scale[rows]
-        product = a.wide[rows].astype(np.float32) @ scaled
+        product = a.wide[rows] @ scaled
         i, j = np.nonzero(product >= need.astype(np.float32)[:, None])
         i += lo
         if same:
@@ -130,51 +130,49 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     good = rows.filter(usable("v") & F.col("vec_id").isNotNull())
     # A group of equal vectors is summed up on the map side, however many it has.
     points = stored(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), folder, "points")
-    blocks = -(-points.count() // BLOCK)
+    blocks = max(-(-points.count() // BLOCK), 1)
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
-        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs, base = opened(folder)
         fs.create_dir(f"{base}/blocks", recursive=True)
         vectors = group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1)
         block = Block(group.column("id").to_numpy(), group.column("weight").to_numpy(), vectors)
         path = f"blocks/{uuid.uuid4().hex}"
         with fs.open_output_stream(f"{base}/{path}") as f:
             f.write(block.to_bytes())
-        return pa.table({"dim": pa.array([vectors.shape[1]], pa.int32()), "path": [path]})
-
-    dealt = points.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))))
-    packed = dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, path string")
-    # Names of blocks only: one for BLOCK points.
-    names: dict[int, list[str]] = {}
-    for r in stored(packed, folder, "manifest").collect():
-        names.setdefault(r["dim"], []).append(r["path"])
-    work = []
-    for paths in names.values():
-        paths.sort()
-        for i in range(len(paths)):
-            work += [(paths[i], paths[k : min(k + STRIP, len(paths))]) for k in range(i, len(paths), STRIP)]
+        return pa.table({"dim": pa.array([vectors.shape[1]], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "path": [path]})
+
+    dealt = points.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    names = stored(dealt.groupBy("dim", "block").applyInArrow(pack, "dim int, block long, path string"), folder, "manifest")
+    # Tiles of one block and those behind it, made and named by executors: a row a tile.
+    left = names.select("dim", "block", F.col("path").alias("left"), F.explode(F.sequence("block", F.lit(blocks - 1))).alias("other"))
+    tiles_of = left.join(names.select("dim", F.col("block").alias("other"), F.col("path").alias("right")), ["dim", "other"])
+    strip = F.expr(f"other div {STRIP}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs, base = opened(folder)
 
         def load(path: str) -> Block:
             with fs.open_input_stream(f"{base}/{path}") as f:
                 return Block.from_bytes(f.read())
 
+        name, a = None, None
         for batch in batches:
-            for left, right in zip(batch["left"], batch["right"]):
-                a = load(left)
-                for path in right:
-                    yield tile(a, a if path == left else load(path), threshold, path == left)
-
-    strips = spark.createDataFrame(work, "left string, right array<string>") if work else spark.createDataFrame([], "left string, right array<string>")
-    # Dealt evenly: one partition for each strip, up to a bound.
-    tiles = stored(strips.repartition(min(max(len(work), 1), 8 * width(spark))).mapInPandas(run, "id long, links long, label long"), folder, "tiles")
+            for one, path in zip(batch["left"], batch["right"]):
+                if one != name:
+                    name, a = one, load(one)
+                yield tile(a, a if path == one else load(path), threshold, path == one)
+
+    # A strip of tiles is one key; their number bounds the partitions that have work.
+    most = blocks * (-(-blocks // STRIP) + 1) // 2 + 1
+    work = tiles_of.select("left", "right", strip.alias("strip")).repartition(min(most, 8 * width(spark)), "left", "strip").sortWithinPartitions("left", "right")
+    tiles = stored(work.select("left", "right").mapInPandas(run, "id long, links long, label long"), folder, "tiles")
+    discard(spark, f"{folder}/blocks")
     sums = tiles.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(tiles.select(F.col("id").alias("u"), F.col("label").alias("v")), f"{folder}/components")
     facts = points.join(sums, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
     facts = facts.select("v", "id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    out = rows.withColumn("_good", usable("v") & F.col("vec_id").isNotNull()).withColumn("v", F.when(F.col("_good"), F.col("v"))).join(facts, "v", "left")
-    n_links = F.coalesce(F.col("links") + F.col("weight") - 1, F.lit(0))
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    met = good.join(facts, "v").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    # Vectors that link with nothing, and rows without an id, take no part in the join.
+    rest = rows.filter(~(usable("v") & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return met.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
