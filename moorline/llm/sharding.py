@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.llm.common import shared_folder, stored, width
+from moorline.llm.common import own, shared_folder, stored, unused, width
 
 SHARDS = 24
 SEED = 20240607
@@ -60,29 +60,36 @@ def permuted(row: Column | str, n: int, seed: int) -> Column:
     return F.expr(f"element_at(transform(array({first}), y -> CASE WHEN y < {n}L THEN y ELSE {walk} END), 1)")
 
 
-def numbered(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
-    """rows with gapless `row_number` 0..n-1 in ascending order of key (nulls first), and n.
+def numbered(rows: DataFrame, key: str, name: str = "row_number") -> tuple[DataFrame, int]:
+    """rows with a gapless column `name` 0..n-1 in ascending order of key (nulls first), and n.
 
     Rows are dealt by ranges of the key and sorted there; a file of the stored table is one range,
     and only the counts of files are summed in order. Rows of equal keys come in any fixed order.
+    `name` must be no column of rows; helper columns avoid the names of rows by themselves.
     """
     spark = rows.sparkSession
-    sorted_rows = rows.repartitionByRange(width(spark), key, F.xxhash64(*rows.columns)).sortWithinPartitions(key, *[c for c in rows.columns if c != key])
-    table = stored(sorted_rows.withColumn("_at", F.monotonically_increasing_id()), shared_folder(spark), "numbered")
-    part = F.shiftright("_at", 33)
-    counts = table.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    n = counts.agg(F.sum("_n")).first()[0] or 0
-    joined = table.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # bounded: a row a partition
-    return joined.withColumn("row_number", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).select(*rows.columns, "row_number"), n
+    columns = [own(c) for c in rows.columns]
+    at, part, n, before = (unused(c, [*rows.columns, name]) for c in ("at", "part", "n", "before"))
+    ties = [own(c) for c in rows.columns if c != key]
+    sorted_rows = rows.repartitionByRange(width(spark), own(key), F.xxhash64(*columns)).sortWithinPartitions(own(key), *ties)
+    table = stored(sorted_rows.withColumn(at, F.monotonically_increasing_id()), shared_folder(spark), "numbered")
+    counts = table.groupBy(F.shiftright(own(at), 33).alias(part)).agg(F.count("*").alias(n))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = counts.select(part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    joined = table.withColumn(part, F.shiftright(own(at), 33)).join(F.broadcast(offsets), part)  # bounded: a row a partition
+    return joined.select(*columns, (own(before) + own(at).bitwiseAND(F.lit((1 << 33) - 1))).alias(name)), total
 
 
 def shard(rows: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """rows and `shard` 0..shards-1, `slot` gapless from 0 in each shard; all columns stay.
+    """rows and `shard` 0..shards-1, `slot` gapless from 0 in each shard.
 
-    Equal rows are rows of their own. An empty table gives an empty table. Null keys come first.
+    All columns of rows keep their names and values; where one is called `shard` or `slot`, the new
+    column gets underscores behind its name (see `common.unused`). Equal rows are rows of their own.
+    An empty table gives an empty table. Null keys come first.
     """
-    table, n = numbered(rows, key)
-    at = table.withColumn("_position", permuted("row_number", n, seed))
-    return at.select(*rows.columns, F.pmod("_position", F.lit(shards)).cast("int").alias("shard"), F.expr(f"_position div {shards}").alias("slot"))
+    number, position = unused("row_number", rows.columns), unused("position", rows.columns)
+    table, n = numbered(rows, key, number)
+    at = table.withColumn(position, permuted(number, n, seed))
+    chosen = F.pmod(own(position), F.lit(shards)).cast("int").alias(unused("shard", rows.columns))
+    return at.select(*[own(c) for c in rows.columns], chosen, F.expr(f"{position} div {shards}").alias(unused("slot", rows.columns)))
