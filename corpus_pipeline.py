@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.llm import language_id, ngram_join, packing, suffix_dedup
-from moorline.llm.common import shared_folder, stored
+from moorline.llm.common import discard, own, shared_folder, stored, unused
 
 #: Near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 WORDS, NUM, DEN = 5, 80, 100
@@ -19,24 +19,29 @@ WORDS, NUM, DEN = 5, 80, 100
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID does not reject."""
-    return language_id.identify(docs).filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.known(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least doc_id of each group of near duplicates; all without a doc_id."""
+    """The document of the least doc_id of each group of near duplicates; all without a doc_id.
+
+    Rows of one doc_id are one document: of its rows, the one with the least text stays (a null text
+    before all others), and of rows of one text any, by their hash.
+    """
     groups = ngram_join.link_components(docs, WORDS, NUM, DEN)
     kept = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if not docs.select("doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])  # rows of one doc_id are one document
-    return out.unionByName(docs.filter("doc_id is null"))
+    out = docs.join(kept, "doc_id", "left_semi").select(*map(own, docs.columns))
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        place, row = (unused(c, docs.columns) for c in ("place", "row"))
+        whole = F.struct(*map(own, docs.columns))
+        least = F.min_by(whole, F.struct("text", place)).alias(row)  # combined on the map side, however often an id repeats
+        out = out.withColumn(place, F.xxhash64(whole)).groupBy("doc_id").agg(least).select(f"{row}.*")
+    return out.select(*map(own, docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that suffix-array dedup removes; a cut character goes whole."""
-    kept = suffix_dedup.remove_repeats(docs, with_text=True)
-    columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.select(*columns)
+    return suffix_dedup.without_repeats(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after another over the whole documents table."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark)
+    docs, folder, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_folder(spark), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), folder, name)
+        if before:
+            discard(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
