@@ -30,6 +30,7 @@ class AliasMatcher:
         alphabet = sorted({c for x in self.norm for c in x})
         self.column = {c: k for k, c in enumerate(alphabet)}
         self.counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.matchers: dict[int, SequenceMatcher] = {}
         held: dict[str, dict[int, int]] = {}
         for i, x in enumerate(self.norm):
             for c in x:
@@ -38,38 +39,50 @@ class AliasMatcher:
         for c, of in held.items():
             self.counts[c] = (np.fromiter(of.keys(), np.int64), np.fromiter(of.values(), np.int64))
 
-    def bounds(self, query: str) -> np.ndarray:
-        common = np.zeros(len(self.norm), np.int64)
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"matchers": {}}
+
+    def common(self, query: str) -> np.ndarray:
+        """Characters that the query shares with each alias, as multisets."""
+        out = np.zeros(len(self.norm), np.int64)
         for c in set(query):
             if c in self.counts:
                 rows, times = self.counts[c]
-                common[rows] += np.minimum(times, query.count(c))
-        # The same quotient as the ratio of a fully matching pair.
-        return 2.0 * common / np.maximum(self.length + len(query), 1)
+                out[rows] += np.minimum(times, query.count(c))
+        return out
+
+    def ratio(self, query: str, i: int) -> float:
+        """As `ratio`, the alias prepared once."""
+        if i not in self.matchers:
+            self.matchers[i] = SequenceMatcher(b=self.norm[i])
+        self.matchers[i].set_seq1(query)
+        return self.matchers[i].ratio()
 
     def best(self, queries: list[str], keep: int) -> list[tuple[int, float, str]]:
         """(entity_ord, similarity, raw alias) of the `keep` best entities, best rounded score first,
         then entity order; per entity the first alias of the greatest similarity."""
-        if not len(self.norm):
-            return []
         queries = [q for q in queries if q]
-        bound = np.zeros(len(self.norm))
+        if not len(self.norm) or not queries:
+            return []
+        bound, contained = np.zeros(len(self.norm)), np.zeros(len(self.norm), bool)
         for q in queries:
-            own = self.bounds(q)
-            if len(q) >= 2:  # containment lifts the similarity to CONTAINED at least
-                contained = np.array([q in a or a in q for a in self.norm])
-                own = np.where(contained, np.maximum(own, CONTAINED), own)
-            bound = np.maximum(bound, own)
+            common = self.common(q)
+            # The same quotient as the ratio of a fully matching pair.
+            bound = np.maximum(bound, 2.0 * common / (self.length + len(q)))
+            if len(q) >= 2:  # containment needs all characters of the shorter one, so few pairs are looked at
+                for i in np.flatnonzero(common == np.minimum(self.length, len(q))).tolist():
+                    contained[i] |= q in self.norm[i] or self.norm[i] in q
+        bound[contained] = np.maximum(bound[contained], CONTAINED)
+        some = np.flatnonzero(bound >= FUZZY_FLOOR)
+        order = some[np.argsort(-bound[some], kind="stable")]
         found: dict[int, tuple[float, int]] = {}
-        order = np.lexsort((np.arange(len(bound)), -bound))
         worst = 0.0
         for i in order.tolist():
             top = bound[i]
-            if top < FUZZY_FLOOR or (len(found) >= keep and round(min(float(top), 1.0), 3) < worst):
+            if len(found) >= keep and round(min(float(top), 1.0), 3) < worst:
                 break
-            alias = self.norm[i]
-            score = max((ratio(q, alias) for q in queries), default=0.0)
-            if any(len(q) >= 2 and (q in alias or alias in q) for q in queries):
+            score = max(self.ratio(q, i) for q in queries)
+            if contained[i]:
                 score = max(score, CONTAINED)
             e = int(self.entity[i])
             if score >= FUZZY_FLOOR and (e not in found or (score, -i) > (found[e][0], -found[e][1])):

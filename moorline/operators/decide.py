@@ -7,43 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from moorline import schemas
 from moorline.functions.text import context_window, normalize, round_binary, strip, trace_id
 from moorline.operators import rerank, retrieve
 from moorline.sources.files import explode_requests
 from moorline.options import COREFERENCE_FLOOR, COREFERENCE_LOSS, COREFERENCE_TERMS, LinkOptions, Settings
+from moorline.sources.kb import inline_entities
 
 CANDIDATE = "struct<rank:int,entity_id:string,canonical_name:string,entity_type:string,score:double,alias_similarity:double,matched_alias:string,overlapping_keywords:array<string>,reasons:array<string>>"
-SIGNATURE = ("kb_id", "text", "candidate_aliases", "entity_type", "context")
+STRINGS = "array<string>"
 
 
-def signed(mentions: DataFrame) -> DataFrame:
-    """mentions with their context and signature."""
-    framed = mentions.withColumn("context", context_window(F.col("doc_text"), F.col("start"), F.col("end"), F.col("sentence")))
-    return framed.withColumn("sig", F.sha2(F.to_json(F.struct(*SIGNATURE)), 256))
+def with_options(rows: DataFrame, options: LinkOptions) -> DataFrame:
+    """rows with top_k, nil_threshold and ambiguity_margin: their own, else those of options."""
+    given = {"top_k": options.top_k, "nil_threshold": options.nil_threshold, "ambiguity_margin": options.ambiguity_margin}
+    return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in rows.columns else F.lit(v) for k, v in given.items()})
+
+
+def signed(mentions: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
+    """mentions with options, context, the key of what can be found (`q`) and of how it scores (`sig`)."""
+    framed = with_options(mentions, options).withColumn("context", context_window(F.col("doc_text"), F.col("start"), F.col("end"), F.col("sentence")))
+    return retrieve.with_queries(framed).withColumn("sig", retrieve.key("q", "entity_type", "context"))
 
 
 def signatures(mentions: DataFrame) -> DataFrame:
-    return mentions.select("sig", *SIGNATURE).dropDuplicates(["sig"])
+    return mentions.select("sig", "q", "kb_id", "text", "queries", "top_k", "entity_type", "context").dropDuplicates(["sig"])
 
 
-#: A stage that finds candidates (signatures, entities, options), and one that scores them (built, prior).
-Retriever = Callable[[DataFrame, DataFrame, LinkOptions], DataFrame]
+#: A stage that finds candidates (lists of queries, entities, greatest top_k), and one that scores them (built, prior).
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
 Scorer = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
-def scored(mentions: DataFrame, entities: DataFrame, options: LinkOptions, prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
+def scored(mentions: DataFrame, entities: DataFrame, prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
     """Ranked candidates of every signature of (signed) mentions."""
-    asked = signatures(mentions)
-    return rerank.top(scorer(retrieve.build(retriever(asked, entities, options), asked, entities), prior), options)
+    unique = signatures(mentions)
+    lists = retrieve.asked(unique)
+    most_k = retrieve.most_asked(mentions)
+    return rerank.top(scorer(retrieve.build(retriever(lists, entities, most_k), unique, entities), prior), most_k)
 
 
-def first_decisions(mentions: DataFrame, ranked: DataFrame, options: LinkOptions) -> DataFrame:
+def first_decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
     """Each mention's decision on its own candidates alone; `fallible` marks those that coreference may replace."""
     none = F.array().cast(f"array<{CANDIDATE}>")
     rows = mentions.join(rerank.collected(ranked), "sig", "left").withColumn("candidates", F.coalesce("candidates", none))
     first, second = F.get("candidates", F.lit(0)), F.get("candidates", F.lit(1))
-    low = F.coalesce(first["score"] < options.nil_threshold, F.lit(True))
-    close = F.coalesce((first["score"] - second["score"]) < options.ambiguity_margin, F.lit(False))
+    low = F.coalesce(first["score"] < F.col("nil_threshold"), F.lit(True))
+    close = F.coalesce((first["score"] - second["score"]) < F.col("ambiguity_margin"), F.lit(False))
     empty = F.size("candidates") == 0
     status = F.when(low, F.lit("nil")).when(close, F.lit("ambiguous")).otherwise(F.lit("linked"))
     nil_reason = F.array_compact(F.array(F.lit("nil_detected_due_to_low_score"), F.when(empty, F.lit("no_candidate_retrieved"))))
@@ -56,7 +66,7 @@ def first_decisions(mentions: DataFrame, ranked: DataFrame, options: LinkOptions
             "confidence": F.coalesce(first["score"], F.lit(0.0)),
             "needs_review": F.when(low, ~empty).otherwise(close),
             "matched_alias": first["matched_alias"],
-            "overlapping_keywords": F.coalesce(first["overlapping_keywords"], F.array().cast("array<string>")),
+            "overlapping_keywords": F.coalesce(first["overlapping_keywords"], F.array().cast(STRINGS)),
             "rationale": F.when(low, nil_reason).otherwise(link_reason),
             "fallible": low & (F.col("text").isin(*COREFERENCE_TERMS) | F.coalesce("coreference_hint", F.lit(False))),
             "coreference_source": F.lit(None).cast("string"),
@@ -66,59 +76,66 @@ def first_decisions(mentions: DataFrame, ranked: DataFrame, options: LinkOptions
 
 
 DECISION = ["pos", "mention_id", "text", "entity_type", "status", "linked_entity_id", "canonical_name", "confidence", "needs_review", "candidates", "matched_alias", "overlapping_keywords", "rationale", "context", "fallible", "coreference_source", "retrieved"]
+LINK = "struct<mention_id:string,type:string,entity_id:string,name:string,confidence:double>"
 
 
 def followed(item: Column, before: Column) -> Column:
-    """The decision that inherits the link of `before`."""
-    confidence = round_binary(F.greatest(F.lit(COREFERENCE_FLOOR), before["confidence"] - COREFERENCE_LOSS), 3)
+    """The decision that inherits the link of `before`, whose confidence is that of the heir already."""
     changed = {
         "status": F.lit("linked"),
         "linked_entity_id": before["entity_id"],
         "canonical_name": before["name"],
-        "confidence": confidence,
+        "confidence": before["confidence"],
         "needs_review": F.lit(True),
         "candidates": F.array().cast(f"array<{CANDIDATE}>"),
         "matched_alias": F.lit(None).cast("string"),
-        "overlapping_keywords": F.array().cast("array<string>"),
+        "overlapping_keywords": F.array().cast(STRINGS),
         "rationale": F.array(F.lit("coreference_fallback"), F.concat(F.lit("inherits_recent_link:"), before["mention_id"])),
         "coreference_source": before["mention_id"],
     }
     return F.struct(*[changed.get(f, item[f]).alias(f) for f in DECISION])
 
 
-def fold(items: Column) -> Column:
-    """Decisions in order, each fallible one inheriting the last link of a type that fits.
+def heirs(items: Column) -> Column:
+    """For each decision in order, the link it inherits (null for most): the last one of a type that fits.
 
-    The history holds the latest link of each type only, newest first: an older one of the same
-    type can never be the most recent that fits.
+    The fold carries what it compares and nothing else. Its history holds the latest link of each
+    type, newest first: an older one of the same type can never be the most recent that fits.
     """
-    link = "struct<mention_id:string,type:string,entity_id:string,name:string,confidence:double>"
-    start = F.struct(F.array().cast(f"array<{link}>").alias("history"), F.slice(items, 1, 0).alias("out"))
+    slim = F.transform(items, lambda x: F.struct(x["mention_id"].alias("mention_id"), F.coalesce(x["entity_type"], F.lit("")).alias("type"), x["linked_entity_id"].alias("entity_id"), x["canonical_name"].alias("name"), x["confidence"].alias("confidence"), x["fallible"].alias("fallible")))
+    start = F.struct(F.array().cast(f"array<{LINK}>").alias("history"), F.array().cast(f"array<{LINK}>").alias("out"))
 
     def step(state: Column, item: Column) -> Column:
-        kind = F.coalesce(item["entity_type"], F.lit(""))
-        fits = F.filter(state["history"], lambda h: (kind == "") | (h["type"] == "") | (h["type"] == kind))
-        before = F.get(fits, F.lit(0))
-        result = F.when(item["fallible"] & before.isNotNull(), followed(item, before)).otherwise(F.struct(*[item[f].alias(f) for f in DECISION]))
-        new = F.struct(result["mention_id"].alias("mention_id"), kind.alias("type"), result["linked_entity_id"].alias("entity_id"), result["canonical_name"].alias("name"), result["confidence"].alias("confidence"))
-        kept = F.concat(F.array(new), F.filter(state["history"], lambda h: h["type"] != kind))
-        history = F.when(result["linked_entity_id"].isNotNull(), kept).otherwise(state["history"])
-        return F.struct(history.alias("history"), F.concat(state["out"], F.array(result)).alias("out"))
-
-    return F.aggregate(items, start, step, lambda s: s["out"])
-
-
-def by_document(decided: DataFrame, options: LinkOptions) -> DataFrame:
-    """(request_id, route, results): one row a document, with its route and reviewed results."""
-    rows = decided.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(*DECISION))).alias("items"))
+        fits = F.filter(state["history"], lambda h: (item["type"] == "") | (h["type"] == "") | (h["type"] == item["type"]))
+        before = F.when(item["fallible"], F.get(fits, F.lit(0)))
+        confidence = round_binary(F.greatest(F.lit(COREFERENCE_FLOOR), before["confidence"] - COREFERENCE_LOSS), 3)
+        heir = F.when(before.isNotNull(), F.struct(before["mention_id"].alias("mention_id"), before["type"].alias("type"), before["entity_id"].alias("entity_id"), before["name"].alias("name"), confidence.alias("confidence")))
+        own = F.struct(item["mention_id"].alias("mention_id"), item["type"].alias("type"), item["entity_id"].alias("entity_id"), item["name"].alias("name"), item["confidence"].alias("confidence"))
+        new = F.when(before.isNotNull(), F.struct(item["mention_id"].alias("mention_id"), item["type"].alias("type"), before["entity_id"].alias("entity_id"), before["name"].alias("name"), confidence.alias("confidence"))).otherwise(own)
+        kept = F.concat(F.array(new), F.filter(state["history"], lambda h: h["type"] != item["type"]))
+        history = F.when(before.isNotNull() | item["entity_id"].isNotNull(), kept).otherwise(state["history"])
+        return F.struct(history.alias("history"), F.concat(state["out"], F.array(heir)).alias("out"))
+
+    return F.aggregate(slim, start, step, lambda s: s["out"])
+
+
+def by_document(decided: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """(keys, route, results): one row a document, with its route and reviewed results."""
+    rows = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*DECISION))).alias("items"), F.max("nil_threshold").alias("nil_threshold"))
     rows = rows.withColumn("some", F.exists("items", lambda x: F.size(x["candidates"]) > 0))
+    # Documents without a fallible mention, which are most, have nothing to fold.
+    rows = rows.withColumn("heirs", F.when(F.col("some") & F.exists("items", lambda x: x["fallible"]), heirs(F.col("items"))))
 
     def nil(item: Column) -> Column:
         changed = {"rationale": F.array(F.lit("candidate_route_empty"), F.lit("nil_fallback")), "needs_review": F.lit(False), "confidence": F.lit(0.0), "status": F.lit("nil")}
         return F.struct(*[changed.get(f, item[f]).alias(f) for f in DECISION])
 
-    rows = rows.withColumn("results", F.when(F.col("some"), fold(F.col("items"))).otherwise(F.transform("items", nil)))
-    doubtful = F.exists("results", lambda x: x["needs_review"] | (x["status"] == "ambiguous") | ((F.size(x["candidates"]) > 0) & (x["confidence"] < options.nil_threshold)))
+    def settled(item: Column, i: Column) -> Column:
+        heir = F.get(F.col("heirs"), i)
+        return F.when(heir.isNotNull(), followed(item, heir)).otherwise(F.struct(*[item[f].alias(f) for f in DECISION]))
+
+    rows = rows.withColumn("results", F.when(~F.col("some"), F.transform("items", nil)).when(F.col("heirs").isNull(), F.col("items")).otherwise(F.transform("items", settled)))
+    doubtful = F.exists("results", lambda x: x["needs_review"] | (x["status"] == "ambiguous") | ((F.size(x["candidates"]) > 0) & (x["confidence"] < F.col("nil_threshold"))))
     route = F.when(~F.col("some"), F.lit("empty_candidates")).when(doubtful, F.lit("needs_review")).otherwise(F.lit("resolved"))
     rows = rows.withColumn("route", route)
 
@@ -127,7 +144,7 @@ def by_document(decided: DataFrame, options: LinkOptions) -> DataFrame:
         changed = {"needs_review": flagged, "rationale": F.when(flagged, F.concat(item["rationale"], F.array(F.lit("human_review_required")))).otherwise(item["rationale"])}
         return F.struct(*[changed.get(f, item[f]).alias(f) for f in DECISION])
 
-    return rows.select("request_id", "route", F.when(F.col("route") == "needs_review", F.transform("results", reviewed)).otherwise(F.col("results")).alias("results"))
+    return rows.select(*keys, "route", F.when(F.col("route") == "needs_review", F.transform("results", reviewed)).otherwise(F.col("results")).alias("results"))
 
 
 def decisions(documents: DataFrame) -> DataFrame:
@@ -135,24 +152,31 @@ def decisions(documents: DataFrame) -> DataFrame:
     return documents.select("request_id", "route", F.inline("results"))
 
 
-def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
-    """The engine on valid mentions: (request_id, route, results). Stages can be replaced."""
+def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """The engine on valid mentions: (request_id, route, results). Stages can be replaced.
+
+    Mentions may state top_k, nil_threshold and ambiguity_margin of their own, those of one request
+    alike; options stand in for what they leave out.
+    """
     if options.errors():
         raise ValueError(", ".join(options.errors()))
-    ready = signed(mentions)
-    return by_document(first_decisions(ready, scored(ready, entities, options, prior, retriever, scorer), options), options)
+    ready = signed(mentions, options)
+    return by_document(first_decisions(ready, scored(ready, entities, prior, retriever, scorer)), keys)
 
 
 # -- requests and responses -------------------------------------------------------------------
 
 
-def validation_errors(options: LinkOptions) -> Column:
-    """Error codes of a request row (text, mentions), in the order: text, mentions, options."""
+def validation_errors() -> Column:
+    """Error codes of a request row (text, mentions, top_k, nil_threshold, ambiguity_margin), in the
+    order: text, mentions, options."""
     mentions = F.col("mentions")
 
+    def code(bad: Column, text: Column) -> Column:
+        return F.when(F.coalesce(bad, F.lit(False)), text)
+
     def of(m: Column) -> Column:
         name = F.coalesce(m["mention_id"], F.lit(""))
-        code = lambda bad, text: F.when(F.coalesce(bad, F.lit(False)), text)
         return F.array(
             code(name == "", F.lit("mention_id_required")),
             code(strip(F.coalesce(m["text"], F.lit(""))) == "", F.concat(F.lit("mention_text_required:"), name)),
@@ -161,17 +185,23 @@ def validation_errors(options: LinkOptions) -> Column:
             code(m["start"] > m["end"], F.concat(F.lit("mention_span_invalid:"), name)),
         )
 
-    none = F.array().cast("array<string>")
+    none = F.array().cast(STRINGS)
     head = F.array(
         F.when(strip(F.coalesce(F.col("text"), F.lit(""))) == "", F.lit("text_required")),
         F.when(F.coalesce(F.size(mentions), F.lit(0)) <= 0, F.lit("mentions_required")),
     )
-    return F.array_compact(F.concat(head, F.coalesce(F.flatten(F.transform(mentions, of)), none), F.array(*[F.lit(e) for e in options.errors()]) if options.errors() else none))
+    tail = F.array(
+        code(F.col("top_k") < 1, F.lit("top_k_candidates_must_be_positive")),
+        code(~F.col("nil_threshold").between(0, 1), F.lit("nil_threshold_out_of_range")),
+        code(~F.col("ambiguity_margin").between(0, 1), F.lit("ambiguity_margin_out_of_range")),
+    )
+    return F.array_compact(F.concat(head, F.coalesce(F.flatten(F.transform(mentions, of)), none), tail))
 
 
 #: The names of the stages that each route runs through.
 NODES = {
     "invalid_input": ["validate_input", "build_response", "persist_trace"],
+    "unknown_kb": ["validate_input", "build_response", "persist_trace"],
     "empty_candidates": ["validate_input", "load_kb", "generate_candidates", "nil_fallback", "build_response", "persist_trace"],
     "resolved": ["validate_input", "load_kb", "generate_candidates", "rerank_candidates", "resolve_mentions", "build_response", "persist_trace"],
     "needs_review": ["validate_input", "load_kb", "generate_candidates", "rerank_candidates", "resolve_mentions", "human_review", "build_response", "persist_trace"],
@@ -193,29 +223,50 @@ def summary(results: Column) -> Column:
     )
 
 
-def events(route: Column, results: Column, entity_count: Column, errors: Column) -> Column:
-    """One {node, detail JSON} for each stage that ran."""
-    named = summary(results)
+def events(route: Column, results: Column, counts: Column, kb_id: Column, entity_count: Column, errors: Column) -> Column:
+    """One {node, detail JSON} for each stage that ran; others are not built. counts is the results' summary."""
     flagged = F.filter(results, lambda x: x["needs_review"])
+    total = counts["total_mentions"]
     detail = {
         "validate_input": F.struct((F.size(errors) == 0).alias("valid"), errors.alias("errors")),
-        "load_kb": F.struct(entity_count.alias("entity_count")),
-        "generate_candidates": F.struct(F.size(results).alias("mention_count"), F.aggregate(results, F.lit(0).cast("long"), lambda n, x: n + x["retrieved"]).alias("candidate_count"), F.transform(F.filter(results, lambda x: F.size(x["candidates"]) == 0), lambda x: x["mention_id"]).alias("empty_mentions")),
-        "nil_fallback": F.struct(F.size(results).alias("nil_mentions"), F.lit("no_candidates_for_all_mentions").alias("reason")),
-        "rerank_candidates": F.struct(F.size(results).alias("reranked_mentions")),
-        "resolve_mentions": F.struct(named["linked"].alias("linked"), named["nil"].alias("nil"), named["ambiguous"].alias("ambiguous")),
-        "human_review": F.struct(F.size(flagged).alias("review_required"), F.transform(flagged, lambda x: F.struct(x["mention_id"], x["status"], x["confidence"])).alias("items"), F.lit("low_confidence_or_ambiguous").alias("policy")),
-        "build_response": F.struct(F.size(results).alias("total_mentions"), route.alias("route_decision")),
+        "load_kb": F.struct(kb_id.alias("kb_id"), entity_count.alias("entity_count")),
+        # What retrieval gave, whatever became of it: a heir's candidates are gone, but it had some.
+        "generate_candidates": F.struct(total.alias("mention_count"), F.aggregate(results, F.lit(0).cast("long"), lambda n, x: n + x["retrieved"]).alias("candidate_count"), F.transform(F.filter(results, lambda x: x["retrieved"] == 0), lambda x: x["mention_id"]).alias("empty_mentions")),
+        "nil_fallback": F.struct(total.alias("nil_mentions"), F.lit("no_candidates_for_all_mentions").alias("reason")),
+        "rerank_candidates": F.struct(total.alias("reranked_mentions")),
+        "resolve_mentions": F.struct(counts["linked"].alias("linked"), counts["nil"].alias("nil"), counts["ambiguous"].alias("ambiguous")),
+        "human_review": F.struct(counts["review_required"].alias("review_required"), F.transform(flagged, lambda x: F.struct(x["mention_id"], x["status"], x["confidence"])).alias("items"), F.lit("low_confidence_or_ambiguous").alias("policy")),
+        "build_response": F.struct(total.alias("total_mentions"), route.alias("route_decision")),
         "persist_trace": F.struct(F.lit(True).alias("trace_persisted")),
     }
-    table = F.create_map(*[x for k, v in detail.items() for x in (F.lit(k), F.to_json(v))])
-    return F.transform(nodes(route), lambda n: F.struct(n.alias("node"), F.element_at(table, n).alias("detail")))
+
+    def told(n: Column) -> Column:
+        text = F.lit(None).cast("string")
+        for name, value in detail.items():
+            text = F.when(n == name, F.to_json(value)).otherwise(text)
+        return F.struct(n.alias("node"), text.alias("detail"))
+
+    return F.transform(nodes(route), told)
+
+
+def log_of(results: Column, trace: Column) -> Column:
+    return F.transform(results, lambda x: F.struct(trace.alias("trace_id"), x["mention_id"].alias("mention_id"), x["status"].alias("status"), x["linked_entity_id"].alias("linked_entity_id"), x["confidence"].alias("confidence"), x["needs_review"].alias("needs_review")))
 
 
 def decision_log(responses: DataFrame) -> DataFrame:
     """One flat row a result."""
-    rows = responses.select("trace_id", "request_id", F.explode("results").alias("r"))
-    return rows.select("trace_id", "request_id", "r.mention_id", "r.status", "r.linked_entity_id", "r.confidence", "r.needs_review")
+    return responses.select("request_id", F.inline(log_of(F.col("results"), F.col("trace_id"))))
+
+
+def public(results: Column) -> Column:
+    """Results as clients see them: evidence nested, no working columns."""
+
+    def shown(x: Column) -> Column:
+        evidence = F.struct(normalize(x["text"]).alias("normalized_mention"), x["matched_alias"].alias("matched_alias"), x["context"].alias("context_snippet"), x["overlapping_keywords"].alias("overlapping_keywords"), x["rationale"].alias("rationale"))
+        fields = ("mention_id", "text", "entity_type", "linked_entity_id", "canonical_name", "status", "confidence", "needs_review", "candidates")
+        return F.struct(*[x[f].alias(f) for f in fields], evidence.alias("evidence"), x["coreference_source"].alias("coreference_source_mention_id"))
+
+    return F.transform(results, shown)
 
 
 def with_defaults(requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -224,28 +275,66 @@ def with_defaults(requests: DataFrame, settings: Settings = Settings()) -> DataF
     return requests.withColumns({"kb_id": F.coalesce("kb_id", F.lit(settings.default_kb)), "trace_id": F.coalesce("trace_id", trace_id(settings.trace_prefix))})
 
 
-def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None) -> DataFrame:
-    """Responses to requests (request_id, trace_id, kb_id, text, mentions): one row each.
+def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, unknown: str = "fail") -> DataFrame:
+    """Responses to requests (see schemas.REQUEST): one row each, requests being independent even
+    where their ids repeat.
 
-    Invalid requests do not touch the base: route invalid_input, version unloaded, no results.
+    A request may bring options of its own (`options`; missing parts are filled from the argument)
+    and a base of its own (`inline_kb`, which wins over kb_id; an empty one counts). Invalid requests
+    do not touch a base: route invalid_input, version unloaded, no results. A valid request that
+    names a base which entities does not hold fails the job (unknown="fail"), or gets the route
+    unknown_kb and an error code (unknown="mark").
     """
-    checked = requests.withColumn("validation_errors", validation_errors(options))
-    valid = checked.filter(F.size("validation_errors") == 0)
-    linked = by_document_of(explode_requests(valid), entities, options, prior)
-    bases = entities.groupBy("kb_id").agg(F.first("version").alias("kb_version"), F.count("*").alias("entity_count"))
-    none = F.array().cast(linked.schema["results"].dataType)
-    rows = checked.join(linked, "request_id", "left").join(bases, "kb_id", "left")
+    if unknown not in ("fail", "mark"):
+        raise ValueError(unknown)
+    # Equal rows get equal responses, so the whole row is the key: it does not depend on order or retries.
+    keyed = requests.withColumn("request_key", retrieve.key(*requests.columns))
+    given = with_options(keyed.select("*", "options.*") if "options" in requests.columns else keyed, options)
+    checked = given.withColumn("validation_errors", validation_errors())
+    named = F.col("kb_id")
+    if "inline_kb" in requests.columns:
+        brought = F.col("inline_kb").isNotNull()
+        named = F.when(brought, F.coalesce("inline_kb.kb_id", F.lit("inline"))).otherwise(named)
+        checked = checked.withColumn("base", F.when(brought, F.concat(F.lit("inline:"), "request_key")).otherwise(F.col("kb_id")))
+        entities = entities.select(*schemas.ENTITY_COLUMNS).unionByName(inline_entities(checked.filter(brought), "base"))
+        owned = F.when(brought, F.size("inline_kb.entities"))
+    else:
+        checked = checked.withColumn("base", F.col("kb_id"))
+        owned = F.lit(None).cast("int")
+    checked = checked.withColumn("named", F.coalesce(named, F.lit("unknown"))).withColumn("owned", owned)
     bad = F.size("validation_errors") > 0
-    route = F.when(bad, F.lit("invalid_input")).otherwise(F.col("route"))
-    rows = rows.withColumns({"route_decision": route, "results": F.coalesce("results", none), "kb_version": F.when(bad, F.lit("unloaded")).otherwise(F.col("kb_version"))})
+    valid = checked.filter(~bad).dropDuplicates(["request_key"])
+    mentions = explode_requests(valid.withColumn("kb_id", F.col("base")), ("request_key", "top_k", "nil_threshold", "ambiguity_margin"))
+    linked = link_mentions(mentions, entities, options if not options.errors() else LinkOptions(), prior, keys=("request_key",))
+    bases = entities.groupBy(F.col("kb_id").alias("base")).agg(F.first("version").alias("kb_version"), F.count("*").alias("entity_count"))
+    none = F.array().cast(linked.schema["results"].dataType)
+    rows = checked.join(linked, "request_key", "left").join(bases, "base", "left")
+    rows = rows.withColumn("kb_version", F.when(F.col("owned").isNotNull(), F.lit("inline")).otherwise(F.col("kb_version")))
+    rows = rows.withColumn("entity_count", F.coalesce("owned", "entity_count"))
+    lost = ~bad & F.col("kb_version").isNull()
+    if unknown == "fail":
+        error = F.raise_error(F.concat(F.lit("unknown knowledge base: "), F.col("named"))).cast("string")
+    else:
+        error = F.lit("unknown_kb")
+    route = F.when(bad, F.lit("invalid_input")).when(lost, error).otherwise(F.col("route"))
+    errors = F.when(lost, F.array(F.concat(F.lit("unknown_knowledge_base:"), F.col("named")))).otherwise(F.col("validation_errors"))
+    rows = rows.withColumns(
+        {
+            "route_decision": route,
+            "validation_errors": errors,
+            "results": F.when(bad | lost, none).otherwise(F.coalesce("results", none)),
+            "kb_version": F.when(bad | lost, F.lit("unloaded")).otherwise(F.col("kb_version")),
+        }
+    ).withColumn("summary", summary(F.col("results")))
     return rows.select(
-        "request_id", "trace_id", F.coalesce("kb_id", F.lit("unknown")).alias("kb_id"), "kb_version", F.lit("spark").alias("workflow_engine"), "route_decision", "validation_errors",
+        "request_id", "trace_id", F.col("named").alias("kb_id"), "kb_version", F.lit("spark").alias("workflow_engine"), "route_decision", "validation_errors",
         nodes(F.col("route_decision")).alias("graph_nodes"),
-        events(F.col("route_decision"), F.col("results"), F.col("entity_count"), F.col("validation_errors")).alias("node_events"),
-        "results", summary(F.col("results")).alias("summary"), F.lit(True).alias("trace_persisted"),
+        events(F.col("route_decision"), F.col("results"), F.col("summary"), F.col("named"), F.col("entity_count"), F.col("validation_errors")).alias("node_events"),
+        public(F.col("results")).alias("results"), "summary", log_of(F.col("results"), F.col("trace_id")).alias("decision_log"), F.lit(True).alias("trace_persisted"),
     )
 
 
-def by_document_of(mentions: DataFrame, entities: DataFrame, options: LinkOptions, prior: DataFrame | None) -> DataFrame:
-    safe = options if not options.errors() else LinkOptions()  # then no request is valid
-    return link_mentions(mentions, entities, safe, prior)
+def unpersisted(responses: DataFrame) -> DataFrame:
+    """Responses as they are when their traces could not be written."""
+    failed = F.transform("node_events", lambda e: F.struct(e["node"].alias("node"), F.when(e["node"] == "persist_trace", F.to_json(F.struct(F.lit(False).alias("trace_persisted")))).otherwise(e["detail"]).alias("detail")))
+    return responses.withColumns({"node_events": failed, "trace_persisted": F.lit(False)})

@@ -13,10 +13,12 @@ def count_if(test: Column) -> Column:
 
 
 def benchmark_metrics(predictions: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: overall and link accuracy, NIL precision, recall and F1, alias recall, total.
+    """One row: overall and link accuracy, NIL precision, recall and F1, alias recall, total, and how
+    many gold rows have no prediction.
 
     predictions: keys, status, linked_entity_id; gold: keys, entity_id, status, is_alias. A gold row
-    without a prediction is an error of the caller and counts as wrong.
+    without a prediction is an error of the caller: it counts as wrong, and `missing_predictions`
+    says how many there are.
     """
     rows = gold.select(*keys, F.col("entity_id").alias("want"), (F.col("status") == "nil").alias("gold_nil"), "is_alias").join(predictions.select(*keys, F.col("status").alias("got_status"), F.col("linked_entity_id").alias("got")), keys, "left")
     got_nil = F.coalesce(F.col("got_status") == "nil", F.lit(False))
@@ -33,6 +35,7 @@ def benchmark_metrics(predictions: DataFrame, gold: DataFrame, keys: list[str])
         count_if(F.col("gold_nil") & got_nil).alias("nils_right"),
         count_if(~F.col("gold_nil") & F.col("is_alias")).alias("aliases"),
         count_if(linked_right & F.col("is_alias")).alias("aliases_right"),
+        count_if(F.col("got_status").isNull()).alias("missing_predictions"),
     )
     rated = counted.select(
         safe_divide(F.col("right"), F.col("total_mentions")).alias("overall_accuracy"),
@@ -41,6 +44,7 @@ def benchmark_metrics(predictions: DataFrame, gold: DataFrame, keys: list[str])
         safe_divide(F.col("nils_right"), F.col("nils")).alias("nil_recall"),
         safe_divide(F.col("aliases_right"), F.col("aliases")).alias("alias_recall"),
         "total_mentions",
+        "missing_predictions",
     )
     return rated.withColumn("nil_f1", f1(F.col("nil_precision"), F.col("nil_recall")))
 

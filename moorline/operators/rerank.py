@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from moorline.functions.text import clamp, description_overlap, keyword_hits, normalize, round_binary
 from moorline.operators.retrieve import BROADCAST_ALIASES, sized_hint
-from moorline.options import LinkOptions
 
 #: Weights of the score, in the order in which they are added.
 ALIAS, CONTEXT, TYPE, CANONICAL, EXPANSION, PRIOR = 0.62, 0.23, 0.05, 0.03, 0.08, 0.22
@@ -45,12 +44,15 @@ def rescore(built: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     return scored.withColumns({"score": round_binary(clamp(total), 3), "reasons": F.concat("reasons", more)})
 
 
-def top(rescored: DataFrame, options: LinkOptions) -> DataFrame:
-    """The best top_k candidates of a signature; ties keep retrieval order."""
+FIELDS = ["rank", "entity_id", "canonical_name", "entity_type", "score", "alias_similarity", "matched_alias", "overlapping_keywords", "reasons"]
+
+
+def top(rescored: DataFrame, most_k: int) -> DataFrame:
+    """The best top_k candidates of a signature; ties keep retrieval order. most_k is the greatest
+    top_k: Spark cuts each task's rows to it before they are shuffled."""
     order = Window.partitionBy("sig").orderBy(F.desc("score"), "retrieval_rank")
-    counted = rescored.withColumn("retrieved", F.count("*").over(Window.partitionBy("sig")))
-    ranked = counted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= options.top_k)
-    return ranked.select("sig", "retrieved", "rank", "entity_id", "canonical_name", "entity_type", "score", "alias_similarity", "matched_alias", "overlapping_keywords", "reasons")
+    slim = rescored.select("sig", "top_k", "retrieved", "retrieval_rank", *FIELDS[1:])
+    return slim.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_k).filter(F.col("rank") <= F.col("top_k")).select("sig", "retrieved", *FIELDS)
 
 
 def margins(ranked: DataFrame) -> DataFrame:
@@ -61,5 +63,4 @@ def margins(ranked: DataFrame) -> DataFrame:
 
 def collected(ranked: DataFrame) -> DataFrame:
     """(sig, candidates, retrieved): at most top_k structs in rank order, and how many there were."""
-    fields = ["rank", "entity_id", "canonical_name", "entity_type", "score", "alias_similarity", "matched_alias", "overlapping_keywords", "reasons"]
-    return ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("candidates"), F.max("retrieved").alias("retrieved"))
+    return ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("candidates"), F.max("retrieved").cast("long").alias("retrieved"))

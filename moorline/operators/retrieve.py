@@ -1,30 +1,44 @@
 """Candidate retrieval: exact alias join, and guarded best-first fuzzy search for what it leaves.
 
-Everything that a candidate's score depends on is the mention's signature (base, text, expansions,
-type, context); mentions of one signature are retrieved and scored once.
+What can be found depends on the base, the list of queries (text and expansions) and top_k alone, so
+each distinct such list is asked once, `q` being its key, and what it finds is one array. Types and
+contexts come in only when candidates are scored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.functions.similarity import AliasMatcher
 from moorline.functions.text import clamp, normalize, query_texts, round_binary
-from moorline.options import FUZZY_MOST_ENTITIES, LinkOptions
+from moorline.options import FUZZY_MOST_ENTITIES, exact_cap, fuzzy_cap
 from moorline.sources.kb import alias_index, aliases
 
 BROADCAST_ALIASES = 100_000  # a larger alias index joins by shuffle
-FUZZY_PART = 64  # query lists that one row of fuzzy work holds on average
+FUZZY_PART = 256  # query lists beside which one copy of a base's aliases travels, where it does
+FOUND = "array<struct<entity_ord:bigint,matched_alias:string,similarity:double>>"
 
 
-def queries(signatures: DataFrame) -> DataFrame:
-    """(sig, kb_id, query_ord, query, norm): the mention's text and expansions, empty forms left out."""
-    rows = signatures.select("sig", "kb_id", F.posexplode(query_texts(F.col("text"), F.col("candidate_aliases"))).alias("query_ord", "query"))
-    return rows.withColumn("norm", normalize(F.col("query"))).filter("norm != ''")
+def key(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def with_queries(mentions: DataFrame) -> DataFrame:
+    """mentions and their `queries`, and `q`, the key of what can be found for them."""
+    return mentions.withColumn("queries", query_texts(F.col("text"), F.col("candidate_aliases"))).withColumn("q", key("kb_id", "queries", "top_k"))
+
+
+def asked(mentions: DataFrame) -> DataFrame:
+    """(q, kb_id, queries, top_k), each q once."""
+    return mentions.select("q", "kb_id", "queries", "top_k").dropDuplicates(["q"])
+
+
+def most_asked(lists: DataFrame) -> int:
+    return max(1, lists.agg(F.max("top_k")).first()[0] or 1)
 
 
 def sized_hint(table: DataFrame, most: int) -> DataFrame:
@@ -32,69 +46,103 @@ def sized_hint(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
-def exact(signatures: DataFrame, entities: DataFrame, options: LinkOptions) -> DataFrame:
-    """Entities that have one of the queries as an alias: (sig, kb_id, entity_ord, matched_alias,
-    similarity, retrieval_rank), by query and entity order, the first exact_cap of a signature."""
-    index = sized_hint(alias_index(entities, options.exact_cap).select("kb_id", "norm", "entity_ord"), BROADCAST_ALIASES)
-    pairs = queries(signatures).join(index, ["kb_id", "norm"])
-    first = Window.partitionBy("sig", "entity_ord").orderBy("query_ord")
-    once = pairs.withColumn("_q", F.row_number().over(first)).filter("_q = 1")
-    order = Window.partitionBy("sig").orderBy("query_ord", "entity_ord")
-    ranked = once.withColumn("retrieval_rank", F.row_number().over(order)).filter(F.col("retrieval_rank") <= options.exact_cap)
-    return ranked.select("sig", "kb_id", "entity_ord", F.col("query").alias("matched_alias"), F.lit(1.0).alias("similarity"), "retrieval_rank")
+def exact(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
+    """(q, found): the entities that have one of the queries as an alias, in order of query and
+    entity, the first exact_cap(top_k) of them. most_k is the greatest top_k of lists."""
+    index = sized_hint(alias_index(entities, exact_cap(most_k)).select("kb_id", "norm", "entity_ord"), BROADCAST_ALIASES)
+    single = lists.select("q", "kb_id", "top_k", F.posexplode("queries").alias("query_ord", "query")).withColumn("norm", normalize(F.col("query"))).filter("norm != ''")
+    pairs = single.join(index, ["kb_id", "norm"])
+    # At most the index's cap for each query.
+    rows = pairs.groupBy("q", "top_k").agg(F.array_sort(F.collect_list(F.struct("entity_ord", "query_ord", "query"))).alias("hits"))
+    once = F.filter("hits", lambda x, i: (i == 0) | (x["entity_ord"] != F.get(F.col("hits"), i - 1)["entity_ord"]))
+    rows = rows.select("q", "top_k", F.array_sort(F.transform(once, lambda x: F.struct(x["query_ord"], x["entity_ord"], x["query"]))).alias("hits"))
+    found = F.transform(F.slice("hits", F.lit(1), exact_cap(F.col("top_k"))), lambda x: F.struct(x["entity_ord"].alias("entity_ord"), x["query"].alias("matched_alias"), F.lit(1.0).alias("similarity")))
+    return rows.select("q", found.cast(FOUND).alias("found"))
+
+
+def unmatched(lists: DataFrame, found: DataFrame) -> DataFrame:
+    return lists.join(found.select("q"), "q", "left_anti")
+
+
+class Matchers:
+    """One matcher for each base, built when first asked for."""
 
+    def __init__(self, names: dict[str, list[tuple]]):
+        self.names, self.built = names, {}
 
-def unmatched(signatures: DataFrame, found: DataFrame) -> DataFrame:
-    return signatures.join(found.select("sig").distinct(), "sig", "left_anti")
+    def of(self, kb_id: str) -> AliasMatcher | None:
+        if kb_id not in self.built and kb_id in self.names:
+            self.built[kb_id] = AliasMatcher(self.names[kb_id])
+        return self.built.get(kb_id)
 
 
-def fuzzy(signatures: DataFrame, entities: DataFrame, options: LinkOptions) -> DataFrame:
-    """Best entities by similarity for signatures without an exact hit.
+def fuzzy(lists: DataFrame, entities: DataFrame) -> DataFrame:
+    """(q, found): the fuzzy_cap(top_k) best entities by similarity.
 
-    Bases of more than FUZZY_MOST_ENTITIES entities have no fuzzy search, so what each task holds of
-    the aliases is bounded. Distinct lists of queries are searched once.
+    Bases of more than FUZZY_MOST_ENTITIES entities have no fuzzy search, so the aliases that a task
+    holds of one base are bounded. Where those of all bases together are at most BROADCAST_ALIASES,
+    they are broadcast once and only query lists move; else each base's aliases travel beside parts
+    of FUZZY_PART of its lists.
     """
-    sizes = entities.groupBy("kb_id").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n") <= FUZZY_MOST_ENTITIES).select("kb_id")
-    held = aliases(entities.join(small, "kb_id", "left_semi")).groupBy("kb_id").agg(F.collect_list(F.struct("entity_ord", "alias_ord", "alias", "norm")).alias("names"))
-    keep = options.fuzzy_cap
-    texts = F.filter(F.transform(query_texts(F.col("text"), F.col("candidate_aliases")), normalize), lambda x: x != "")
-    asked = signatures.withColumn("texts", texts).filter(F.size("texts") > 0)
-    distinct = asked.select("kb_id", "texts").distinct()
-    # A row of work is a bounded part of one base's texts beside that base's bounded aliases.
-    parts = distinct.groupBy("kb_id").agg(F.ceil(F.count("*") / FUZZY_PART).alias("parts"))
-    part = F.pmod(F.xxhash64("texts"), F.col("parts"))
-    work = distinct.join(parts, "kb_id").withColumn("part", part).groupBy("kb_id", "part").agg(F.collect_list("texts").alias("lists")).join(held, "kb_id")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, matcher = None, None
-        for batch in batches:
-            for kb_id, lists, names in zip(batch["kb_id"], batch["lists"], batch["names"]):
-                if kb_id != last:
-                    last, matcher = kb_id, AliasMatcher([(n["entity_ord"], n["alias_ord"], n["alias"], n["norm"]) for n in names])
-                out = [(kb_id, list(wanted), entity, alias, similarity, rank) for wanted in lists for rank, (entity, similarity, alias) in enumerate(matcher.best(list(wanted), keep), 1)]
-                yield pd.DataFrame(out, columns=["kb_id", "texts", "entity_ord", "matched_alias", "similarity", "retrieval_rank"])
-
-    dealt = work.repartition(int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kb_id", "part").sortWithinPartitions("kb_id")
-    best = dealt.mapInPandas(search, "kb_id string, texts array<string>, entity_ord long, matched_alias string, similarity double, retrieval_rank int")
-    return asked.select("sig", "kb_id", "texts").join(best, ["kb_id", "texts"]).select("sig", "kb_id", "entity_ord", "matched_alias", "similarity", "retrieval_rank")
-
-
-def candidates(signatures: DataFrame, entities: DataFrame, options: LinkOptions) -> DataFrame:
-    """Exact hits, or fuzzy ones for signatures without any."""
-    hits = exact(signatures, entities, options)
-    return hits.unionByName(fuzzy(unmatched(signatures, hits), entities, options))
+    spark = lists.sparkSession
+    small = entities.groupBy("kb_id").count().filter(F.col("count") <= FUZZY_MOST_ENTITIES).select("kb_id")
+    names = aliases(entities.join(small, "kb_id", "left_semi")).select("kb_id", F.struct("entity_ord", "alias_ord", "alias", "norm").alias("name"))
+    texts = F.filter(F.transform("queries", normalize), lambda x: x != "")
+    work = lists.select("q", "kb_id", fuzzy_cap(F.col("top_k")).cast("int").alias("keep"), texts.alias("texts")).filter(F.size("texts") > 0)
+
+    def answer(q: list[str], found: list[list[tuple]]) -> pa.RecordBatch:
+        rows = [[{"entity_ord": e, "matched_alias": a, "similarity": s} for e, s, a in of] for of in found]
+        kind = pa.list_(pa.struct([("entity_ord", pa.int64()), ("matched_alias", pa.string()), ("similarity", pa.float64())]))
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(rows, kind)], names=["q", "found"])
+
+    head = names.limit(BROADCAST_ALIASES + 1).collect()
+    if len(head) <= BROADCAST_ALIASES:
+        held: dict[str, list[tuple]] = {}
+        for r in head:
+            held.setdefault(r["kb_id"], []).append(tuple(r["name"]))
+        shared = spark.sparkContext.broadcast(Matchers(held))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = batch.to_pylist()
+                yield answer([r["q"] for r in rows], [m.best(r["texts"], r["keep"]) if (m := shared.value.of(r["kb_id"])) else [] for r in rows])
+
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = work.repartition(parts, "q").mapInArrow(search, f"q string, found {FOUND}")
+    else:
+        beside = names.groupBy("kb_id").agg(F.collect_list("name").alias("names"))
+        number = work.groupBy("kb_id").agg(F.ceil(F.count("*") / FUZZY_PART).alias("parts"))
+        dealt = work.join(number, "kb_id").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
+        dealt = dealt.groupBy("kb_id", "part").agg(F.collect_list(F.struct("q", "texts", "keep")).alias("lists")).join(beside, "kb_id")
+
+        def search_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    matcher = AliasMatcher([tuple(n.values()) for n in row["names"]])
+                    yield answer([r["q"] for r in row["lists"]], [matcher.best(r["texts"], r["keep"]) for r in row["lists"]])
+
+        found = dealt.mapInArrow(search_beside, f"q string, found {FOUND}")
+    return found.filter(F.size("found") > 0)
+
+
+def candidates(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
+    """(q, found): exact hits, or fuzzy ones for lists without any; lists that find nothing give no row."""
+    hits = exact(lists, entities, most_k)
+    return hits.unionByName(fuzzy(unmatched(lists, hits), entities))
 
 
 def build(found: DataFrame, signatures: DataFrame, entities: DataFrame) -> DataFrame:
-    """Candidate rows with the entity's columns, rounded similarity and first reasons."""
+    """A row for each candidate of each signature, with the entity's columns, the rounded similarity
+    and the first reasons; `retrieved` counts the signature's candidates."""
     known = sized_hint(entities.drop("version", "metadata_json"), BROADCAST_ALIASES)
-    asked = signatures.drop("kb_id").withColumnRenamed("entity_type", "mention_type")
-    joined = found.join(asked, "sig").join(known, ["kb_id", "entity_ord"])
+    wanted = signatures.withColumnRenamed("entity_type", "mention_type").join(found, "q")
+    single = wanted.withColumn("retrieved", F.size("found")).select("*", F.posexplode("found").alias("place", "c")).drop("found", "q")
+    single = single.withColumns({"retrieval_rank": F.col("place") + 1, "entity_ord": F.col("c.entity_ord"), "matched_alias": F.col("c.matched_alias"), "similarity": F.col("c.similarity")}).drop("c", "place")
+    joined = single.join(known, ["kb_id", "entity_ord"])
     matched, mention = normalize(F.col("matched_alias")), normalize(F.col("text"))
-    expansions = F.transform(F.slice(query_texts(F.col("text"), F.col("candidate_aliases")), 2, 10_000), normalize)
+    expanded = F.exists(F.slice("queries", 2, 10_000), lambda x: normalize(x) == matched)
     kind = (
-        F.when(F.array_contains(expansions, matched) & (matched != mention), F.lit("llm_alias_expansion"))
+        F.when((matched != mention) & expanded, F.lit("llm_alias_expansion"))
         .when(matched == mention, F.lit("exact_or_alias_match"))
         .otherwise(F.lit("fuzzy_alias_match"))
     )

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, replace
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Fixed values of the scoring model.
 FUZZY_FLOOR = 0.35
 CONTAINED = 0.90
@@ -12,7 +15,18 @@ FUZZY_MOST_ENTITIES = 5000
 WINDOW = 48
 COREFERENCE_TERMS = ("该公司", "该企业", "该机构", "该集团", "其", "他", "她", "它")
 COREFERENCE_FLOOR, COREFERENCE_LOSS = 0.50, 0.15
-DEFAULT_KB = "sample-energy-v1"
+DEFAULT_KB, CCKS_KB = "sample-energy-v1", "ccks2019-v1"
+
+
+def exact_cap(top_k):
+    """Most exact candidates of a mention; top_k may be a number or a column."""
+    if isinstance(top_k, Column):
+        return F.greatest(top_k * 20, F.lit(50))
+    return max(20 * max(top_k, 1), 50)
+
+
+def fuzzy_cap(top_k):
+    return top_k * 2 if isinstance(top_k, Column) else 2 * max(top_k, 1)
 
 
 @dataclass(frozen=True)
@@ -23,11 +37,11 @@ class LinkOptions:
 
     @property
     def exact_cap(self) -> int:
-        return max(20 * max(self.top_k, 1), 50)
+        return exact_cap(self.top_k)
 
     @property
     def fuzzy_cap(self) -> int:
-        return 2 * max(self.top_k, 1)
+        return fuzzy_cap(self.top_k)
 
     def errors(self) -> list[str]:
         found = []
@@ -42,7 +56,13 @@ class LinkOptions:
 
 @dataclass(frozen=True)
 class Settings:
+    """What the environment says: bases and their paths, the prior, traces and options."""
+
     default_kb: str = DEFAULT_KB
+    default_kb_path: str = "data/kb/sample_kb.json"
+    ccks_kb: str = CCKS_KB
+    ccks_kb_path: str | None = None
+    prior_path: str = "data/models/ccks2019_alias_prior.json"
     trace_dir: str = "artifacts/traces"
     trace_prefix: str = "t10"
     options: LinkOptions = LinkOptions()
@@ -57,4 +77,13 @@ class Settings:
             nil_threshold=float(env.get("EL_NIL_THRESHOLD", base.nil_threshold)),
             ambiguity_margin=float(env.get("EL_AMBIGUITY_MARGIN", base.ambiguity_margin)),
         )
-        return cls(env.get("EL_DEFAULT_KB_ID", cls.default_kb), env.get("EL_TRACE_DIR", cls.trace_dir), env.get("EL_TRACE_PREFIX", cls.trace_prefix), options)
+        names = {
+            "default_kb": "EL_DEFAULT_KB_ID", "default_kb_path": "EL_DEFAULT_KB_PATH", "ccks_kb": "EL_CCKS2019_KB_ID", "ccks_kb_path": "EL_CCKS2019_KB_PATH",
+            "prior_path": "EL_ALIAS_PRIOR_PATH", "trace_dir": "EL_TRACES_DIR", "trace_prefix": "EL_TRACE_PREFIX",
+        }
+        return cls(**{field: env[name] for field, name in names.items() if name in env}, options=options)
+
+    @property
+    def kb_paths(self) -> dict[str, str]:
+        """The bases that a catalog can load, by name."""
+        return {k: p for k, p in ((self.default_kb, self.default_kb_path), (self.ccks_kb, self.ccks_kb_path)) if p}

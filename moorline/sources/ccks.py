@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from moorline import schemas
 from moorline.functions.text import first_or, ordered_unique, split_keywords
+from moorline.options import CCKS_KB
 from moorline.sources.kb import subset
 
 #: Predicates whose objects are keywords, and the most keywords kept.
@@ -21,7 +22,7 @@ def read_entity_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("line", F.monotonically_increasing_id())
 
 
-def convert_entities(lines: DataFrame, kb_id: str = "ccks2019-v1") -> DataFrame:
+def convert_entities(lines: DataFrame, kb_id: str = CCKS_KB) -> DataFrame:
     data = F.coalesce("data", F.array().cast("array<struct<predicate:string,object:string>>"))
     stated = F.filter(data, lambda r: F.coalesce(r["object"], F.lit("")) != "")
     description = F.array_join(F.transform(stated, lambda r: F.concat(F.coalesce(r["predicate"], F.lit("")), F.lit(":"), r["object"])), " ")
@@ -41,8 +42,8 @@ def convert_entities(lines: DataFrame, kb_id: str = "ccks2019-v1") -> DataFrame:
     )
 
 
-def load_entities(spark: SparkSession, path: str, limit: int | None = None, ids: DataFrame | None = None, alias_texts: DataFrame | None = None) -> DataFrame:
-    rows = subset(convert_entities(read_entity_lines(spark, path)), ids, alias_texts)
+def load_entities(spark: SparkSession, path: str, limit: int | None = None, ids: DataFrame | None = None, alias_texts: DataFrame | None = None, kb_id: str = CCKS_KB) -> DataFrame:
+    rows = subset(convert_entities(read_entity_lines(spark, path), kb_id), ids, alias_texts)
     return rows if limit is None else rows.orderBy("entity_ord").limit(limit)
 
 

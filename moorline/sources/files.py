@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +30,12 @@ def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataF
     return reader.schema(schemas.REQUEST).json(path)
 
 
-def explode_requests(requests: DataFrame) -> DataFrame:
-    """One row a mention. Requests without mentions give none: validation reports those."""
+def explode_requests(requests: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """One row a mention, with the request's columns `keys`. Requests without mentions give none:
+    validation reports those."""
     none = F.array().cast("array<string>")
-    return requests.select("request_id", "kb_id", F.col("text").alias("doc_text"), F.posexplode("mentions").alias("pos", "m")).select(
-        "request_id", "kb_id", "doc_text", "pos", "m.mention_id", "m.text", "m.start", "m.end", "m.entity_type", "m.sentence",
+    return requests.select(*keys, "kb_id", F.col("text").alias("doc_text"), F.posexplode("mentions").alias("pos", "m")).select(
+        *keys, "kb_id", "doc_text", "pos", "m.mention_id", "m.text", "m.start", "m.end", "m.entity_type", "m.sentence",
         F.coalesce("m.candidate_aliases", none).alias("candidate_aliases"), F.coalesce("m.coreference_hint", F.lit(False)).alias("coreference_hint"),
     )
 
@@ -60,12 +65,38 @@ def write_prior_table(prior: DataFrame, path: str) -> None:
     prior.write.mode("overwrite").parquet(path)
 
 
-def write_traces(responses: DataFrame, path: str) -> None:
-    """Append traces, by day of the trace id; the commit protocol leaves whole files or none."""
+def trace_day(trace_id: str) -> str | None:
+    found = re.search(r"-(\d{8})\d{6}-", trace_id)
+    return found.group(1) if found else None
+
+
+def write_traces(responses: DataFrame, path: str, batch: int | None = None) -> None:
+    """Add traces to the table at path, by day of the trace id; the commit protocol leaves whole files
+    or none. A numbered batch replaces what an earlier attempt of that number wrote."""
     day = F.regexp_extract("trace_id", r"-(\d{8})\d{6}-", 1)
-    responses.withColumn("day", F.when(day != "", day)).write.mode("append").partitionBy("day").parquet(path)
+    rows = responses.withColumn("day", F.when(day != "", day))
+    if batch is None:
+        rows.write.mode("append").partitionBy("day").parquet(f"{path}/batch=-1")
+    else:
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
+
+
+def persist(responses: DataFrame, path: str, batch: int | None = None) -> bool:
+    """Write traces; False where that failed, and nothing of them is in the table then."""
+    try:
+        write_traces(responses, path, batch)
+        return True
+    except (PySparkException, Py4JError):
+        return False
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """All traces of the table, with their day."""
+    return spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
 def read_trace(spark: SparkSession, path: str, trace_id: str) -> DataFrame:
-    """The trace's rows, none if unknown."""
-    return spark.read.parquet(path).filter(F.col("trace_id") == trace_id).drop("day")
+    """The trace's rows, none if unknown. Its day says which partition to read."""
+    day, rows = trace_day(trace_id), read_traces(spark, path)
+    of_day = F.col("day").isNull() if day is None else F.col("day") == F.lit(int(day))
+    return rows.filter(of_day & (F.col("trace_id") == trace_id)).drop("day")

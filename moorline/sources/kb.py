@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from moorline import schemas
 from moorline.functions.text import normalize
-from moorline.options import DEFAULT_KB
+from moorline.options import CCKS_KB, DEFAULT_KB
 
 
 class UnknownKnowledgeBase(ValueError):
@@ -17,8 +17,8 @@ class UnknownKnowledgeBase(ValueError):
 class Catalog:
     """Named knowledge bases. Tables are read once and kept; register() replaces one."""
 
-    def __init__(self, spark: SparkSession, paths: dict[str, str] | None = None):
-        self.spark, self.paths, self.tables = spark, dict(paths or {}), {}
+    def __init__(self, spark: SparkSession, paths: dict[str, str] | None = None, ccks: str = CCKS_KB):
+        self.spark, self.paths, self.ccks, self.tables = spark, dict(paths or {}), ccks, {}
 
     def register(self, kb_id: str, entities: DataFrame) -> None:
         self.tables[kb_id] = entities
@@ -32,31 +32,40 @@ class Catalog:
         if inline is not None:
             rows = inline if isinstance(inline, DataFrame) else self.spark.createDataFrame(inline, schemas.ENTITY)
             return rows.withColumns({"version": F.lit("inline"), "kb_id": F.coalesce("kb_id", F.lit(kb_id or "inline"))})
+        from moorline.sources.ccks import load_entities
+
         name = kb_id or DEFAULT_KB
         if name not in self.tables:
             if name not in self.paths:
                 raise UnknownKnowledgeBase(name)
-            self.tables[name] = read_kb(self.spark, self.paths[name])
+            path = self.paths[name]
+            # Entity lines of the CCKS kind are a base of their own form.
+            self.tables[name] = load_entities(self.spark, path, kb_id=name) if name == self.ccks else read_kb(self.spark, path, name)
         return self.tables[name]
 
 
-def read_kb(spark: SparkSession, path: str) -> DataFrame:
-    """Entities of a JSON document {kb_id, version, entities: [...]}, missing parts empty."""
-    document = spark.read.option("multiLine", True).schema(schemas.KB_FILE).json(path)
-    rows = document.select("kb_id", "version", F.posexplode("entities").alias("entity_ord", "e"))
+def entity_columns() -> list[Column]:
+    """Columns of an entity `e` as documents state it, missing parts empty."""
     none = F.array().cast("array<string>")
-    return rows.select(
-        "kb_id",
-        "version",
-        F.col("entity_ord").cast("long"),
-        "e.entity_id",
-        "e.canonical_name",
-        F.coalesce("e.aliases", none).alias("aliases"),
-        "e.entity_type",
-        F.coalesce("e.keywords", none).alias("keywords"),
-        F.coalesce(F.get_json_object("e.metadata", "$.description"), F.lit("")).alias("description"),
-        F.col("e.metadata").alias("metadata_json"),
-    )
+    return [
+        F.col("e.entity_id"), F.col("e.canonical_name"), F.coalesce("e.aliases", none).alias("aliases"), F.col("e.entity_type"), F.coalesce("e.keywords", none).alias("keywords"),
+        F.coalesce(F.get_json_object("e.metadata", "$.description"), F.lit("")).alias("description"), F.col("e.metadata").alias("metadata_json"),
+    ]
+
+
+def read_kb(spark: SparkSession, path: str, kb_id: str | None = None) -> DataFrame:
+    """Entities of a JSON document {kb_id, version, entities: [...]}, missing parts empty; a document
+    without a name or version takes kb_id for both."""
+    document = spark.read.option("multiLine", True).schema(schemas.KB_FILE).json(path)
+    name = F.lit(kb_id).cast("string")
+    rows = document.select(F.coalesce("kb_id", name).alias("kb_id"), F.coalesce("version", name).alias("version"), F.posexplode("entities").alias("entity_ord", "e"))
+    return rows.select("kb_id", "version", F.col("entity_ord").cast("long"), *entity_columns())
+
+
+def inline_entities(requests: DataFrame, base: str) -> DataFrame:
+    """Entities that requests bring along in `inline_kb`, named by the column `base`, each base once."""
+    rows = requests.select(F.col(base).alias("kb_id"), F.posexplode("inline_kb.entities").alias("entity_ord", "e"))
+    return rows.select("kb_id", F.lit("inline").alias("version"), F.col("entity_ord").cast("long"), *entity_columns()).dropDuplicates(["kb_id", "entity_ord"])
 
 
 def duplicate_ids(entities: DataFrame) -> DataFrame:

@@ -11,10 +11,15 @@ from moorline.sources.files import write_traces
 
 
 def link_stream(requests: DataFrame, entities: DataFrame, sink: str, checkpoint: str, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append the responses of a request stream to the trace table `sink`."""
+    """Write the responses of a request stream to the trace table `sink`.
+
+    A micro-batch that is tried again replaces its own earlier rows, so each request is answered
+    once. Requests that name an unknown base are answered with that route: one of them must not end
+    the stream.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        write_traces(respond(batch, entities, options, prior), sink)
+        write_traces(respond(batch, entities, options, prior, unknown="mark"), sink, number)
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
