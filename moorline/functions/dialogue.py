@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from moorline.functions.text import clamp, strip
 from moorline.options import DEFAULT_KB
 
-STRINGS = "array<string>"
+STRINGS, ALIASES = "array<string>", "map<string,array<string>>"
 #: Mention markers in the order in which they are tried.
 MARKERS = (
     "mentions是", "mentions为", "mention是", "mention为", "mention:", "mention：", "实体是",
@@ -126,15 +126,17 @@ def alias_texts(mentions: Column, aliases: Column) -> Column:
     return F.array_union(mentions, F.flatten(F.map_values(aliases)))
 
 
-def located(text: str, mentions: str) -> Column:
-    """Spans of mentions (SQL expressions): each searched behind the one before, else from the start."""
-    kind = "array<struct<mention_id:string,text:string,start:int,end:int>>"
+def located(text: str, mentions: str, aliases: str | None = None) -> Column:
+    """Spans of mentions (SQL expressions): each searched behind the one before, else from the start.
+    `candidate_aliases` are those that the map `aliases` has for a mention."""
+    kind = "array<struct<mention_id:string,text:string,start:int,end:int,candidate_aliases:array<string>>>"
+    known = f"coalesce(try_element_at({aliases}, m), cast(array() as array<string>))" if aliases else "cast(array() as array<string>)"
     at = "CASE WHEN locate(m, {t}, s.cursor + 1) > 0 THEN locate(m, {t}, s.cursor + 1) ELSE locate(m, {t}) END - 1".format(t=text)
     return F.expr(
         f"""aggregate({mentions}, named_struct('cursor', 0, 'out', cast(array() as {kind})), (s, m) -> named_struct(
           'cursor', CASE WHEN {at} >= 0 THEN {at} + length(m) ELSE s.cursor END,
           'out', concat(s.out, array(named_struct('mention_id', concat('m', size(s.out) + 1), 'text', m,
-             'start', CASE WHEN {at} >= 0 THEN {at} END, 'end', CASE WHEN {at} >= 0 THEN {at} + length(m) END)))), s -> s.out)"""
+             'start', CASE WHEN {at} >= 0 THEN {at} END, 'end', CASE WHEN {at} >= 0 THEN {at} + length(m) END, 'candidate_aliases', {known})))), s -> s.out)"""
     )
 
 
@@ -168,6 +170,7 @@ def rule_action(turn: Column, has_text: Column, has_mentions: Column) -> Column:
         F.when(say, turn["kb_id"]).alias("kb_id"),
         F.when(say & some_text, text).alias("text"),
         F.when(say, mentions).otherwise(F.array().cast(STRINGS)).alias("mentions"),
+        F.create_map().cast(ALIASES).alias("mention_aliases"),
         (say & run).alias("run_requested"),
         reply.alias("reply"),
         F.when(say & nothing, F.lit(0.0)).otherwise(F.lit(1.0)).alias("confidence"),

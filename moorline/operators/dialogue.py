@@ -8,41 +8,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorline.functions.dialogue import STRINGS, Words, accepted, guessed_mentions, inferred_kb, json_object, normalized_action, parsed_turn, rule_action
+from moorline import schemas
+from moorline.functions.dialogue import ALIASES, STRINGS, Words, accepted, alias_texts, guessed_mentions, inferred_kb, json_object, located, normalized_action, parsed_turn, rule_action
 from moorline.options import DEFAULT_KB
 
-STATE = "struct<kb_id:string,text:string,mentions:array<string>>"
+STATE = "struct<kb_id:string,text:string,mentions:array<string>,aliases:map<string,array<string>>>"
 
 
 def start() -> Column:
-    return F.struct(F.lit(DEFAULT_KB).alias("kb_id"), F.lit("").alias("text"), F.array().cast(STRINGS).alias("mentions"))
+    return F.struct(F.lit(DEFAULT_KB).alias("kb_id"), F.lit("").alias("text"), F.array().cast(STRINGS).alias("mentions"), F.create_map().cast(ALIASES).alias("aliases"))
 
 
 def moved(state: Column, action: Column, words: Words) -> Column:
     """The state after an action: what it states overwrites, a reset starts anew, help changes nothing."""
     text, mentions = F.coalesce(action["text"], state["text"]), F.when(F.size(action["mentions"]) > 0, action["mentions"]).otherwise(state["mentions"])
+    aliases = F.when(F.size(action["mention_aliases"]) > 0, action["mention_aliases"]).otherwise(state["aliases"])
     kb_id = F.coalesce(action["kb_id"], inferred_kb(text, mentions, state["kb_id"], words), state["kb_id"])
-    new = F.struct(kb_id.alias("kb_id"), text.alias("text"), mentions.alias("mentions"))
+    new = F.struct(kb_id.alias("kb_id"), text.alias("text"), mentions.alias("mentions"), aliases.alias("aliases"))
     return F.when(action["action"] == "help", state).when(action["action"] == "reset", start()).otherwise(new)
 
 
+def modelled(turns: DataFrame, answer_col: str = "answer") -> Column:
+    """A model's action from its raw answer; null where turns have none or it is not accepted."""
+    if answer_col not in turns.columns:
+        return F.lit(None).cast(schemas.ACTION_TYPE)
+    action = normalized_action(json_object(F.col(answer_col)))
+    return F.when(F.col(answer_col).isNotNull() & accepted(action), action).cast(schemas.ACTION_TYPE)
+
+
 def states(turns: DataFrame, words: Words = Words(), key: str = "conv_id", order: str = "turn", text_col: str = "text", parser: Callable[[Column, Words], Column] = parsed_turn) -> DataFrame:
-    """(key, order, action, kb_id, text, mentions, runs, missing): every turn's action by rule and
-    the state after it. A run needs a text and mentions; `missing` names what is not there yet.
-    `parser` reads a turn (see parsed_turn)."""
-    parsed = turns.select(key, order, parser(F.coalesce(F.col(text_col), F.lit("")), words).alias("said"))
-    rows = parsed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "said"))).alias("turns"))
+    """(key, order, action, kb_id, text, mentions, aliases, runs, missing): every turn's action and the
+    state after it. A turn's column `answer`, a model's raw reply, decides where it is accepted (see
+    `answered`); else the rules do. A run needs a text and mentions; `missing` names what is not
+    there yet. `parser` reads a turn (see parsed_turn)."""
+    parsed = turns.select(key, order, parser(F.coalesce(F.col(text_col), F.lit("")), words).alias("said"), modelled(turns).alias("model"))
+    rows = parsed.groupBy(key).agg(F.collect_list(F.struct(order, "said", "model")).alias("turns"))
+    rows = rows.withColumn("turns", F.array_sort("turns", lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)))
     kind = f"array<struct<{order}:{turns.schema[order].dataType.simpleString()},action:string,run:boolean,state:{STATE}>>"
 
     def step(held: Column, turn: Column) -> Column:
         state = held["state"]
-        action = rule_action(turn["said"], state["text"] != "", F.size(state["mentions"]) > 0)
+        rule = rule_action(turn["said"], state["text"] != "", F.size(state["mentions"]) > 0)
+        action = F.coalesce(turn["model"], rule.cast(schemas.ACTION_TYPE))
         after = moved(state, action, words)
         row = F.struct(turn[order].alias(order), action["action"].alias("action"), action["run_requested"].alias("run"), after.alias("state"))
         return F.struct(after.alias("state"), F.concat(held["out"], F.array(row)).alias("out"))
 
     folded = F.aggregate("turns", F.struct(start().alias("state"), F.array().cast(kind).alias("out")), step, lambda h: h["out"])
-    flat = rows.select(key, F.inline(folded)).select(key, order, "action", "run", "state.kb_id", "state.text", "state.mentions")
+    flat = rows.select(key, F.inline(folded)).select(key, order, "action", "run", "state.kb_id", "state.text", "state.mentions", "state.aliases")
     missing = F.when(F.col("text") == "", F.lit("text")).when(F.size("mentions") == 0, F.lit("mentions")).otherwise(F.lit(""))
     return flat.withColumn("missing", missing).withColumn("runs", F.col("run") & (F.col("missing") == "")).drop("run").withColumn("guessed", F.when(F.col("missing") == "mentions", guessed_mentions(F.col("text"))))
 
@@ -68,11 +81,17 @@ def answered(turns: DataFrame, analyse: Callable[[str], str], text_col: str = "t
 def understood(turns: DataFrame, words: Words = Words(), text_col: str = "text", answer_col: str = "answer", has_text: Column | None = None, has_mentions: Column | None = None) -> DataFrame:
     """turns with `action` and `route`: the model's action where it is accepted, else the rules'."""
     rule = rule_action(parsed_turn(F.col(text_col), words), has_text if has_text is not None else F.lit(False), has_mentions if has_mentions is not None else F.lit(False))
-    common = ["action", "kb_id", "text", "mentions", "run_requested", "reply", "confidence"]
-    with_model = turns.withColumn("_llm", normalized_action(json_object(F.col(answer_col))))
-    taken = accepted(F.col("_llm"))
-    rows = with_model.withColumn("_rule", rule)
-    none = F.create_map().cast("map<string,array<string>>")
-    pick = lambda c, use: F.struct(*[c[f].alias(f) for f in common], use.alias("mention_aliases"))
-    action = F.when(taken, pick(F.col("_llm"), F.col("_llm.mention_aliases"))).otherwise(pick(F.col("_rule"), none))
-    return rows.withColumns({"action": action, "route": F.when(taken, F.lit("model")).otherwise(F.lit("rules"))}).drop("_llm", "_rule")
+    model = modelled(turns, answer_col)
+    return turns.withColumns({"action": F.coalesce(model, rule.cast(schemas.ACTION_TYPE)), "route": F.when(model.isNotNull(), F.lit("model")).otherwise(F.lit("rules"))})
+
+
+def run_requests(states: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """Requests (schemas.REQUEST without options) of the turns that run, mentions found in the text."""
+    spans = located("text", "mentions", "aliases")
+    mention = lambda m: F.struct(m["mention_id"].alias("mention_id"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(None).cast("string").alias("entity_type"), F.col("text").alias("sentence"), m["candidate_aliases"].alias("candidate_aliases"), F.lit(False).alias("coreference_hint"))
+    return states.filter("runs").select(F.concat_ws(":", key, order).alias("request_id"), F.lit(None).cast("string").alias("trace_id"), "kb_id", "text", F.transform(spans, mention).alias("mentions"))
+
+
+def wanted_names(states: DataFrame) -> DataFrame:
+    """(text): the mentions and expansions of the turns that run, to cut a large base down to (`kb.subset`)."""
+    return states.filter("runs").select(F.explode(alias_texts(F.col("mentions"), F.col("aliases"))).alias("text")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,53 +11,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from moorline.functions.dialogue import KNOWLEDGE_BASES, Words, parsed_turn
+from moorline.operators.dialogue import modelled
 from moorline.options import DEFAULT_KB
 
-OUTPUT = "conv_id long, turn long, action string, kb_id string, text string, mentions array<string>, runs boolean"
+OUTPUT = "conv_id long, turn long, action string, kb_id string, text string, mentions array<string>, aliases map<string,array<string>>, runs boolean"
+State = tuple[str, str, list[str], dict[str, list[str]]]
 
 
-def advance(state: tuple[str, str, list[str]], said: dict, words: Words) -> tuple[str, bool, tuple[str, str, list[str]]]:
-    """(action, run requested, next state) of one parsed turn."""
-    kb_id, text, mentions = state
-    if said["kind"] == "reset":
-        return "reset", False, (DEFAULT_KB, "", [])
-    if said["kind"] == "help":
-        return "help", False, state
-    new_text, new_mentions = ("", []) if said["kind"] == "reply" else (said["text"], list(said["mentions"]))
-    run = said["kind"] == "say" and (said["run"] or bool((new_text or text) and (new_mentions or mentions) and (new_text or new_mentions)))
-    named = said["kb_id"] if said["kind"] == "say" else None
-    text, mentions = new_text or text, new_mentions or mentions
+def advance(state: State, said: dict, words: Words) -> tuple[str, bool, State]:
+    """(action, run requested, next state) of one parsed turn, or of a model's action in its place."""
+    kb_id, text, mentions, aliases = state
+    model = said["model"]
+    if model:
+        action, run, named = model["action"], bool(model.get("run_requested")), model.get("kb_id")
+        new_text, new_mentions, new_aliases = model.get("text") or "", list(model.get("mentions") or []), dict(model.get("mention_aliases") or {})
+    else:
+        new_text, new_mentions, new_aliases = ("", [], {}) if said["kind"] == "reply" else (said["text"], list(said["mentions"]), {})
+        run = said["kind"] == "say" and (said["run"] or bool((new_text or text) and (new_mentions or mentions) and (new_text or new_mentions)))
+        named = said["kb_id"] if said["kind"] == "say" else None
+        action = said["kind"] if said["kind"] != "say" else "run" if run else "update" if named or new_text or new_mentions else "unknown"
+    if action == "reset":
+        return action, run, (DEFAULT_KB, "", [], {})
+    if action == "help":
+        return action, run, state
+    text, mentions, aliases = new_text or text, new_mentions or mentions, new_aliases or aliases
     joined = " ".join([text, *mentions]) if mentions else text + " "
     if named:
         kb_id = named
     elif kb_id == DEFAULT_KB and not any(w in joined for w in words.energy) and any(w in joined for w in words.general):
         kb_id = KNOWLEDGE_BASES[0]
-    action = said["kind"] if said["kind"] == "reply" else "run" if run else "update" if named or new_text or new_mentions else "unknown"
-    return action, run, (kb_id, text, mentions)
+    return action, run, (kb_id, text, mentions, aliases)
 
 
 class Turns(StatefulProcessor):
-    def __init__(self, words: Words):
-        self.words = words
+    def __init__(self, words: Words, idle_ms: int | None):
+        self.words, self.idle_ms = words, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("state", "kb_id string, text string, mentions array<string>")
+        self.held = handle.getValueState("state", "kb_id string, text string, mentions array<string>, aliases string", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("turn")
-        state = self.held.get() if self.held.exists() else (DEFAULT_KB, "", [])
-        state, out = (state[0], state[1], list(state[2] or [])), []
+        held = self.held.get() if self.held.exists() else (DEFAULT_KB, "", [], "{}")
+        state, out = (held[0], held[1], list(held[2] or []), json.loads(held[3])), []
         for r in batch.to_dict("records"):
-            action, run, state = advance(state, r, self.words)
+            said = r | {"model": json.loads(r["model"]) if isinstance(r["model"], str) else None}
+            action, run, state = advance(state, said, self.words)
             out.append((key[0], r["turn"], action, *state, bool(run and state[1] and state[2])))
-        self.held.update(state)
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "action", "kb_id", "text", "mentions", "runs"])
+        self.held.update((*state[:3], json.dumps(state[3])))
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "action", "kb_id", "text", "mentions", "aliases", "runs"])
 
     def close(self) -> None:
         pass
 
 
-def dialogue_stream(turns: DataFrame, words: Words = Words()) -> DataFrame:
-    """States of a stream of (conv_id, turn, text); turns of a conversation come in order of batches."""
-    said = turns.select("conv_id", "turn", parsed_turn(F.coalesce(F.col("text"), F.lit("")), words).alias("s")).select("conv_id", "turn", "s.*")
-    return said.groupBy("conv_id").transformWithStateInPandas(Turns(words), OUTPUT, "Append", "None")
+def dialogue_stream(turns: DataFrame, words: Words = Words(), idle_ms: int | None = None) -> DataFrame:
+    """States of a stream of (conv_id, turn, text[, answer]); turns of a conversation come in order of
+    batches. A conversation that says nothing for idle_ms (processing time) is forgotten, so that
+    state does not grow for ever; without it none is."""
+    model = F.to_json(modelled(turns)).alias("model")
+    said = turns.select("conv_id", "turn", parsed_turn(F.coalesce(F.col("text"), F.lit("")), words).alias("s"), model).select("conv_id", "turn", "s.*", "model")
+    return said.groupBy("conv_id").transformWithStateInPandas(Turns(words, idle_ms), OUTPUT, "Append", "None" if idle_ms is None else "ProcessingTime")
