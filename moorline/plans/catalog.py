@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +10,9 @@ from pyspark.sql import functions as F
 from moorline.functions import dialogue as talk
 from moorline.functions import text as tx
 from moorline.operators import decide, dialogue, evaluate, prior, rerank, retrieve
-from moorline.options import LinkOptions
+from moorline.options import FUZZY_FLOOR, FUZZY_MOST_ENTITIES, LinkOptions
 from moorline.plans import testdata
+from moorline.scratch import shared_folder
 from moorline.sources import files, kb
 from moorline.streaming.dialogue import dialogue_stream
 from moorline.streaming.link import link_stream
@@ -62,17 +62,36 @@ hits AS (
   FROM asked a JOIN aliases k ON k.norm = {norm('a.q')} GROUP BY a.mention_id, k.entity_ord, k.entity_id),
 exact AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY query_ord, entity_ord)::INTEGER AS retrieval_rank FROM hits) WHERE retrieval_rank <= {OPTIONS.exact_cap})"""
+FOUND = f"""
+alike AS (
+  SELECT m.mention_id, r.entity_ord, r.entity_id, repeat(c, 2) AS matched_alias,
+    CASE WHEN run >= 2 THEN greatest(2e0 * least(run, 2) / (length(m.text) + 2), 0.9e0) ELSE 2e0 * least(run, 2) / (length(m.text) + 2) END AS similarity
+  FROM mentions m JOIN (SELECT *, substr(aliases[1], 1, 1) AS c FROM kb WHERE entity_type = 'region') r ON contains(m.text, c)
+    CROSS JOIN LATERAL (SELECT length(m.text) - length(replace(m.text, c, '')) AS run)
+  WHERE m.mention_id NOT IN (SELECT mention_id FROM exact) AND (SELECT count(*) FROM kb) <= {FUZZY_MOST_ENTITIES}),
+found AS (
+  SELECT mention_id, entity_ord, entity_id, matched_alias, 1e0 AS similarity, retrieval_rank FROM exact
+  UNION ALL SELECT mention_id, entity_ord, entity_id, matched_alias, similarity, row_number() OVER (PARTITION BY mention_id ORDER BY {rounded('similarity', 3)} DESC, entity_ord)::INTEGER
+  FROM alike WHERE similarity >= {FUZZY_FLOOR}e0)"""
+
+
+def scored_sql(prior: bool) -> str:
+    join = f"LEFT JOIN priors p ON p.norm_mention = {norm('m.text')} AND p.entity_id = e.entity_id" if prior else ""
+    value = "coalesce(p.prior, 0e0)" if prior else "0e0"
+    return SCORED.replace("$JOIN", join).replace("$PRIOR", value)
+
+
 SCORED = f"""
 evidence AS (
-  SELECT m.mention_id, m.request_id, m.pos, e.entity_id, e.retrieval_rank, e.matched_alias, k.canonical_name,
+  SELECT m.mention_id, m.request_id, m.pos, e.entity_id, e.retrieval_rank, e.matched_alias, {rounded('e.similarity', 3)} AS alike, $PRIOR AS prior, k.canonical_name,
     list_filter(k.keywords, lambda x: x != '' AND contains(m.context, x)) AS overlap, len(k.keywords) AS n_keywords,
     coalesce(m.entity_type = k.entity_type, false) AS aligned, {norm('m.text')} = {norm('k.canonical_name')} AS same_name,
     CASE WHEN len(m.expansions) > 0 AND {norm('e.matched_alias')} = {norm('m.expansions[1]')} AND {norm('e.matched_alias')} != {norm('m.text')} THEN 'llm_alias_expansion'
       WHEN {norm('e.matched_alias')} = {norm('m.text')} THEN 'exact_or_alias_match' ELSE 'fuzzy_alias_match' END AS kind
-  FROM exact e JOIN mentions m USING (mention_id) JOIN kb k USING (entity_ord)),
+  FROM found e JOIN mentions m USING (mention_id) JOIN kb k USING (entity_ord) $JOIN),
 scored AS (
-  SELECT *, [kind] || CASE WHEN aligned THEN ['entity_type_aligned'] ELSE [] END || CASE WHEN len(overlap) > 0 THEN ['context_keyword_support'] ELSE [] END AS reasons,
-    {rounded("least(1e0, 1e0 * 0.62e0 + least(1e0, len(overlap)::DOUBLE / greatest(1, least(n_keywords, 4))) * 0.23e0 + CASE WHEN aligned THEN 0.05e0 ELSE 0e0 END + CASE WHEN same_name THEN 0.03e0 ELSE 0e0 END + CASE WHEN kind = 'llm_alias_expansion' THEN 0.08e0 ELSE 0e0 END + 0e0 * 0.22e0)", 3)} AS score
+  SELECT *, [kind] || CASE WHEN aligned THEN ['entity_type_aligned'] ELSE [] END || CASE WHEN len(overlap) > 0 THEN ['context_keyword_support'] ELSE [] END || CASE WHEN prior > 0 THEN ['alias_prior_support'] ELSE [] END AS reasons,
+    {rounded("least(1e0, alike * 0.62e0 + least(1e0, len(overlap)::DOUBLE / greatest(1, least(n_keywords, 4))) * 0.23e0 + CASE WHEN aligned THEN 0.05e0 ELSE 0e0 END + CASE WHEN same_name THEN 0.03e0 ELSE 0e0 END + CASE WHEN kind = 'llm_alias_expansion' THEN 0.08e0 ELSE 0e0 END + prior * 0.22e0)", 3)} AS score
   FROM evidence),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, retrieval_rank)::INTEGER AS rank FROM scored) WHERE rank <= {OPTIONS.top_k})"""
 FIRSTS = f"""
@@ -117,8 +136,8 @@ def with_parts(select: str, *parts: str) -> str:
     return "WITH RECURSIVE " + ",".join(parts) + "\n" + select
 
 
-LINKED = (testdata.CATALOG_KB, testdata.LINE_MENTIONS, ALIASES, EXACT, SCORED, FIRSTS, FOLDED)
-RANKED = LINKED[:5]
+LINKED = (testdata.CATALOG_KB, testdata.LINE_MENTIONS, ALIASES, EXACT, FOUND, scored_sql(False), FIRSTS, FOLDED)
+MATCHED, RANKED, DECIDED = LINKED[:5], LINKED[:6], LINKED[:7]
 
 
 # -- linking of order lines to the catalog ------------------------------------------------------
@@ -128,17 +147,20 @@ def catalog_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return decide.signed(testdata.line_mentions(spark, sf_dir)), testdata.catalog_kb(spark, sf_dir)
 
 
+def catalog_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed mentions, their distinct lists of queries, entities)."""
+    mentions, entities = catalog_mentions(spark, sf_dir)
+    return mentions, retrieve.asked(mentions), entities
+
+
 def ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(signed mentions, ranked candidates): exact retrieval only, as SQL has no fuzzy ratio."""
+    """(signed mentions, ranked candidates) of the whole retrieval."""
     mentions, entities = catalog_mentions(spark, sf_dir)
-    asked = decide.signatures(mentions)
-    built = retrieve.build(retrieve.exact(asked, entities, OPTIONS), asked, entities)
-    return mentions, rerank.top(rerank.rescore(built), OPTIONS)
+    return mentions, decide.scored(mentions, entities)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions, best = ranked(spark, sf_dir)
-    return decide.by_document(decide.first_decisions(mentions, best, OPTIONS), OPTIONS)
+    return decide.link_mentions(testdata.line_mentions(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS)
 
 
 def joined(column) -> Column:
@@ -164,11 +186,13 @@ def kb_subset_semi(spark, sf_dir):
     return kb.subset(testdata.catalog_kb(spark, sf_dir), ids, parts.filter("p_size = 7").select(F.col("p_name").alias("text"))).select("entity_id")
 
 
-@query("SELECT entity_ord // 10000000 AS rank, count(*) AS n FROM (" + with_parts("SELECT entity_ord FROM kb", testdata.CATALOG_KB) + ") GROUP BY 1")
+@query("SELECT 'catalog' AS kb_id, NULL::VARCHAR AS path, entity_ord // 10000000 AS rank, count(*) AS n FROM (" + with_parts("SELECT entity_ord FROM kb", testdata.CATALOG_KB) + ") GROUP BY 3")
 def kb_catalog(spark, sf_dir):
+    """The bases that a catalog lists, each loaded, by kind of entity."""
     catalog = kb.Catalog(spark)
     catalog.register(testdata.KB, testdata.catalog_kb(spark, sf_dir))
-    return catalog.load(testdata.KB).groupBy(F.expr("entity_ord div 10000000").alias("rank")).agg(F.count("*").alias("n"))
+    loaded = catalog.load(testdata.KB).groupBy("kb_id", F.expr("entity_ord div 10000000").alias("rank")).agg(F.count("*").alias("n"))
+    return catalog.listing().join(loaded, "kb_id").select("kb_id", "path", "rank", "n")
 
 
 @query(with_parts("SELECT mention_id, array_to_string(CASE WHEN len(expansions) > 0 AND expansions[1] != text THEN [text, expansions[1]] ELSE [text] END, '|') AS queries FROM mentions", testdata.LINE_MENTIONS))
@@ -180,29 +204,28 @@ def query_expansion(spark, sf_dir):
 SELECT mention_id, count(*) AS n_candidates, max(retrieval_rank) AS last_rank, arg_min(entity_id, retrieval_rank) AS first_id, arg_max(entity_id, retrieval_rank) AS last_id,
   arg_min(matched_alias, retrieval_rank) AS first_alias FROM exact GROUP BY mention_id""", *LINKED[:4]))
 def exact_candidates(spark, sf_dir):
-    mentions, entities = catalog_mentions(spark, sf_dir)
-    found = retrieve.exact(decide.signatures(mentions), entities, OPTIONS).join(retrieve.sized_hint(entities.select("entity_ord", "entity_id"), retrieve.BROADCAST_ALIASES), "entity_ord")
-    facts = found.groupBy("sig").agg(
-        F.count("*").alias("n_candidates"), F.max("retrieval_rank").alias("last_rank"), F.min_by("entity_id", "retrieval_rank").alias("first_id"),
-        F.max_by("entity_id", "retrieval_rank").alias("last_id"), F.min_by("matched_alias", "retrieval_rank").alias("first_alias"),
-    )
-    return mentions.select("mention_id", "sig").join(facts, "sig").drop("sig")
+    mentions, lists, entities = catalog_lists(spark, sf_dir)
+    names = retrieve.sized_hint(entities.select("entity_ord", "entity_id"), retrieve.BROADCAST_ALIASES)
+    found = retrieve.exact(lists, entities, OPTIONS.top_k)
+    first, last = F.get("found", F.lit(0)), F.element_at("found", -1)
+    facts = found.select("q", F.size("found").cast("long").alias("n_candidates"), F.size("found").alias("last_rank"), first["entity_ord"].alias("first_ord"), last["entity_ord"].alias("last_ord"), first["matched_alias"].alias("first_alias"))
+    facts = facts.join(names.select(F.col("entity_ord").alias("first_ord"), F.col("entity_id").alias("first_id")), "first_ord").join(names.select(F.col("entity_ord").alias("last_ord"), F.col("entity_id").alias("last_id")), "last_ord")
+    return mentions.select("mention_id", "q").join(facts, "q").drop("q", "first_ord", "last_ord")
 
 
 @query(with_parts("SELECT mention_id, text FROM mentions WHERE mention_id NOT IN (SELECT mention_id FROM exact)", *LINKED[:4]))
 def unmatched_mentions(spark, sf_dir):
-    mentions, entities = catalog_mentions(spark, sf_dir)
-    return retrieve.unmatched(mentions, retrieve.exact(decide.signatures(mentions), entities, OPTIONS)).select("mention_id", "text")
+    mentions, lists, entities = catalog_lists(spark, sf_dir)
+    return retrieve.unmatched(mentions, retrieve.exact(lists, entities, OPTIONS.top_k)).select("mention_id", "text")
 
 
-@query()
+@query(with_parts(f"SELECT DISTINCT text, retrieval_rank, entity_ord, matched_alias, {rounded('similarity', 6)} AS similarity FROM found JOIN mentions USING (mention_id) WHERE similarity < 1", *MATCHED))
 def fuzzy_candidates(spark, sf_dir):
-    """Best fuzzy entities of mentions that no alias equals (SQL has no such ratio)."""
-    mentions, entities = catalog_mentions(spark, sf_dir)
-    asked = decide.signatures(mentions)
-    rest = retrieve.unmatched(asked, retrieve.exact(asked, entities, OPTIONS))
-    best = retrieve.fuzzy(rest, entities, OPTIONS).join(rest.select("sig", "text"), "sig")
-    return best.select("text", "retrieval_rank", "entity_ord", "matched_alias", F.round("similarity", 6).alias("similarity")).distinct()
+    """Best fuzzy entities of mentions that no alias equals."""
+    _, lists, entities = catalog_lists(spark, sf_dir)
+    best = retrieve.fuzzy(retrieve.unmatched(lists, retrieve.exact(lists, entities, OPTIONS.top_k)), entities).join(lists, "q")
+    rows = best.select(F.get("queries", F.lit(0)).alias("text"), F.posexplode("found").alias("place", "c"))
+    return rows.select("text", (F.col("place") + 1).alias("retrieval_rank"), "c.entity_ord", "c.matched_alias", tx.round_binary(F.col("c.similarity"), 6).alias("similarity")).distinct()
 
 
 @query(f"""
@@ -222,8 +245,8 @@ SELECT mention_id, count(*) AS n, max(score) AS best, min(score) AS worst, sum(C
   sum(CASE WHEN kind = 'llm_alias_expansion' THEN 1 ELSE 0 END)::BIGINT AS expanded, array_to_string(arg_min(reasons, retrieval_rank), '|') AS first_reasons FROM scored GROUP BY mention_id""", *RANKED))
 def rescored_candidates(spark, sf_dir):
     mentions, entities = catalog_mentions(spark, sf_dir)
-    asked = decide.signatures(mentions)
-    rows = rerank.rescore(retrieve.build(retrieve.exact(asked, entities, OPTIONS), asked, entities))
+    unique = decide.signatures(mentions)
+    rows = rerank.rescore(retrieve.build(retrieve.candidates(retrieve.asked(unique), entities, OPTIONS.top_k), unique, entities))
     facts = rows.groupBy("sig").agg(
         F.count("*").alias("n"), F.max("score").alias("best"), F.min("score").alias("worst"), F.count_if(F.size("overlapping_keywords") > 0).alias("supported"),
         F.count_if(F.array_contains("reasons", "llm_alias_expansion")).alias("expanded"), F.array_join(F.min_by("reasons", "retrieval_rank"), "|").alias("first_reasons"),
@@ -237,16 +260,16 @@ def topk_candidates(spark, sf_dir):
     return mentions.select("mention_id", "sig").join(best, "sig").select("mention_id", "rank", "entity_id", "score", "matched_alias", joined("overlapping_keywords").alias("overlap"))
 
 
-@query(with_parts("SELECT mention_id, top1, top2, top1 - top2 AS margin FROM tops", *LINKED[:6]))
+@query(with_parts("SELECT mention_id, top1, top2, top1 - top2 AS margin FROM tops", *DECIDED))
 def margin_top2(spark, sf_dir):
     mentions, best = ranked(spark, sf_dir)
     return mentions.select("mention_id", "sig").join(rerank.margins(best), "sig").drop("sig")
 
 
-@query(with_parts("SELECT mention_id, status, linked_entity_id, confidence, needs_review FROM firsts", *LINKED[:6]))
+@query(with_parts("SELECT mention_id, status, linked_entity_id, confidence, needs_review FROM firsts", *DECIDED))
 def link_decisions(spark, sf_dir):
     mentions, best = ranked(spark, sf_dir)
-    return decide.first_decisions(mentions, best, OPTIONS).select("mention_id", "status", "linked_entity_id", "confidence", "needs_review")
+    return decide.first_decisions(mentions, best).select("mention_id", "status", "linked_entity_id", "confidence", "needs_review")
 
 
 @query(with_parts("SELECT mention_id, status, linked_entity_id, confidence, source AS coreference_source FROM results", *LINKED))
@@ -284,15 +307,26 @@ def node_trace_by_route(spark, sf_dir):
     return documents(spark, sf_dir).select("request_id", joined(decide.nodes(F.col("route"))).alias("nodes"))
 
 
-@query(with_parts("""
-SELECT request_id, count(*)::INTEGER AS mention_count, sum(n)::BIGINT AS candidate_count, array_to_string(list(mention_id ORDER BY pos) FILTER (n = 0), '|') AS empty_mentions
-FROM firsts GROUP BY request_id""", *LINKED[:6]))
+COUNTS = """
+counts AS (
+  SELECT m.request_id, count(*)::INTEGER AS mention_count, coalesce(sum(f.n), 0)::BIGINT AS candidate_count, coalesce(array_to_string(list(m.mention_id ORDER BY m.pos) FILTER (f.n IS NULL), '|'), '') AS empty_mentions
+  FROM mentions m LEFT JOIN (SELECT mention_id, count(*) AS n FROM found GROUP BY mention_id) f USING (mention_id) GROUP BY m.request_id)"""
+
+
+def told(node: str, path: str) -> Column:
+    """A part of the detail of a response's event."""
+    return F.get_json_object(F.get(F.filter("node_events", lambda e: e["node"] == node), F.lit(0))["detail"], path)
+
+
+def counts_told() -> list[Column]:
+    empty = F.array_join(F.from_json(told("generate_candidates", "$.empty_mentions"), "array<string>"), "|")
+    return [told("generate_candidates", "$.mention_count").cast("int").alias("mention_count"), told("generate_candidates", "$.candidate_count").cast("long").alias("candidate_count"), empty.alias("empty_mentions")]
+
+
+@query(with_parts("SELECT request_id, mention_count, candidate_count, empty_mentions FROM counts", *MATCHED, COUNTS))
 def candidate_counts(spark, sf_dir):
-    mentions, best = ranked(spark, sf_dir)
-    rows = decide.first_decisions(mentions, best, OPTIONS).select("request_id", "pos", "mention_id", F.size("candidates").alias("n"))
-    empty = F.array_sort(F.collect_list(F.when(F.col("n") == 0, F.struct("pos", "mention_id"))))
-    none = F.when(F.size(empty) > 0, F.array_join(F.transform(empty, lambda x: x["mention_id"]), "|"))
-    return rows.groupBy("request_id").agg(F.count("*").cast("int").alias("mention_count"), F.sum("n").alias("candidate_count"), none.alias("empty_mentions"))
+    """What the responses' traces say that retrieval gave."""
+    return decide.respond(order_requests(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS).select("request_id", *counts_told())
 
 
 def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -302,20 +336,33 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("request_id", F.concat(F.lit("t10-"), "request_id").alias("trace_id"), "kb_id", "text", "mentions")
 
 
-@query()
+SUMMARIES = """
+summaries AS (
+  SELECT request_id, count(*)::INTEGER AS total_mentions, count(*) FILTER (status = 'linked')::INTEGER AS linked, count(*) FILTER (status = 'ambiguous')::INTEGER AS ambiguous,
+    count(*) FILTER (status = 'nil')::INTEGER AS nil, count(*) FILTER (needs_review)::INTEGER AS review_required, sum(confidence) AS total, string_agg(mention_id || ':' || status || ':' || coalesce(linked_entity_id, '-') || ':' || coalesce(source, '-'), '|' ORDER BY pos) AS decisions
+  FROM reviewed GROUP BY request_id)"""
+
+
+@query(with_parts(f"""
+SELECT request_id, route AS route_decision, 'catalog' AS kb_id, '1' AS kb_version, {NODES_SQL} AS nodes, (SELECT count(*) FROM kb) AS entity_count, mention_count, candidate_count, empty_mentions,
+  linked, ambiguous, nil, review_required, n.names, decisions
+FROM routes JOIN counts USING (request_id) JOIN summaries USING (request_id) JOIN (SELECT request_id, string_agg({norm('text')}, '|' ORDER BY pos) AS names FROM mentions GROUP BY request_id) n USING (request_id)""", *LINKED, COUNTS, SUMMARIES))
 def response_nested(spark, sf_dir):
-    """Whole responses to one request an order, as JSON (nested; fuzzy retrieval included)."""
+    """Whole responses to one request an order, their nested parts made flat."""
     responses = decide.respond(order_requests(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS)
-    return responses.select("request_id", "route_decision", F.to_json(F.struct("summary", "results", "node_events")).alias("response"))
+    said = F.transform("results", lambda r: F.concat_ws(":", r["mention_id"], r["status"], F.coalesce(r["linked_entity_id"], F.lit("-")), F.coalesce(r["coreference_source_mention_id"], F.lit("-"))))
+    return responses.select(
+        "request_id", "route_decision", told("load_kb", "$.kb_id").alias("kb_id"), "kb_version", joined(F.transform("node_events", lambda e: e["node"])).alias("nodes"), told("load_kb", "$.entity_count").cast("long").alias("entity_count"),
+        *counts_told(), "summary.linked", "summary.ambiguous", "summary.nil", "summary.review_required", joined(F.transform("results", lambda r: r["evidence"]["normalized_mention"])).alias("names"), joined(said).alias("decisions"),
+    )
 
 
 @query(with_parts("SELECT 't10-' || request_id AS trace_id, route FROM routes", *LINKED))
 def trace_roundtrip(spark, sf_dir):
     """Traces as written to and read from the trace table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/traces-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/traces"
     files.write_traces(documents(spark, sf_dir).select(F.concat(F.lit("t10-"), "request_id").alias("trace_id"), "route"), path)
-    return spark.read.parquet(path).select("trace_id", "route")
+    return files.read_traces(spark, path).select("trace_id", "route")
 
 
 # -- priors and metrics -------------------------------------------------------------------------
@@ -335,12 +382,11 @@ def trained_mentions(spark, sf_dir):
     return prior.trained_mentions(prior.train(testdata.line_mentions(spark, sf_dir)))
 
 
-@query()
+@query(with_parts("SELECT mention_id, status, linked_entity_id, confidence FROM results", *MATCHED, PRIOR_SQL, scored_sql(True), FIRSTS, FOLDED))
 def link_with_prior(spark, sf_dir):
     """Decisions with the learnt prior."""
-    mentions, entities = catalog_mentions(spark, sf_dir)
     learned = prior.train(testdata.line_mentions(spark, sf_dir)).select("norm_mention", "entity_id", "prior")
-    docs = decide.link_mentions(testdata.line_mentions(spark, sf_dir), entities, OPTIONS, learned)
+    docs = decide.link_mentions(testdata.line_mentions(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS, learned)
     return decide.decisions(docs).select("mention_id", "status", "linked_entity_id", "confidence")
 
 
@@ -348,21 +394,21 @@ def ratio_sql(a: str, b: str) -> str:
     return f"CASE WHEN {b} = 0 THEN 0e0 ELSE {rounded(f'({a})::DOUBLE / nullif({b}, 0)', 4)} END"
 
 
-GOLD = "gold_rows AS (SELECT mention_id, CASE WHEN text LIKE 'unlisted%' THEN NULL ELSE gold END AS want, text LIKE 'unlisted%' AS gold_nil, len(expansions) > 0 AS is_alias FROM mentions)"
+GOLD = "gold_rows AS (SELECT mention_id, CASE WHEN text SIMILAR TO '某(己|庚).*' THEN NULL ELSE gold END AS want, text SIMILAR TO '某(己|庚).*' AS gold_nil, len(expansions) > 0 AS is_alias FROM mentions)"
 METRICS = """
-judged AS (SELECT g.*, r.status = 'nil' AS got_nil, r.status, r.linked_entity_id AS got FROM gold_rows g JOIN results r USING (mention_id)),
+judged AS (SELECT g.*, coalesce(r.status = 'nil', false) AS got_nil, r.status, r.linked_entity_id AS got FROM gold_rows g LEFT JOIN results r USING (mention_id)),
 counted AS (
   SELECT count(*) AS total_mentions, count(*) FILTER (CASE WHEN gold_nil THEN got_nil ELSE got IS NOT DISTINCT FROM want AND status IN ('linked', 'ambiguous') END) AS ok,
     count(*) FILTER (NOT gold_nil) AS links, count(*) FILTER (NOT gold_nil AND got = want) AS links_ok, count(*) FILTER (gold_nil) AS nils, count(*) FILTER (got_nil) AS nils_got,
-    count(*) FILTER (gold_nil AND got_nil) AS nils_ok, count(*) FILTER (NOT gold_nil AND is_alias) AS aliases, count(*) FILTER (NOT gold_nil AND is_alias AND got = want) AS aliases_ok FROM judged),"""
+    count(*) FILTER (gold_nil AND got_nil) AS nils_ok, count(*) FILTER (NOT gold_nil AND is_alias) AS aliases, count(*) FILTER (NOT gold_nil AND is_alias AND got = want) AS aliases_ok, count(*) FILTER (status IS NULL) AS missing_predictions FROM judged),"""
 METRICS += f"""
 rated AS (SELECT {ratio_sql('ok', 'total_mentions')} AS overall_accuracy, {ratio_sql('links_ok', 'links')} AS link_accuracy, {ratio_sql('nils_ok', 'nils_got')} AS nil_precision,
-  {ratio_sql('nils_ok', 'nils')} AS nil_recall, {ratio_sql('aliases_ok', 'aliases')} AS alias_recall, total_mentions FROM counted)"""
+  {ratio_sql('nils_ok', 'nils')} AS nil_recall, {ratio_sql('aliases_ok', 'aliases')} AS alias_recall, total_mentions, missing_predictions FROM counted)"""
 
 
 @query(with_parts(f"SELECT *, CASE WHEN nil_precision + nil_recall = 0 THEN 0e0 ELSE {rounded('2 * nil_precision * nil_recall / nullif(nil_precision + nil_recall, 0e0)', 4)} END AS nil_f1 FROM rated", *LINKED, GOLD, METRICS))
 def eval_metrics(spark, sf_dir):
-    unlisted = F.startswith(F.col("text"), F.lit("unlisted"))
+    unlisted = F.rlike(F.col("text"), F.lit("^某[己庚]"))
     gold = testdata.line_mentions(spark, sf_dir).select(
         "mention_id", F.when(~unlisted, F.col("gold_kb_id")).alias("entity_id"), F.when(unlisted, F.lit("nil")).otherwise(F.lit("linked")).alias("status"), (F.size("candidate_aliases") > 0).alias("is_alias")
     )
@@ -375,7 +421,7 @@ SELECT count(*) AS mentions, {ratio_sql("count(*) FILTER (CASE WHEN nil THEN sta
   count(*) FILTER (NOT nil) AS linked_mentions, count(*) FILTER (nil) AS nil_mentions
 FROM (SELECT *, want LIKE 'NIL%' AS nil FROM (SELECT CASE WHEN g.gold_nil THEN 'NIL_' || mention_id ELSE g.want END AS want, r.status, r.linked_entity_id AS got FROM gold_rows g JOIN results r USING (mention_id)))""", *LINKED, GOLD))
 def eval_split_accuracy(spark, sf_dir):
-    unlisted = F.startswith(F.col("text"), F.lit("unlisted"))
+    unlisted = F.rlike(F.col("text"), F.lit("^某[己庚]"))
     labelled = testdata.line_mentions(spark, sf_dir).select("mention_id", F.when(unlisted, F.concat(F.lit("NIL_"), "mention_id")).otherwise(F.col("gold_kb_id")).alias("gold_kb_id"))
     return evaluate.split_accuracy(decide.decisions(documents(spark, sf_dir)), labelled, ["mention_id"])
 
@@ -448,7 +494,8 @@ def validation_errors(spark, sf_dir):
     )
     some = F.array(mention)
     rows = rows.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.lit("  ")).otherwise(F.col("text")).alias("text"), F.when(F.col("conv_id") % 5 == 0, F.slice(some, 1, 0)).otherwise(some).alias("mentions"))
-    return rows.select("conv_id", "turn", joined(decide.validation_errors(OPTIONS)).alias("errors"))
+    rows = decide.with_options(rows, OPTIONS)
+    return rows.select("conv_id", "turn", joined(decide.validation_errors()).alias("errors"))
 
 
 # -- dialogue --------------------------------------------------------------------------------------
@@ -462,14 +509,16 @@ WITH t AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' '), lamb
 m AS (SELECT *, list_filter([w[1], w[2], w[1], 'nowhere to find'], lambda x: x IS NOT NULL) AS ms FROM t),
 f AS (SELECT conv_id, turn, list_reduce(list_prepend({'m': '', 'c': 0, 'out': []::VARCHAR[]}, list_transform(ms, lambda x: {'m': x, 'c': 0, 'out': []::VARCHAR[]})), lambda s, x: {
   'm': '', 'c': CASE WHEN instr(text[s.c + 1:], x.m) > 0 THEN s.c + instr(text[s.c + 1:], x.m) - 1 + length(x.m) WHEN instr(text, x.m) > 0 THEN instr(text, x.m) - 1 + length(x.m) ELSE s.c END,
-  'out': s.out || [CASE WHEN instr(text[s.c + 1:], x.m) > 0 THEN (s.c + instr(text[s.c + 1:], x.m) - 1)::VARCHAR WHEN instr(text, x.m) > 0 THEN (instr(text, x.m) - 1)::VARCHAR ELSE '-' END]}) AS r FROM m)
+  'out': s.out || [CASE WHEN instr(text[s.c + 1:], x.m) > 0 THEN (s.c + instr(text[s.c + 1:], x.m) - 1)::VARCHAR WHEN instr(text, x.m) > 0 THEN (instr(text, x.m) - 1)::VARCHAR ELSE '-' END || ':' || x.m || '*']}) AS r FROM m)
 SELECT conv_id, turn, array_to_string(r.out, ',') AS starts FROM f""")
 def mention_locate(spark, sf_dir):
     rows = testdata.table(spark, sf_dir, "conversations").withColumn("w", F.filter(F.split("text", " "), lambda x: x != ""))
     first, second = F.get("w", F.lit(0)), F.get("w", F.lit(1))
     rows = rows.withColumn("ms", F.array_compact(F.array(first, second, first, F.lit("nowhere to find"))))
-    spans = talk.located("text", "ms")
-    return rows.select("conv_id", "turn", F.array_join(F.transform(spans, lambda s: F.coalesce(s["start"].cast("string"), F.lit("-"))), ",").alias("starts"))
+    rows = rows.withColumn("known", F.map_from_arrays(F.array_distinct("ms"), F.transform(F.array_distinct("ms"), lambda m: F.array(F.concat(m, F.lit("*"))))))
+    spans = talk.located("text", "ms", "known")
+    shown = lambda s: F.concat(F.coalesce(s["start"].cast("string"), F.lit("-")), F.lit(":"), F.array_join(s["candidate_aliases"], "+"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform(spans, shown), ",").alias("starts"))
 
 
 @query("""
@@ -527,8 +576,11 @@ turns AS (
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns, every fifth with a model's answer: one that is sure of an expansion, or one that is not."""
     rows = testdata.table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", utterance(F.col("text"), F.col("turn")).alias("text"))
+    first = F.get(F.split("text", " "), F.lit(0))
+    answer = F.to_json(F.struct(F.lit("update").alias("action"), F.array(first).alias("mentions"), F.create_map(first, F.concat(first, F.lit("+"))).alias("mention_aliases"), F.when(F.col("turn") % 2 == 0, 0.9).otherwise(0.3).alias("confidence")))
+    return rows.select("conv_id", "turn", utterance(F.col("text"), F.col("turn")).alias("text"), F.when((F.col("turn") + F.col("conv_id")) % 5 == 0, F.concat(F.lit("Sure. "), answer)).alias("answer"))
 
 
 @query(with_parts("""
@@ -542,24 +594,33 @@ def rule_actions(spark, sf_dir):
 
 
 STATES = """
-steps AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM turns),
+steps AS (SELECT t.*, w, (turn + conv_id) % 5 = 0 AND turn % 2 = 0 AND w != '' AS model, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM turns t JOIN (SELECT conv_id, turn, w FROM said) USING (conv_id, turn)),
+acts AS (
+  SELECT conv_id, turn, k, CASE WHEN model THEN 'model' ELSE kind END AS kind, CASE WHEN model THEN NULL ELSE kb_id END AS kb_id, CASE WHEN model THEN '' ELSE text END AS text,
+    CASE WHEN model THEN [w] ELSE mentions END AS mentions, NOT model AND run AS run, CASE WHEN model THEN w || '>' || w || '+' ELSE '' END AS aliases FROM steps),
 states AS (
-  SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS k, ''::VARCHAR AS action, false AS run, 'sample-energy-v1'::VARCHAR AS kb_id, ''::VARCHAR AS text, []::VARCHAR[] AS mentions FROM (SELECT DISTINCT conv_id FROM steps)
+  SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS k, ''::VARCHAR AS action, false AS run, 'sample-energy-v1'::VARCHAR AS kb_id, ''::VARCHAR AS text, []::VARCHAR[] AS mentions, ''::VARCHAR AS aliases FROM (SELECT DISTINCT conv_id FROM acts)
   UNION ALL
-  SELECT conv_id, turn, k, CASE WHEN kind != 'say' THEN kind WHEN t_kb IS NULL AND t_text = '' AND len(t_mentions) = 0 AND NOT wants THEN 'unknown' WHEN wants THEN 'run' ELSE 'update' END, kind = 'say' AND wants,
+  SELECT conv_id, turn, k, CASE WHEN kind = 'model' THEN 'update' WHEN kind != 'say' THEN kind WHEN t_kb IS NULL AND t_text = '' AND len(t_mentions) = 0 AND NOT wants THEN 'unknown' WHEN wants THEN 'run' ELSE 'update' END, kind = 'say' AND wants,
     CASE WHEN kind = 'help' THEN kb_id WHEN kind = 'reset' THEN 'sample-energy-v1' WHEN kind = 'say' AND t_kb IS NOT NULL THEN t_kb
       WHEN kb_id = 'sample-energy-v1' AND NOT contains(joined, 're') AND contains(joined, 'the') THEN 'ccks2019-v1' ELSE kb_id END,
-    CASE WHEN kind = 'reset' THEN '' WHEN kind = 'help' THEN text ELSE n_text END, CASE WHEN kind = 'reset' THEN [] WHEN kind = 'help' THEN mentions ELSE n_mentions END
+    CASE WHEN kind = 'reset' THEN '' WHEN kind = 'help' THEN text ELSE n_text END, CASE WHEN kind = 'reset' THEN [] WHEN kind = 'help' THEN mentions ELSE n_mentions END,
+    CASE WHEN kind = 'reset' THEN '' WHEN kind = 'model' THEN t_aliases ELSE aliases END
   FROM (SELECT *, n_text || ' ' || array_to_string(n_mentions, ' ') AS joined, run OR ((t_text != '' OR text != '') AND (len(t_mentions) > 0 OR len(mentions) > 0) AND (t_text != '' OR len(t_mentions) > 0)) AS wants
-    FROM (SELECT s.conv_id, t.turn, t.k, t.kind, t.kb_id AS t_kb, t.text AS t_text, t.mentions AS t_mentions, t.run, s.kb_id, s.text, s.mentions,
-      CASE WHEN t.kind = 'say' AND t.text != '' THEN t.text ELSE s.text END AS n_text, CASE WHEN t.kind = 'say' AND len(t.mentions) > 0 THEN t.mentions ELSE s.mentions END AS n_mentions
-      FROM (SELECT conv_id, k, kb_id, text, mentions FROM states) s JOIN steps t ON t.conv_id = s.conv_id AND t.k = s.k + 1)))"""
+    FROM (SELECT s.conv_id, t.turn, t.k, t.kind, t.kb_id AS t_kb, t.text AS t_text, t.mentions AS t_mentions, t.aliases AS t_aliases, t.run, s.kb_id, s.text, s.mentions, s.aliases,
+      CASE WHEN t.kind IN ('say', 'model') AND t.text != '' THEN t.text ELSE s.text END AS n_text, CASE WHEN t.kind IN ('say', 'model') AND len(t.mentions) > 0 THEN t.mentions ELSE s.mentions END AS n_mentions
+      FROM (SELECT conv_id, k, kb_id, text, mentions, aliases FROM states) s JOIN acts t ON t.conv_id = s.conv_id AND t.k = s.k + 1)))"""
+
 
+def state_columns(states: DataFrame) -> DataFrame:
+    expansions = F.transform(F.array_sort(F.map_entries("aliases")), lambda e: F.concat(e["key"], F.lit(">"), F.array_join(e["value"], ",")))
+    return states.select("conv_id", "turn", "action", "kb_id", "text", joined("mentions").alias("mentions"), joined(expansions).alias("aliases"), "runs")
 
-@query(with_parts("SELECT conv_id, turn, action, kb_id, text, array_to_string(mentions, '|') AS mentions, run AND text != '' AND len(mentions) > 0 AS runs FROM states WHERE k > 0", UTTERANCES, STATES))
+
+@query(with_parts("SELECT conv_id, turn, action, kb_id, text, array_to_string(mentions, '|') AS mentions, aliases, run AND text != '' AND len(mentions) > 0 AS runs FROM states WHERE k > 0", UTTERANCES, STATES))
 def dialogue_state(spark, sf_dir):
-    rows = dialogue.states(conversation_turns(spark, sf_dir), WORDS)
-    return rows.select("conv_id", "turn", "action", "kb_id", "text", joined("mentions").alias("mentions"), "runs")
+    """Dialogue states by rules, and by a model's answers where they are accepted."""
+    return state_columns(dialogue.states(conversation_turns(spark, sf_dir), WORDS))
 
 
 @query("""
@@ -581,38 +642,30 @@ def action_normalize(spark, sf_dir):
     return rows.select("conv_id", "turn", "a.action", "a.kb_id", "a.text", joined("a.mentions").alias("mentions"), "a.run_requested", "a.confidence")
 
 
-def streamed(spark: SparkSession, frame: DataFrame, schema) -> DataFrame:
+def streamed(spark: SparkSession, frame: DataFrame, folder: str) -> DataFrame:
     """The stored frame as a stream of files."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.readStream.schema(schema).parquet(path)
+    frame.write.parquet(f"{folder}/stream")
+    return spark.readStream.schema(frame.schema).parquet(f"{folder}/stream")
 
 
-@query()
+@query(ORACLE_SQL["dialogue_state"])
 def streaming_dialogue(spark, sf_dir):
-    """Dialogue states by a keyed stateful stream; equal to dialogue_state, which has the SQL."""
-    turns = conversation_turns(spark, sf_dir)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    out = f"{base}/dialogue-{uuid.uuid4().hex}"
+    """Dialogue states by a keyed stateful stream."""
+    turns, folder = conversation_turns(spark, sf_dir), shared_folder(spark)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        states = dialogue_stream(streamed(spark, turns.coalesce(4), turns.schema), WORDS)
-        states.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        states = dialogue_stream(streamed(spark, turns.coalesce(4), folder), WORDS)
+        states.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-    return spark.read.parquet(out).select("conv_id", "turn", "action", "kb_id", "text", joined("mentions").alias("mentions"), "runs")
+    return state_columns(spark.read.parquet(f"{folder}/out"))
 
 
-@query()
+@query(with_parts("SELECT request_id, route AS route_decision, total_mentions, linked, ambiguous, nil, review_required FROM routes JOIN summaries USING (request_id)", *LINKED, SUMMARIES))
 def streaming_link(spark, sf_dir):
     """Requests as a stream, responses in the trace table."""
-
-
-    requests = order_requests(spark, sf_dir)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    out = f"{base}/links-{uuid.uuid4().hex}"
-    link_stream(streamed(spark, requests.coalesce(2), requests.schema), testdata.catalog_kb(spark, sf_dir), out, f"{out}-checkpoint", OPTIONS).awaitTermination()
-    return spark.read.parquet(out).select("request_id", "route_decision", F.to_json("summary").alias("summary"))
+    requests, folder = order_requests(spark, sf_dir), shared_folder(spark)
+    link_stream(streamed(spark, requests.coalesce(2), folder), testdata.catalog_kb(spark, sf_dir), f"{folder}/traces", f"{folder}/checkpoint", OPTIONS).awaitTermination()
+    return files.read_traces(spark, f"{folder}/traces").select("request_id", "route_decision", "summary.*")

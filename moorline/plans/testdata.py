@@ -6,12 +6,15 @@ once as SQL for other engines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KB = "catalog"
 NONE = "array<string>"
 #: Latin letters to Han characters, for the overlap of descriptions.
+#: A character for each region, whose alias is that character twice, and two that no alias holds. Aliases and
+#: mentions that share them are alike in one run of one character, so that SQL can tell their similarity.
+REGIONS, NOBODY = "甲乙丙丁戊", "己庚"
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
 
 
@@ -19,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def letter(number) -> Column:
+    return F.substring(F.lit(REGIONS + NOBODY), (number % 7 + 1).cast("int"), F.lit(1))
+
+
 def catalog_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations, customers, suppliers and parts as entities; parts share names."""
 
@@ -33,7 +40,7 @@ def catalog_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.array().cast(NONE)
     words = F.concat(F.array("p_type", "p_brand"), F.split("p_name", " "))
     return (
-        rows("region", 0, "r_regionkey", F.col("r_name"), none, none)
+        rows("region", 0, "r_regionkey", F.col("r_name"), F.array(F.repeat(letter(F.col("r_regionkey")), F.lit(2))), none)
         .unionByName(rows("nation", 1, "n_nationkey", F.col("n_name"), none, none))
         .unionByName(rows("customer", 2, "c_custkey", F.col("c_name"), none, F.array("c_mktsegment")))
         .unionByName(rows("supplier", 3, "s_suppkey", F.col("s_name"), none, none))
@@ -41,9 +48,9 @@ def catalog_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CATALOG_KB = """
+CATALOG_KB = f"""
 kb AS (
-  SELECT r_regionkey::BIGINT AS entity_ord, 'region:' || r_regionkey AS entity_id, r_name AS canonical_name, []::VARCHAR[] AS aliases, 'region' AS entity_type, []::VARCHAR[] AS keywords FROM region
+  SELECT r_regionkey::BIGINT AS entity_ord, 'region:' || r_regionkey AS entity_id, r_name AS canonical_name, [repeat(substr('{REGIONS}', r_regionkey::INTEGER + 1, 1), 2)] AS aliases, 'region' AS entity_type, []::VARCHAR[] AS keywords FROM region
   UNION ALL SELECT 10000000 + n_nationkey, 'nation:' || n_nationkey, n_name, [], 'nation', [] FROM nation
   UNION ALL SELECT 20000000 + c_custkey, 'customer:' || c_custkey, c_name, [], 'customer', [c_mktsegment] FROM customer
   UNION ALL SELECT 30000000 + s_suppkey, 'supplier:' || s_suppkey, s_name, [], 'supplier', [] FROM supplier
@@ -54,7 +61,8 @@ LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extende
 
 
 def line_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mention for each order line: the part's name in some spelling, an unknown one, or a pronoun."""
+    """A mention for each order line: the part's name in some spelling, one like a region's alias or
+    like none, or a pronoun."""
     order = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
     lines = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(order) - 1)
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
@@ -64,17 +72,19 @@ def line_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.col("p_name"))
         .when(k == 1, F.upper("p_name"))
         .when(k == 2, F.concat_ws(" ", "p_name", "p_brand"))
-        .when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("unlisted item "), F.col("l_partkey").cast("string")))
-        .otherwise(F.lit("it"))
+        .when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("某"), F.repeat(letter(F.col("l_partkey")), (F.floor(F.col("l_partkey") / 7) % 3 + 1).cast("int")), F.when(F.col("l_partkey") % 2 == 0, F.lit("货")).otherwise(F.lit(""))))
+        .when(F.col("l_partkey") % 3 == 1, F.lit("其"))
+        .otherwise(F.lit("己"))
     )
+    region = (k == 3) & (F.col("l_partkey") % 3 == 0) & (F.col("l_partkey") % 7 < 5)
     sentence = F.concat(F.lit("The order asks for "), F.when(F.col("l_partkey") % 2 == 0, F.col("p_type")).otherwise(F.lit("goods")), F.lit(" of "), F.col("p_brand"), F.lit("."))
     return rows.select(
         F.col("l_orderkey").cast("string").alias("request_id"), F.lit(KB).alias("kb_id"), sentence.alias("doc_text"), "pos",
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("pos").cast("string")).alias("mention_id"), text.alias("text"),
         F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.when(F.col("pos") % 2 == 0, F.lit("part")).alias("entity_type"), sentence.alias("sentence"),
         F.when(F.col("pos") % 5 == 4, F.array(F.concat(F.lit(" "), F.col("p_name")))).otherwise(F.array().cast(NONE)).alias("candidate_aliases"),
-        ((k == 3) & (F.col("l_partkey") % 3 != 0)).alias("coreference_hint"),
-        F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("gold_kb_id"),
+        ((k == 3) & (F.col("l_partkey") % 3 == 2)).alias("coreference_hint"),
+        F.when(region, F.concat(F.lit("region:"), (F.col("l_partkey") % 7).cast("string"))).otherwise(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("gold_kb_id"),
     )
 
 
@@ -85,9 +95,10 @@ lines AS (
 mentions AS (
   SELECT l_orderkey::VARCHAR AS request_id, pos, l_orderkey || '-' || pos AS mention_id,
     CASE WHEN pos % 4 = 0 THEN p_name WHEN pos % 4 = 1 THEN upper(p_name) WHEN pos % 4 = 2 THEN p_name || ' ' || p_brand
-      WHEN l_partkey % 3 = 0 THEN 'unlisted item ' || l_partkey ELSE 'it' END AS text,
+      WHEN l_partkey % 3 = 0 THEN '某' || repeat(substr('{REGIONS}{NOBODY}', (l_partkey % 7)::INTEGER + 1, 1), l_partkey // 7 % 3 + 1) || CASE WHEN l_partkey % 2 = 0 THEN '货' ELSE '' END
+      WHEN l_partkey % 3 = 1 THEN '其' ELSE '己' END AS text,
     CASE WHEN pos % 2 = 0 THEN 'part' END AS entity_type,
     'The order asks for ' || CASE WHEN l_partkey % 2 = 0 THEN p_type ELSE 'goods' END || ' of ' || p_brand || '.' AS context,
     CASE WHEN pos % 5 = 4 THEN [p_name] ELSE []::VARCHAR[] END AS expansions,
-    (pos % 4 = 3 AND l_partkey % 3 != 0) AS hint, 'part:' || l_partkey AS gold
+    (pos % 4 = 3 AND l_partkey % 3 != 0) AS hint, CASE WHEN pos % 4 = 3 AND l_partkey % 3 = 0 AND l_partkey % 7 < 5 THEN 'region:' || (l_partkey % 7) ELSE 'part:' || l_partkey END AS gold
   FROM lines)"""
