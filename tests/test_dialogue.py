@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from moorline.functions import dialogue as talk
 from moorline.operators import dialogue
 from moorline.plans import catalog
+from moorline.streaming.dialogue import dialogue_stream
 from tests.conftest import SMALL
 
 
@@ -46,20 +47,43 @@ def test_model_answers(spark):
     assert rows[2].route == "rules"
 
 
-def test_low_confidence_falls_back(spark):
-    rows = spark.createDataFrame([(json.dumps({"action": "run", "confidence": c}),) for c in (0.44, 0.45, "x", 7)], "a string")
-    got = [r[0] for r in rows.select(talk.accepted(talk.normalized_action(talk.json_object(F.col("a"))))).collect()]
-    assert got == [False, True, False, True]
+def test_model_actions_move_the_state(spark):
+    """A model's expansions stay in the state until other ones come or a reset, and reach the request of a run."""
+
+    def analyse(text):
+        if "导演" in text:
+            return json.dumps({"action": "update", "text": "李导演的《断背山》真是令人动人", "mentions": ["李导演", "断背山"], "mention_aliases": {"李导演": ["李安"]}, "confidence": 0.95})
+        return json.dumps({"action": "run", "confidence": 0.2})
 
+    turns = spark.createDataFrame([(1, 0, "李导演的电影"), (1, 1, "运行"), (1, 2, "清空")], "conv_id long, turn int, text string")
+    states = dialogue.states(dialogue.answered(turns, analyse))
+    rows = states.orderBy("turn").collect()
+    assert [(r.action, r.kb_id, r.aliases) for r in rows] == [("update", "ccks2019-v1", {"李导演": ["李安"]}), ("run", "ccks2019-v1", {"李导演": ["李安"]}), ("reset", "sample-energy-v1", {})]
+    only = dialogue.run_requests(states).collect()
+    assert len(only) == 1 and only[0].request_id == "1:1" and only[0].kb_id == "ccks2019-v1"
+    assert [(m.mention_id, m.start, m.candidate_aliases) for m in only[0].mentions] == [("m1", 0, ["李安"]), ("m2", 5, [])]
+    assert {r.text for r in dialogue.wanted_names(states).collect()} == {"李导演", "断背山", "李安"}
 
-def test_stream_equals_batch(spark):
-    batch = sorted(map(tuple, catalog.dialogue_state(spark, SMALL).collect()))
-    assert sorted(map(tuple, catalog.streaming_dialogue(spark, SMALL).collect())) == batch
 
+def test_idle_conversations_are_forgotten(spark, tmp_path):
+    """With a limit the stream's state has a time to live; the states are the same meanwhile."""
+    turns = catalog.conversation_turns(spark, SMALL)
+    turns.coalesce(1).write.parquet(f"{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = dialogue_stream(spark.readStream.schema(turns.schema).parquet(f"{tmp_path}/in"), catalog.WORDS, idle_ms=3_600_000)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key)
+    got = catalog.state_columns(spark.read.parquet(f"{tmp_path}/out"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.dialogue_state(spark, SMALL).collect()))
 
-def test_stream_of_requests_equals_batch(spark):
-    streamed = {r.request_id: r.route_decision for r in catalog.streaming_link(spark, SMALL).collect()}
-    assert streamed == {r.request_id: r.route_decision for r in catalog.response_nested(spark, SMALL).collect()}
+
+def test_low_confidence_falls_back(spark):
+    rows = spark.createDataFrame([(json.dumps({"action": "run", "confidence": c}),) for c in (0.44, 0.45, "x", 7)], "a string")
+    got = [r[0] for r in rows.select(talk.accepted(talk.normalized_action(talk.json_object(F.col("a"))))).collect()]
+    assert got == [False, True, False, True]
 
 
 def test_quoted_guesses(spark):

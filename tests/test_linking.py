@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -18,6 +19,7 @@ from moorline.functions.similarity import AliasMatcher
 from moorline.operators import decide, prior, retrieve
 from moorline.options import LinkOptions, Settings
 from moorline.sources import ccks, files, kb
+from moorline.streaming.link import link_stream
 
 ENTITIES = [
     ("base", "1", 0, "org:sgcc", "国家电网有限公司", ["国家电网", "国网", "国网公司"], "organization", ["电网", "配电", "输电", "供电", "数字化"]),
@@ -90,13 +92,97 @@ def test_invalid_options_are_refused(spark, entities):
 
 def test_responses(spark, entities):
     m = ("m1", "李安", 0, 2, "person", None, None, None)
-    requests = spark.createDataFrame([("a", "t10-20240101000000-x", "base", "李安导演", [m]), ("b", "t10-b", "base", " ", []), ("c", "t10-c", "base", "无", [("m1", "qqqq", None, None, None, None, None, None)])], schemas.REQUEST)
+    rows = [("a", "t10-20240101000000-x", "base", "李安导演", [m], None, None), ("b", "t10-b", "base", " ", [], None, None), ("c", "t10-c", "base", "无", [("m1", "qqqq", None, None, None, None, None, None)], None, None)]
+    requests = spark.createDataFrame(rows, schemas.REQUEST)
     by = {r.request_id: r for r in decide.respond(requests, entities).collect()}
     assert by["b"].route_decision == "invalid_input" and by["b"].validation_errors == ["text_required", "mentions_required"]
     assert by["b"].kb_version == "unloaded" and by["b"].graph_nodes[0] == "validate_input" and "load_kb" not in by["b"].graph_nodes
     assert by["a"].summary.linked == 1 and by["a"].route_decision == "resolved" and by["a"].kb_version == "1"
     assert [e.node for e in by["a"].node_events] == by["a"].graph_nodes
     assert by["c"].route_decision == "empty_candidates" and by["c"].summary.nil == 1
+    result = by["a"].results[0]
+    assert result.evidence.normalized_mention == "李安" and result.evidence.context_snippet == "李安导演" and not {"pos", "fallible", "retrieved"} & set(result.asDict())
+    assert [d.asDict() for d in by["a"].decision_log] == [{"trace_id": "t10-20240101000000-x", "mention_id": "m1", "status": "linked", "linked_entity_id": "person:ang_lee", "confidence": result.confidence, "needs_review": False}]
+    assert detail(by["a"], "load_kb") == {"kb_id": "base", "entity_count": len(ENTITIES)}
+
+
+def detail(response, node):
+    return next(json.loads(e.detail) for e in response.node_events if e.node == node)
+
+
+def one(text, start=None, end=None, kind=None, aliases=None, hint=None, name="m1"):
+    return (name, text, start, end, kind, None, aliases, hint)
+
+
+def test_requests_are_independent(spark, entities):
+    """Repeated ids, options and bases of one's own, equal rows."""
+    own = ("mine", [("e1", "Alpha", ["A1"], "x", None, '{"description": "d"}'), ("e2", "Alphabet", None, "x", ["k"], None)])
+    rows = [
+        ("r", "t1", "base", "李安导演", [one("李安")], None, None),
+        ("r", "t2", "base", "国网公司", [one("国网公司")], None, None),
+        ("r", "t3", "base", "国网公司", [one("国网公司")], (None, 0.99, None), None),
+        ("s", "t4", "base", "李强", [one("李强")], (1, None, 0.0), None),
+        ("s", "t5", "base", "李强", [one("李强")], (0, 1.5, -1.0), None),
+        ("k", "t6", "base", "see alpha", [one("alpha")], None, own),
+        ("k", "t7", None, "see alpha", [one("alpha")], None, (None, [])),
+        ("k", "t7", None, "see alpha", [one("alpha")], None, (None, [])),
+    ]
+    got = decide.respond(spark.createDataFrame(rows, schemas.REQUEST), entities).collect()
+    assert len(got) == len(rows)
+    by = {r.trace_id: r for r in got}
+    assert [len(r.results) for r in got] == [0 if r.trace_id == "t5" else 1 for r in got]
+    assert by["t1"].results[0].linked_entity_id == "person:ang_lee" and by["t2"].results[0].linked_entity_id == "org:sgcc"
+    assert by["t3"].results[0].status == "nil" and by["t3"].route_decision == "needs_review"
+    assert by["t4"].results[0].status == "linked" and len(by["t4"].results[0].candidates) == 1 and detail(by["t4"], "generate_candidates")["candidate_count"] == 2
+    assert by["t5"].validation_errors == ["top_k_candidates_must_be_positive", "nil_threshold_out_of_range", "ambiguity_margin_out_of_range"] and by["t5"].kb_version == "unloaded"
+    assert (by["t6"].kb_id, by["t6"].kb_version, by["t6"].results[0].linked_entity_id) == ("mine", "inline", "e1") and detail(by["t6"], "load_kb") == {"kb_id": "mine", "entity_count": 2}
+    assert (by["t7"].kb_id, by["t7"].kb_version, by["t7"].route_decision) == ("inline", "inline", "empty_candidates")
+
+
+def test_unknown_bases(spark, entities):
+    rows = [("a", "t1", "nowhere", "李安", [one("李安")], None, None), ("b", "t2", "base", "李安", [one("李安")], None, None), ("c", "t3", "nowhere", "", [], None, None)]
+    requests = spark.createDataFrame(rows, schemas.REQUEST)
+    with pytest.raises(Exception, match="unknown knowledge base: nowhere"):
+        decide.respond(requests, entities).collect()
+    by = {r.trace_id: r for r in decide.respond(requests, entities, unknown="mark").collect()}
+    assert (by["t1"].route_decision, by["t1"].validation_errors, by["t1"].results) == ("unknown_kb", ["unknown_knowledge_base:nowhere"], [])
+    assert by["t2"].route_decision == "resolved" and by["t3"].route_decision == "invalid_input"
+    with pytest.raises(ValueError):
+        decide.respond(requests, entities, unknown="ignore")
+
+
+def test_traces_say_what_retrieval_gave(spark, entities):
+    """A pronoun that inherits a link loses its candidates, yet it had some."""
+    doc = "张工在国网，该公司来电"
+    mentions = [one("国网", 3, 5, "organization"), one("该公司", 6, 9, "organization", name="m2"), one("qqqq", kind="person", name="m3")]
+    only = decide.respond(spark.createDataFrame([("a", "t", "base", doc, mentions, None, None)], schemas.REQUEST), entities).first()
+    told = detail(only, "generate_candidates")
+    assert only.results[1].coreference_source_mention_id == "m1" and only.results[1].candidates == []
+    assert told["empty_mentions"] == ["m3"] and told["mention_count"] == 3 and told["candidate_count"] >= 2
+
+
+def test_persisting(spark, entities, tmp_path):
+    rows = [("a", "t10-20240101000000-x", "base", "李安", [one("李安")], None, None)]
+    responses = decide.respond(spark.createDataFrame(rows, schemas.REQUEST), entities)
+    path = f"{tmp_path}/traces"
+    assert files.persist(responses, path, 7) and files.persist(responses, path, 7)  # a batch tried again
+    assert files.read_traces(spark, path).count() == 1
+    assert files.persist(responses, path) and files.read_traces(spark, path).count() == 2
+    (tmp_path / "file").write_text("in the way")
+    assert not files.persist(responses, f"{tmp_path}/file/traces")
+    flipped = decide.unpersisted(responses).first()
+    assert not flipped.trace_persisted and detail(flipped, "persist_trace") == {"trace_persisted": False} and detail(flipped, "build_response")["total_mentions"] == 1
+    plan = files.read_trace(spark, path, "t10-20240101000000-x")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and plan.count("20240101") >= 1
+
+
+def test_stream_tried_again_answers_once(spark, entities, tmp_path):
+    rows = [(f"r{i}", f"t{i}", "base" if i else "nowhere", "李安", [one("李安")], None, None) for i in range(3)]
+    spark.createDataFrame(rows, schemas.REQUEST).coalesce(1).write.json(f"{tmp_path}/in")
+    for run in (1, 2):  # another checkpoint: the same batch number comes again
+        link_stream(files.read_requests(spark, f"{tmp_path}/in", stream=True), entities, f"{tmp_path}/out", f"{tmp_path}/checkpoint{run}").awaitTermination()
+    got = {r.request_id: r.route_decision for r in files.read_traces(spark, f"{tmp_path}/out").collect()}
+    assert files.read_traces(spark, f"{tmp_path}/out").count() == 3 and got == {"r0": "unknown_kb", "r1": "resolved", "r2": "resolved"}
 
 
 def test_trace_table(spark, entities, tmp_path):
@@ -148,6 +234,9 @@ def test_ccks_conversion(spark, tmp_path):
 
 def test_settings():
     assert Settings.from_env({"EL_DEFAULT_TOP_K": "7"}).options.top_k == 7
+    got = Settings.from_env({"EL_DEFAULT_KB_PATH": "a.json", "EL_CCKS2019_KB_ID": "c", "EL_CCKS2019_KB_PATH": "c.json", "EL_ALIAS_PRIOR_PATH": "p.json", "EL_TRACES_DIR": "t"})
+    assert got.kb_paths == {"sample-energy-v1": "a.json", "c": "c.json"} and (got.prior_path, got.trace_dir) == ("p.json", "t")
+    assert Settings.from_env({}).kb_paths == {"sample-energy-v1": "data/kb/sample_kb.json"}
     assert LinkOptions().exact_cap == 100 and LinkOptions(top_k=1).exact_cap == 50
 
 
@@ -155,8 +244,8 @@ def test_exact_cap_cuts_in_base_order(spark):
     rows = [("base", "1", i, f"e{i:03d}", "same", [], "t", [], "", None) for i in range(130)]
     many = spark.createDataFrame(rows, schemas.ENTITY)
     ready = decide.signed(spark.createDataFrame([mention(0, "Same", "Same")], MENTION))
-    found = retrieve.exact(decide.signatures(ready), many, LinkOptions()).collect()
-    assert sorted(r.entity_ord for r in found) == list(range(100))
+    found = retrieve.exact(retrieve.asked(ready), many, 5).first().found
+    assert [c.entity_ord for c in found] == list(range(100))
 
 
 # -- pieces against models ------------------------------------------------------------------------
@@ -195,6 +284,26 @@ def reference_best(queries, rows, keep):
     return found[:keep]
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_fuzzy_join_equals_full_scan(spark, monkeypatch, broadcast):
+    """The Spark operator over two bases, aliases broadcast or beside the lists."""
+    monkeypatch.setattr(retrieve, "BROADCAST_ALIASES", broadcast)
+    monkeypatch.setattr(retrieve, "FUZZY_PART", 5)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefg ", k=rng.randrange(1, 9)))
+    rows = [(b, "1", i, f"{b}{i}", word(), [word() for _ in range(rng.randrange(3))], "t", [], "", None) for b in ("one", "two") for i in range(40)]
+    known = spark.createDataFrame(rows, schemas.ENTITY)
+    asked = [(("one", "two", "three")[i % 3], word(), [word()] * (i % 2), 1 + i % 4) for i in range(60)]
+    lists = retrieve.asked(retrieve.with_queries(spark.createDataFrame(asked, "kb_id string, text string, candidate_aliases array<string>, top_k int")))
+    got = {r.q: [(c.entity_ord, c.similarity, c.matched_alias) for c in r.found] for r in retrieve.fuzzy(lists, known).collect()}
+    plain = lambda x: re.sub(r"[\s\W_]+", "", x.lower())
+    for r in lists.collect():
+        names = [(e[2], k, a, plain(a)) for e in rows if e[0] == r.kb_id for k, a in enumerate([e[4], *e[5]])]
+        texts = [plain(q) for q in r.queries if plain(q)]
+        want = reference_best(texts, names, 2 * r.top_k) if texts else []
+        assert got.get(r.q, []) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.text("abcd", max_size=7), min_size=1, max_size=3), min_size=1, max_size=25), st.lists(st.text("abcd", min_size=1, max_size=7), min_size=1, max_size=2), st.integers(1, 6))
 def test_fuzzy_search_equals_full_scan(names, queries, keep):
@@ -212,6 +321,24 @@ def test_shell(spark, tmp_path, capsys):
     assert "[m1] Alpha: linked" in out and "[m2] Omega: nil" in out
     assert shell.main(["--kb", f"{tmp_path}/kb.json", "--text", "", "--json"]) == 0
     assert "text_required" in capsys.readouterr().out
+    assert shell.main(["--demo", "--out", f"{tmp_path}/traces"]) == 0
+    assert "[m3] Atlantis: nil" in capsys.readouterr().out
+    assert files.read_traces(spark, f"{tmp_path}/traces").count() == 1
+
+
+def test_talk(spark):
+    """Turns of one conversation; a turn that runs is linked with the names that its base may be cut to."""
+    from moorline import shell
+
+    asked = []
+
+    def link(requests, names):
+        asked.append((requests.collect()[0], {r.text for r in names.collect()}))
+        return spark.createDataFrame([], "x int")
+
+    replies = list(shell.talk(spark, ["文本: see Alpha there", "", "mention: Alpha", "bye", "help"], link))
+    assert len(replies) == 2 and "missing: mentions" in replies[0] and replies[1].startswith("[run]")
+    assert [(r.text, [m.start for m in r.mentions], names) for r, names in asked] == [("see Alpha there", [4], {"Alpha"})]
 
 
 def test_stages_can_be_replaced(spark, entities):
