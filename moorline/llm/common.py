@@ -1,18 +1,14 @@
-"""Shared-folder tables, intermediate results and small helpers of the training-data operators.
+"""Shared-folder tables and small helpers of the training-data operators.
 
-Executors come and go, so whatever cuts lineage is a table in the folder that the cluster names in
-``spark.checkpoint.dir``. Only a session that runs in one process (tests) may leave it unset. What
-an operator wrote there goes when the driver ends, or earlier with `clear_scratch`; tables that no
-later step reads are deleted on the way.
+Executors come and go, so whatever cuts lineage is a table in a shared folder (`moorline.scratch`);
+tables that no later step reads are deleted on the way.
 """
 
 from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 import time
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,37 +18,9 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDER: list[str] = []
-_SCRATCH: dict[str, list[str]] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, deleted when the driver ends.
-
-    Where that is unset, a session with executors of its own is refused: they would not see each
-    other's files. A session within one process gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not _OWN_FOLDER:
-            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="moorline-"))
-        base = f"file://{_OWN_FOLDER[0]}"
-    folder = f"{base.rstrip('/')}/moorline-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(where)
-    files.deleteOnExit(where)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(folder)
-    return folder
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what all operators of this application wrote so far; results not yet read are lost."""
-    for folder in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        discard(spark, folder)
+from moorline.scratch import discard, shared_folder
 
+__all__ = ["discard", "shared_folder"]
 
 def opened(uri: str) -> tuple[pa.fs.FileSystem, str]:
     """File system and path of a file or folder, for tasks that read or write files of their own."""
@@ -76,12 +44,6 @@ def stored(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a finished intermediate table, on whatever file system it lies."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def unused(name: str, taken: Iterable[str]) -> str:
     """name, with as many underscores behind it as no column of `taken` (in any case) has.
 
@@ -93,6 +55,11 @@ def unused(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns called c0, c1, ...: Spark's Arrow functions bear no dots in names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def own(name: str) -> Column:
     """The column of exactly this name, dots and quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")
