@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.common import Trimmer, opened, sized, stored, width
@@ -119,8 +119,12 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield current, held
 
 
-def per_key(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[dict]], Iterator[pa.RecordBatch]], schema: str, order: tuple[str, ...] = ()) -> DataFrame:
-    """Run work(key, rows) for every key; the rows of one key are in memory, keys one after another."""
+def per_key(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[dict]], Iterator[pa.RecordBatch]], schema: str, place: Column | None = None) -> DataFrame:
+    """Run work(key, rows) for every key; the rows of one key are in memory, keys one after another.
+
+    place, a whole number that depends on the key alone, says which partition (modulo their number)
+    a key goes to; keys that are as large as each other are dealt evenly that way, not by chance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim = Trimmer()
@@ -129,8 +133,9 @@ def per_key(rows: DataFrame, keys: list[str], work: Callable[[tuple, list[dict]]
             del held
             trim()
 
-    dealt = rows.repartition(width(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(run, schema)
+    n = width(rows.sparkSession)
+    dealt = rows.repartition(n, *keys) if place is None else rows.repartitionById(n, F.pmod(place, F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -255,12 +255,12 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
 
     blob = "bucket int, blk string, blob binary"
     answer = "blk string, bucket int, blob binary"
-    classes = stored(per_key(per_block(blocks, count, blob), ["bucket"], classify, answer), folder, "classes")
+    classes = stored(per_key(per_block(blocks, count, blob), ["bucket"], classify, answer, F.col("bucket")), folder, "classes")
     every = classes.unionByName(blocks.select("blk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob")))
     # Sorted by kind, so that a filter on the kind skips the pages of the others.
     found = stored(per_key(every, ["blk"], survivors, "kind string, blk string, a long, b long, blob binary").sortWithinPartitions("kind"), folder, "found")
     discard(spark, f"{folder}/classes")
-    near = stored(per_key(found.filter("kind = 'post'").select(F.col("a").cast("int").alias("bucket"), "blob"), ["bucket"], clusters, "u long, v long"), folder, "near")
+    near = stored(per_key(found.filter("kind = 'post'").select(F.col("a").cast("int").alias("bucket"), "blob"), ["bucket"], clusters, "u long, v long", F.col("bucket")), folder, "near")
     cluster = components(near, f"{folder}/clusters")
     rows = found.filter("kind = 'own'").select("blk", F.col("a").alias("doc"), F.col("b").alias("row")).join(cluster, F.col("doc") == F.col("node")).select("blk", "doc", "row", "component")
     sets = stored(per_key(rows, ["blk"], fetch, "component long, doc long, size long, blob binary"), folder, "sets")
@@ -306,19 +306,19 @@ def joined(sets: DataFrame, folder: str, num: int, den: int) -> DataFrame:
     of = sets.join(F.broadcast(large) if large.count() < 10_000 else large, "component")
     leads = F.col("doc") == F.col("component")
     dealt = of.withColumn("cell", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("cells") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int")))))
-    led = stored(per_key(dealt.select("component", "cell", "doc", "blob", leads.alias("leads")), ["component", "cell"], lead, schema), folder, "led")
+    led = stored(per_key(dealt.select("component", "cell", "doc", "blob", leads.alias("leads")), ["component", "cell"], lead, schema, F.shiftright(F.xxhash64("component"), 8) + F.col("cell")), folder, "led")
     tied = led.select(F.col("u").alias("doc")).distinct()
     rest = of.filter(~leads).join(tied, "doc", "left_anti").select("component", "doc", "size", "blob")
     number = rest.groupBy("component").agg(wanted.alias("rests"))
     rest = stored(rest.join(number, "component"), folder, "rest")
-    own_cell = F.pmod(F.xxhash64("doc"), F.col("rests")).cast("int")
-    # Cells (i, -1 - j) compare rest i with rest j >= i; cells (i, k) compare rest i with cell k of the tied.
-    rest = rest.withColumn("i", own_cell)
-    with_rest = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("component", F.least("i", "j").alias("left"), (-1 - F.greatest("i", "j")).alias("right"), "doc", "blob", F.lit(True).alias("probe"))
-    counted = rest.select("component", "rests").distinct()
+    rest = rest.withColumn("i", F.pmod(F.xxhash64("doc"), F.col("rests")).cast("int"))
     tied = tied.unionByName(large.select(F.col("component").alias("doc")))  # a repeated leader has more sets
-    settled = of.join(tied, "doc", "left_semi").join(counted, "component").withColumn("k", F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int"))
-    across = settled.withColumn("left", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("component", "left", F.col("k").alias("right"), "doc", "blob", F.lit(False).alias("probe"))
-    probes = rest.join(large, "component").withColumn("right", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("component", F.col("i").alias("left"), "right", "doc", "blob", F.lit(True).alias("probe"))
-    two = per_key(with_rest.unionByName(across).unionByName(probes), ["component", "left", "right"], cell, schema)
+    settled = of.join(tied, "doc", "left_semi").join(rest.select("component", "rests").distinct(), "component")
+    # Cell i * cells + k compares rest i with cell k of the tied; cell rests * (cells + i) + j rest i with rest j >= i.
+    cell_of = F.pmod(F.xxhash64("doc"), F.col("cells")).cast("int")
+    across = settled.withColumn("k", cell_of).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("component", (F.col("i") * F.col("cells") + F.col("k")).alias("pair"), "doc", "blob", F.lit(False).alias("probe"))
+    rest = rest.join(large, "component")
+    probes = rest.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select("component", (F.col("i") * F.col("cells") + F.col("k")).alias("pair"), "doc", "blob", F.lit(True).alias("probe"))
+    among = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).select("component", (F.col("rests") * (F.col("cells") + F.least("i", "j")) + F.greatest("i", "j")).alias("pair"), "doc", "blob", F.lit(True).alias("probe"))
+    two = per_key(among.unionByName(across).unionByName(probes), ["component", "pair"], cell, schema, F.shiftright(F.xxhash64("component"), 8) + F.col("pair"))
     return one.unionByName(led).unionByName(two)
