@@ -63,7 +63,8 @@ def write_blocks(docs: DataFrame, folder: str, text_col: str = "text") -> DataFr
             sink.close()
         yield pa.RecordBatch.from_pydict({"blk": pa.array([f"{folder}/{path}#{k}" for k in range(len(sizes))], pa.string()), "bytes": pa.array(sizes, pa.int64())})
 
-    return stored(frame.mapInArrow(run, "blk string, bytes long"), folder, "names")
+    # A row a block: few files.
+    return stored(frame.mapInArrow(run, "blk string, bytes long").repartition(max(1, width(docs.sparkSession) // 16)), folder, "names")
 
 
 def load_block(blk: str, columns: list[str] | None = None) -> pa.Table:
