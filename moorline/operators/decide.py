@@ -39,11 +39,10 @@ Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
 Scorer = Callable[[DataFrame, DataFrame | None], DataFrame]
 
 
-def scored(mentions: DataFrame, entities: DataFrame, prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
-    """Ranked candidates of every signature of (signed) mentions."""
+def scored(mentions: DataFrame, entities: DataFrame, most_k: int, prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore) -> DataFrame:
+    """Ranked candidates of every signature of (signed) mentions; most_k is their greatest top_k."""
     unique = signatures(mentions)
     lists = retrieve.asked(unique)
-    most_k = retrieve.most_asked(mentions)
     return rerank.top(scorer(retrieve.build(retriever(lists, entities, most_k), unique, entities), prior), most_k)
 
 
@@ -152,16 +151,19 @@ def decisions(documents: DataFrame) -> DataFrame:
     return documents.select("request_id", "route", F.inline("results"))
 
 
-def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore, keys: tuple[str, ...] = ("request_id",), most_k: int | None = None) -> DataFrame:
     """The engine on valid mentions: (request_id, route, results). Stages can be replaced.
 
     Mentions may state top_k, nil_threshold and ambiguity_margin of their own, those of one request
-    alike; options stand in for what they leave out.
+    alike; options stand in for what they leave out. most_k, the greatest top_k, is looked up where
+    mentions have their own and it is not given.
     """
     if options.errors():
         raise ValueError(", ".join(options.errors()))
     ready = signed(mentions, options)
-    return by_document(first_decisions(ready, scored(ready, entities, prior, retriever, scorer)), keys)
+    if most_k is None:
+        most_k = retrieve.most_asked(ready) if "top_k" in mentions.columns else options.top_k
+    return by_document(first_decisions(ready, scored(ready, entities, most_k, prior, retriever, scorer)), keys)
 
 
 # -- requests and responses -------------------------------------------------------------------
@@ -305,7 +307,9 @@ def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = Lin
     bad = F.size("validation_errors") > 0
     valid = checked.filter(~bad).dropDuplicates(["request_key"])
     mentions = explode_requests(valid.withColumn("kb_id", F.col("base")), ("request_key", "top_k", "nil_threshold", "ambiguity_margin"))
-    linked = link_mentions(mentions, entities, options if not options.errors() else LinkOptions(), prior, keys=("request_key",))
+    safe = options if not options.errors() else LinkOptions()
+    most_k = retrieve.most_asked(checked) if "options" in requests.columns else safe.top_k
+    linked = link_mentions(mentions, entities, safe, prior, keys=("request_key",), most_k=most_k)
     bases = entities.groupBy(F.col("kb_id").alias("base")).agg(F.first("version").alias("kb_version"), F.count("*").alias("entity_count"))
     none = F.array().cast(linked.schema["results"].dataType)
     rows = checked.join(linked, "request_key", "left").join(bases, "base", "left")

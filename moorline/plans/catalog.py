@@ -156,7 +156,7 @@ def catalog_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(signed mentions, ranked candidates) of the whole retrieval."""
     mentions, entities = catalog_mentions(spark, sf_dir)
-    return mentions, decide.scored(mentions, entities)
+    return mentions, decide.scored(mentions, entities, OPTIONS.top_k)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
