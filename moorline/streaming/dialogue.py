@@ -68,7 +68,8 @@ class Turns(StatefulProcessor):
 def dialogue_stream(turns: DataFrame, words: Words = Words(), idle_ms: int | None = None) -> DataFrame:
     """States of a stream of (conv_id, turn, text[, answer]); turns of a conversation come in order of
     batches. A conversation that says nothing for idle_ms (processing time) is forgotten, so that
-    state does not grow for ever; without it none is."""
+    state does not grow for ever; without it none is. (A query that is to end by itself then needs
+    spark.sql.streaming.noDataMicroBatches.enabled=false: batches without data wait for the limit.)"""
     model = F.to_json(modelled(turns)).alias("model")
     said = turns.select("conv_id", "turn", parsed_turn(F.coalesce(F.col("text"), F.lit("")), words).alias("s"), model).select("conv_id", "turn", "s.*", "model")
     return said.groupBy("conv_id").transformWithStateInPandas(Turns(words, idle_ms), OUTPUT, "Append", "None" if idle_ms is None else "ProcessingTime")

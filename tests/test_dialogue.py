@@ -71,11 +71,14 @@ def test_idle_conversations_are_forgotten(spark, tmp_path):
     turns.coalesce(1).write.parquet(f"{tmp_path}/in")
     key = "spark.sql.streaming.stateStore.providerClass"
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    empty = "spark.sql.streaming.noDataMicroBatches.enabled"  # batches without data would follow until the state is gone
+    spark.conf.set(empty, "false")
     try:
         stream = dialogue_stream(spark.readStream.schema(turns.schema).parquet(f"{tmp_path}/in"), catalog.WORDS, idle_ms=3_600_000)
         stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(key)
+        spark.conf.unset(empty)
     got = catalog.state_columns(spark.read.parquet(f"{tmp_path}/out"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalog.dialogue_state(spark, SMALL).collect()))
 
