@@ -135,7 +135,10 @@ def build(found: DataFrame, signatures: DataFrame, entities: DataFrame) -> DataF
     """A row for each candidate of each signature, with the entity's columns, the rounded similarity
     and the first reasons; `retrieved` counts the signature's candidates."""
     known = sized_hint(entities.drop("version", "metadata_json"), BROADCAST_ALIASES)
-    wanted = signatures.withColumnRenamed("entity_type", "mention_type").join(found, "q")
+    parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Arrays are short to move and long to score: they are dealt evenly before they are exploded, by the
+    # key that ranking and decisions go by, so that scored rows move no more.
+    wanted = signatures.withColumnRenamed("entity_type", "mention_type").join(found, "q").repartition(parts, "sig")
     single = wanted.withColumn("retrieved", F.size("found")).select("*", F.posexplode("found").alias("place", "c")).drop("found", "q")
     single = single.withColumns({"retrieval_rank": F.col("place") + 1, "entity_ord": F.col("c.entity_ord"), "matched_alias": F.col("c.matched_alias"), "similarity": F.col("c.similarity")}).drop("c", "place")
     joined = single.join(known, ["kb_id", "entity_ord"])
