@@ -24,14 +24,18 @@ def with_options(rows: DataFrame, options: LinkOptions) -> DataFrame:
     return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in rows.columns else F.lit(v) for k, v in given.items()})
 
 
+SIGNATURE = ("kb_id", "text", "candidate_aliases", "top_k", "entity_type", "context")
+
+
 def signed(mentions: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
-    """mentions with options, context, the key of what can be found (`q`) and of how it scores (`sig`)."""
+    """mentions with options, context, and the key of all that a score depends on (`sig`)."""
     framed = with_options(mentions, options).withColumn("context", context_window(F.col("doc_text"), F.col("start"), F.col("end"), F.col("sentence")))
-    return retrieve.with_queries(framed).withColumn("sig", retrieve.key("q", "entity_type", "context"))
+    return framed.withColumn("sig", retrieve.key(*SIGNATURE))
 
 
 def signatures(mentions: DataFrame) -> DataFrame:
-    return mentions.select("sig", "q", "kb_id", "text", "queries", "top_k", "entity_type", "context").dropDuplicates(["sig"])
+    """Each signature once, with the key of what can be found for it (`q`)."""
+    return retrieve.with_key(mentions.select("sig", *SIGNATURE).dropDuplicates(["sig"]))
 
 
 #: A stage that finds candidates (lists of queries, entities, greatest top_k), and one that scores them (built, prior).

@@ -27,14 +27,16 @@ def key(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def with_queries(mentions: DataFrame) -> DataFrame:
-    """mentions and their `queries`, and `q`, the key of what can be found for them."""
-    return mentions.withColumn("queries", query_texts(F.col("text"), F.col("candidate_aliases"))).withColumn("q", key("kb_id", "queries", "top_k"))
+def with_key(rows: DataFrame) -> DataFrame:
+    """rows and `q`, the key of what can be found for them."""
+    return rows.withColumn("q", key("kb_id", "text", "candidate_aliases", "top_k"))
 
 
-def asked(mentions: DataFrame) -> DataFrame:
+def asked(rows: DataFrame) -> DataFrame:
     """(q, kb_id, queries, top_k), each q once."""
-    return mentions.select("q", "kb_id", "queries", "top_k").dropDuplicates(["q"])
+    keyed = rows if "q" in rows.columns else with_key(rows)
+    unique = keyed.select("q", "kb_id", "text", "candidate_aliases", "top_k").dropDuplicates(["q"])
+    return unique.select("q", "kb_id", query_texts(F.col("text"), F.col("candidate_aliases")).alias("queries"), "top_k")
 
 
 def most_asked(lists: DataFrame) -> int:
@@ -138,14 +140,15 @@ def build(found: DataFrame, signatures: DataFrame, entities: DataFrame) -> DataF
     parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Arrays are short to move and long to score: they are dealt evenly before they are exploded, by the
     # key that ranking and decisions go by, so that scored rows move no more.
-    wanted = signatures.withColumnRenamed("entity_type", "mention_type").join(found, "q").repartition(parts, "sig")
+    expansions = F.transform(F.slice(query_texts(F.col("text"), F.col("candidate_aliases")), 2, 10_000), normalize)
+    named = signatures.withColumnRenamed("entity_type", "mention_type").withColumn("expansions", expansions).drop("candidate_aliases")
+    wanted = named.join(found, "q").repartition(parts, "sig")
     single = wanted.withColumn("retrieved", F.size("found")).select("*", F.posexplode("found").alias("place", "c")).drop("found", "q")
     single = single.withColumns({"retrieval_rank": F.col("place") + 1, "entity_ord": F.col("c.entity_ord"), "matched_alias": F.col("c.matched_alias"), "similarity": F.col("c.similarity")}).drop("c", "place")
     joined = single.join(known, ["kb_id", "entity_ord"])
     matched, mention = normalize(F.col("matched_alias")), normalize(F.col("text"))
-    expanded = F.exists(F.slice("queries", 2, 10_000), lambda x: normalize(x) == matched)
     kind = (
-        F.when((matched != mention) & expanded, F.lit("llm_alias_expansion"))
+        F.when((matched != mention) & F.array_contains("expansions", matched), F.lit("llm_alias_expansion"))
         .when(matched == mention, F.lit("exact_or_alias_match"))
         .otherwise(F.lit("fuzzy_alias_match"))
     )

@@ -150,7 +150,8 @@ def catalog_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 def catalog_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(signed mentions, their distinct lists of queries, entities)."""
     mentions, entities = catalog_mentions(spark, sf_dir)
-    return mentions, retrieve.asked(mentions), entities
+    keyed = retrieve.with_key(mentions)
+    return keyed, retrieve.asked(keyed), entities
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

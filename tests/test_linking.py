@@ -294,7 +294,7 @@ def test_fuzzy_join_equals_full_scan(spark, monkeypatch, broadcast):
     rows = [(b, "1", i, f"{b}{i}", word(), [word() for _ in range(rng.randrange(3))], "t", [], "", None) for b in ("one", "two") for i in range(40)]
     known = spark.createDataFrame(rows, schemas.ENTITY)
     asked = [(("one", "two", "three")[i % 3], word(), [word()] * (i % 2), 1 + i % 4) for i in range(60)]
-    lists = retrieve.asked(retrieve.with_queries(spark.createDataFrame(asked, "kb_id string, text string, candidate_aliases array<string>, top_k int")))
+    lists = retrieve.asked(spark.createDataFrame(asked, "kb_id string, text string, candidate_aliases array<string>, top_k int"))
     got = {r.q: [(c.entity_ord, c.similarity, c.matched_alias) for c in r.found] for r in retrieve.fuzzy(lists, known).collect()}
     plain = lambda x: re.sub(r"[\s\W_]+", "", x.lower())
     for r in lists.collect():
