@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from moorline.llm.common import own, sized, unused
+from moorline.llm.common import by_place, own, sized, unused
 
 SAMPLE_PIECES = 500  # most pieces of labelled texts that a language is learnt from
 PIECE_CHARS = 512  # characters of a piece; the last one of a text is shorter
 BLOCK = 4096  # bytes compressed at once
-LEVEL = 12
+LEVEL = 9
 LEAD = 256
 MARGIN = 0.0005  # share of the bytes by which the best must beat the second not to be rejected
 UNKNOWN = "und"
@@ -112,17 +112,18 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
     """
     items = tuple(sorted(dictionaries.items()))
     names = [lang for lang, _ in items]
-    carried = docs.columns
-    outputs = [unused(c, carried) for c in OUTPUTS]
+    plain, text = by_place(docs), f"c{docs.columns.index(text_col)}"
+    carried = plain.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = sizers(items)
-        for batch in sized(batches, text_col):
-            langs, scores, rejected = zip(*(judged(text, names, tools) for text in batch.column(text_col).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*carried, *outputs])
+        for batch in sized(batches, text):
+            langs, scores, rejected = zip(*(judged(t, names, tools) for t in batch.column(text).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*carried, *OUTPUTS])
 
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(c, kind) for c, kind in zip(outputs, kinds)]]))
+    out = T.StructType([*plain.schema.fields, *[T.StructField(c, kind) for c, kind in zip(OUTPUTS, kinds)]])
+    return plain.mapInArrow(run, out).toDF(*docs.columns, *[unused(c, docs.columns) for c in OUTPUTS])
 
 
 def identify(docs: DataFrame, pieces: int = SAMPLE_PIECES, chars: int = PIECE_CHARS) -> DataFrame:

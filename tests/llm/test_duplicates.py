@@ -40,7 +40,10 @@ def test_ngram_join_edges(spark):
     assert ngram_join.link_components(frame.filter("false"), 3, 90, 100).collect() == []
 
 
-def test_suffix_dedup_equals_brute_force(spark, small_blocks, tmp_path):
+@pytest.mark.parametrize(("hot", "spread"), [(32, 64), (1, 64), (1, 0)])
+def test_suffix_dedup_equals_brute_force(spark, small_blocks, monkeypatch, tmp_path, hot, spread):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
     docs = [d for d in odd_documents(n=200)]
     spark.createDataFrame(docs, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in queries.op7_suffix_dedup(spark, str(tmp_path)).collect()}
@@ -97,6 +100,34 @@ def test_long_text_in_stretches(spark, monkeypatch):
     assert got == removed_spans(docs)
 
 
+def test_texts_that_repeat_themselves_are_settled_at_once(spark):
+    """Runs, short periods and ruled lines: few anchors go on, and the result is that of brute force."""
+    import numpy as np
+
+    for text in (b"a" * 3_000_000, b"abcdefg" * 400_000, b"xyz" * 1000 + b"a" * 100_000):
+        (h, *_), gone = suffix_dedup.anchors(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert len(h) < 3000 and len(gone[0]) < 100
+    docs = [(1, "a" * 900 + "b" * 900), (2, "zz" + "a" * 400), (3, "abc" * 300 + "q" + "abc" * 90), (0, "b" * 130 + "-" * 101), (4, "=-" * 200 + "\n" + "=-" * 200), (5, "a" * 99), (6, ("~" * 67 + "\n") * 9), (7, ("~" * 80 + "\n") * 9)]
+    got = {r.doc_id: (bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == removed_spans(docs)
+
+
+def test_cell_rows_are_exact():
+    rng = random.Random(8)
+    import numpy as np
+
+    base = [rng.randrange(1 << 60) for _ in range(200)]
+    sets = []
+    for i in range(60):
+        s = set(base[: 150 + i % 40]) if i % 3 else {rng.randrange(1 << 60) for _ in range(rng.randrange(1, 80))} | set(base[:20])
+        sets.append(np.array(sorted(s ^ {rng.choice(base) for _ in range(i % 9)}), np.uint64))
+    cell = ngram_join.Cell(list(range(60)), sets, 80, 100)
+    cell.links()
+    for x, row in cell.rows.items():
+        for y in range(60):
+            assert row[y] == len(np.intersect1d(sets[cell.order[x]], sets[cell.order[y]]))
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = odd_documents(n=150)
     spark.createDataFrame(docs, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")

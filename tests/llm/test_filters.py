@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from moorline.llm import embedding_dedup, fingerprints, graph, language_id, queries, sharding, sql, url_filter
 from tests.conftest import MEDIUM, SMALL
@@ -62,6 +63,56 @@ def test_url_sql_on_cases(spark, tmp_path):
     assert rows_of(queries.op5_url_filter(spark, str(tmp_path))) == want
 
 
+def test_url_rules_as_a_table(spark, monkeypatch):
+    pages = spark.createDataFrame(URLS, "page_id long, url string")
+    anywhere = (*url_filter.PATTERN_RULES, url_filter.PatternRule("block", r"example[.]com#", ()))
+    plain = rows_of(url_filter.judge(pages, pattern_rules=anywhere))
+    assert sum((plain - rows_of(url_filter.judge(pages))).values()) == 1
+    monkeypatch.setattr(url_filter, "PLAN_RULES", 0)
+    assert rows_of(url_filter.judge(pages, pattern_rules=anywhere)) == plain
+    many = tuple(url_filter.HostRule("block" if k % 2 else "allow", f"h{k % 300}.com", f"/{k}") for k in range(420))
+    more = spark.createDataFrame([(k, f"http://www.h{k % 400}.com/{k}/x") for k in range(500)], "page_id long, url string")
+    large = rows_of(url_filter.judge(more, host_rules=many))
+    monkeypatch.setattr(url_filter, "PLAN_RULES", 10_000)
+    assert large == rows_of(url_filter.judge(more, host_rules=many))
+    assert {r[3] for r in large if r[3]} >= {"h5.com/5"}
+
+
+def test_op6_equals_a_plain_model(spark):
+    """Sample, compressed sizes, winner and score computed again, by the statement of the operator."""
+    import re
+
+    import xxhash
+    import zstandard
+
+    docs = [r for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    pieces = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.text and r.lang:
+            for p in re.findall(r"(?s).{1,512}", r.text):
+                pieces.setdefault(r.lang, set()).add((xxhash.xxh64(p.encode(), seed=42).intdigest() >> 1, p))
+    books = {lang: "\n".join(p.lower() for _, p in sorted(found)[:60]).encode() for lang, found in pieces.items()}
+    assert language_id.learn(spark.read.parquet(f"{SMALL}/documents.parquet").filter(~language_id.held_out(F.col("doc_id"))), pieces=60) == books
+    got = {r.doc_id: r for r in language_id.identify(spark.read.parquet(f"{SMALL}/documents.parquet"), pieces=60).collect()}
+    for r in docs[:80]:
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].rejected) == ("und", 0.0, True)
+            continue
+        raw, sizes = r.text.lower().encode(), {}
+        for lang, book in sorted(books.items()):
+            def size(data):
+                tool = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+                return len(tool.compress(data))
+
+            lead = book[-256:]
+            sizes[lang] = sum(size(lead + raw[a : a + 4096]) - size(lead) for a in range(0, len(raw), 4096))
+        order = sorted(sizes, key=lambda k: (sizes[k], k))
+        one, two = sizes[order[0]], sizes[order[1]]
+        assert got[r.doc_id].lang_pred == order[0]
+        assert got[r.doc_id].score == pytest.approx(min(1.0, max(0.0, 1 - one / two)) if two > 0 else 0.0)
+        assert got[r.doc_id].rejected == (two - one < 0.0005 * len(raw))
+
+
 def test_op6_held_out_accuracy(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{MEDIUM}/documents.parquet").collect()}
     rows = queries.op6_language_id(spark, MEDIUM).collect()
@@ -156,6 +207,52 @@ def test_op3_against_brute_force(spark, tmp_path):
             assert abs(near - true) < (0.12 if len(a | b) > 100 else 0.35)
 
 
+def test_fingerprint_bits_equal_a_plain_model():
+    """One hash a shingle, the least of each bin, empty bins from the first full one of the bin's own
+    order, low-order bytes; and the corrected share of equal bins."""
+    import numpy as np
+
+    from moorline.llm.shingles import mix, shingle_hashes
+
+    texts = [b"one", b"a b c d e f g", " ".join(f"w{i * i % 97}" for i in range(400)).encode(), b"", b"x y"]
+    rows = fingerprints.fingerprints(texts)
+    keys = [[int(x) for x in mix(np.arange(i * 512, (i + 1) * 512, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))] for i in range(512)]
+    for text, row in zip(texts, rows):
+        bins = {}
+        for h in shingle_hashes([text], 5)[0].tolist():
+            bins[h >> 55] = min(h, bins.get(h >> 55, h))
+        want = []
+        for i in range(512):
+            j = i if i in bins else min(bins, key=lambda j: keys[i][j]) if bins else None
+            want.append(0 if j is None else int(mix(np.array([bins[j]], np.uint64))[0]) & 255)
+        assert row.tolist() == want
+    a, b = np.array([[1, 2, 3, 4]], np.uint8), np.array([[1, 2, 9, 4]], np.uint8)
+    yes, no = np.array([True]), np.array([False])
+    assert fingerprints.likeness(a, b, yes, yes)[0] == pytest.approx((0.75 - 1 / 256) / (1 - 1 / 256))
+    assert (fingerprints.likeness(a, b, no, yes)[0], fingerprints.likeness(a, b, no, no)[0]) == (0.0, 1.0)
+
+
+def test_fingerprints_of_a_repeated_id_spread(spark):
+    """Ranges cut one doc_id by its texts; neighbours stay those of the whole order."""
+    docs = [(7 if i % 3 else i, f"text number {i} of many words {i * i}") for i in range(90)] + [(None, f"null {i}") for i in range(40)]
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprint_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    import hashlib
+
+    import xxhash
+
+    def signed(t):
+        h = xxhash.xxh64(t.encode(), seed=42).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), -signed(d[1])))
+    want = Counter()
+    for k, (d, t) in enumerate(order):
+        half, following = len(t) // 2, order[(k + 1) % len(order)][1]
+        want[d, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()] += 1
+    assert got == want
+    assert fingerprints.bounds_of([3, 5, 5, 9]) == [(3, -(1 << 63)), (5, -(1 << 63)), (5, 0), (9, -(1 << 63))]
+
+
 def test_fingerprint_edges(spark):
     lone = fingerprints.fingerprint_pairs(spark.createDataFrame([(4, "a b c d e f")], "doc_id long, text string")).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
