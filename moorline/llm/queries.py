@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moorline.llm import embedding_dedup, fingerprints, language_id, ngram_join, packing, sentencepiece_bpe, sharding, suffix_dedup, token_files, url_filter
+from moorline.llm import conversation_repair, embedding_dedup, fingerprints, language_id, ngram_join, packing, sentencepiece_bpe, sharding, suffix_dedup, token_files, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    pieces, counts = conversation_repair.repair(conversation_repair.damaged(turns))
+    rows = conversation_repair.reports(turns.select(F.col("conv_id").alias("conv")).distinct(), pieces, counts)
+    return rows.select(F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -80,4 +87,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_sharding": op9_sharding,
     "op10_token_files": op10_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
 }

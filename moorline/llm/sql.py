@@ -89,3 +89,53 @@ FROM numbered d JOIN walk w ON w.x = d.x AND w.y < w.n JOIN sums s ON s.x = d.x"
 
 
 ORACLE_SQL["op9_sharding"] = sharding_sql(SHARDS, SEED)
+
+
+def conversation_repair_sql() -> str:
+    """The damage by CRC-32's table; edits by a fold that holds the cheapest, least audit of each of the
+    grammar's states. An insertion costs more than deleting the turn that it would pair with, so no
+    cheapest repair has one, and audits have a letter a row."""
+    spaces = r"\x20\x09-\x0D"
+    add = lambda s, letter, cost: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}}"
+    never = "{'c': 1000000000, 'a': ''}"
+    least = lambda *xs: "list_sort([" + ", ".join(xs) + "])[1]"
+
+    def may(test: str, x: str) -> str:
+        return f"CASE WHEN x.f < 2 AND {test} THEN {x} ELSE {never} END"
+
+    to_user = [may("x.i = 'u'", add(f"s.{k}", "K", "5 * x.f")) for k in ("p0", "p1", "p3")] + [may("true", add(f"s.{k}", "R", "5 * x.f + 1")) for k in ("p0", "p1", "p3")]
+    step = f"""{{'i': '', 'f': 0, 'p0': {add('s.p0', 'D', 2)}, 'p1': {least(add('s.p1', 'D', 2), may("x.i = 's'", add('s.p0', 'K', '5 * x.f')))},
+      'p2': {least(add('s.p2', 'D', 2), *to_user)},
+      'p3': {least(add('s.p3', 'D', 2), may("x.i = 'a'", add('s.p2', 'K', '5 * x.f')), may('true', add('s.p2', 'R', '5 * x.f + 1')))}}}"""
+    return f"""
+WITH digits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda h: ascii(h)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS m FROM keyed, digits),
+hurt AS (
+  SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE WHEN m = 1 THEN '' WHEN m = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS again
+  FROM summed WHERE m != 0),
+ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, role[1:1] AS i FROM hurt),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^{spaces}]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{spaces}]*\\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS previous FROM ordered),
+rows_of AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (previous || i NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'i': i, 'f': CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END, 'p0': {never}, 'p1': {never}, 'p2': {never}, 'p3': {never}}} ORDER BY pos) AS symbols
+  FROM judged GROUP BY conv_id),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'i': '', 'f': 0, 'p0': {{'c': 0, 'a': ''}}, 'p1': {never}, 'p2': {never}, 'p3': {never}}}, symbols), lambda s, x: {step}) AS r FROM rows_of),
+chosen AS (SELECT *, {least('r.p0', 'r.p3')} AS best FROM folded),
+edits AS (SELECT j.*, best.a[j.pos] AS letter FROM judged j JOIN chosen c ON j.conv_id IS NOT DISTINCT FROM c.conv_id),
+kept AS (SELECT *, count(*) FILTER (NOT (letter = 'K' AND i = 's')) OVER (PARTITION BY conv_id ORDER BY pos) AS place FROM edits WHERE letter != 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY pos) AS lines FROM kept GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN chosen c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id"""
+
+
+ORACLE_SQL["op11_conversation_repair"] = conversation_repair_sql()

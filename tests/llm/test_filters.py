@@ -44,7 +44,7 @@ def rows_of(frame):
 
 def oracle(query, sf_dir, **tables):
     con = duckdb.connect()
-    for name in ("documents", "pages", "embeddings"):
+    for name in ("documents", "pages", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tables.get(name, f'{sf_dir}/{name}.parquet')}'")
     cursor = con.execute(query)
     names = [d[0] for d in cursor.description]
