@@ -17,6 +17,7 @@ import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moorline.scratch import discard, shared_folder
 
@@ -65,6 +66,24 @@ def own(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def whole_ids(df: DataFrame, column: str) -> None:
+    """Refuse ids that are not whole numbers, before any row is read."""
+    kind = df.select(own(column)).schema.fields[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"{column} must hold whole numbers, not {kind.simpleString()}")
+
+
+def comparable(df: DataFrame) -> list[Column]:
+    """A column for each of df's that can be hashed and sorted: maps and variants as JSON."""
+
+    def odd(kind: T.DataType) -> bool:
+        if isinstance(kind, (T.MapType, T.VariantType)):
+            return True
+        return any(odd(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else isinstance(kind, T.ArrayType) and odd(kind.elementType)
+
+    return [F.to_json(F.struct(own(f.name).alias("c"))) if odd(f.dataType) else own(f.name) for f in df.schema.fields]
+
+
 def width(spark: SparkSession) -> int:
     """Partitions that a shuffle is dealt to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.common import discard, opened, shared_folder, stored, width
+from moorline.llm.common import discard, opened, shared_folder, stored, whole_ids, width
 from moorline.llm.graph import components
 
 THRESHOLD = 0.9
@@ -122,9 +122,11 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and
     vectors of different lengths never link. A row with a null id links with nothing either. Rows of
-    one id count as rows of their own and share a component. An empty table gives an empty table.
+    one id count as rows of their own and share a component. An empty table gives an empty table. Ids
+    are whole numbers; others are refused.
     """
     spark = table.sparkSession
+    whole_ids(table, id_col)
     folder = shared_folder(spark)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
     good = rows.filter(usable("v") & F.col("vec_id").isNotNull())

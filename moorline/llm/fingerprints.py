@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.common import sized, width
+from moorline.llm.common import sized, whole_ids, width
 from moorline.llm.shingles import mix, shingle_hashes
 
 WORDS = 5
@@ -90,9 +90,10 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     The next document is the next in descending doc_id (null ids last, equal ids by the hashes of
     their texts), after the last the first; a lone document is its own next. Null texts count as
     empty. Fingerprints are hex; a text without words has the empty string. Other columns of docs
-    are not carried. An empty table gives an empty table.
+    are not carried. An empty table gives an empty table. Ids are whole numbers; others are refused.
     """
     spark = docs.sparkSession
+    whole_ids(docs, "doc_id")
     key, text = F.coalesce(F.col("doc_id"), F.lit(LEAST)), F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), key.alias("_key"), F.xxhash64(text).alias("_tie"))
     ranges = 4 * width(spark)

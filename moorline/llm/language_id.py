@@ -29,7 +29,7 @@ LEAD = 256
 MARGIN = 0.0005  # share of the bytes by which the best must beat the second not to be rejected
 UNKNOWN = "und"
 OUTPUTS = ("lang_pred", "score", "rejected")
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -88,9 +88,14 @@ def sizers(dictionaries: tuple[tuple[str, bytes], ...]) -> list[Sizer]:
     return [Sizer(data) for _, data in dictionaries]
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter; fractions, powers and other number signs are none."""
+    return _LATIN.search(text) is not None or any(map(str.isalpha, text))
+
+
 def judged(text: str | None, names: list[str], tools: list[Sizer]) -> tuple[str, float, bool]:
     """(language, score, rejected) of one text; see `predict`."""
-    if not names or text is None or not _LETTER.search(text):
+    if not names or text is None or not lettered(text):
         return UNKNOWN, 0.0, True
     raw = text.lower().encode()
     sizes = np.array([t.size(raw) for t in tools], np.int64)
@@ -132,5 +137,6 @@ def identify(docs: DataFrame, pieces: int = SAMPLE_PIECES, chars: int = PIECE_CH
 
 
 def known(docs: DataFrame) -> DataFrame:
-    """The rows of docs, its columns only, whose language is not rejected."""
+    """The rows of docs, its columns only, whose language is not rejected. docs must have the columns
+    doc_id and lang to learn from; without them, `predict` takes dictionaries learnt elsewhere."""
     return identify(docs).filter(~own(unused("rejected", docs.columns))).select(*map(own, docs.columns))

@@ -16,8 +16,9 @@ exact. Sets equal within a block are one set from the start. In a cluster larger
 set is first compared with the cluster's leader; sets linked to it are one component, so only the
 rest is compared, with cells of all.
 
-Sets are sets of 64-bit hashes of shingles. Two different shingles have equal hashes with a
-probability of 2^-64; the join is exact on the hashes.
+Sets are sets of 64-bit hashes of shingles (see `shingles`), and the join is exact on the hashes.
+Two given shingles share a hash by chance with a probability of 2^-64; a link between sets that are
+not alike would need as many such chances as nine tenths of a set.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.blocks import by_bucket, flat, from_planes, load_block, pack, per_block, per_key, planes, slices, unpack, write_blocks
-from moorline.llm.common import discard, shared_folder, stored, width
+from moorline.llm.common import discard, shared_folder, stored, whole_ids, width
 from moorline.llm.graph import components
 from moorline.llm.shingles import mix, shingle_hashes
 
@@ -159,9 +160,10 @@ def link_components(docs: DataFrame, words: int, num: int, den: int, id_col: str
     shingles. A document of fewer words has its whole sequence as one shingle; without words or text
     its set is empty and it links with nothing. component_id is the least doc_id reachable. Rows of
     one doc_id share a component; a row with a null doc_id links with nothing and has a null
-    component. An empty table gives an empty table.
+    component. An empty table gives an empty table. Ids are whole numbers; others are refused.
     """
     spark = docs.sparkSession
+    whole_ids(docs, id_col)
     folder = shared_folder(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     blocks = write_blocks(frame, folder)

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.llm.common import own, shared_folder, stored, unused, width
+from moorline.llm.common import comparable, own, shared_folder, stored, unused, width
 
 SHARDS = 24
 SEED = 20240607
@@ -70,8 +70,9 @@ def numbered(rows: DataFrame, key: str, name: str = "row_number") -> tuple[DataF
     spark = rows.sparkSession
     columns = [own(c) for c in rows.columns]
     at, part, n, before = (unused(c, [*rows.columns, name]) for c in ("at", "part", "n", "before"))
-    ties = [own(c) for c in rows.columns if c != key]
-    sorted_rows = rows.repartitionByRange(width(spark), own(key), F.xxhash64(*columns)).sortWithinPartitions(own(key), *ties)
+    values = comparable(rows)
+    ties = [v for c, v in zip(rows.columns, values) if c != key]
+    sorted_rows = rows.repartitionByRange(width(spark), own(key), F.xxhash64(*values)).sortWithinPartitions(own(key), *ties)
     table = stored(sorted_rows.withColumn(at, F.monotonically_increasing_id()), shared_folder(spark), "numbered")
     counts = table.groupBy(F.shiftright(own(at), 33).alias(part)).agg(F.count("*").alias(n))
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
@@ -86,7 +87,8 @@ def shard(rows: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED) -
 
     All columns of rows keep their names and values; where one is called `shard` or `slot`, the new
     column gets underscores behind its name (see `common.unused`). Equal rows are rows of their own.
-    An empty table gives an empty table. Null keys come first.
+    An empty table gives an empty table. Null keys come first. Columns may have any type; the key's
+    must have an order.
     """
     number, position = unused("row_number", rows.columns), unused("position", rows.columns)
     table, n = numbered(rows, key, number)

@@ -1,8 +1,9 @@
 """64-bit hashes of words and word shingles over whole texts, in flat numpy arrays.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. Equal words have
-equal hashes wherever they lie: sums of byte values times powers of an odd base, taken from one
-running sum and shifted back by the inverse power, then mixed.
+equal hashes wherever they lie: each piece of eight bytes is mixed together with its number in the
+word, and the pieces' hashes are added up and mixed with the word's length. (Sums of powers alone
+will not do: modulo 2^64 they agree for words as regular as abbabaab..., whatever the base.)
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint
 BASE = int(_RNG.integers(0, 1 << 62)) * 4 + 3
 INVERSE = pow(BASE, -1, 1 << 64)
 ORDER = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+PIECE = ORDER[-1]
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 INSIDE = np.ones(256, bool)
@@ -53,6 +55,23 @@ def running(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def piece_sums(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of the mixed 8-byte pieces of the words at starts."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    low = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    first = mix((eights[starts] & low[np.minimum(lengths, 8)]) + PIECE)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):  # the pieces behind the first one
+        more = (lengths[long] - 1) // 8
+        row = np.repeat(np.arange(len(long)), more)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(more) - more, more) + 1
+        value = eights[starts[long][row] + 8 * number] & low[np.minimum(lengths[long][row] - 8 * number, 8)]
+        pieces = mix(mix(value + PIECE) + mix(number.astype(np.uint64) + ORDER[0]))
+        first[long] += np.add.reduceat(pieces, np.cumsum(more) - more)
+    return first
+
+
 def word_hashes(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts data[limits[i]:limits[i+1]], and the words before each text."""
     data = LOWER[data]
@@ -65,8 +84,7 @@ def word_hashes(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.nd
     last = ~inside[1:] & inside[:-1]
     last[edges] |= inside[:-1][edges]
     ends = np.flatnonzero(last)
-    sums = running(data)
-    return mix((sums[ends] - sums[starts]) * powers(len(data) + 1)[1][starts]), np.searchsorted(starts, limits)
+    return mix(piece_sums(data, starts, ends - starts) + (ends - starts).astype(np.uint64) * PIECE), np.searchsorted(starts, limits)
 
 
 def shingle_hashes(texts: list[bytes], w: int) -> tuple[np.ndarray, np.ndarray]:

@@ -151,3 +151,23 @@ def test_file_systems_of_object_stores():
     assert path == "/tmp/x"
     fs, path = opened("s3a://bucket/folder?region=us-east-1")
     assert fs.type_name == "s3" and path == "bucket/folder"
+
+
+def with_odd_columns(docs):
+    return docs.selectExpr("doc_id", "text", "map('k', doc_id) AS m", "parse_json(concat('{\"a\": ', coalesce(doc_id, 0), '}')) AS v", "array(named_struct('x', map(1, text))) AS deep")
+
+
+def plain_values(frame):
+    return sorted((tuple(r) for r in frame.selectExpr("doc_id", "text", "m['k'] AS k", "to_json(v) AS v", "to_json(deep) AS deep").collect()), key=str)
+
+
+def test_maps_and_variants_keep_their_values(spark):
+    docs = with_odd_columns(spark.createDataFrame([(d, t) for d, t, *_ in odd_documents(n=20)] + [(None, "n")] * 2, "doc_id long, text string"))
+    assert plain_values(sharding.shard(docs, 3)) == plain_values(docs)
+
+
+def test_one_of_each_group_with_maps_and_repeated_ids(spark):
+    words = " ".join(f"w{k}" for k in range(40))
+    docs = with_odd_columns(spark.createDataFrame([(1, words), (1, words), (1, "other"), (2, words + " more"), (3, "alone here")], "doc_id long, text string"))
+    kept = dict(corpus_pipeline.STAGES)["ngram_join"](spark, docs, "")
+    assert [(r[0], r[2]) for r in plain_values(kept)] == [(1, 1), (3, 3)] and kept.columns == docs.columns

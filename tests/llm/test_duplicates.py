@@ -1,10 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from moorline.llm import blocks, ngram_join, queries, suffix_dedup
+from moorline.llm import blocks, embedding_dedup, fingerprints, ngram_join, queries, shingles, suffix_dedup
 from tests.llm.helpers import SCHEMA, jaccard_components, odd_documents, removed_spans
 
 
@@ -155,3 +156,60 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(kept)
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
+
+
+def regular_words(n):
+    """The Thue-Morse word of n letters and its complement."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [8, 64, 1024, 4096])
+def test_words_that_share_nothing_do_not_link(spark, n):
+    docs = spark.createDataFrame(list(enumerate(regular_words(n))), "doc_id long, text string")
+    rows = ngram_join.link_components(docs, 3, 90, 100).collect()
+    assert sorted(r.component_id for r in rows) == [0, 1]
+
+
+def test_word_hashes_of_all_lengths():
+    rng = random.Random(3)
+    words = {"".join(rng.choices("ab", k=rng.randrange(1, 40))) for _ in range(3000)} | {w for n in (512, 1024, 2048) for w in regular_words(n)} | {"a" * k for k in range(1, 60)}
+    words = sorted(words)
+    hashes = []
+    for lead in ("", "xyz q "):  # equal words have equal hashes wherever they lie
+        data = (lead + " ".join(words)).encode()
+        got, _ = shingles.word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        hashes.append(got[len(lead.split()) :].tolist())
+    assert hashes[0] == hashes[1] and len(set(hashes[0])) == len(words)
+
+
+def test_op7_ids_beside_nulls_keep_all_digits(spark):
+    text = "".join(random.Random(4).choices("abcdef ", k=150))
+    rows = [(9007199254740993, text), (9007199254740992, text), (None, "x")]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {9007199254740992: 0, 9007199254740993: 150, None: 0}
+
+
+@pytest.mark.parametrize("period", [3, 68, 80, 250])
+def test_op7_settles_any_period_at_once(period):
+    line = bytes(random.Random(period).choices(range(97, 123), k=period))
+    data = np.frombuffer(line * (2_000_000 // period), np.uint8)
+    (h, *_), gone = suffix_dedup.anchors(data, np.array([0, len(data)]))
+    assert len(h) < 100 and len(gone[0])
+
+
+def test_op7_on_texts_of_long_periods(spark):
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdefgh", k=90))
+    docs = [(1, line * 30), (2, "x" * 50 + line * 8 + "tail"), (3, "".join(rng.choices("ab", k=300)) + line[:70]), (0, line * 2 + "end" + line * 3)]
+    want = removed_spans(docs)
+    got = {r.doc_id: (bytes(r.kept), [tuple(s) for s in r.spans]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_ids_that_are_no_whole_numbers_are_refused(spark):
+    docs = spark.createDataFrame([("a", "text")], "doc_id string, text string")
+    vectors = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
+    for refused in (lambda: ngram_join.link_components(docs, 3, 9, 10), lambda: suffix_dedup.remove_repeats(docs), lambda: fingerprints.fingerprint_pairs(docs), lambda: embedding_dedup.near_duplicates(vectors)):
+        with pytest.raises(TypeError):
+            refused()

@@ -124,6 +124,11 @@ def test_op6_held_out_accuracy(spark):
     assert sum(r.rejected for r in rows) <= 0.01 * len(rows)
 
 
+@pytest.mark.parametrize("text", ["½ ² ³", "12 ½ %", "₁₂", "", " \t", "٣ ٤", "①", None])
+def test_texts_without_letters_have_no_language(text):
+    assert language_id.judged(text, ["de", "en"], language_id.sizers((("de", b"der die das"), ("en", b"the a an"))))[0] == "und"
+
+
 def test_language_id_edges(spark):
     rows = [(None, "the and of " * 9, "en", 1), (2, None, None, 2), (3, "", "de", 3), (4, "12 34 !", "en", 4), (5, "der die und " * 9, "de", 5), (5, "der die und " * 9, "de", 5), (6, "the of and " * 40000, None, 6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score long")
