@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moorline.llm import language_id, ngram_join, packing, suffix_dedup
-from moorline.llm.common import discard, own, shared_folder, stored, unused
+from moorline.llm.common import comparable, discard, own, shared_folder, stored, unused
 
 #: Near duplicates: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 WORDS, NUM, DEN = 5, 80, 100
@@ -35,7 +35,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
         place, row = (unused(c, docs.columns) for c in ("place", "row"))
         whole = F.struct(*map(own, docs.columns))
         least = F.min_by(whole, F.struct("text", place)).alias(row)  # combined on the map side, however often an id repeats
-        out = out.withColumn(place, F.xxhash64(whole)).groupBy("doc_id").agg(least).select(f"{row}.*")
+        out = out.withColumn(place, F.xxhash64(*comparable(docs))).groupBy("doc_id").agg(least).select(f"{row}.*")
     return out.select(*map(own, docs.columns)).unionByName(docs.filter("doc_id is null"))
 
 
