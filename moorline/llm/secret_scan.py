@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moorline.llm.common import sized
+from moorline.llm.common import shared_folder, sized, stored
 
 #: The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -27,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones can be passed over
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "guess")
-WORDS = 20_000  # most frequent words of the corpus that the dictionary holds
+WORDS = 20_000  # words of the corpus that the dictionary holds at most
 WORD_LENGTHS = (3, 24)
 BITS = 10 * math.log2(10)  # a value of 10^10 guesses or more is a secret
 LEAST_VALUE = 6
@@ -208,14 +208,28 @@ def found_spans(text: str, ranks: dict[str, int], bits: float = BITS) -> list[tu
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", most: int = WORDS) -> dict[str, int]:
-    """Ranks (from 1) of the `most` most frequent words of all texts, equal ones by their spelling.
+    """Ranks (from 1) of the most frequent words of all texts, equal ones by their spelling.
 
-    Words are runs of letters, lower-cased, of WORD_LENGTHS characters. All documents are counted;
-    the result is at most `most` words of 24 characters, which is what the driver and tasks hold.
+    Words are runs of letters, lower-cased, of WORD_LENGTHS characters. All documents are counted.
+    Those words are taken whose count no more than `most` words reach or exceed, a class of counts
+    whole or not at all (counts up to 1024 each, then 64 classes an octave): what the driver and
+    tasks hold is at most `most` words of 24 characters, whatever the corpus.
     """
+    spark = docs.sparkSession
     words = F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}]+"))
     counts = docs.select(words.alias("word")).filter(F.length("word").between(*WORD_LENGTHS)).groupBy("word").count()
-    return {r["word"]: k + 1 for k, r in enumerate(counts.orderBy(F.desc("count"), "word").limit(most).collect())}
+    level = F.when(F.col("count") <= 1024, F.col("count")).otherwise((F.log2("count") * 64).cast("long") + 384)
+    counts = stored(counts.withColumn("level", level), shared_folder(spark), "counts")
+    lowest, held = None, 0
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):  # some 5,000 levels at most
+        held += r["n"]
+        if held > most:
+            break
+        lowest = r["level"]
+    if lowest is None:
+        return {}
+    found = sorted((-r["count"], r["word"]) for r in counts.filter(F.col("level") >= lowest).collect())
+    return {word: k + 1 for k, (_, word) in enumerate(found)}
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: dict[str, int] | None = None, bits: float = BITS) -> DataFrame:

@@ -99,6 +99,9 @@ def test_dictionary_counts_all_texts(spark):
     docs = spark.createDataFrame([("The the cat",), (None,), ("cat é cat ÉTÉ",), ("x" * 30,)], "text string")
     assert secret_scan.dictionary(docs) == {"cat": 1, "the": 2, "été": 3}
     assert secret_scan.dictionary(docs, most=1) == {"cat": 1}
+    # Words of one count are taken or left together.
+    assert secret_scan.dictionary(spark.createDataFrame([("one two one two six",)], "text string"), most=1) == {}
+    assert secret_scan.dictionary(docs.filter("false")) == {}
 
 
 def test_redaction():
