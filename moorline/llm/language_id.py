@@ -24,7 +24,7 @@ from moorline.llm.common import by_place, own, sized, unused
 SAMPLE_PIECES = 500  # most pieces of labelled texts that a language is learnt from
 PIECE_CHARS = 512  # characters of a piece; the last one of a text is shorter
 BLOCK = 4096  # bytes compressed at once
-LEVEL = 9
+LEVEL = 7
 LEAD = 256
 MARGIN = 0.0005  # share of the bytes by which the best must beat the second not to be rejected
 UNKNOWN = "und"
