@@ -101,7 +101,7 @@ def test_op6_equals_a_plain_model(spark):
         raw, sizes = r.text.lower().encode(), {}
         for lang, book in sorted(books.items()):
             def size(data):
-                tool = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+                tool = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
                 return len(tool.compress(data))
 
             lead = book[-256:]
