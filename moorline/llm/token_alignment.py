@@ -17,6 +17,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -70,7 +71,7 @@ class ByteLevel:
             missing.update((segments[k], None) for k in gaps)
             rows.append((segments, ids, gaps))
         names = list(missing)
-        fresh = {s: np.array(e.ids, "<i4").tobytes() for s, e in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False))} if names else {}
+        fresh = {s: struct.pack(f"<{len(e.ids)}i", *e.ids) for s, e in zip(names, self.tokenizer.encode_batch(names, add_special_tokens=False))} if names else {}
         out = []
         for segments, ids, gaps in rows:
             for k in gaps:
@@ -88,19 +89,31 @@ class Aligner:
         self.a, self.b = ByteLevel(byte_level), model_at(pieces)
         self.length_a = np.array([len(x) for x in self.a.raw], np.int64)
         self.length_b = np.array([len(x) for x in self.b.raw], np.int64)
+        self.bytes_a, self.bytes_b = self.length_a.tolist(), self.length_b.tolist()
+        self.name = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.spaced_a = np.array([x[:1] == b" " for x in self.a.raw])
         self.spaced_b = np.array([x[:1] == b" " for x in self.b.raw])
         self.windows: dict[tuple[bytes, bytes], tuple[str, int, bytes]] = {}
 
-    def window(self, a: np.ndarray, b: np.ndarray) -> tuple[str, int, bytes]:
+    def window(self, a: list[int], b: list[int]) -> tuple[str, int, bytes]:
         """(groups as text, their number, linked pairs as a * 2^24 + b) of one window."""
-        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        cut_a, cut_b = [0, *(at_a + 1).tolist()], [0, *(at_b + 1).tolist()]
-        left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        text = ";".join(f"{','.join(left[i:j])}|{','.join(right[k:m])}" for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]))
-        links = a[at_a].astype(np.int64) << 24 | b[at_b]
-        return text, len(links), links.tobytes()
+        long_a, long_b, name = self.bytes_a, self.bytes_b, self.name
+        groups, links = [], []
+        i = j = start_i = start_j = end_a = end_b = 0
+        while i < len(a):
+            end_a += long_a[a[i]]
+            i += 1
+            while end_b < end_a:
+                end_b += long_b[b[j]]
+                j += 1
+            if end_a == end_b:
+                if i - start_i == 1 == j - start_j:
+                    groups.append(f"{name[a[start_i]]}|{name[b[start_j]]}")
+                else:
+                    groups.append(",".join([name[x] for x in a[start_i:i]]) + "|" + ",".join([name[x] for x in b[start_j:j]]))
+                links.append(a[i - 1] << 24 | b[j - 1])
+                start_i, start_j = i, j
+        return ";".join(groups), len(links), struct.pack(f"<{len(links)}q", *links)
 
     def aligned(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, str, int, np.ndarray]]:
         """(ids of A, ids of B, groups as text, their number, links) of each text; none where a
@@ -112,7 +125,8 @@ class Aligner:
         out = []
         for text, a, b in zip(texts, every_a, every_b):
             whole = (" " + text).encode("utf-8", "surrogatepass")
-            if not text or b"".join([raw_a[i] for i in a.tolist()]) != whole or b"".join([raw_b[i] for i in b.tolist()]) != whole:
+            list_a, list_b = a.tolist(), b.tolist()
+            if not text or b"".join([raw_a[i] for i in list_a]) != whole or b"".join([raw_b[i] for i in list_b]) != whole:
                 out.append(nothing)
                 continue
             starts_a, starts_b = np.cumsum(self.length_a[a]) - self.length_a[a], np.cumsum(self.length_b[b]) - self.length_b[b]
@@ -127,7 +141,7 @@ class Aligner:
                 key = (bytes_a[4 * x : 4 * y], bytes_b[4 * u : 4 * v])
                 got = known.get(key)
                 if got is None:
-                    got = self.window(a[x:y], b[u:v])
+                    got = self.window(list_a[x:y], list_b[u:v])
                     if y - x + v - u <= LONGEST and len(known) < CACHED:
                         known[key] = got
                 texts_of.append(got[0])
