@@ -67,13 +67,21 @@ def query_texts(text: Column, aliases: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), trimmed))
 
 
+def han_characters(context: Column) -> Column:
+    """The context's distinct Han characters."""
+    return F.array_distinct(F.regexp_extract_all(normalize(context), F.lit(CJK), F.lit(0)))
+
+
+def described_share(characters: Column, description: Column) -> Column:
+    """Share of the characters that the normalised description holds (of four at least)."""
+    matched = F.size(F.filter(characters, lambda c: F.contains(description, c)))
+    score = F.least(F.lit(1.0), matched / F.greatest(F.lit(4), F.size(characters)))
+    return F.when((F.coalesce(description, F.lit("")) != "") & (F.size(characters) > 0), score).otherwise(F.lit(0.0))
+
+
 def description_overlap(context: Column, description: Column) -> Column:
     """Share of the context's distinct Han characters that the description holds (of four at least)."""
-    characters = F.array_distinct(F.regexp_extract_all(normalize(context), F.lit(CJK), F.lit(0)))
-    there = normalize(description)
-    matched = F.size(F.filter(characters, lambda c: F.contains(there, c)))
-    score = F.least(F.lit(1.0), matched / F.greatest(F.lit(4), F.size(characters)))
-    return F.when((F.size(characters) > 0) & (F.coalesce(there, F.lit("")) != ""), score).otherwise(F.lit(0.0))
+    return described_share(han_characters(context), normalize(description))
 
 
 def contained(query: Column, alias: Column) -> Column:

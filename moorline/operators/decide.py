@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moorline import schemas
 from moorline.functions.text import context_window, normalize, round_binary, strip, trace_id
@@ -47,7 +49,7 @@ def scored(mentions: DataFrame, entities: DataFrame, most_k: int, prior: DataFra
     """Ranked candidates of every signature of (signed) mentions; most_k is their greatest top_k."""
     unique = signatures(mentions)
     lists = retrieve.asked(unique)
-    return rerank.top(scorer(retrieve.build(retriever(lists, entities, most_k), unique, entities), prior), most_k)
+    return rerank.top(scorer(retrieve.build(retriever(lists, entities, most_k), unique, entities, prior), prior), most_k)
 
 
 def first_decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -74,15 +76,18 @@ def first_decisions(mentions: DataFrame, ranked: DataFrame) -> DataFrame:
             "fallible": low & (F.col("text").isin(*COREFERENCE_TERMS) | F.coalesce("coreference_hint", F.lit(False))),
             "coreference_source": F.lit(None).cast("string"),
             "retrieved": F.coalesce("retrieved", F.lit(0)).cast("long"),
+            "n_candidates": F.size("candidates"),
         }
     )
 
 
-DECISION = ["pos", "mention_id", "text", "entity_type", "status", "linked_entity_id", "canonical_name", "confidence", "needs_review", "candidates", "matched_alias", "overlapping_keywords", "rationale", "context", "fallible", "coreference_source", "retrieved"]
-LINK = "struct<mention_id:string,type:string,entity_id:string,name:string,confidence:double>"
+FIELDS = ["pos", "mention_id", "text", "entity_type", "status", "linked_entity_id", "canonical_name", "confidence", "needs_review", "candidates", "matched_alias", "overlapping_keywords", "rationale", "context", "fallible", "coreference_source", "retrieved", "n_candidates"]
+HEIR = T.StructType([T.StructField("mention_id", T.StringType()), T.StructField("entity_id", T.StringType()), T.StructField("name", T.StringType()), T.StructField("confidence", T.DoubleType())])
+#: Parts of a decision that only whole responses need.
+HEAVY = ("candidates", "matched_alias", "overlapping_keywords", "context")
 
 
-def followed(item: Column, before: Column) -> Column:
+def followed(item: Column, before: Column, fields: list[str]) -> Column:
     """The decision that inherits the link of `before`, whose confidence is that of the heir already."""
     changed = {
         "status": F.lit("linked"),
@@ -90,62 +95,81 @@ def followed(item: Column, before: Column) -> Column:
         "canonical_name": before["name"],
         "confidence": before["confidence"],
         "needs_review": F.lit(True),
+        "n_candidates": F.lit(0),
         "candidates": F.array().cast(f"array<{CANDIDATE}>"),
         "matched_alias": F.lit(None).cast("string"),
         "overlapping_keywords": F.array().cast(STRINGS),
         "rationale": F.array(F.lit("coreference_fallback"), F.concat(F.lit("inherits_recent_link:"), before["mention_id"])),
         "coreference_source": before["mention_id"],
     }
-    return F.struct(*[changed.get(f, item[f]).alias(f) for f in DECISION])
+    return F.struct(*[changed.get(f, item[f]).alias(f) for f in fields])
 
 
-def heirs(items: Column) -> Column:
-    """For each decision in order, the link it inherits (null for most): the last one of a type that fits.
+@F.arrow_udf(T.ArrayType(HEIR))
+def heirs(documents: pa.Array) -> pa.Array:
+    """For each decision of each document in order, the link it inherits (null for most): the last one
+    of a type that fits.
 
-    The fold carries what it compares and nothing else. Its history holds the latest link of each
-    type, newest first: an older one of the same type can never be the most recent that fits.
+    One pass over a document carries the latest link of each type, the newest last: an older one of
+    the same type can never be the most recent that fits. Documents come as arrays of (mention_id,
+    type, entity_id, name, confidence, fallible), nulls where there is nothing to follow.
     """
-    slim = F.transform(items, lambda x: F.struct(x["mention_id"].alias("mention_id"), F.coalesce(x["entity_type"], F.lit("")).alias("type"), x["linked_entity_id"].alias("entity_id"), x["canonical_name"].alias("name"), x["confidence"].alias("confidence"), x["fallible"].alias("fallible")))
-    start = F.struct(F.array().cast(f"array<{LINK}>").alias("history"), F.array().cast(f"array<{LINK}>").alias("out"))
-
-    def step(state: Column, item: Column) -> Column:
-        fits = F.filter(state["history"], lambda h: (item["type"] == "") | (h["type"] == "") | (h["type"] == item["type"]))
-        before = F.when(item["fallible"], F.get(fits, F.lit(0)))
-        confidence = round_binary(F.greatest(F.lit(COREFERENCE_FLOOR), before["confidence"] - COREFERENCE_LOSS), 3)
-        heir = F.when(before.isNotNull(), F.struct(before["mention_id"].alias("mention_id"), before["type"].alias("type"), before["entity_id"].alias("entity_id"), before["name"].alias("name"), confidence.alias("confidence")))
-        own = F.struct(item["mention_id"].alias("mention_id"), item["type"].alias("type"), item["entity_id"].alias("entity_id"), item["name"].alias("name"), item["confidence"].alias("confidence"))
-        new = F.when(before.isNotNull(), F.struct(item["mention_id"].alias("mention_id"), item["type"].alias("type"), before["entity_id"].alias("entity_id"), before["name"].alias("name"), confidence.alias("confidence"))).otherwise(own)
-        kept = F.concat(F.array(new), F.filter(state["history"], lambda h: h["type"] != item["type"]))
-        history = F.when(before.isNotNull() | item["entity_id"].isNotNull(), kept).otherwise(state["history"])
-        return F.struct(history.alias("history"), F.concat(state["out"], F.array(heir)).alias("out"))
-
-    return F.aggregate(slim, start, step, lambda s: s["out"])
-
-
-def by_document(decided: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
-    """(keys, route, results): one row a document, with its route and reviewed results."""
-    rows = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*DECISION))).alias("items"), F.max("nil_threshold").alias("nil_threshold"))
-    rows = rows.withColumn("some", F.exists("items", lambda x: F.size(x["candidates"]) > 0))
+    out = []
+    for items in documents.to_pylist():
+        if items is None:
+            out.append(None)
+            continue
+        latest: dict[str, dict] = {}
+        found = []
+        for item in items:
+            kind, before = item["type"], None
+            if item["fallible"]:
+                before = next((h for k, h in reversed(latest.items()) if not kind or not k or k == kind), None)
+            link = item
+            if before is not None:
+                confidence = round(max(COREFERENCE_FLOOR, before["confidence"] - COREFERENCE_LOSS), 3)
+                link = {"mention_id": item["mention_id"], "entity_id": before["entity_id"], "name": before["name"], "confidence": confidence}
+                found.append(link | {"mention_id": before["mention_id"]})
+            else:
+                found.append(None)
+            if before is not None or item["entity_id"] is not None:
+                latest.pop(kind, None)
+                latest[kind] = link
+        out.append(found)
+    return pa.array(out, pa.list_(pa.struct([("mention_id", pa.string()), ("entity_id", pa.string()), ("name", pa.string()), ("confidence", pa.float64())])))
+
+
+def compared(items: Column) -> Column:
+    """What `heirs` compares, and nothing else."""
+    return F.transform(items, lambda x: F.struct(x["mention_id"].alias("mention_id"), F.coalesce(x["entity_type"], F.lit("")).alias("type"), x["linked_entity_id"].alias("entity_id"), x["canonical_name"].alias("name"), x["confidence"].alias("confidence"), x["fallible"].alias("fallible")))
+
+
+def by_document(decided: DataFrame, keys: tuple[str, ...] = ("request_id",), whole: bool = True) -> DataFrame:
+    """(keys, route, results): one row a document, with its route and reviewed results; not whole,
+    results are without the HEAVY parts."""
+    fields = FIELDS if whole else [f for f in FIELDS if f not in HEAVY]
+    rows = decided.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("items"), F.max("nil_threshold").alias("nil_threshold"))
+    rows = rows.withColumn("some", F.exists("items", lambda x: x["n_candidates"] > 0))
     # Documents without a fallible mention, which are most, have nothing to fold.
-    rows = rows.withColumn("heirs", F.when(F.col("some") & F.exists("items", lambda x: x["fallible"]), heirs(F.col("items"))))
+    rows = rows.withColumn("heirs", heirs(F.when(F.col("some") & F.exists("items", lambda x: x["fallible"]), compared(F.col("items")))))
 
     def nil(item: Column) -> Column:
         changed = {"rationale": F.array(F.lit("candidate_route_empty"), F.lit("nil_fallback")), "needs_review": F.lit(False), "confidence": F.lit(0.0), "status": F.lit("nil")}
-        return F.struct(*[changed.get(f, item[f]).alias(f) for f in DECISION])
+        return F.struct(*[changed.get(f, item[f]).alias(f) for f in fields])
 
     def settled(item: Column, i: Column) -> Column:
         heir = F.get(F.col("heirs"), i)
-        return F.when(heir.isNotNull(), followed(item, heir)).otherwise(F.struct(*[item[f].alias(f) for f in DECISION]))
+        return F.when(heir.isNotNull(), followed(item, heir, fields)).otherwise(F.struct(*[item[f].alias(f) for f in fields]))
 
     rows = rows.withColumn("results", F.when(~F.col("some"), F.transform("items", nil)).when(F.col("heirs").isNull(), F.col("items")).otherwise(F.transform("items", settled)))
-    doubtful = F.exists("results", lambda x: x["needs_review"] | (x["status"] == "ambiguous") | ((F.size(x["candidates"]) > 0) & (x["confidence"] < F.col("nil_threshold"))))
+    doubtful = F.exists("results", lambda x: x["needs_review"] | (x["status"] == "ambiguous") | ((x["n_candidates"] > 0) & (x["confidence"] < F.col("nil_threshold"))))
     route = F.when(~F.col("some"), F.lit("empty_candidates")).when(doubtful, F.lit("needs_review")).otherwise(F.lit("resolved"))
     rows = rows.withColumn("route", route)
 
     def reviewed(item: Column) -> Column:
         flagged = item["needs_review"] | (item["status"] == "ambiguous")
         changed = {"needs_review": flagged, "rationale": F.when(flagged, F.concat(item["rationale"], F.array(F.lit("human_review_required")))).otherwise(item["rationale"])}
-        return F.struct(*[changed.get(f, item[f]).alias(f) for f in DECISION])
+        return F.struct(*[changed.get(f, item[f]).alias(f) for f in fields])
 
     return rows.select(*keys, "route", F.when(F.col("route") == "needs_review", F.transform("results", reviewed)).otherwise(F.col("results")).alias("results"))
 
@@ -155,19 +179,20 @@ def decisions(documents: DataFrame) -> DataFrame:
     return documents.select("request_id", "route", F.inline("results"))
 
 
-def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore, keys: tuple[str, ...] = ("request_id",), most_k: int | None = None) -> DataFrame:
+def link_mentions(mentions: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, retriever: Retriever = retrieve.candidates, scorer: Scorer = rerank.rescore, keys: tuple[str, ...] = ("request_id",), most_k: int | None = None, whole: bool = True) -> DataFrame:
     """The engine on valid mentions: (request_id, route, results). Stages can be replaced.
 
     Mentions may state top_k, nil_threshold and ambiguity_margin of their own, those of one request
     alike; options stand in for what they leave out. most_k, the greatest top_k, is looked up where
-    mentions have their own and it is not given.
+    mentions have their own and it is not given. Not whole, results lack the parts named by HEAVY,
+    which decisions do not depend on.
     """
     if options.errors():
         raise ValueError(", ".join(options.errors()))
     ready = signed(mentions, options)
     if most_k is None:
         most_k = retrieve.most_asked(ready) if "top_k" in mentions.columns else options.top_k
-    return by_document(first_decisions(ready, scored(ready, entities, most_k, prior, retriever, scorer)), keys)
+    return by_document(first_decisions(ready, scored(ready, entities, most_k, prior, retriever, scorer)), keys, whole)
 
 
 # -- requests and responses -------------------------------------------------------------------

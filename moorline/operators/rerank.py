@@ -5,32 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.functions.text import clamp, description_overlap, keyword_hits, normalize, round_binary
-from moorline.operators.retrieve import BROADCAST_ALIASES, sized_hint
+from moorline.functions.text import clamp, described_share, keyword_hits, round_binary
 
 #: Weights of the score, in the order in which they are added.
 ALIAS, CONTEXT, TYPE, CANONICAL, EXPANSION, PRIOR = 0.62, 0.23, 0.05, 0.03, 0.08, 0.22
 
 
 def rescore(built: DataFrame, prior: DataFrame | None = None) -> DataFrame:
-    """Candidate rows with context evidence, the final score and all reasons."""
-    if prior is None:
-        scored = built.withColumn("prior", F.lit(0.0))
-    else:
-        # The prior's key is the mention's own text, never an expansion.
-        learned = sized_hint(prior, BROADCAST_ALIASES).select("norm_mention", "entity_id", "prior")
-        scored = built.withColumn("norm_mention", normalize(F.col("text"))).join(learned, ["norm_mention", "entity_id"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
+    """Candidate rows with context evidence, the final score and all reasons. `prior` is in the rows
+    that `retrieve.build` made already; stages of other kinds may look at it here."""
     hits = keyword_hits(F.col("context"), F.col("keywords"))
-    scored = scored.withColumns({"overlapping_keywords": hits, "description_score": description_overlap(F.col("context"), F.coalesce("description", F.lit("")))})
+    scored = built.withColumns({"overlapping_keywords": hits, "description_score": described_share(F.col("characters"), F.col("described"))})
     by_keyword = F.least(F.lit(1.0), F.size("overlapping_keywords") / F.greatest(F.lit(1), F.least(F.size("keywords"), F.lit(4))))
     context = F.greatest(by_keyword, F.col("description_score"))
-    expanded = F.array_contains("reasons", "llm_alias_expansion")
-    same_name = normalize(F.col("text")) == normalize(F.col("canonical_name"))
+    expanded = F.col("kind") == "llm_alias_expansion"
     total = (
         F.col("alias_similarity") * ALIAS
         + context * CONTEXT
         + F.when(F.col("type_aligned"), F.lit(TYPE)).otherwise(F.lit(0.0))
-        + F.when(same_name, F.lit(CANONICAL)).otherwise(F.lit(0.0))
+        + F.when(F.col("same_name"), F.lit(CANONICAL)).otherwise(F.lit(0.0))
         + F.when(expanded, F.lit(EXPANSION)).otherwise(F.lit(0.0))
         + F.col("prior") * PRIOR
     )

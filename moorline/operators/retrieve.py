@@ -1,8 +1,10 @@
 """Candidate retrieval: exact alias join, and guarded best-first fuzzy search for what it leaves.
 
 What can be found depends on the base, the list of queries (text and expansions) and top_k alone, so
-each distinct such list is asked once, `q` being its key, and what it finds is one array. Types and
-contexts come in only when candidates are scored.
+each distinct such list is asked once, `q` being its key, and what it finds is one array. All that
+depends on the list and the entity alone is worked out there too; types and contexts come in only
+when candidates are scored. Nothing is counted or collected while a plan is built: Spark broadcasts
+a side where its own size estimate or, once it ran, its size allows.
 """
 
 from __future__ import annotations
@@ -14,12 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.functions.similarity import AliasMatcher
-from moorline.functions.text import clamp, normalize, query_texts, round_binary
+from moorline.functions.text import clamp, han_characters, normalize, query_texts, round_binary
 from moorline.options import FUZZY_MOST_ENTITIES, exact_cap, fuzzy_cap
 from moorline.sources.kb import alias_index, aliases
 
-BROADCAST_ALIASES = 100_000  # a larger alias index joins by shuffle
-FUZZY_PART = 256  # query lists beside which one copy of a base's aliases travels, where it does
+FUZZY_ALIASES = 4096  # about so many aliases of a base are searched at once
 FOUND = "array<struct<entity_ord:bigint,matched_alias:string,similarity:double>>"
 
 
@@ -43,15 +44,10 @@ def most_asked(lists: DataFrame) -> int:
     return max(1, lists.agg(F.max("top_k")).first()[0] or 1)
 
 
-def sized_hint(table: DataFrame, most: int) -> DataFrame:
-    """Broadcast a table whose size was counted and is bounded; else leave the join to Spark."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 def exact(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
     """(q, found): the entities that have one of the queries as an alias, in order of query and
     entity, the first exact_cap(top_k) of them. most_k is the greatest top_k of lists."""
-    index = sized_hint(alias_index(entities, exact_cap(most_k)).select("kb_id", "norm", "entity_ord"), BROADCAST_ALIASES)
+    index = alias_index(entities, exact_cap(most_k)).select("kb_id", "norm", "entity_ord")
     single = lists.select("q", "kb_id", "top_k", F.posexplode("queries").alias("query_ord", "query")).withColumn("norm", normalize(F.col("query"))).filter("norm != ''")
     pairs = single.join(index, ["kb_id", "norm"])
     # At most the index's cap for each query.
@@ -66,65 +62,39 @@ def unmatched(lists: DataFrame, found: DataFrame) -> DataFrame:
     return lists.join(found.select("q"), "q", "left_anti")
 
 
-class Matchers:
-    """One matcher for each base, built when first asked for."""
-
-    def __init__(self, names: dict[str, list[tuple]]):
-        self.names, self.built = names, {}
-
-    def of(self, kb_id: str) -> AliasMatcher | None:
-        if kb_id not in self.built and kb_id in self.names:
-            self.built[kb_id] = AliasMatcher(self.names[kb_id])
-        return self.built.get(kb_id)
-
-
 def fuzzy(lists: DataFrame, entities: DataFrame) -> DataFrame:
     """(q, found): the fuzzy_cap(top_k) best entities by similarity.
 
-    Bases of more than FUZZY_MOST_ENTITIES entities have no fuzzy search, so the aliases that a task
-    holds of one base are bounded. Where those of all bases together are at most BROADCAST_ALIASES,
-    they are broadcast once and only query lists move; else each base's aliases travel beside parts
-    of FUZZY_PART of its lists.
+    Bases of more than FUZZY_MOST_ENTITIES entities have no fuzzy search. The aliases of a base lie
+    in blocks by entity, its query lists in parts; each block meets each part, where an index
+    of characters bounds the similarity of every alias to every list and only the best bounds are
+    matched. What the blocks found for a list is merged: an entity that is among the best of all is
+    among the best of its block.
     """
-    spark = lists.sparkSession
-    small = entities.groupBy("kb_id").count().filter(F.col("count") <= FUZZY_MOST_ENTITIES).select("kb_id")
-    names = aliases(entities.join(small, "kb_id", "left_semi")).select("kb_id", F.struct("entity_ord", "alias_ord", "alias", "norm").alias("name"))
+    n = F.size(F.coalesce("aliases", F.array().cast("array<string>"))) + 1
+    small = entities.groupBy("kb_id").agg(F.count("*").alias("n"), F.ceil(F.sum(n) / FUZZY_ALIASES).alias("blocks")).filter(F.col("n") <= FUZZY_MOST_ENTITIES).select("kb_id", "blocks")
+    names = aliases(entities.join(small, "kb_id"), ("blocks",))
+    beside = names.groupBy("kb_id", F.pmod(F.xxhash64("entity_ord"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("entity_ord", "alias_ord", "alias", "norm")).alias("names"))
     texts = F.filter(F.transform("queries", normalize), lambda x: x != "")
     work = lists.select("q", "kb_id", fuzzy_cap(F.col("top_k")).cast("int").alias("keep"), texts.alias("texts")).filter(F.size("texts") > 0)
+    # A base's lists are dealt to as many parts as there are partitions, the busiest base's too.
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = work.groupBy("kb_id", F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("q", "texts", "keep")).alias("lists"))
 
-    def answer(q: list[str], found: list[list[tuple]]) -> pa.RecordBatch:
-        rows = [[{"entity_ord": e, "matched_alias": a, "similarity": s} for e, s, a in of] for of in found]
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("entity_ord", pa.int64()), ("matched_alias", pa.string()), ("similarity", pa.float64())]))
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array(rows, kind)], names=["q", "found"])
-
-    head = names.limit(BROADCAST_ALIASES + 1).collect()
-    if len(head) <= BROADCAST_ALIASES:
-        held: dict[str, list[tuple]] = {}
-        for r in head:
-            held.setdefault(r["kb_id"], []).append(tuple(r["name"]))
-        shared = spark.sparkContext.broadcast(Matchers(held))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = batch.to_pylist()
-                yield answer([r["q"] for r in rows], [m.best(r["texts"], r["keep"]) if (m := shared.value.of(r["kb_id"])) else [] for r in rows])
-
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = work.repartition(parts, "q").mapInArrow(search, f"q string, found {FOUND}")
-    else:
-        beside = names.groupBy("kb_id").agg(F.collect_list("name").alias("names"))
-        number = work.groupBy("kb_id").agg(F.ceil(F.count("*") / FUZZY_PART).alias("parts"))
-        dealt = work.join(number, "kb_id").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")))
-        dealt = dealt.groupBy("kb_id", "part").agg(F.collect_list(F.struct("q", "texts", "keep")).alias("lists")).join(beside, "kb_id")
-
-        def search_beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    matcher = AliasMatcher([tuple(n.values()) for n in row["names"]])
-                    yield answer([r["q"] for r in row["lists"]], [matcher.best(r["texts"], r["keep"]) for r in row["lists"]])
-
-        found = dealt.mapInArrow(search_beside, f"q string, found {FOUND}")
-    return found.filter(F.size("found") > 0)
+        for batch in batches:
+            for row in batch.to_pylist():
+                matcher = AliasMatcher([tuple(n.values()) for n in row["names"]])
+                found = [[{"entity_ord": e, "matched_alias": a, "similarity": s} for e, s, a in matcher.best(x["texts"], x["keep"])] for x in row["lists"]]
+                yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in row["lists"]], pa.string()), pa.array([x["keep"] for x in row["lists"]], pa.int32()), pa.array(found, kind)], names=["q", "keep", "found"])
+
+    # As many rows a base as partitions at most: Spark broadcasts bases that are small and splits skewed ones.
+    parted = dealt.join(beside, "kb_id").select("lists", "names").mapInArrow(search, f"q string, keep int, found {FOUND}").filter(F.size("found") > 0)
+    every = F.flatten(F.collect_list("found"))
+    ranked = F.array_sort(F.transform(every, lambda x: F.struct((-round_binary(clamp(x["similarity"]), 3)).alias("rank"), x["entity_ord"].alias("entity_ord"), x.alias("c"))))
+    merged = parted.groupBy("q").agg(F.max("keep").alias("keep"), ranked.alias("found"))
+    return merged.select("q", F.transform(F.slice("found", F.lit(1), F.col("keep")), lambda x: x["c"]).cast(FOUND).alias("found"))
 
 
 def candidates(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
@@ -133,30 +103,39 @@ def candidates(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
     return hits.unionByName(fuzzy(unmatched(lists, hits), entities))
 
 
-def build(found: DataFrame, signatures: DataFrame, entities: DataFrame) -> DataFrame:
+def known(found: DataFrame, lists: DataFrame, entities: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(q, found) with all that a list's candidates need for scoring but types and contexts: the
+    entity's columns, the rounded similarity, how the name was met, the learned prior."""
+    single = found.join(lists.select("q", "kb_id", "queries"), "q").select("q", "kb_id", "queries", F.posexplode("found").alias("place", "c"))
+    single = single.select("q", "kb_id", "queries", (F.col("place") + 1).alias("retrieval_rank"), "c.entity_ord", "c.matched_alias", "c.similarity")
+    rows = single.join(entities.select("kb_id", "entity_ord", "entity_id", "canonical_name", "entity_type", "keywords", "description"), ["kb_id", "entity_ord"])
+    mention = normalize(F.get("queries", F.lit(0)))
+    rows = rows.withColumns({"mention": mention, "matched": normalize(F.col("matched_alias"))})
+    expansions = F.transform(F.slice("queries", 2, 10_000), normalize)
+    kind = (
+        F.when((F.col("matched") != F.col("mention")) & F.array_contains(expansions, F.col("matched")), F.lit("llm_alias_expansion"))
+        .when(F.col("matched") == F.col("mention"), F.lit("exact_or_alias_match"))
+        .otherwise(F.lit("fuzzy_alias_match"))
+    )
+    value = F.lit(0.0)
+    if prior is not None:  # its key is the mention's own text, never an expansion
+        learned = prior.select(F.col("norm_mention").alias("mention"), "entity_id", F.col("prior").alias("learned"))
+        rows, value = rows.join(learned, ["mention", "entity_id"], "left"), F.coalesce("learned", F.lit(0.0))
+    facts = {
+        "retrieval_rank": F.col("retrieval_rank"), "entity_ord": F.col("entity_ord"), "entity_id": F.col("entity_id"), "canonical_name": F.col("canonical_name"), "entity_type": F.col("entity_type"), "keywords": F.col("keywords"),
+        "described": normalize(F.coalesce("description", F.lit(""))), "matched_alias": F.col("matched_alias"), "alias_similarity": round_binary(clamp(F.col("similarity")), 3), "kind": kind, "same_name": F.col("mention") == normalize(F.col("canonical_name")), "prior": value,
+    }
+    return rows.groupBy("q").agg(F.array_sort(F.collect_list(F.struct(*[c.alias(n) for n, c in facts.items()]))).alias("found"))
+
+
+def build(found: DataFrame, signatures: DataFrame, entities: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """A row for each candidate of each signature, with the entity's columns, the rounded similarity
     and the first reasons; `retrieved` counts the signature's candidates."""
-    known = sized_hint(entities.drop("version", "metadata_json"), BROADCAST_ALIASES)
-    parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = known(found, asked(signatures), entities, prior)
+    named = signatures.select("sig", "q", "top_k", F.col("entity_type").alias("mention_type"), "context", han_characters(F.col("context")).alias("characters"))
     # Arrays are short to move and long to score: they are dealt evenly before they are exploded, by the
     # key that ranking and decisions go by, so that scored rows move no more.
-    expansions = F.transform(F.slice(query_texts(F.col("text"), F.col("candidate_aliases")), 2, 10_000), normalize)
-    named = signatures.withColumnRenamed("entity_type", "mention_type").withColumn("expansions", expansions).drop("candidate_aliases")
-    wanted = named.join(found, "q").repartition(parts, "sig")
-    single = wanted.withColumn("retrieved", F.size("found")).select("*", F.posexplode("found").alias("place", "c")).drop("found", "q")
-    single = single.withColumns({"retrieval_rank": F.col("place") + 1, "entity_ord": F.col("c.entity_ord"), "matched_alias": F.col("c.matched_alias"), "similarity": F.col("c.similarity")}).drop("c", "place")
-    joined = single.join(known, ["kb_id", "entity_ord"])
-    matched, mention = normalize(F.col("matched_alias")), normalize(F.col("text"))
-    kind = (
-        F.when((matched != mention) & F.array_contains("expansions", matched), F.lit("llm_alias_expansion"))
-        .when(matched == mention, F.lit("exact_or_alias_match"))
-        .otherwise(F.lit("fuzzy_alias_match"))
-    )
+    wanted = named.join(facts, "q").repartition("sig").withColumn("retrieved", F.size("found"))
+    single = wanted.select("sig", "top_k", "mention_type", "context", "characters", "retrieved", F.inline("found"))
     aligned = F.coalesce((F.col("mention_type") != "") & (F.col("mention_type") == F.col("entity_type")), F.lit(False))
-    return joined.withColumns(
-        {
-            "alias_similarity": round_binary(clamp(F.col("similarity")), 3),
-            "type_aligned": aligned,
-            "reasons": F.array_compact(F.array(kind, F.when(aligned, F.lit("entity_type_aligned")))),
-        }
-    )
+    return single.withColumns({"type_aligned": aligned, "reasons": F.array_compact(F.array("kind", F.when(aligned, F.lit("entity_type_aligned"))))})

@@ -161,7 +161,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide.link_mentions(testdata.line_mentions(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS)
+    return decide.link_mentions(testdata.line_mentions(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS, whole=False)
 
 
 def joined(column) -> Column:
@@ -206,7 +206,7 @@ SELECT mention_id, count(*) AS n_candidates, max(retrieval_rank) AS last_rank, a
   arg_min(matched_alias, retrieval_rank) AS first_alias FROM exact GROUP BY mention_id""", *LINKED[:4]))
 def exact_candidates(spark, sf_dir):
     mentions, lists, entities = catalog_lists(spark, sf_dir)
-    names = retrieve.sized_hint(entities.select("entity_ord", "entity_id"), retrieve.BROADCAST_ALIASES)
+    names = entities.select("entity_ord", "entity_id")
     found = retrieve.exact(lists, entities, OPTIONS.top_k)
     first, last = F.get("found", F.lit(0)), F.element_at("found", -1)
     facts = found.select("q", F.size("found").cast("long").alias("n_candidates"), F.size("found").alias("last_rank"), first["entity_ord"].alias("first_ord"), last["entity_ord"].alias("last_ord"), first["matched_alias"].alias("first_alias"))
@@ -220,9 +220,51 @@ def unmatched_mentions(spark, sf_dir):
     return retrieve.unmatched(mentions, retrieve.exact(lists, entities, OPTIONS.top_k)).select("mention_id", "text")
 
 
-@query(with_parts(f"SELECT DISTINCT text, retrieval_rank, entity_ord, matched_alias, {rounded('similarity', 6)} AS similarity FROM found JOIN mentions USING (mention_id) WHERE similarity < 1", *MATCHED))
+#: The ratio of two strings by recursion over the pairs: each step takes the first pair of stretches
+#: still to be matched and cuts it at its longest common block (the earliest in the query, then in the alias).
+RATIOS = f"""
+words AS (SELECT entity_ord, alias_ord, alias, norm FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_ord, norm ORDER BY alias_ord) AS k FROM (
+    SELECT entity_ord, i - 1 AS alias_ord, names[i] AS alias, {norm('names[i]')} AS norm FROM (SELECT entity_ord, [canonical_name] || aliases AS names, unnest(range(1, len(aliases) + 2)) AS i FROM kb))) WHERE k = 1 AND norm != ''),
+lists AS (SELECT DISTINCT text, expansions, list_filter([{norm('text')}] || list_transform(expansions, lambda x: {norm('x')}), lambda x: x != '') AS qs FROM slips),
+open_lists AS (SELECT * FROM lists l WHERE NOT EXISTS (SELECT 1 FROM words w WHERE list_contains(l.qs, w.norm))),
+pairs AS (SELECT DISTINCT q, norm AS a FROM (SELECT unnest(qs) AS q FROM open_lists), words),
+matching AS (
+  SELECT q, a, [{{'al': 0, 'ah': length(q), 'bl': 0, 'bh': length(a)}}] AS todo, 0 AS matched FROM pairs
+  UNION ALL
+  SELECT q, a, list_filter([{{'al': t.al, 'ah': i, 'bl': t.bl, 'bh': j}}, {{'al': i + n, 'ah': t.ah, 'bl': j + n, 'bh': t.bh}}], lambda x: n > 0 AND x.al < x.ah AND x.bl < x.bh) || todo[2:], matched + n
+  FROM (SELECT *, t.bl + instr(substr(a, t.bl + 1, t.bh - t.bl), substr(q, i + 1, n)) - 1 AS j FROM (
+    SELECT *, CASE WHEN best > 0 THEN (best + 999) // 1000 ELSE 0 END AS n, CASE WHEN best > 0 THEN (best + 999) // 1000 * 1000 - best ELSE 0 END AS i FROM (
+      SELECT *, todo[1] AS t, list_max(flatten(list_transform(range(todo[1].al, todo[1].ah), lambda i: list_transform(range(1, todo[1].ah - i + 1),
+        lambda n: CASE WHEN contains(substr(a, todo[1].bl + 1, todo[1].bh - todo[1].bl), substr(q, i + 1, n)) THEN n * 1000 - i ELSE 0 END)))) AS best FROM matching WHERE len(todo) > 0)))),
+ratios AS (
+  SELECT q, a, CASE WHEN length(q) >= 2 AND (contains(a, q) OR contains(q, a)) THEN greatest(2e0 * matched / (length(q) + length(a)), 0.9e0) ELSE 2e0 * matched / (length(q) + length(a)) END AS similarity
+  FROM matching WHERE len(todo) = 0),
+by_alias AS (
+  SELECT l.text, l.expansions, w.entity_ord, w.alias_ord, w.alias, max(r.similarity) AS similarity
+  FROM (SELECT text, expansions, unnest(qs) AS q FROM open_lists) l JOIN ratios r USING (q) JOIN words w ON w.norm = r.a GROUP BY ALL),
+by_entity AS (SELECT text, expansions, entity_ord, max(similarity) AS similarity, arg_min(alias, alias_ord) FILTER (similarity = top) AS matched_alias
+  FROM (SELECT *, max(similarity) OVER (PARTITION BY text, expansions, entity_ord) AS top FROM by_alias) WHERE similarity >= {FUZZY_FLOOR}e0 GROUP BY text, expansions, entity_ord),
+likest AS (SELECT *, row_number() OVER (PARTITION BY text, expansions ORDER BY {rounded('similarity', 3)} DESC, entity_ord)::INTEGER AS retrieval_rank FROM by_entity)"""
+
+
+def slip_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct lists of queries of the mistyped names, entities)."""
+    return retrieve.asked(testdata.slips(spark, sf_dir).withColumn("top_k", F.lit(OPTIONS.top_k))), testdata.lines_kb(spark, sf_dir)
+
+
+@query(with_parts(f"SELECT text, array_to_string(expansions, '|') AS expansions, retrieval_rank, entity_ord, matched_alias, {rounded('similarity', 6)} AS similarity FROM likest WHERE retrieval_rank <= {OPTIONS.fuzzy_cap}", testdata.LINES_KB, testdata.SLIPS, RATIOS))
 def fuzzy_candidates(spark, sf_dir):
-    """Best fuzzy entities of mentions that no alias equals."""
+    """Best fuzzy entities of mistyped names that no alias equals."""
+    lists, entities = slip_lists(spark, sf_dir)
+    best = retrieve.fuzzy(retrieve.unmatched(lists, retrieve.exact(lists, entities, OPTIONS.top_k)), entities).join(lists, "q")
+    rows = best.select(F.get("queries", F.lit(0)).alias("text"), joined(F.slice("queries", 2, 10)).alias("expansions"), F.posexplode("found").alias("place", "c"))
+    return rows.select("text", "expansions", (F.col("place") + 1).alias("retrieval_rank"), "c.entity_ord", "c.matched_alias", tx.round_binary(F.col("c.similarity"), 6).alias("similarity"))
+
+
+@query(with_parts(f"SELECT DISTINCT text, retrieval_rank, entity_ord, matched_alias, {rounded('similarity', 6)} AS similarity FROM found JOIN mentions USING (mention_id) WHERE similarity < 1", *MATCHED))
+def fuzzy_guard(spark, sf_dir):
+    """Fuzzy entities of the catalog's mentions: none once it has more entities than the guard allows."""
     _, lists, entities = catalog_lists(spark, sf_dir)
     best = retrieve.fuzzy(retrieve.unmatched(lists, retrieve.exact(lists, entities, OPTIONS.top_k)), entities).join(lists, "q")
     rows = best.select(F.get("queries", F.lit(0)).alias("text"), F.posexplode("found").alias("place", "c"))
@@ -387,7 +429,7 @@ def trained_mentions(spark, sf_dir):
 def link_with_prior(spark, sf_dir):
     """Decisions with the learnt prior."""
     learned = prior.train(testdata.line_mentions(spark, sf_dir)).select("norm_mention", "entity_id", "prior")
-    docs = decide.link_mentions(testdata.line_mentions(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS, learned)
+    docs = decide.link_mentions(testdata.line_mentions(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS, learned, whole=False)
     return decide.decisions(docs).select("mention_id", "status", "linked_entity_id", "confidence")
 
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 KB = "catalog"
 NONE = "array<string>"
-#: Latin letters to Han characters, for the overlap of descriptions.
 #: A character for each region, whose alias is that character twice, and two that no alias holds. Aliases and
 #: mentions that share them are alike in one run of one character, so that SQL can tell their similarity.
 REGIONS, NOBODY = "甲乙丙丁戊", "己庚"
+#: Latin letters to Han characters, for the overlap of descriptions.
 LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
 
 
@@ -102,3 +102,58 @@ mentions AS (
     CASE WHEN pos % 5 = 4 THEN [p_name] ELSE []::VARCHAR[] END AS expansions,
     (pos % 4 = 3 AND l_partkey % 3 != 0) AS hint, CASE WHEN pos % 4 = 3 AND l_partkey % 3 = 0 AND l_partkey % 7 < 5 THEN 'region:' || (l_partkey % 7) ELSE 'part:' || l_partkey END AS gold
   FROM lines)"""
+
+
+# -- a base of product lines and slips of the pen, for fuzzy retrieval -----------------------------
+
+LINES = "lines"
+
+
+def lines_kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product lines, types and nations: a base that stays small whatever the scale, with several
+    aliases an entity."""
+    parts = table(spark, sf_dir, "part")
+    name, types = F.col("p_name"), F.col("p_type")
+    words = F.split(name, " ")
+    lines = parts.groupBy("p_name").agg(F.min("p_partkey").alias("k"))
+    lines = lines.select(F.col("k").cast("long").alias("entity_ord"), F.concat(F.lit("line:"), name).alias("entity_id"), name.alias("canonical_name"), F.array(F.concat_ws(" ", F.get(words, F.lit(1)), F.get(words, F.lit(0))), F.concat(F.lit("the "), F.get(words, F.lit(1)))).alias("aliases"))
+    kinds = parts.groupBy("p_type").agg(F.min("p_partkey").alias("k")).select((F.col("k") + 10_000_000_000).cast("long").alias("entity_ord"), F.concat(F.lit("type:"), types).alias("entity_id"), types.alias("canonical_name"), F.array(F.concat(types, F.lit(" goods"))).alias("aliases"))
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 20_000_000_000).cast("long").alias("entity_ord"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("entity_id"), F.col("n_name").alias("canonical_name"), F.array().cast(NONE).alias("aliases"))
+    rows = lines.unionByName(kinds).unionByName(nations)
+    return rows.select(F.lit(LINES).alias("kb_id"), F.lit("1").alias("version"), "entity_ord", "entity_id", "canonical_name", "aliases", F.lit("line").alias("entity_type"), F.array().cast(NONE).alias("keywords"), F.lit("").alias("description"), F.lit(None).cast("string").alias("metadata_json"))
+
+
+LINES_KB = """
+kb AS (
+  SELECT min(p_partkey)::BIGINT AS entity_ord, 'line:' || p_name AS entity_id, p_name AS canonical_name, [string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1], 'the ' || string_split(p_name, ' ')[2]] AS aliases FROM part GROUP BY p_name
+  UNION ALL SELECT min(p_partkey) + 10000000000, 'type:' || p_type, p_type, [p_type || ' goods'] FROM part GROUP BY p_type
+  UNION ALL SELECT n_nationkey + 20000000000, 'nation:' || n_nationkey, n_name, [] FROM nation)"""
+
+
+def slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p_partkey, text, candidate_aliases): a name for each part as it may be mistyped: a letter left
+    out or doubled, other vowels, words cut short, brands and numbers beside it; some right ones."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    k, at = key % 7, (F.floor(key / 7) % F.length("p_name") + 1).cast("int")
+    head, tail = F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length("p_name"))
+    words = F.split(name, " ")
+    text = (
+        F.when(k == 0, F.concat(head, tail))
+        .when(k == 1, F.concat(head, F.substring(name, at, F.lit(1)), F.substring(name, at, F.length("p_name"))))
+        .when(k == 2, F.concat(F.translate(name, "aeiou", "eioua"), F.lit(" "), F.col("p_brand")))
+        .when(k == 3, F.concat(F.substring(name, 1, 4), F.lit(" "), F.lower("p_type"), F.lit(" "), F.substring(F.col("p_brand"), 6, 4)))
+        .when(k == 4, F.concat(F.get(words, F.lit(1)), F.lit(" no "), key.cast("string")))
+        .when(k == 5, F.concat(F.lit("Q"), key.cast("string"), F.lit("xjvz")))
+        .otherwise(F.concat(F.lit("some "), name, F.lit(" of "), F.col("p_brand")))
+    )
+    expansion = F.when(key % 11 == 0, F.array(F.concat(F.get(words, F.lit(1)), F.lit("s")))).otherwise(F.array().cast(NONE))
+    return table(spark, sf_dir, "part").select("p_partkey", F.lit(LINES).alias("kb_id"), text.alias("text"), expansion.alias("candidate_aliases"))
+
+
+SLIPS = """
+slips AS (
+  SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN substr(p_name, 1, spot - 1) || substr(p_name, spot + 1) WHEN 1 THEN substr(p_name, 1, spot) || substr(p_name, spot)
+      WHEN 2 THEN translate(p_name, 'aeiou', 'eioua') || ' ' || p_brand WHEN 3 THEN substr(p_name, 1, 4) || ' ' || lower(p_type) || ' ' || substr(p_brand, 6, 4)
+      WHEN 4 THEN string_split(p_name, ' ')[2] || ' no ' || p_partkey WHEN 5 THEN 'Q' || p_partkey || 'xjvz' ELSE 'some ' || p_name || ' of ' || p_brand END AS text,
+    CASE WHEN p_partkey % 11 = 0 THEN [string_split(p_name, ' ')[2] || 's'] ELSE []::VARCHAR[] END AS expansions
+  FROM (SELECT *, (p_partkey // 7 % length(p_name) + 1)::INTEGER AS spot FROM part))"""

@@ -73,13 +73,13 @@ def duplicate_ids(entities: DataFrame) -> DataFrame:
     return entities.groupBy("kb_id", "entity_id").count().filter("count > 1")
 
 
-def aliases(entities: DataFrame) -> DataFrame:
-    """(kb_id, entity_ord, entity_id, alias_ord, alias, norm): the name and every alias, each
-    normalised form once an entity (its first), empty ones left out."""
+def aliases(entities: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(kb_id, entity_ord, entity_id, alias_ord, alias, norm, and carried): the name and every alias,
+    each normalised form once an entity (its first), empty ones left out."""
     names = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
     marked = F.filter(F.transform(names, lambda x, i: F.struct(i.alias("alias_ord"), x.alias("alias"), normalize(x).alias("norm"))), lambda s: F.coalesce(s["norm"], F.lit("")) != "")
     first = F.filter(marked, lambda s: ~F.exists(F.filter(marked, lambda o: o["alias_ord"] < s["alias_ord"]), lambda o: o["norm"] == s["norm"]))
-    return entities.select("kb_id", "entity_ord", "entity_id", F.inline(first)).select("kb_id", "entity_ord", "entity_id", "alias_ord", "alias", "norm")
+    return entities.select("kb_id", "entity_ord", "entity_id", *carried, F.inline(first)).select("kb_id", "entity_ord", "entity_id", "alias_ord", "alias", "norm", *carried)
 
 
 def alias_index(entities: DataFrame, cap: int) -> DataFrame:

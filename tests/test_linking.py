@@ -284,11 +284,10 @@ def reference_best(queries, rows, keep):
     return found[:keep]
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
-def test_fuzzy_join_equals_full_scan(spark, monkeypatch, broadcast):
-    """The Spark operator over two bases, aliases broadcast or beside the lists."""
-    monkeypatch.setattr(retrieve, "BROADCAST_ALIASES", broadcast)
-    monkeypatch.setattr(retrieve, "FUZZY_PART", 5)
+@pytest.mark.parametrize("at_once", [4096, 7])
+def test_fuzzy_join_equals_full_scan(spark, monkeypatch, at_once):
+    """The Spark operator over two bases, aliases in one block or in many."""
+    monkeypatch.setattr(retrieve, "FUZZY_ALIASES", at_once)
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefg ", k=rng.randrange(1, 9)))
     rows = [(b, "1", i, f"{b}{i}", word(), [word() for _ in range(rng.randrange(3))], "t", [], "", None) for b in ("one", "two") for i in range(40)]
