@@ -306,7 +306,7 @@ def with_defaults(requests: DataFrame, settings: Settings = Settings()) -> DataF
     return requests.withColumns({"kb_id": F.coalesce("kb_id", F.lit(settings.default_kb)), "trace_id": F.coalesce("trace_id", trace_id(settings.trace_prefix))})
 
 
-def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, unknown: str = "fail") -> DataFrame:
+def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = LinkOptions(), prior: DataFrame | None = None, unknown: str = "fail", retriever: Retriever = retrieve.candidates) -> DataFrame:
     """Responses to requests (see schemas.REQUEST): one row each, requests being independent even
     where their ids repeat.
 
@@ -338,7 +338,7 @@ def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = Lin
     mentions = explode_requests(valid.withColumn("kb_id", F.col("base")), ("request_key", "top_k", "nil_threshold", "ambiguity_margin"))
     safe = options if not options.errors() else LinkOptions()
     most_k = retrieve.most_asked(checked) if "options" in requests.columns else safe.top_k
-    linked = link_mentions(mentions, entities, safe, prior, keys=("request_key",), most_k=most_k)
+    linked = link_mentions(mentions, entities, safe, prior, retriever, keys=("request_key",), most_k=most_k)
     bases = entities.groupBy(F.col("kb_id").alias("base")).agg(F.first("version").alias("kb_version"), F.count("*").alias("entity_count"))
     none = F.array().cast(linked.schema["results"].dataType)
     rows = checked.join(linked, "request_key", "left").join(bases, "base", "left")
@@ -346,10 +346,10 @@ def respond(requests: DataFrame, entities: DataFrame, options: LinkOptions = Lin
     rows = rows.withColumn("entity_count", F.coalesce("owned", "entity_count"))
     lost = ~bad & F.col("kb_version").isNull()
     if unknown == "fail":
-        error = F.raise_error(F.concat(F.lit("unknown knowledge base: "), F.col("named"))).cast("string")
-    else:
-        error = F.lit("unknown_kb")
-    route = F.when(bad, F.lit("invalid_input")).when(lost, error).otherwise(F.col("route"))
+        # A filter goes with the row, whichever columns are asked for.
+        error = F.raise_error(F.concat(F.lit("unknown knowledge base: "), F.col("named"))).cast("boolean")
+        rows = rows.filter(F.when(lost, error).otherwise(F.lit(True)))
+    route = F.when(bad, F.lit("invalid_input")).when(lost, F.lit("unknown_kb")).otherwise(F.col("route"))
     errors = F.when(lost, F.array(F.concat(F.lit("unknown_knowledge_base:"), F.col("named")))).otherwise(F.col("validation_errors"))
     rows = rows.withColumns(
         {

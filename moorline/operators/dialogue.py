@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline import schemas
 from moorline.functions.dialogue import ALIASES, STRINGS, Words, accepted, alias_texts, guessed_mentions, inferred_kb, json_object, located, normalized_action, parsed_turn, rule_action
 from moorline.options import DEFAULT_KB
+from moorline.sources import model
 
 STATE = "struct<kb_id:string,text:string,mentions:array<string>,aliases:map<string,array<string>>>"
 
@@ -37,45 +37,38 @@ def modelled(turns: DataFrame, answer_col: str = "answer") -> Column:
 
 
 def states(turns: DataFrame, words: Words = Words(), key: str = "conv_id", order: str = "turn", text_col: str = "text", parser: Callable[[Column, Words], Column] = parsed_turn) -> DataFrame:
-    """(key, order, action, kb_id, text, mentions, aliases, runs, missing): every turn's action and the
-    state after it. A turn's column `answer`, a model's raw reply, decides where it is accepted (see
+    """(key, order, action, reply, confidence, route, kb_id, text, mentions, aliases, missing, runs,
+    guessed): every turn's action, what is said to it, and the state after it. A turn's column `answer`, a model's raw reply, decides where it is accepted (see
     `answered`); else the rules do. A run needs a text and mentions; `missing` names what is not
     there yet. `parser` reads a turn (see parsed_turn)."""
     parsed = turns.select(key, order, parser(F.coalesce(F.col(text_col), F.lit("")), words).alias("said"), modelled(turns).alias("model"))
     rows = parsed.groupBy(key).agg(F.collect_list(F.struct(order, "said", "model")).alias("turns"))
     rows = rows.withColumn("turns", F.array_sort("turns", lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0)))
-    kind = f"array<struct<{order}:{turns.schema[order].dataType.simpleString()},action:string,run:boolean,state:{STATE}>>"
+    kind = f"array<struct<{order}:{turns.schema[order].dataType.simpleString()},action:string,run:boolean,reply:string,confidence:double,route:string,state:{STATE}>>"
 
     def step(held: Column, turn: Column) -> Column:
         state = held["state"]
         rule = rule_action(turn["said"], state["text"] != "", F.size(state["mentions"]) > 0)
         action = F.coalesce(turn["model"], rule.cast(schemas.ACTION_TYPE))
         after = moved(state, action, words)
-        row = F.struct(turn[order].alias(order), action["action"].alias("action"), action["run_requested"].alias("run"), after.alias("state"))
+        row = F.struct(turn[order].alias(order), action["action"].alias("action"), action["run_requested"].alias("run"), action["reply"].alias("reply"), action["confidence"].alias("confidence"), F.when(turn["model"].isNotNull(), F.lit("model")).otherwise(F.lit("rules")).alias("route"), after.alias("state"))
         return F.struct(after.alias("state"), F.concat(held["out"], F.array(row)).alias("out"))
 
     folded = F.aggregate("turns", F.struct(start().alias("state"), F.array().cast(kind).alias("out")), step, lambda h: h["out"])
-    flat = rows.select(key, F.inline(folded)).select(key, order, "action", "run", "state.kb_id", "state.text", "state.mentions", "state.aliases")
+    flat = rows.select(key, F.inline(folded)).select(key, order, "action", "run", "reply", "confidence", "route", "state.kb_id", "state.text", "state.mentions", "state.aliases")
     missing = F.when(F.col("text") == "", F.lit("text")).when(F.size("mentions") == 0, F.lit("mentions")).otherwise(F.lit(""))
     return flat.withColumn("missing", missing).withColumn("runs", F.col("run") & (F.col("missing") == "")).drop("run").withColumn("guessed", F.when(F.col("missing") == "mentions", guessed_mentions(F.col("text"))))
 
 
-def answered(turns: DataFrame, analyse: Callable[[str], str], text_col: str = "text") -> DataFrame:
-    """turns with `answer`, the model's raw reply; a failure is a null answer. `analyse` is any
-    callable that executors can run; there is no default one, as there is no network."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for text in batch[text_col]:
-                try:
-                    out.append(analyse(text))
-                except (OSError, ValueError, KeyError, TypeError):
-                    out.append(None)
-            yield batch.assign(answer=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema) + ", answer string"
-    return turns.mapInPandas(run, schema)
+def answered(turns: DataFrame, analyse: Callable[[str], str], text_col: str = "text", store: str | None = None, deadline: float = model.DEADLINE, pool: int = model.POOL) -> DataFrame:
+    """turns with `answer`, the model's raw reply; a failure, or a call that takes longer than
+    `deadline` seconds, is a null answer. `analyse` is any callable that executors can run; there is
+    no default one, as there is no network. Equal texts are asked once. With `store`, a table keyed
+    by the texts' hashes, nothing that it holds is asked again; without, each run of the plan asks."""
+    texts = turns.select(F.col(text_col).alias("text"))
+    found = model.answers(texts, analyse, deadline, pool) if store is None else model.stored_answers(texts, analyse, store, deadline, pool)
+    keyed = turns.withColumn("_text_key", model.text_key(F.col(text_col)))
+    return keyed.join(found.select(F.col("text_key").alias("_text_key"), "answer"), "_text_key", "left").drop("_text_key")
 
 
 def understood(turns: DataFrame, words: Words = Words(), text_col: str = "text", answer_col: str = "answer", has_text: Column | None = None, has_mentions: Column | None = None) -> DataFrame:

@@ -44,10 +44,12 @@ def most_asked(lists: DataFrame) -> int:
     return max(1, lists.agg(F.max("top_k")).first()[0] or 1)
 
 
-def exact(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
+def exact(lists: DataFrame, entities: DataFrame, most_k: int, index: DataFrame | None = None) -> DataFrame:
     """(q, found): the entities that have one of the queries as an alias, in order of query and
-    entity, the first exact_cap(top_k) of them. most_k is the greatest top_k of lists."""
-    index = alias_index(entities, exact_cap(most_k)).select("kb_id", "norm", "entity_ord")
+    entity, the first exact_cap(top_k) of them. most_k is the greatest top_k of lists. `index`, where
+    it is given, is the base's alias index for that most_k or a greater one (see `sources.index`)."""
+    if index is None:
+        index = alias_index(entities, exact_cap(most_k)).select("kb_id", "norm", "entity_ord")
     single = lists.select("q", "kb_id", "top_k", F.posexplode("queries").alias("query_ord", "query")).withColumn("norm", normalize(F.col("query"))).filter("norm != ''")
     pairs = single.join(index, ["kb_id", "norm"])
     # At most the index's cap for each query.
@@ -97,9 +99,9 @@ def fuzzy(lists: DataFrame, entities: DataFrame) -> DataFrame:
     return merged.select("q", F.transform(F.slice("found", F.lit(1), F.col("keep")), lambda x: x["c"]).cast(FOUND).alias("found"))
 
 
-def candidates(lists: DataFrame, entities: DataFrame, most_k: int) -> DataFrame:
+def candidates(lists: DataFrame, entities: DataFrame, most_k: int, index: DataFrame | None = None) -> DataFrame:
     """(q, found): exact hits, or fuzzy ones for lists without any; lists that find nothing give no row."""
-    hits = exact(lists, entities, most_k)
+    hits = exact(lists, entities, most_k, index)
     return hits.unionByName(fuzzy(unmatched(lists, hits), entities))
 
 

@@ -28,7 +28,8 @@ from moorline.sources.files import persist, read_prior, read_requests
 from moorline.sources.kb import Catalog, read_kb, subset
 
 PREVIEW = 300  # characters of the text that a dialogue shows
-EXIT = ("exit", "quit", "bye", "退出", "再见")
+#: Words that end a dialogue.
+EXIT = ("q", "quit", "exit", "退出", "结束", "再见")
 DEMO_KB = [("demo", "1", 0, "city:nanjing", "Nanjing", ["Nanking"], "city", ["station", "river"], "", None), ("demo", "1", 1, "city:beijing", "Beijing", ["Peking"], "city", ["capital"], "", None)]
 DEMO_TEXT, DEMO_MENTIONS = "The train left Nanking station for the capital Peking.", "Nanking, Peking, Atlantis"
 

@@ -6,7 +6,7 @@ import re
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from moorline import schemas
@@ -55,8 +55,10 @@ def read_prior(spark: SparkSession, path: str) -> DataFrame:
 
 
 def prior_document(prior: DataFrame, source: str) -> DataFrame:
-    """One JSON row {source, mentions, mapping}: for exchange; keep large priors as tables."""
-    of = prior.groupBy("norm_mention").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_id", "prior")))).alias("of"))
+    """One JSON row {source, mentions, mapping}, a mention's entities from the most frequent on: for
+    exchange; keep large priors as tables."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("prior")).alias("rank"), "entity_id", "prior")))
+    of = prior.groupBy("norm_mention").agg(F.map_from_entries(F.transform(ranked, lambda x: F.struct(x["entity_id"].alias("key"), x["prior"].alias("value")))).alias("of"))
     whole = of.agg(F.count("*").alias("mentions"), F.map_from_entries(F.collect_list(F.struct("norm_mention", "of"))).alias("mapping"))
     return whole.select(F.to_json(F.struct(F.lit(source).alias("source"), "mentions", "mapping")).alias("value"))
 
@@ -74,11 +76,13 @@ def write_traces(responses: DataFrame, path: str, batch: int | None = None) -> N
     """Add traces to the table at path, by day of the trace id; the commit protocol leaves whole files
     or none. A numbered batch replaces what an earlier attempt of that number wrote."""
     day = F.regexp_extract("trace_id", r"-(\d{8})\d{6}-", 1)
-    rows = responses.withColumn("day", F.when(day != "", day))
+    # Rows in order of day and id, and Bloom filters: one id reads the row group that may hold it.
+    rows = responses.withColumn("day", F.when(day != "", day)).sortWithinPartitions("day", "trace_id")
+    writer = rows.write.option("parquet.bloom.filter.enabled#trace_id", "true").partitionBy("day")
     if batch is None:
-        rows.write.mode("append").partitionBy("day").parquet(f"{path}/batch=-1")
+        writer.mode("append").parquet(f"{path}/batch=-1")
     else:
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}")
+        writer.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def persist(responses: DataFrame, path: str, batch: int | None = None) -> bool:
@@ -95,6 +99,27 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
+class TraceNotFound(FileNotFoundError):
+    pass
+
+
+def get_trace(spark: SparkSession, path: str, trace_id: str) -> Row:
+    """The trace; one that is not in the table is an error."""
+    found = read_trace(spark, path, trace_id).first() if exists(spark, path) else None
+    if found is None:
+        raise TraceNotFound(trace_id)
+    return found
+
+
+def traces_of(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
+    """The traces of many ids(trace_id): one join, whose days prune what is read."""
+    day = F.regexp_extract("trace_id", r"-(\d{8})\d{6}-", 1)
+    wanted = ids.select("trace_id").distinct().withColumn("day", F.when(day != "", day).cast("int"))
+    rows = read_traces(spark, path)
+    dated = rows.join(wanted.filter("day is not null"), ["day", "trace_id"], "left_semi")
+    return dated.unionByName(rows.filter("day is null").join(wanted.filter("day is null").select("trace_id"), "trace_id", "left_semi")).drop("day")
+
+
 def read_trace(spark: SparkSession, path: str, trace_id: str) -> DataFrame:
     """The trace's rows, none if unknown. Its day says which partition to read."""
     day, rows = trace_day(trace_id), read_traces(spark, path)

@@ -335,7 +335,7 @@ def test_talk(spark):
         asked.append((requests.collect()[0], {r.text for r in names.collect()}))
         return spark.createDataFrame([], "x int")
 
-    replies = list(shell.talk(spark, ["文本: see Alpha there", "", "mention: Alpha", "bye", "help"], link))
+    replies = list(shell.talk(spark, ["文本: see Alpha there", "", "mention: Alpha", "结束", "help"], link))
     assert len(replies) == 2 and "missing: mentions" in replies[0] and replies[1].startswith("[run]")
     assert [(r.text, [m.start for m in r.mentions], names) for r, names in asked] == [("see Alpha there", [4], {"Alpha"})]
 
@@ -344,3 +344,93 @@ def test_stages_can_be_replaced(spark, entities):
     rows = spark.createDataFrame([mention(0, "未知研究院", "未知研究院")], MENTION)
     docs = decide.link_mentions(rows, entities, retriever=retrieve.exact)
     assert decide.decisions(docs).first().route == "empty_candidates"
+
+
+def plain_requests(spark, n=3, base="base"):
+    mentions = [("m1", "国网智能科技", None, None, "organization", None, [], False), ("m2", "张工", None, None, None, None, [], False)]
+    return spark.createDataFrame([(f"r{k}", f"t10-2026112810000{k}-0000000{k}", base, "张工在国网智能科技", mentions) for k in range(n)], "request_id string, trace_id string, kb_id string, text string, mentions array<struct<mention_id:string, text:string, start:int, end:int, entity_type:string, sentence:string, candidate_aliases:array<string>, coreference_hint:boolean>>")
+
+
+def test_unknown_base_fails_whatever_is_selected(spark, entities):
+    requests = plain_requests(spark, 1, "nowhere")
+    with pytest.raises(Exception, match="unknown knowledge base"):
+        decide.respond(requests, entities).select("request_id", "kb_id").collect()
+
+
+def test_stream_outlives_a_broken_trace_table(spark, entities, tmp_path):
+    plain_requests(spark).write.parquet(f"{tmp_path}/in")
+    source = lambda: spark.readStream.schema(plain_requests(spark).schema).parquet(f"{tmp_path}/in")
+    (tmp_path / "broken").write_text("a file where the trace table should be")
+    link_stream(source(), entities, f"{tmp_path}/broken", f"{tmp_path}/c1", answers=f"{tmp_path}/a1").awaitTermination()
+    lost = spark.read.parquet(f"{tmp_path}/a1/batch=0").collect()
+    assert len(lost) == 3 and not any(r.trace_persisted for r in lost)
+    assert {e.detail for r in lost for e in r.node_events if e.node == "persist_trace"} == {'{"trace_persisted":false}'}
+    link_stream(source(), entities, f"{tmp_path}/traces", f"{tmp_path}/c2", answers=f"{tmp_path}/a2").awaitTermination()
+    kept = spark.read.parquet(f"{tmp_path}/a2/batch=0").collect()
+    assert all(r.trace_persisted for r in kept) and files.read_traces(spark, f"{tmp_path}/traces").count() == 3
+    assert [[x.status for x in r.results] for r in kept] == [[x.status for x in r.results] for r in lost]
+
+
+def test_index_table_is_made_once_for_a_version(spark, entities, tmp_path):
+    from moorline.sources.index import AliasIndexes
+
+    indexes = AliasIndexes(spark, buckets=4)
+    cap = LinkOptions().exact_cap
+    index, name = indexes.of(entities, cap), indexes.name(entities, cap)
+    try:
+        assert name == indexes.name(entities.repartition(3), cap)
+        changed = entities.withColumn("aliases", F.when(F.col("entity_ord") == 0, F.array(F.lit("新名"))).otherwise(F.col("aliases")))
+        assert name != indexes.name(changed, cap)
+        lists = retrieve.asked(decide.signed(spark.createDataFrame([mention(0, "国网", "国网"), mention(1, "李强", "李强")], MENTION)))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = retrieve.exact(lists, entities, 5, index)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Bucketed: true" in plan and plan.count("hashpartitioning(kb_id") == 1
+        rows = lambda f: sorted((r.q, str(r.found)) for r in f.collect())
+        assert rows(found) == rows(retrieve.exact(lists, entities, 5))
+        plain_requests(spark).write.parquet(f"{tmp_path}/in")
+        link_stream(spark.readStream.schema(plain_requests(spark).schema).parquet(f"{tmp_path}/in"), entities, f"{tmp_path}/traces", f"{tmp_path}/c", indexes=indexes).awaitTermination()
+        assert [r.results[0].linked_entity_id for r in files.read_traces(spark, f"{tmp_path}/traces").collect()] == ["org:sgit"] * 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        indexes.drop_others()
+    assert not spark.catalog.tableExists(name)
+
+
+def test_traces_by_id(spark, entities, tmp_path):
+    responses = decide.respond(plain_requests(spark, 4), entities)
+    undated = decide.respond(plain_requests(spark, 1).withColumn("trace_id", F.lit("own id")), entities)
+    files.write_traces(responses.unionByName(undated), f"{tmp_path}/t")
+    one = files.get_trace(spark, f"{tmp_path}/t", "t10-20261128100002-00000002")
+    assert one.request_id == "r2"
+    ids = spark.createDataFrame([("t10-20261128100001-00000001",), ("own id",), ("own id",), ("t10-20261128100009-00000009",)], "trace_id string")
+    assert sorted(r.trace_id for r in files.traces_of(spark, f"{tmp_path}/t", ids).collect()) == ["own id", "t10-20261128100001-00000001"]
+    for path in (f"{tmp_path}/t", f"{tmp_path}/none"):
+        with pytest.raises(files.TraceNotFound):
+            files.get_trace(spark, path, "t10-20261128100009-00000009")
+
+
+def test_exported_priors_are_in_order_of_counts(spark):
+    rows = [("a", "x"), ("a", "y"), ("a", "y"), ("a", "w"), ("b", "z")]
+    learned = prior.train(spark.createDataFrame(rows, "text string, gold_kb_id string"))
+    text = files.prior_document(learned, "s").first().value
+    assert list(json.loads(text)["mapping"]["a"]) == ["y", "w", "x"]
+
+
+def test_long_documents_fold_in_linear_time(spark, entities):
+    """A document of 20,000 mentions, every second one a back-reference, against a plain fold."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit("d").alias("request_id"), F.lit("base").alias("kb_id"), F.lit("doc").alias("doc_text"), F.col("id").cast("int").alias("pos"), F.concat(F.lit("m"), "id").alias("mention_id"), F.when(F.col("id") % 2 == 1, "其").when(F.col("id") % 4 == 0, "国网智能科技").otherwise("张工").alias("text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.when(F.col("id") % 3 == 0, "organization").when(F.col("id") % 3 == 1, "person").alias("entity_type"), F.lit("s").alias("sentence"), F.array().cast("array<string>").alias("candidate_aliases"), F.lit(False).alias("coreference_hint"))
+    got = decide.decisions(decide.link_mentions(rows, entities, whole=False)).orderBy("pos").select("entity_type", "status", "linked_entity_id", "confidence", "coreference_source").collect()
+    held, sources = [], 0
+    for k, r in enumerate(got):
+        if k % 2:
+            fits = [h for h in reversed(held[-8:]) if h[2] and (not r.entity_type or not h[1] or h[1] == r.entity_type)]
+            if not fits:  # nothing of its type has been linked yet
+                assert k < 8 and r.status == "nil"
+                held.append((f"m{k}", r.entity_type or "", None, 0.0))
+                continue
+            assert r.coreference_source == fits[0][0] and r.linked_entity_id == fits[0][2] and r.confidence == round(max(0.5, fits[0][3] - 0.15), 3)
+            sources += 1
+        held.append((f"m{k}", r.entity_type or "", r.linked_entity_id, r.confidence))
+    assert sources >= n // 2 - 4
