@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from moorline.functions.text import clamp, strip
+from moorline.functions.text import clamp, let, strip
 from moorline.options import DEFAULT_KB
 
 STRINGS, ALIASES = "array<string>", "map<string,array<string>>"
@@ -62,15 +62,16 @@ def mention_list(value: Column) -> Column:
     return F.filter(F.transform(items, lambda x: strip_of(x, ENDS)), lambda x: x != "")
 
 
-def split_clause(text: Column) -> tuple[Column, Column]:
-    """The parts around the first marker of the list that occurs; all and nothing if none does."""
-    before, after = None, None
-    for m in MARKERS:
-        at = F.instr(text, m)
-        head, tail = F.substring(text, F.lit(1), at - 1), F.substring(text, at + len(m), F.length(text))
-        before = F.when(at > 0, strip_of(head, " ，,。")) if before is None else before.when(at > 0, strip_of(head, " ，,。"))
-        after = F.when(at > 0, strip(tail)) if after is None else after.when(at > 0, strip(tail))
-    return before.otherwise(text), after.otherwise(F.lit(""))
+def split_clause(text: Column) -> Column:
+    """{before, after}: the parts around the first marker of the list that occurs; all and nothing if none does."""
+    marks = F.array(*[F.struct(F.instr(text, m).alias("at"), F.lit(len(m)).alias("size")) for m in MARKERS])
+    first = F.get(F.filter(marks, lambda m: m["at"] > 0), F.lit(0))
+
+    def cut(m: Column) -> Column:
+        head, tail = F.substring(text, F.lit(1), m["at"] - 1), F.substring(text, m["at"] + m["size"], F.length(text))
+        return F.struct(F.when(m.isNull(), text).otherwise(strip_of(head, " ，,。")).alias("before"), F.when(m.isNull(), F.lit("")).otherwise(strip(tail)).alias("after"))
+
+    return let(first, cut)
 
 
 def extracted_text(text: Column) -> Column:
@@ -78,7 +79,7 @@ def extracted_text(text: Column) -> Column:
         return strip(F.get(F.split(strip(value), TEXT_END, 2), F.lit(0)))
 
     labelled, quoted = cut(F.regexp_extract(text, TEXT_LABELS, 1)), cut(F.regexp_extract(text, TEXT_QUOTES, 1))
-    return F.when(labelled != "", labelled).otherwise(quoted)
+    return F.coalesce(F.nullif(labelled, F.lit("")), quoted)
 
 
 def extracted_mentions(text: Column) -> Column:
@@ -90,10 +91,9 @@ def extracted_mentions(text: Column) -> Column:
     )
 
 
-def payload(text: Column) -> tuple[Column, Column]:
-    """(text, mentions) of one utterance."""
-    before, after = split_clause(text)
-    return extracted_text(before), F.when(after != "", mention_list(after)).otherwise(extracted_mentions(text))
+def payload(text: Column) -> Column:
+    """{text, mentions} of one utterance."""
+    return let(split_clause(text), lambda c: F.struct(extracted_text(c["before"]).alias("text"), F.when(c["after"] != "", mention_list(c["after"])).otherwise(extracted_mentions(text)).alias("mentions")))
 
 
 def guessed_mentions(text: Column) -> Column:
@@ -144,10 +144,9 @@ def parsed_turn(text: Column, words: Words = Words()) -> Column:
     """What a turn says by itself: kind (help, reply, reset or say), kb_id, text, mentions, run."""
     low = F.lower(text)
     helps = any_of(text, words.help) | low.isin(*words.help_exact)
-    said, mentions = payload(text)
     kind = F.when(helps, F.lit("help")).when(long_text_question(text, words), F.lit("reply")).when(any_of(text, words.reset), F.lit("reset")).otherwise(F.lit("say"))
-    whole = F.when(said != "", said).when(plain_text(text, words), text).otherwise(F.lit(""))
-    return F.struct(kind.alias("kind"), detected_kb(text, words).alias("kb_id"), whole.alias("text"), mentions.alias("mentions"), any_of(text, words.run).alias("run"))
+    whole = lambda said: F.when(said != "", said).when(plain_text(text, words), text).otherwise(F.lit(""))
+    return let(payload(text), lambda p: F.struct(kind.alias("kind"), detected_kb(text, words).alias("kb_id"), whole(p["text"]).alias("text"), p["mentions"].alias("mentions"), any_of(text, words.run).alias("run")))
 
 
 LONG_TEXT_REPLY = "A text may be of any length; name the mentions to link along with it."
@@ -186,6 +185,10 @@ def json_object(content: Column) -> Column:
 
 def normalized_action(fields: Column) -> Column:
     """A model's answer made predictable; unknown values become empty ones."""
+    return let(fields, normalized_fields)
+
+
+def normalized_fields(fields: Column) -> Column:
     stated = F.lower(strip(F.coalesce(F.nullif(fields["action"], F.lit("")), F.lit("unknown"))))
     action = F.when(stated.isin(*ACTIONS), stated).otherwise(F.lit("unknown"))
     given = lambda name: F.nullif(strip(fields[name]), F.lit(""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ KEYWORD_SEPARATORS = "(?U)[、,，/；;|｜\\s]+"
 CJK = "[\\x{4E00}-\\x{9FFF}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, and once in the plan, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Lower-case, and nothing but letters and numbers of any script."""
     return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", "")

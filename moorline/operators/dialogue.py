@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from moorline import schemas
 from moorline.functions.dialogue import ALIASES, STRINGS, Words, accepted, alias_texts, guessed_mentions, inferred_kb, json_object, located, normalized_action, parsed_turn, rule_action
+from moorline.functions.text import let
 from moorline.options import DEFAULT_KB
 from moorline.sources import model
 
@@ -32,8 +33,9 @@ def modelled(turns: DataFrame, answer_col: str = "answer") -> Column:
     """A model's action from its raw answer; null where turns have none or it is not accepted."""
     if answer_col not in turns.columns:
         return F.lit(None).cast(schemas.ACTION_TYPE)
-    action = normalized_action(json_object(F.col(answer_col)))
-    return F.when(F.col(answer_col).isNotNull() & accepted(action), action).cast(schemas.ACTION_TYPE)
+    said = F.col(answer_col)
+    read = lambda answer: let(normalized_action(json_object(answer)), lambda a: F.when(accepted(a), a))
+    return F.when(said.isNotNull(), read(said)).cast(schemas.ACTION_TYPE)
 
 
 def states(turns: DataFrame, words: Words = Words(), key: str = "conv_id", order: str = "turn", text_col: str = "text", parser: Callable[[Column, Words], Column] = parsed_turn) -> DataFrame:
@@ -49,8 +51,9 @@ def states(turns: DataFrame, words: Words = Words(), key: str = "conv_id", order
     def step(held: Column, turn: Column) -> Column:
         state = held["state"]
         rule = rule_action(turn["said"], state["text"] != "", F.size(state["mentions"]) > 0)
-        action = F.coalesce(turn["model"], rule.cast(schemas.ACTION_TYPE))
-        after = moved(state, action, words)
+        return let(F.coalesce(turn["model"], rule.cast(schemas.ACTION_TYPE)), lambda action: let(moved(state, action, words), lambda after: added(held, turn, action, after)))
+
+    def added(held: Column, turn: Column, action: Column, after: Column) -> Column:
         row = F.struct(turn[order].alias(order), action["action"].alias("action"), action["run_requested"].alias("run"), action["reply"].alias("reply"), action["confidence"].alias("confidence"), F.when(turn["model"].isNotNull(), F.lit("model")).otherwise(F.lit("rules")).alias("route"), after.alias("state"))
         return F.struct(after.alias("state"), F.concat(held["out"], F.array(row)).alias("out"))
 
