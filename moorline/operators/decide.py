@@ -36,8 +36,9 @@ def signed(mentions: DataFrame, options: LinkOptions = LinkOptions()) -> DataFra
 
 
 def signatures(mentions: DataFrame) -> DataFrame:
-    """Each signature once, with the key of what can be found for it (`q`)."""
-    return retrieve.with_key(mentions.select("sig", *SIGNATURE).dropDuplicates(["sig"]))
+    """Each signature once, with the key of what can be found for it (`q`). Grouped by all columns:
+    that is a hash aggregate, and whoever reads some of them reads the same exchange."""
+    return retrieve.with_key(mentions.select("sig", *SIGNATURE).distinct())
 
 
 #: A stage that finds candidates (lists of queries, entities, greatest top_k), and one that scores them (built, prior).

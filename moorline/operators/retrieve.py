@@ -36,7 +36,7 @@ def with_key(rows: DataFrame) -> DataFrame:
 def asked(rows: DataFrame) -> DataFrame:
     """(q, kb_id, queries, top_k), each q once."""
     keyed = rows if "q" in rows.columns else with_key(rows)
-    unique = keyed.select("q", "kb_id", "text", "candidate_aliases", "top_k").dropDuplicates(["q"])
+    unique = keyed.select("q", "kb_id", "text", "candidate_aliases", "top_k").distinct()  # q is a hash of the others
     return unique.select("q", "kb_id", query_texts(F.col("text"), F.col("candidate_aliases")).alias("queries"), "top_k")
 
 

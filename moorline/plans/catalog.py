@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from moorline import schemas
 from moorline.functions import dialogue as talk
 from moorline.functions import text as tx
 from moorline.operators import decide, dialogue, evaluate, prior, rerank, retrieve
@@ -636,6 +638,54 @@ def rule_actions(spark, sf_dir):
     return rows.select("conv_id", "turn", "a.action", "a.kb_id", "a.text", joined("a.mentions").alias("mentions"), "a.run_requested")
 
 
+@query(r"""
+WITH said AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w FROM conversations),
+turns AS (
+  SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '实体是 ' || w[1] || '、' || coalesce(w[2], '') WHEN 1 THEN text || chr(10) || 'MENTIONS: ' || w[1] || '；' || coalesce(w[2], '')
+      WHEN 2 THEN 'see 《' || w[1] || '》 and “' || coalesce(w[2], '') || '” or "' || w[1] || '"' ELSE 'mention ' || w[1] || '和' || coalesce(w[2], '') || '.' END AS u FROM said),
+found AS (
+  SELECT *, CASE WHEN regexp_matches(u, '(?i)(?:实体|mention|mentions|指称)[是为:：]\s*[^\n]+\n?$') THEN regexp_extract(u, '(?i)(?:实体|mention|mentions|指称)[是为:：]\s*([^\n]+)\n?$', 1)
+      WHEN regexp_matches(u, '(?i)(?:实体|mention|mentions|指称)\s+[^\n]+\n?$') THEN regexp_extract(u, '(?i)(?:实体|mention|mentions|指称)\s+([^\n]+)\n?$', 1) ELSE '' END AS clause,
+    list_transform(regexp_extract_all(u, '《[^\n]+?》|“[^\n]+?”|"[^\n]+?"'), lambda x: x[2:-2]) AS quoted FROM turns)
+SELECT conv_id, turn, array_to_string(list_filter(list_transform(string_split(translate(clause, '，、；;和', ',,,,,'), ','), lambda x: regexp_replace(regexp_replace(x, '^[ 　。.!！?？]+', ''), '[ 　。.!！?？]+$', '')), lambda x: x != ''), '|') AS mentions,
+  array_to_string(list_filter(quoted, lambda x, i: list_position(quoted, x) = i)[1:5], '|') AS guessed, NOT contains(lower(u), 'mention') AND NOT contains(lower(u), 'run') AND length(u) >= 4 AS plain FROM found""")
+def turn_patterns(spark, sf_dir):
+    """Mentions behind labels, quoted names, and whether a turn is a plain text."""
+    w, turn = F.split("text", " "), F.col("turn") % 4
+    one, two = F.get(w, F.lit(0)), F.coalesce(F.get(w, F.lit(1)), F.lit(""))
+    u = (
+        F.when(turn == 0, F.concat(F.lit("实体是 "), one, F.lit("、"), two))
+        .when(turn == 1, F.concat("text", F.lit("\nMENTIONS: "), one, F.lit("；"), two))
+        .when(turn == 2, F.concat(F.lit("see 《"), one, F.lit("》 and “"), two, F.lit("” or \""), one, F.lit("\"")))
+        .otherwise(F.concat(F.lit("mention "), one, F.lit("和"), two, F.lit(".")))
+    )
+    rows = testdata.table(spark, sf_dir, "conversations").select("conv_id", "turn", u.alias("u"))
+    return rows.select("conv_id", "turn", joined(talk.extracted_mentions(F.col("u"))).alias("mentions"), joined(talk.guessed_mentions(F.col("u"))).alias("guessed"), talk.plain_text(F.col("u"), WORDS).alias("plain"))
+
+
+@query(with_parts("""
+SELECT conv_id, turn, CASE WHEN errors > 0 THEN 'invalid_input' WHEN bare THEN 'empty_candidates' ELSE 'resolved' END AS route, CASE WHEN errors > 0 THEN 'unloaded' ELSE 'inline' END AS kb_version, CASE WHEN errors > 0 THEN 0 ELSE 1 END AS n_results,
+  CASE WHEN errors = 0 AND NOT bare THEN 'own:' || role END AS linked FROM judged""", """
+judged AS (
+  SELECT conv_id, turn, role, CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN conv_id % 7 = 0 THEN 1 ELSE 0 END AS errors, conv_id % 4 = 0 AS bare FROM conversations)"""))
+def inline_requests(spark, sf_dir):
+    """Requests that bring bases of their own, some invalid, some with an empty base."""
+    kind = T.StructType.fromDDL(schemas.REQUEST)
+    rows = testdata.table(spark, sf_dir, "conversations")
+    none = F.lit(None).cast("string")
+    mention = F.struct(F.lit("m").alias("mention_id"), F.upper("role").alias("text"), F.lit(0).alias("start"), F.lit(1).alias("end"), none.alias("entity_type"), none.alias("sentence"), F.array().cast("array<string>").alias("candidate_aliases"), F.lit(False).alias("coreference_hint"))
+    entity = F.struct(F.concat(F.lit("own:"), F.col("role")).alias("entity_id"), F.col("role").alias("canonical_name"), F.array().cast("array<string>").alias("aliases"), F.lit("t").alias("entity_type"), F.array().cast("array<string>").alias("keywords"), none.alias("metadata"))
+    some = lambda test, x: F.when(test, F.slice(x, 1, 0)).otherwise(x)
+    requests = rows.select(
+        F.concat_ws(":", "conv_id", "turn").alias("request_id"), none.alias("trace_id"), none.alias("kb_id"), F.when(F.col("turn") % 3 == 0, F.lit(" ")).otherwise(F.lit("a text")).alias("text"), some(F.col("conv_id") % 5 == 0, F.array(mention)).alias("mentions"),
+        F.struct(F.when(F.col("conv_id") % 7 == 0, F.lit(0)).otherwise(F.lit(3)).alias("top_k"), F.lit(None).cast("double").alias("nil_threshold"), F.lit(None).cast("double").alias("ambiguity_margin")).alias("options"),
+        F.struct(F.lit("own").alias("kb_id"), some(F.col("conv_id") % 4 == 0, F.array(entity)).alias("entities")).alias("inline_kb"),
+    ).select(*[F.col(f.name).cast(f.dataType) for f in kind.fields])
+    responses = decide.respond(requests, testdata.lines_kb(spark, sf_dir), OPTIONS)
+    ids = F.split("request_id", ":")
+    return responses.select(F.get(ids, F.lit(0)).cast("long").alias("conv_id"), F.get(ids, F.lit(1)).cast("long").alias("turn"), F.col("route_decision").alias("route"), "kb_version", F.size("results").alias("n_results"), F.get("results", F.lit(0))["linked_entity_id"].alias("linked"))
+
+
 STATES = """
 steps AS (SELECT t.*, w, (turn + conv_id) % 5 = 0 AND turn % 2 = 0 AND w != '' AS model, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM turns t JOIN (SELECT conv_id, turn, w FROM said) USING (conv_id, turn)),
 acts AS (

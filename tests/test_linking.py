@@ -434,3 +434,14 @@ def test_long_documents_fold_in_linear_time(spark, entities):
             sources += 1
         held.append((f"m{k}", r.entity_type or "", r.linked_entity_id, r.confidence))
     assert sources >= n // 2 - 4
+
+
+def test_counts_of_a_stream_add_up_to_one_training(spark, tmp_path):
+    rows = [(f"Name {k % 5}", f"e{k % 7}" if k % 4 else "NIL", k) for k in range(200)]
+    labelled = spark.createDataFrame(rows, "text string, gold_kb_id string, k int")
+    for half in (0, 1):
+        labelled.filter(F.col("k") % 2 == half).drop("k").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(labelled.drop("k").schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    prior.count_stream(source, f"{tmp_path}/counts", f"{tmp_path}/c").awaitTermination()
+    rows_of = lambda f: sorted(map(tuple, f.collect()))
+    assert rows_of(prior.learnt(spark, f"{tmp_path}/counts")) == rows_of(prior.train(labelled)) and len({r[0] for r in rows}) == 5
