@@ -92,7 +92,9 @@ def fuzzy(lists: DataFrame, entities: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x["q"] for x in row["lists"]], pa.string()), pa.array([x["keep"] for x in row["lists"]], pa.int32()), pa.array(found, kind)], names=["q", "keep", "found"])
 
     # As many rows a base as partitions at most: Spark broadcasts bases that are small and splits skewed ones.
-    parted = dealt.join(beside, "kb_id").select("lists", "names").mapInArrow(search, f"q string, keep int, found {FOUND}").filter(F.size("found") > 0)
+    # Dealt by part: few bytes, but long to search, so they are not left to be packed into a few tasks.
+    met = dealt.join(beside, "kb_id").repartitionById(parts, F.col("part").cast("int"))
+    parted = met.select("lists", "names").mapInArrow(search, f"q string, keep int, found {FOUND}").filter(F.size("found") > 0)
     every = F.flatten(F.collect_list("found"))
     ranked = F.array_sort(F.transform(every, lambda x: F.struct((-round_binary(clamp(x["similarity"]), 3)).alias("rank"), x["entity_ord"].alias("entity_ord"), x.alias("c"))))
     merged = parted.groupBy("q").agg(F.max("keep").alias("keep"), ranked.alias("found"))
@@ -136,8 +138,10 @@ def build(found: DataFrame, signatures: DataFrame, entities: DataFrame, prior: D
     facts = known(found, asked(signatures), entities, prior)
     named = signatures.select("sig", "q", "top_k", F.col("entity_type").alias("mention_type"), "context", han_characters(F.col("context")).alias("characters"))
     # Arrays are short to move and long to score: they are dealt evenly before they are exploded, by the
-    # key that ranking and decisions go by, so that scored rows move no more.
-    wanted = named.join(facts, "q").repartition("sig").withColumn("retrieved", F.size("found"))
+    # key that ranking and decisions go by, so that scored rows move no more. The number is fixed: by
+    # their bytes they would be packed into a few tasks, and a key is one row, so none is skewed.
+    parts = int(signatures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = named.join(facts, "q").repartition(parts, "sig").withColumn("retrieved", F.size("found"))
     single = wanted.select("sig", "top_k", "mention_type", "context", "characters", "retrieved", F.inline("found"))
     aligned = F.coalesce((F.col("mention_type") != "") & (F.col("mention_type") == F.col("entity_type")), F.lit(False))
     return single.withColumns({"type_aligned": aligned, "reasons": F.array_compact(F.array("kind", F.when(aligned, F.lit("entity_type_aligned"))))})
