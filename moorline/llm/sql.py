@@ -59,7 +59,24 @@ reach(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM
 SELECT e.vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(r.v) AS component_id, e.vec_id = min(r.v) AS kept
 FROM embeddings e LEFT JOIN degree USING (vec_id) JOIN reach r ON r.u = e.vec_id GROUP BY e.vec_id"""
 
-ORACLE_SQL = {"op4_ngram_join": NGRAM_JOIN_SQL, "op5_url_filter": url_filter_sql(), "op8_embedding_dedup": EMBEDDING_DEDUP_SQL}
+#: Texts in hex, two letters a byte; the windows of 100 bytes one by one.
+SUFFIX_DEDUP_SQL = """
+WITH bytes AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM bytes)),
+repeats AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, p) > 1),
+marked AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1) AS starts FROM repeats),
+numbered AS (SELECT doc_id, p, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM marked),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM numbered GROUP BY doc_id, span),
+pieces AS (
+  SELECT doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0))) AS before
+  FROM spans JOIN bytes USING (doc_id)),
+cut AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS k, max(b) AS behind, string_agg(before, '' ORDER BY a) AS kept FROM pieces GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(behind, 0) + 1))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)"""
+
+ORACLE_SQL = {"op4_ngram_join": NGRAM_JOIN_SQL, "op5_url_filter": url_filter_sql(), "op7_suffix_dedup": SUFFIX_DEDUP_SQL, "op8_embedding_dedup": EMBEDDING_DEDUP_SQL}
 
 
 def sharding_sql(shards: int, seed: int) -> str:
