@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.common import discard, opened, shared_folder, stored, whole_ids, width
@@ -117,6 +117,11 @@ def usable(embedding: str):
     return F.coalesce(F.col(embedding).isNotNull() & (F.size(embedding) > 0) & ~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def digest(vector: str) -> Column:
+    """SHA-256 of a vector's components, written so that equal ones (0 and -0 too) are written alike."""
+    return F.unhex(F.sha2(F.to_json(F.transform(vector, lambda x: x + F.lit(0.0))), 256))
+
+
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of table.
 
@@ -173,8 +178,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     sums = tiles.groupBy("id").agg(F.sum("links").alias("links"))
     comps = components(tiles.select(F.col("id").alias("u"), F.col("label").alias("v")), f"{folder}/components")
     facts = points.join(sums, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    facts = facts.select("v", "id", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
-    met = good.join(facts, "v").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("component").alias("component_id"))
+    facts = facts.select(digest("v").alias("digest"), "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))
+    # Vectors move once, when equal ones are grouped; here their digests do.
+    met = good.select("vec_id", digest("v").alias("digest")).join(facts, "digest").select("vec_id", (F.col("links") + F.col("weight") - 1).alias("n_links"), F.col("component").alias("component_id"))
     # Vectors that link with nothing, and rows without an id, take no part in the join.
     rest = rows.filter(~(usable("v") & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return met.unionByName(rest).withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
