@@ -6,9 +6,9 @@ bins of its own, the same for all documents, and takes the value of the first of
 empty. The low BITS bits of each bin are packed. Two documents' share of equal bins, corrected for
 values that agree by chance, estimates the likeness of their sets.
 
-Neighbours in doc_id order come from ranges of (doc_id, hash of the text), so that rows of one doc_id
-spread as well: the greatest document of a range goes to the next range too, no range has to wait for
-another and no row passes through one task.
+Neighbours in doc_id order lie in Spark's ranges of (doc_id, hash of the text), so that rows of one
+doc_id spread as well. A range keeps the texts of its two ends; the last document of each then meets
+the first of the next range by a join.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from moorline.llm.common import sized, whole_ids, width
+from moorline.llm.common import shared_folder, sized, stored, whole_ids, width
 from moorline.llm.shingles import mix, shingle_hashes
 
 WORDS = 5
@@ -64,24 +65,34 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
     return np.where(some_a & some_b, out, np.where(some_a | some_b, 0.0, 1.0))
 
 
-def decision(bounds: list[tuple[int, int]], lo: int = 0) -> Column:
-    """Number of bounds <= (_key, _tie), as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(lo)
-    mid = len(bounds) // 2
-    key, tie = bounds[mid]
-    below = (F.col("_key") < key) | ((F.col("_key") == key) & (F.col("_tie") < tie))
-    return F.when(below, decision(bounds[:mid], lo)).otherwise(decision(bounds[mid + 1 :], lo + mid + 1))
+Row = tuple[object, str, np.ndarray, bool]  # doc_id, text, its low-order bytes, whether it has words
+ANSWER = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def bounds_of(quantiles: list[int]) -> list[tuple[int, int]]:
-    """Bounds (key, tie) from quantiles of the key; one that fills several ranges is cut by its ties,
-    which are hashes and so even."""
-    out = []
-    for key in sorted(set(quantiles)):
-        times = quantiles.count(key)
-        out += [(key, LEAST + k * ((1 << 64) // times)) for k in range(times)]
-    return out
+def rows_of(ids: list, texts: list[str]) -> list[Row]:
+    raw = [t.encode() for t in texts]
+    return list(zip(ids, texts, fingerprints(raw), [bool(r.strip(b"\t\n\x0b\x0c\r ")) for r in raw]))
+
+
+def answers(pairs: list[tuple[Row, Row]], kind: pa.DataType) -> dict[str, pa.Array]:
+    """The columns of ANSWER for documents and their next ones."""
+    edited = []
+    for (_, text, *_), (_, following, *_) in pairs:
+        half = len(text) // 2
+        edited.append(text[: len(text) - half] + following[:half])
+    first, second, new = [p[0] for p in pairs], [p[1] for p in pairs], rows_of([None] * len(pairs), edited)
+    bits = lambda rows: np.array([r[2] for r in rows]).reshape(-1, BINS)
+    some = lambda rows: np.array([r[3] for r in rows], bool)
+    packed = lambda rows: pa.array([r[2].tobytes() if r[3] else b"" for r in rows], pa.binary())
+    return {
+        "doc_id": pa.array([r[0] for r in first], kind),
+        "n_chars": pa.array([len(r[1]) for r in first], pa.int64()),
+        "edited_sha256": pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited], pa.string()),
+        "fingerprint": packed(first),
+        "edited_fingerprint": packed(new),
+        "near_edited": pa.array(likeness(bits(first), bits(new), some(first), some(new)), pa.float64()),
+        "near_next": pa.array(likeness(bits(first), bits(second), some(first), some(second)), pa.float64()),
+    }
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -96,64 +107,45 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     whole_ids(docs, "doc_id")
     key, text = F.coalesce(F.col("doc_id"), F.lit(LEAST)), F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), key.alias("_key"), F.xxhash64(text).alias("_tie"))
-    ranges = 4 * width(spark)
-    shares = [i / ranges for i in range(1, ranges)]
-    found = docs.agg(F.percentile_approx(key, F.array(*map(F.lit, shares)), 100 * ranges).alias("b")).first()["b"]
-    group = decision(bounds_of(found or []))
-    # A row for each range: bounded by the number of ranges.
-    greatest = {r["g"]: tuple(r["m"]) for r in rows.groupBy(group.alias("g")).agg(F.max(F.struct("_key", "_tie")).alias("m")).collect()}
-    order = sorted(greatest)
-    follower = {g: order[(k + 1) % len(order)] for k, g in enumerate(order)}
-    own = F.struct(group.alias("g"), F.lit(0).alias("copy"))
-    if order:
-        lead = F.create_map(*[F.lit(x) for g in order for x in (f"{greatest[g][0]}:{greatest[g][1]}", follower[g])])
-        name = F.concat_ws(":", "_key", "_tie")
-        also = F.struct(F.try_element_at(lead, name).alias("g"), F.lit(1).alias("copy"))
-        places = F.when(F.col("_key").isin(sorted({greatest[g][0] for g in order})) & F.try_element_at(lead, name).isNotNull(), F.array(own, also)).otherwise(F.array(own))
-    else:
-        places = F.array(own)
-    dealt = rows.withColumn("_place", F.explode(places)).select("doc_id", "text", "_key", "_tie", "_place.g", "_place.copy")
-    dealt = dealt.repartition(2 * width(spark), "g").sortWithinPartitions("g", "copy", F.desc("_key"), F.desc("_tie"))
+    order = [F.desc("_key"), F.desc("_tie")]
+    dealt = rows.repartitionByRange(4 * width(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shape = ANSWER.format(kind=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row whose next one is yet to come
+        part = TaskContext.get().partitionId()
+        before: Row | None = None  # the last row, whose next one is yet to come
+
+        def edge(row: Row, last: bool) -> pa.RecordBatch:
+            told = {name: pa.nulls(1, column.type) for name, column in answers([], ids.type).items()}
+            return pa.RecordBatch.from_pydict(told | {"doc_id": pa.array([row[0]], ids.type), "part": pa.array([part], pa.int32()), "last": [last], "text": [row[1]]})
+
+        for batch in sized(batches, "text", 1 << 20):
+            ids = batch.column("doc_id")
+            chain = rows_of(ids.to_pylist(), batch.column("text").to_pylist())
+            if before is None:
+                yield edge(chain[0], False)
+            else:
+                chain.insert(0, before)
+            before = chain[-1]
+            n = len(chain) - 1
+            inside = {"part": pa.nulls(n, pa.int32()), "last": pa.nulls(n, pa.bool_()), "text": pa.nulls(n, pa.string())}
+            yield pa.RecordBatch.from_pydict(answers(list(zip(chain, chain[1:])), ids.type) | inside)
+        if before is not None:
+            yield edge(before, True)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized(batches, "text", 1 << 20):
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "g", "copy")]
-            texts = columns[1]
-            raw = [t.encode() for t in texts]
-            prints = fingerprints(raw)
-            some = np.array([bool(r.strip(b"\t\n\x0b\x0c\r ")) for r in raw])
-            rows = list(zip(*columns, prints, some))
-            pairs = []
-            for row in rows:
-                if held is not None and held[2] == row[2]:
-                    pairs.append((held, row))
-                    held = None
-                if not row[3]:
-                    held = row
-            if not pairs:
-                continue
-            edited = []
-            for (_, t, *_), (_, following, *_) in pairs:
-                half = len(t) // 2
-                edited.append((t[: len(t) - half] + following[:half]).encode())
-            new = fingerprints(edited)
-            new_some = np.array([bool(e.strip(b"\t\n\x0b\x0c\r ")) for e in edited])
-            a = np.array([p[0][4] for p in pairs])
-            some_a = np.array([p[0][5] for p in pairs])
-            b = np.array([p[1][4] for p in pairs])
-            some_b = np.array([p[1][5] for p in pairs])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array([p[0][0] for p in pairs], batch.column("doc_id").type),
-                    "n_chars": pa.array([len(p[0][1]) for p in pairs], pa.int64()),
-                    "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-                    "fingerprint": [x.tobytes().hex() if s else "" for x, s in zip(a, some_a)],
-                    "edited_fingerprint": [x.tobytes().hex() if s else "" for x, s in zip(new, new_some)],
-                    "near_edited": likeness(a, new, some_a, new_some),
-                    "near_next": likeness(a, b, some_a, some_b),
-                }
-            )
-
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            ids, texts, following = (batch.column(c) for c in ("doc_id", "text", "following"))
+            pairs = zip(rows_of(ids.to_pylist(), texts.to_pylist()), rows_of([None] * len(ids), following.to_pylist()))
+            yield pa.RecordBatch.from_pydict(answers(list(pairs), ids.type))
+
+    # Stored once, so that ranges are never drawn anew; texts only where a range begins and ends.
+    table = stored(dealt.mapInArrow(run, f"{shape}, part int, last boolean, text string"), shared_folder(spark), "pairs")
+    first, last = (table.filter(F.col("last") == end) for end in (False, True))
+    # A number for each range that has rows: the range behind it, and the first behind the last.
+    numbers = last.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("then"))
+    open_ends = last.select("doc_id", "text", "part").join(numbers, "part").join(first.select(F.col("part").alias("then"), F.col("text").alias("following")), "then")
+    rest = open_ends.select("doc_id", "text", "following").mapInArrow(settle, shape)
+    whole = table.filter("last is null").drop("part", "last", "text").unionByName(rest)
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
