@@ -7,8 +7,8 @@ empty. The low BITS bits of each bin are packed. Two documents' share of equal b
 values that agree by chance, estimates the likeness of their sets.
 
 Neighbours in doc_id order lie in Spark's ranges of (doc_id, hash of the text), so that rows of one
-doc_id spread as well. A range keeps the texts of its two ends; the last document of each then meets
-the first of the next range by a join.
+doc_id spread as well: the greatest document of a range goes to the next range too, no range has to
+wait for another and no row passes through one task. What the driver holds is a pair of numbers a range.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moorline.llm.common import shared_folder, sized, stored, whole_ids, width
@@ -66,7 +65,7 @@ def likeness(a: np.ndarray, b: np.ndarray, some_a: np.ndarray, some_b: np.ndarra
 
 
 Row = tuple[object, str, np.ndarray, bool]  # doc_id, text, its low-order bytes, whether it has words
-ANSWER = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+ANSWER = "doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def rows_of(ids: list, texts: list[str]) -> list[Row]:
@@ -83,7 +82,7 @@ def answers(pairs: list[tuple[Row, Row]], kind: pa.DataType) -> dict[str, pa.Arr
     first, second, new = [p[0] for p in pairs], [p[1] for p in pairs], rows_of([None] * len(pairs), edited)
     bits = lambda rows: np.array([r[2] for r in rows]).reshape(-1, BINS)
     some = lambda rows: np.array([r[3] for r in rows], bool)
-    packed = lambda rows: pa.array([r[2].tobytes() if r[3] else b"" for r in rows], pa.binary())
+    packed = lambda rows: pa.array([r[2].tobytes().hex() if r[3] else "" for r in rows], pa.string())
     return {
         "doc_id": pa.array([r[0] for r in first], kind),
         "n_chars": pa.array([len(r[1]) for r in first], pa.int64()),
@@ -95,6 +94,17 @@ def answers(pairs: list[tuple[Row, Row]], kind: pa.DataType) -> dict[str, pa.Arr
     }
 
 
+def places(top_keys: np.ndarray, top_ties: np.ndarray, keys: np.ndarray, ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The range of each (key, tie), ranges being told by their greatest ones in order, and whether it is that greatest one."""
+    of = np.searchsorted(top_keys, keys, "left")
+    behind = np.searchsorted(top_keys, keys, "right")
+    for key in np.unique(keys[of < behind]):  # keys at which ranges end, or that fill several
+        rows = np.flatnonzero(keys == key)
+        a, b = of[rows[0]], behind[rows[0]]
+        of[rows] = a + np.searchsorted(top_ties[a:b], ties[rows], "left")
+    return of, (top_keys[of] == keys) & (top_ties[of] == ties)
+
+
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
@@ -107,45 +117,37 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     whole_ids(docs, "doc_id")
     key, text = F.coalesce(F.col("doc_id"), F.lit(LEAST)), F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), key.alias("_key"), F.xxhash64(text).alias("_tie"))
-    order = [F.desc("_key"), F.desc("_tie")]
-    dealt = rows.repartitionByRange(4 * width(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
+    names = ("_key", "_tie")
+    # Spark's own ranges of the keys alone, and of each its greatest: a row a partition. Kept once, so
+    # that no retry draws others.
+    drawn = rows.select(*names).repartitionByRange(4 * width(spark), *names)
+    tops = stored(drawn.groupBy(F.spark_partition_id().alias("part")).agg(F.max(F.struct(*names)).alias("top")).select("top.*"), shared_folder(spark), "ranges")
+    greatest = tops.orderBy(*names).toPandas()
+    bounds = spark.sparkContext.broadcast((greatest["_key"].to_numpy(np.int64), greatest["_tie"].to_numpy(np.int64)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = ANSWER.format(kind=kind)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        before: Row | None = None  # the last row, whose next one is yet to come
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ties = (batch.column(c).to_numpy() for c in names)
+            of, end = places(*bounds.value, keys, ties)
+            again = np.flatnonzero(end)  # the greatest of a range goes behind the least of the next one
+            for rows, ranges, copy in ((batch, of, 0), (batch.take(again), (of[again] + 1) % len(bounds.value[0]), 1)):
+                if rows.num_rows:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(ranges, pa.int32()), pa.array(np.full(rows.num_rows, copy), pa.int32())], names=["doc_id", "text", *names, "g", "copy"])
 
-        def edge(row: Row, last: bool) -> pa.RecordBatch:
-            told = {name: pa.nulls(1, column.type) for name, column in answers([], ids.type).items()}
-            return pa.RecordBatch.from_pydict(told | {"doc_id": pa.array([row[0]], ids.type), "part": pa.array([part], pa.int32()), "last": [last], "text": [row[1]]})
+    dealt = rows.mapInArrow(deal, f"doc_id {kind}, text string, _key long, _tie long, g int, copy int")
+    dealt = dealt.repartitionById(max(len(greatest), 1), F.col("g")).sortWithinPartitions("copy", F.desc("_key"), F.desc("_tie")).select("doc_id", "text", "copy")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: Row | None = None  # the last row, whose next one is yet to come
         for batch in sized(batches, "text", 1 << 20):
             ids = batch.column("doc_id")
-            chain = rows_of(ids.to_pylist(), batch.column("text").to_pylist())
-            if before is None:
-                yield edge(chain[0], False)
-            else:
-                chain.insert(0, before)
-            before = chain[-1]
-            n = len(chain) - 1
-            inside = {"part": pa.nulls(n, pa.int32()), "last": pa.nulls(n, pa.bool_()), "text": pa.nulls(n, pa.string())}
-            yield pa.RecordBatch.from_pydict(answers(list(zip(chain, chain[1:])), ids.type) | inside)
-        if before is not None:
-            yield edge(before, True)
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sized(batches, "text", 1 << 20):
-            ids, texts, following = (batch.column(c) for c in ("doc_id", "text", "following"))
-            pairs = zip(rows_of(ids.to_pylist(), texts.to_pylist()), rows_of([None] * len(ids), following.to_pylist()))
-            yield pa.RecordBatch.from_pydict(answers(list(pairs), ids.type))
-
-    # Stored once, so that ranges are never drawn anew; texts only where a range begins and ends.
-    table = stored(dealt.mapInArrow(run, f"{shape}, part int, last boolean, text string"), shared_folder(spark), "pairs")
-    first, last = (table.filter(F.col("last") == end) for end in (False, True))
-    # A number for each range that has rows: the range behind it, and the first behind the last.
-    numbers = last.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("then"))
-    open_ends = last.select("doc_id", "text", "part").join(numbers, "part").join(first.select(F.col("part").alias("then"), F.col("text").alias("following")), "then")
-    rest = open_ends.select("doc_id", "text", "following").mapInArrow(settle, shape)
-    whole = table.filter("last is null").drop("part", "last", "text").unionByName(rest)
-    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+            pairs = []
+            for row, copy in zip(rows_of(ids.to_pylist(), batch.column("text").to_pylist()), batch.column("copy").to_pylist()):
+                if before is not None:
+                    pairs.append((before, row))
+                before = None if copy else row
+            if pairs:
+                yield pa.RecordBatch.from_pydict(answers(pairs, ids.type))
+
+    return dealt.mapInArrow(run, ANSWER.format(kind=kind))

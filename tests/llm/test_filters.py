@@ -257,6 +257,16 @@ def test_fingerprints_of_a_repeated_id_spread(spark):
     assert got == want
 
 
+def test_ranges_by_their_greatest_rows():
+    import numpy as np
+
+    tops = [(-5, 3), (2, -7), (2, 0), (2, 9), (4, 1), (8, 0)]
+    rows = [(k, t) for k in range(-6, 9) for t in range(-9, 11) if (k, t) <= tops[-1]]
+    of, end = fingerprints.places(*np.array(tops).T, *np.array(rows).T)
+    assert of.tolist() == [min(i for i, top in enumerate(tops) if top >= row) for row in rows]
+    assert [row for row, e in zip(rows, end) if e] == tops
+
+
 def test_fingerprint_edges(spark):
     lone = fingerprints.fingerprint_pairs(spark.createDataFrame([(4, "a b c d e f")], "doc_id long, text string")).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
