@@ -410,6 +410,16 @@ def trace_roundtrip(spark, sf_dir):
     return files.read_traces(spark, path).select("trace_id", "route")
 
 
+@query(with_parts("SELECT 't10-' || request_id AS trace_id, mention_count, candidate_count, empty_mentions FROM counts", *MATCHED, COUNTS))
+def stored_events(spark, sf_dir):
+    """What retrieval gave, from the variant details of the events table."""
+    path = f"{shared_folder(spark)}/events"
+    files.write_events(decide.respond(order_requests(spark, sf_dir), testdata.catalog_kb(spark, sf_dir), OPTIONS).select("trace_id", "node_events"), path)
+    part = lambda name, kind: F.variant_get("detail", f"$.{name}", kind)
+    rows = files.read_events(spark, path, "generate_candidates")
+    return rows.select("trace_id", part("mention_count", "int").alias("mention_count"), part("candidate_count", "long").alias("candidate_count"), F.array_join(part("empty_mentions", "array<string>"), "|").alias("empty_mentions"))
+
+
 # -- priors and metrics -------------------------------------------------------------------------
 
 PRIOR_SQL = f"""

@@ -99,6 +99,30 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).drop("batch")
 
 
+SHREDDING = "spark.sql.variant.inferShreddingSchema"
+
+
+def write_events(responses: DataFrame, path: str) -> None:
+    """Add the stages of responses to the table at path: a row a stage that ran (trace_id, number,
+    detail), by day and node. Details are variants; a node's are alike, so that Spark shreds them into
+    columns of their own and whoever asks for a field reads that field."""
+    spark, day = responses.sparkSession, F.regexp_extract("trace_id", r"-(\d{8})\d{6}-", 1)
+    single = responses.select("trace_id", F.when(day != "", day).alias("day"), F.posexplode("node_events").alias("number", "e"))
+    rows = single.select("trace_id", "number", F.parse_json("e.detail").alias("detail"), "day", F.col("e.node").alias("node"))
+    before = spark.conf.get(SHREDDING, None)
+    spark.conf.set(SHREDDING, "true")
+    try:
+        rows.write.partitionBy("day", "node").mode("append").parquet(path)
+    finally:
+        spark.conf.unset(SHREDDING) if before is None else spark.conf.set(SHREDDING, before)
+
+
+def read_events(spark: SparkSession, path: str, node: str | None = None) -> DataFrame:
+    """(trace_id, node, number, detail): all stages, or those of one node, whose files alone are read."""
+    rows = spark.read.schema("trace_id string, number int, detail variant, day string, node string").parquet(path)
+    return (rows if node is None else rows.filter(F.col("node") == node)).select("trace_id", "node", "number", "detail")
+
+
 class TraceNotFound(FileNotFoundError):
     pass
 

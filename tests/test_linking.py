@@ -445,3 +445,22 @@ def test_counts_of_a_stream_add_up_to_one_training(spark, tmp_path):
     prior.count_stream(source, f"{tmp_path}/counts", f"{tmp_path}/c").awaitTermination()
     rows_of = lambda f: sorted(map(tuple, f.collect()))
     assert rows_of(prior.learnt(spark, f"{tmp_path}/counts")) == rows_of(prior.train(labelled)) and len({r[0] for r in rows}) == 5
+
+
+def test_events_are_shredded_variants(spark, tmp_path):
+    """A field of one node's details is a column of its own in that node's files, and only it is read."""
+    import pyarrow.parquet as pq
+
+    rows = [(f"t10-20240101000000-{i}", [("load_kb", f'{{"kb_id":"b","entity_count":{i}}}'), ("build_response", '{"total_mentions":1,"route_decision":"resolved"}')]) for i in range(200)]
+    rows.append(("undated", [("load_kb", '{"kb_id":"b","entity_count":7}'), ("validate_input", None)]))
+    frame = spark.createDataFrame(rows, "trace_id string, node_events array<struct<node:string,detail:string>>")
+    files.write_events(frame, f"{tmp_path}/events")
+    assert files.read_events(spark, f"{tmp_path}/events").count() == 402
+    loaded = files.read_events(spark, f"{tmp_path}/events", "load_kb")
+    count = F.variant_get("detail", "$.entity_count", "long")
+    assert loaded.select(F.sum(count)).first()[0] == sum(range(200)) + 7
+    plan = loaded.select("trace_id", count.alias("n"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(node" in plan
+    written = [p for p in (tmp_path / "events").rglob("*.parquet") if "node=load_kb" in str(p) and "day=20240101" in str(p)]
+    assert written and all("typed_value" in str(pq.ParquetFile(p).schema) for p in written)
+    assert [r.detail for r in files.read_events(spark, f"{tmp_path}/events", "validate_input").collect()] == [None]
