@@ -48,12 +48,15 @@ def top(rescored: DataFrame, most_k: int) -> DataFrame:
     return slim.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most_k).filter(F.col("rank") <= F.col("top_k")).select("sig", "retrieved", *FIELDS)
 
 
+WHOSE = ("sig", "mark", "asks")
+
+
 def margins(ranked: DataFrame) -> DataFrame:
-    """(sig, top1, top2, margin): the two best scores of each signature; a single one has no margin."""
+    """(WHOSE, top1, top2, margin): the two best scores of each signature; a single one has no margin."""
     best = lambda k: F.max(F.when(F.col("rank") == k, F.col("score")))
-    return ranked.groupBy("sig").agg(best(1).alias("top1"), best(2).alias("top2")).withColumn("margin", F.col("top1") - F.col("top2"))
+    return ranked.groupBy(*WHOSE).agg(best(1).alias("top1"), best(2).alias("top2")).withColumn("margin", F.col("top1") - F.col("top2"))
 
 
 def collected(ranked: DataFrame) -> DataFrame:
-    """(sig, candidates, retrieved): at most top_k structs in rank order, and how many there were."""
-    return ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("candidates"), F.max("retrieved").cast("long").alias("retrieved"))
+    """(WHOSE, candidates, retrieved): at most top_k structs in rank order, and how many there were."""
+    return ranked.groupBy(*WHOSE).agg(F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("candidates"), F.max("retrieved").cast("long").alias("retrieved"))

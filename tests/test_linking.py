@@ -18,8 +18,10 @@ from moorline.functions import text as tx
 from moorline.functions.similarity import AliasMatcher
 from moorline.operators import decide, prior, retrieve
 from moorline.options import LinkOptions, Settings
+from moorline.plans import catalog
 from moorline.sources import ccks, files, kb
 from moorline.streaming.link import link_stream
+from tests.conftest import SMALL
 
 ENTITIES = [
     ("base", "1", 0, "org:sgcc", "国家电网有限公司", ["国家电网", "国网", "国网公司"], "organization", ["电网", "配电", "输电", "供电", "数字化"]),
@@ -464,3 +466,12 @@ def test_events_are_shredded_variants(spark, tmp_path):
     written = [p for p in (tmp_path / "events").rglob("*.parquet") if "node=load_kb" in str(p) and "day=20240101" in str(p)]
     assert written and all("typed_value" in str(pq.ParquetFile(p).schema) for p in written)
     assert [r.detail for r in files.read_events(spark, f"{tmp_path}/events", "validate_input").collect()] == [None]
+
+
+def test_marks_that_collide(spark, monkeypatch):
+    """Signatures that share a mark are told apart by their columns, nulls included."""
+    before = {r.mention_id: r for r in catalog.link_decisions(spark, SMALL).collect()}
+    monkeypatch.setattr(retrieve, "mark", lambda *columns: F.length("text").cast("long"))
+    assert {r.mention_id: r for r in catalog.link_decisions(spark, SMALL).collect()} == before
+    monkeypatch.setattr(retrieve, "mark", lambda *columns: F.length("text").cast("long") % 2)
+    assert catalog.unmatched_mentions(spark, SMALL).count() + catalog.exact_candidates(spark, SMALL).count() == len(before)

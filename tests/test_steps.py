@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from moorline.functions import text as tx
 from moorline.operators import decide
 from moorline.plans import catalog, testdata
+from moorline.sources import kb
 from tests.conftest import SMALL
 
 
@@ -27,3 +28,29 @@ def test_reviews_move_no_results(spark):
 def test_han_characters_of_runs(spark):
     row = spark.createDataFrame([("天地x天、玄", "")], "a string, b string").select(tx.han_characters(F.col("a")), tx.han_characters(F.col("b"))).first()
     assert row[0] == ["天", "地", "玄"] and row[1] == []
+
+
+def test_mentions_meet_facts_without_keys(spark):
+    """A cryptographic key is worked out once a signature, never in the job that goes over the mentions."""
+    for name in ("link_decisions", "rescored_candidates"):
+        assert "sha2(" not in plan(catalog.QUERIES[name](spark, SMALL)), name
+
+
+def test_documents_carry_what_is_wanted(spark):
+    of = lambda *wanted: catalog.documents(spark, SMALL, *wanted).schema["results"].dataType.elementType.names
+    assert "rationale" in of("rationale") and not {"rationale", "canonical_name", "text"} & set(of())
+
+
+def test_names_are_normalised_once(spark):
+    base = spark.createDataFrame([("b", 0, "e", "A b", ["a-b", "c", "", "C", None])], "kb_id string, entity_ord long, entity_id string, canonical_name string, aliases array<string>")
+    names = kb.aliases(base)
+    assert [(r.alias_ord, r.alias, r.norm) for r in names.orderBy("alias_ord").collect()] == [(0, "A b", "ab"), (2, "c", "c")]
+    assert plan(names.select("norm")).count("regexp_replace") == 1
+
+
+def test_heirs_are_places(spark):
+    item = "array<struct<type:string,held:boolean,confidence:double,fallible:boolean>>"
+    docs = [([("org", True, 0.9, False), ("", False, 0.0, True), ("org", False, 0.1, True), ("place", False, 0.2, True)],), (None,), ([],), ([("org", False, 0.2, True)],)]
+    got = [r.h for r in spark.createDataFrame(docs, f"items {item}").coalesce(1).select(decide.heirs("items").alias("h")).collect()]
+    assert [None if x is None else (x.before, x.source, x.confidence) for x in got[0]] == [None, (0, 0, 0.75), (1, 0, 0.6), (1, 0, 0.6)]
+    assert got[1] is None and got[2] == [] and got[3] == [None]
