@@ -18,10 +18,8 @@ from moorline.functions import text as tx
 from moorline.functions.similarity import AliasMatcher
 from moorline.operators import decide, prior, retrieve
 from moorline.options import LinkOptions, Settings
-from moorline.plans import catalog
 from moorline.sources import ccks, files, kb
 from moorline.streaming.link import link_stream
-from tests.conftest import SMALL
 
 ENTITIES = [
     ("base", "1", 0, "org:sgcc", "国家电网有限公司", ["国家电网", "国网", "国网公司"], "organization", ["电网", "配电", "输电", "供电", "数字化"]),
@@ -469,9 +467,8 @@ def test_events_are_shredded_variants(spark, tmp_path):
 
 
 def test_marks_that_collide(spark, monkeypatch):
-    """Signatures that share a mark are told apart by their columns, nulls included."""
-    before = {r.mention_id: r for r in catalog.link_decisions(spark, SMALL).collect()}
-    monkeypatch.setattr(retrieve, "mark", lambda *columns: F.length("text").cast("long"))
-    assert {r.mention_id: r for r in catalog.link_decisions(spark, SMALL).collect()} == before
-    monkeypatch.setattr(retrieve, "mark", lambda *columns: F.length("text").cast("long") % 2)
-    assert catalog.unmatched_mentions(spark, SMALL).count() + catalog.exact_candidates(spark, SMALL).count() == len(before)
+    """Rows that share a mark are told apart by their columns, nulls included."""
+    monkeypatch.setattr(retrieve, "mark", lambda *columns: F.length("a").cast("long"))
+    rows = spark.createDataFrame([(1, "x", None), (2, "y", ["x"]), (3, "x", []), (4, "long", None), (5, "x", None)], "n int, a string, b array<string>").coalesce(1)
+    unique = retrieve.marked(rows.select("a", "b").distinct().coalesce(1), ("a", "b")).select("mark", "asks", F.concat_ws("/", "a", F.to_json("b")).alias("fact"))
+    assert {r.n: r.fact for r in retrieve.meet(rows, unique, ("a", "b"), "left").collect()} == {1: "x", 2: 'y/["x"]', 3: "x/[]", 4: "long", 5: "x"}
