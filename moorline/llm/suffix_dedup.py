@@ -18,7 +18,8 @@ Within a block of documents equal stretches are settled before anything is sent,
 third of all documents share is sent once a block. Hashes that more than HOT blocks have are combined
 in parts of the blocks first, so that no task gathers a copy from every block; where such a hash has
 many different stretches still (a common line in ever new surroundings), its windows go on one by
-one, dealt by the hash of all their bytes.
+one, dealt by the hash of all their bytes. If one part deals a hash that way, the stretches that the
+other parts have of it are dealt too, where they meet: its windows all come to the same places.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ GROUP_ROWS = 3000  # stretches whose windows are held at once
 STRETCH = 1 << 20  # a longer text is searched for anchors in stretches
 BUCKET_BYTES = 16 << 20  # bytes of text whose anchors meet in one bucket
 HOT = 32  # blocks; hashes of more are combined in parts first
-SPREAD = 512  # different stretches of a hot hash in one part, beyond which its windows are dealt
+SPREAD = 512  # different stretches of a hot hash in one part, beyond which its windows are dealt in all parts
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -280,7 +281,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield pa.RecordBatch.from_pydict({"blk": [r["blk"] for r in rows], "bucket": pa.array([key[0]] * len(rows), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     def messages(rows: list[tuple]) -> pa.RecordBatch:
-        """Rows (kind, bucket, part, blk, blob): settled (owner, start, end) for a block, stretch and window for a bucket."""
+        """Rows (kind, bucket, part, blk, blob): settled (owner, start, end) for a block; stretch, window
+        and spread (hashes whose windows are dealt) for a bucket."""
         kind, bucket, part, blk, blob = zip(*rows) if rows else ((),) * 5
         return pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.string()), "bucket": pa.array(bucket, pa.int32()), "part": pa.array(part, pa.int32()), "blk": pa.array(blk, pa.string()), "blob": pa.array(blob, pa.binary())})
 
@@ -345,6 +347,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def whole(self, at: np.ndarray) -> list[tuple]:
             return self.settled(at, self.place[at] - self.back[at], self.place[at] - self.ahead[at] + WINDOW)
 
+        def deal(self, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Settle equal windows of the different stretches `at` and send the first ones on, one by one."""
+            repeat, far = repeated_windows(self.h[at], self.back[at], self.ahead[at], self.around[at], self.rank[at])
+            yield messages(self.settled(*covered(self.place, at[repeat], far)))
+            every, distances = all_windows(self.back[at], self.ahead[at])
+            first = ~np.isin(every << 8 | distances, repeat << 8 | far)
+            every, distances = every[first], distances[first]
+            for a in range(0, len(every), 16_000):
+                s, distance = at[every[a : a + 16_000]], distances[a : a + 16_000]
+                text = window_bytes(self.around, s, distance)
+                name = mix((text.astype(np.uint64) * powers(WINDOW)[0]).sum(axis=1, dtype=np.uint64))
+                out = []
+                for k, w in by_bucket(name, buckets):
+                    for b in np.unique(self.sender[s[w]]).tolist():
+                        x = w[self.sender[s[w]] == b]
+                        out.append(("window", k, -1, self.blks[b], pack(name[x], self.ids[s[x]], self.owner[s[x]], self.place[s[x]] - distance[x], text[x].ravel())))
+                yield messages(out)
+
     def combine(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         """Settle equal stretches of hot hashes among a part of the blocks and send the others on."""
         met, again, dealt = Gathered(rows), [], []
@@ -363,35 +383,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield messages(out)
         yield messages(met.whole(np.concatenate(again)))
         at = np.concatenate(dealt)
-        if not len(at):
-            return
-        repeat, far = repeated_windows(met.h[at], met.back[at], met.ahead[at], met.around[at], met.rank[at])
-        yield messages(met.settled(*covered(met.place, at[repeat], far)))
-        every, distances = all_windows(met.back[at], met.ahead[at])
-        first = ~np.isin(every << 8 | distances, repeat << 8 | far)
-        every, distances = every[first], distances[first]
-        for a in range(0, len(every), 16_000):
-            s, distance = at[every[a : a + 16_000]], distances[a : a + 16_000]
-            text = window_bytes(met.around, s, distance)
-            name = mix((text.astype(np.uint64) * powers(WINDOW)[0]).sum(axis=1, dtype=np.uint64))
-            out = []
-            for k, w in by_bucket(name, buckets):
-                for b in np.unique(met.sender[s[w]]).tolist():
-                    x = w[met.sender[s[w]] == b]
-                    out.append(("window", k, -1, met.blks[b], pack(name[x], met.ids[s[x]], met.owner[s[x]], met.place[s[x]] - distance[x], text[x].ravel())))
-            yield messages(out)
+        if len(at):
+            yield messages([("spread", key[0], -1, "", pack(np.unique(met.h[at])))])
+            yield from met.deal(at)
 
     def settle(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Settle stretches; windows of hashes that some part has dealt go where the other windows went."""
+        spread = np.concatenate([np.zeros(0, np.uint64), *(unpack(r["blob"])[0] for r in rows if r["kind"] == "spread")])
+        rows = [r for r in rows if r["kind"] == "stretch"]
+        if not rows:
+            return
         met = Gathered(rows)
-        found, whole = [], []
+        found, whole, dealt = [], [], []
         for part in same_hashes(met.h):
             again = met.repeats(part)
             rest = part[~again]
+            elsewhere = np.isin(met.h[rest], spread)
+            dealt.append(rest[elsewhere])
+            rest = rest[~elsewhere]
             row, distance = repeated_windows(met.h[rest], met.back[rest], met.ahead[rest], met.around[rest], met.rank[rest])
             found.append(covered(met.place, rest[row], distance))
             whole.append(part[again])
         yield messages(met.whole(np.concatenate(whole)))
         yield messages(met.settled(*map(np.concatenate, zip(*found))))
+        at = np.concatenate(dealt)
+        if len(at):
+            yield from met.deal(at)
 
     def settle_windows(key: tuple, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         got = [unpack(r["blob"]) for r in rows]
@@ -450,9 +467,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = stored(per_key(told, ["blk"], send, message), folder, "sent")
     discard(spark, f"{folder}/repeated")
     combined = stored(per_key(sent.filter("part >= 0"), ["bucket", "part"], combine, message, F.col("bucket") + F.col("part")), folder, "combined")
-    stretches = sent.filter("kind = 'stretch' and part < 0").unionByName(combined.filter("kind = 'stretch'"))
-    settled = per_key(stretches, ["bucket"], settle, message, F.col("bucket")).unionByName(per_key(combined.filter("kind = 'window'"), ["bucket"], settle_windows, message, F.col("bucket")))
-    answers = sent.filter("kind = 'settled'").unionByName(combined.filter("kind = 'settled'")).unionByName(settled)
+    # Hot hashes are no others' hashes, so they are settled by themselves, before the windows meet.
+    hot_ones = stored(per_key(combined.filter("kind in ('stretch', 'spread')"), ["bucket"], settle, message, F.col("bucket")), folder, "hot")
+    settled = per_key(sent.filter("kind = 'stretch' and part < 0"), ["bucket"], settle, message, F.col("bucket"))
+    windows = combined.filter("kind = 'window'").unionByName(hot_ones.filter("kind = 'window'"))
+    answers = settled.unionByName(per_key(windows, ["bucket"], settle_windows, message, F.col("bucket")))
+    for told_before in (sent, combined, hot_ones):
+        answers = answers.unionByName(told_before.filter("kind = 'settled'"))
     everything = answers.select("blk", "blob").unionByName(blocks.select("blk", F.lit(None).cast("binary").alias("blob")))
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "spans": span, "kept": T.BinaryType(), **({"kept_text": T.StringType()} if with_text else {})}

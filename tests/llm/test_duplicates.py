@@ -54,6 +54,28 @@ def test_suffix_dedup_equals_brute_force(spark, small_blocks, monkeypatch, tmp_p
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == want
 
 
+@pytest.mark.parametrize("spread", [0, 4, 8, 1000])
+def test_spread_hashes_meet_over_all_parts(spark, monkeypatch, spread):
+    """A common line with many surroundings in one block and few in the others: its windows are dealt out in some parts
+    of the blocks only, or in none or all, and the result is that of brute force."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "SPREAD", spread)
+    rng = random.Random(5)
+    line = "".join(rng.choices("abcdefghijkl", k=64))
+    text = lambda k: "".join(rng.choices("mnopqrstuvwxyz", k=k))
+    many = [text(80) + line + text(80) for _ in range(17)]
+    docs = [(100 + i, t) for i, t in enumerate(many)]
+    for k in range(12):  # a block each: one document that shares the line and some bytes beside it with one of `many`
+        before, after = (40 + k % 5, 0) if k % 2 else (0, 40 + k % 5)
+        few = text(50) + many[k][80 - before : 144 + after] + text(50)
+        docs += [(1000 * (k % 3) + 20 * k + j, few if not j else text(120)) for j in range(17)]
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(docs, 13), "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.kept), [(s.start, s.end) for s in r.spans]) for r in suffix_dedup.remove_repeats(frame).collect()}
+    assert sum(len(spans) for _, spans in removed_spans(docs).values()) >= 12
+    assert got == removed_spans(docs)
+
+
 @pytest.mark.parametrize("rows", [1, 5])
 def test_large_groups_go_distance_by_distance(spark, monkeypatch, rows):
     import numpy as np
