@@ -303,6 +303,20 @@ def test_fuzzy_join_equals_full_scan(spark, monkeypatch, at_once):
         assert got.get(r.q, []) == want
 
 
+def test_large_bases_are_searched(spark):
+    """Retrieval is the same whatever the size of a base; a guard holds only where it is asked for."""
+    words = ["甲x甲", "𠀀𠀁y", "國家z"]
+    rows = [("large", "1", i, f"e{i}", words[i // 1800] if i % 1800 == 7 else f"{i:x}-{i % 7}", [], "t", [], "", None) for i in range(5401)]
+    base = spark.createDataFrame(rows, schemas.ENTITY)
+    lists = retrieve.asked(spark.createDataFrame([("large", t, [], 2) for t in ("某甲甲", "𠀁𠀀y", "国家z", "ab-c", "无")], "kb_id string, text string, candidate_aliases array<string>, top_k int"))
+    plain = lambda x: re.sub(r"[\s\W_]+", "", x.lower())
+    names = [(e[2], 0, e[4], plain(e[4])) for e in rows]
+    got = {r.q: [(c.entity_ord, c.similarity, c.matched_alias) for c in r.found] for r in retrieve.candidates(lists, base, 2).collect()}
+    want = {r.q: reference_best([plain(x) for x in r.queries], names, 4) for r in lists.collect()}
+    assert got == {q: x for q, x in want.items() if x} and len(got) == 4
+    assert retrieve.fuzzy(lists, base, 5000).count() == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.text("abcd", max_size=7), min_size=1, max_size=3), min_size=1, max_size=25), st.lists(st.text("abcd", min_size=1, max_size=7), min_size=1, max_size=2), st.integers(1, 6))
 def test_fuzzy_search_equals_full_scan(names, queries, keep):
