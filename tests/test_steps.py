@@ -54,3 +54,25 @@ def test_heirs_are_places(spark):
     got = [r.h for r in spark.createDataFrame(docs, f"items {item}").coalesce(1).select(decide.heirs("items").alias("h")).collect()]
     assert [None if x is None else (x.before, x.source, x.confidence) for x in got[0]] == [None, (0, 0, 0.75), (1, 0, 0.6), (1, 0, 0.6)]
     assert got[1] is None and got[2] == [] and got[3] == [None]
+
+
+def test_requests_move_once(spark, monkeypatch):
+    """Responses read and key their requests once, and join nothing to them but what is small; a stream keeps the partitions of its requests."""
+    requests = catalog.order_requests(spark, SMALL)
+    responses = decide.respond(requests, testdata.catalog_kb(spark, SMALL), catalog.OPTIONS, whole=False)
+    assert plan(responses).count("sha2(") == 1 and "dropDuplicates" not in plan(responses)
+    streams = []
+    monkeypatch.setattr(catalog, "streamed", lambda spark, frame, folder, real=catalog.streamed: streams.append(plan(frame)) or real(spark, frame, folder))
+    assert catalog.QUERIES["streaming_link"](spark, SMALL).count() == requests.count()
+    assert "Coalesce" not in streams[0]
+
+
+def test_equal_and_invalid_requests_are_each_answered(spark):
+    asked = lambda name, *texts, text="t": (name, f"tr-{name}", "b", text, [(f"m{i}", x, None, None, None, None, [], False) for i, x in enumerate(texts)])
+    rows = [asked("a", "alpha", "beta"), asked("a", "alpha", "beta"), asked("b"), asked("b"), asked("c", "alpha", text=" "), asked("d", "nothing like it")]
+    kind = "request_id string, trace_id string, kb_id string, text string, mentions array<struct<mention_id:string,text:string,start:int,end:int,entity_type:string,sentence:string,candidate_aliases:array<string>,coreference_hint:boolean>>"
+    base = spark.createDataFrame([("b", "1", 0, "e0", "Alpha", [], "t", [], "", None), ("b", "1", 1, "e1", "Beta", [], "t", [], "", None)], "kb_id string, version string, entity_ord long, entity_id string, canonical_name string, aliases array<string>, entity_type string, keywords array<string>, description string, metadata_json string")
+    got = sorted((r.request_id, r.route_decision, [(x.mention_id, x.linked_entity_id) for x in r.results]) for r in decide.respond(spark.createDataFrame(rows, kind), base).collect())
+    linked = [("m0", "e0"), ("m1", "e1")]
+    assert got[:5] == [("a", "resolved", linked)] * 2 + [("b", "invalid_input", [])] * 2 + [("c", "invalid_input", [])]
+    assert got[5][0] == "d" and len(got) == 6 and len(got[5][2]) == 1
